@@ -7,11 +7,143 @@ per (scene, column, band) and is small by the width of the detector.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import arrays as A
 from .quantiles import exact_quantiles
 
 
+def dense(df: DataFrame, keys: Sequence[str], values: Sequence[str], frames: DataFrame) -> DataFrame:
+    """One row per key with a value array per detector column (0 .. samples-1).
+
+    The arrays are as long as the detector is wide; absent columns are NULL.
+    """
+    keys = list(keys)
+    entries = F.map_from_entries(F.collect_list(F.struct("sample", F.struct(*values))))
+    packed = df.groupBy(*keys).agg(entries.alias("_m")).join(frames, "scene_id")
+    columns = F.sequence(F.lit(0), F.col("samples") - 1)
+
+    def array_of(name: str) -> Column:
+        return F.transform(columns, lambda s: F.try_element_at(F.col("_m"), s.cast("int"))[name])
+
+    return packed.select(*keys, "lines", "samples", *[array_of(v).alias(v) for v in values])
+
+
+def column_rows(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Back to one row per column."""
+    zipped = F.arrays_zip(*[F.col(v) for v in values])
+    return df.select(*keys, F.posexplode(zipped).alias("sample", "_z")).select(
+        *keys, "sample", *[F.col(f"_z.{v}").alias(v) for v in values]
+    )
+
+
+def neighbour_median(
+    profile: Column, radius: int, left_guard: int, right_guard: int, empty: Column
+) -> Column:
+    """Median of ``[c-radius, c-left_guard)`` and ``[c+right_guard, c+radius]`` per column."""
+
+    def around(p: Column) -> Column:
+        n = F.size(p)
+
+        def at(c: Column) -> Column:
+            lo = F.greatest(c - radius, F.lit(0))
+            left = F.slice(p, lo + 1, F.greatest(F.greatest(c - left_guard, F.lit(0)) - lo, F.lit(0)))
+            first = F.least(c + right_guard, n)
+            right = F.slice(p, first + 1, F.greatest(F.least(c + radius + 1, n) - first, F.lit(0)))
+            return F.coalesce(A.median(F.concat(left, right)), empty)
+
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+    return A.let(profile, around)
+
+
+def edge_median(profile: Column, radius: int) -> Column:
+    """Median over +-radius columns with the border value repeated."""
+
+    def around(p: Column) -> Column:
+        n = F.size(p)
+        taps = [F.lit(k) for k in range(-radius, radius + 1)]
+        return F.transform(
+            F.sequence(F.lit(0), n - 1),
+            lambda c: A.median(F.array(*[
+                F.get(p, F.least(F.greatest(c + k, F.lit(0)), n - 1)) for k in taps])),
+        )
+
+    return A.let(profile, around)
+
+
+def shrinking_median(profile: Column, radius: int) -> Column:
+    """Median over the columns that exist within +-radius."""
+    return A.let(profile, lambda p: F.transform(
+        F.sequence(F.lit(0), F.size(p) - 1),
+        lambda c: A.median(F.slice(
+            p, F.greatest(c - radius, F.lit(0)) + 1,
+            F.least(c + radius + 1, F.size(p)) - F.greatest(c - radius, F.lit(0)))),
+    ))
+
+
+def fill_linear(profile: Column) -> Column:
+    """NULL columns interpolated between the nearest present ones, flat at the ends."""
+
+    def fill(p: Column) -> Column:
+        n = F.size(p)
+
+        def at(c: Column) -> Column:
+            before = F.array_max(F.filter(F.sequence(F.lit(0), c), lambda i: F.get(p, i).isNotNull()))
+            after = F.array_min(F.filter(F.sequence(c, n - 1), lambda i: F.get(p, i).isNotNull()))
+            left, right = F.get(p, before), F.get(p, after)
+            between = left + (right - left) * (c - before) / (after - before)
+            return F.when(F.get(p, c).isNotNull(), F.get(p, c)).otherwise(
+                F.coalesce(between, left, right)
+            )
+
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+    return A.let(profile, fill)
+
+
+def column_thresholds(
+    scores: DataFrame, frames: DataFrame, fractions: Sequence[float], keys: Sequence[str] = ("scene_id",),
+    minimum: int = 20, radius: int = 2, fallback: str = "interpolate", value: str = "score",
+) -> DataFrame:
+    """Smoothed percentile threshold of every detector column.
+
+    Returns ``keys, sample, n, t0, t1, ...`` plus the scene-wide ``s0, s1, ...``.
+    Columns with fewer than ``minimum`` scores take the neighbours'
+    interpolation (or the scene value), and a column median follows.
+    """
+    keys = list(keys)
+    qs = [f"q{i}" for i in range(len(fractions))]
+    own = exact_quantiles(scores, [*keys, "sample"], value, fractions)
+    scene = exact_quantiles(scores, keys, value, fractions).select(
+        *keys, *[F.col(q).alias(q.replace("q", "s")) for q in qs]
+    )
+    trusted = own.select(
+        *keys, "sample", "n", *[F.when(F.col("n") >= minimum, F.col(q)).alias(q) for q in qs]
+    )
+    packed = dense(trusted, keys, ["n", *qs], frames).join(scene, keys)
+
+    def resolve(q: str) -> Column:
+        whole = F.transform(F.col(q), lambda x: F.col(q.replace("q", "s")))
+        none = ~F.exists(F.col(q), lambda x: x.isNotNull())
+        if fallback == "interpolate":
+            filled = fill_linear(F.col(q))
+        else:
+            filled = F.transform(F.col(q), lambda x: F.coalesce(x, F.col(q.replace("q", "s"))))
+        smoothed = edge_median(filled, radius) if radius else filled
+        return F.when(none, whole).otherwise(smoothed)
+
+    resolved = packed.select(
+        *keys, *[q.replace("q", "s") for q in qs],
+        F.transform("n", lambda x: F.coalesce(x, F.lit(0))).alias("n"),
+        *[resolve(q).alias(q.replace("q", "t")) for q in qs],
+    )
+    ts, ss = [q.replace("q", "t") for q in qs], [q.replace("q", "s") for q in qs]
+    return column_rows(resolved, [*keys, *ss], ["n", *ts])
+
+
 def column_medians(pixels: DataFrame, spectrum: str) -> DataFrame:
     """Median spectrum of every detector column as ``profile``."""
     bands = pixels.select("scene_id", "sample", F.posexplode(spectrum).alias("band", "v"))
@@ -21,3 +153,90 @@ def column_medians(pixels: DataFrame, spectrum: str) -> DataFrame:
             F.array_sort(F.collect_list(F.struct("band", F.col("q0").alias("m")))), lambda s: s["m"]
         ).alias("profile")
     )
+
+
+def column_bias(pixels: DataFrame, frames: DataFrame, spectrum: str = "spectrum", radius: int = 2) -> DataFrame:
+    """Detector-column offset per band: column median minus its neighbourhood,
+    centred per band; columns without pixels get no offset."""
+    bands = pixels.select("scene_id", "sample", F.posexplode(spectrum).alias("band", "v"))
+    medians = exact_quantiles(bands, ["scene_id", "sample", "band"], "v", [0.5]).withColumnRenamed("q0", "m")
+    packed = dense(medians, ["scene_id", "band"], ["m"], frames)
+    raw = packed.withColumn("d", F.zip_with("m", shrinking_median(F.col("m"), radius), lambda a, b: a - b))
+    centred = raw.withColumn("mid", A.median(F.col("d"))).withColumn(
+        "bias", F.transform("d", lambda x: F.coalesce(x - F.col("mid"), F.lit(0.0)))
+    )
+    flat = centred.select("scene_id", "band", F.posexplode("bias").alias("sample", "b"))
+    return flat.groupBy("scene_id", "sample").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("band", "b"))), lambda s: s["b"]).alias("bias")
+    )
+
+
+def density(hits: DataFrame, valid: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    """Hits, valid pixels and their ratio per column; both sides combine before
+    the exchange, so a busy column is one small row."""
+    by = [*keys, *extra, "sample"]
+    counted = hits.groupBy(*by).agg(F.count(F.lit(1)).alias("hits"))
+    exposed = valid.groupBy(*[k for k in by if k in valid.columns]).agg(F.count(F.lit(1)).alias("valid"))
+    on = [k for k in by if k in exposed.columns]
+    return exposed.join(counted, on, "left").select(
+        *[c for c in by if c in on or c in counted.columns], "valid",
+        F.coalesce("hits", F.lit(0)).alias("hits"),
+        (F.coalesce("hits", F.lit(0)) / F.greatest("valid", F.lit(1))).alias("density"),
+    )
+
+
+def fixed_column_risk(hits: DataFrame, valid: DataFrame, blocks: DataFrame, frames: DataFrame) -> DataFrame:
+    """0-1 risk that a column answers because of the detector.
+
+    60 % is how often the column stands out among the sampled blocks, 40 % its
+    excess over the columns around it.  ``blocks`` is (scene_id, start, stop).
+    """
+    numbered = blocks.select("scene_id", F.col("start").alias("_a"), F.col("stop").alias("_b"))
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return (
+            in_blocks(df, numbered).groupBy("scene_id", "_a", "sample").agg(F.count(F.lit(1)).alias(name))
+        )
+
+    both = counted(valid, "valid").join(counted(hits, "hits"), ["scene_id", "_a", "sample"], "full_outer")
+    share = F.coalesce("hits", F.lit(0)) / F.greatest(F.coalesce("valid", F.lit(0)), F.lit(1))
+    packed = dense(both.withColumn("d", share), ["scene_id", "_a"], ["d"], frames).withColumn(
+        "d", F.transform("d", lambda x: F.coalesce(x, F.lit(0.0)))
+    )
+    z = packed.withColumn("mid", A.median(F.col("d"))).withColumn(
+        "mad", 1.4826 * A.median(F.transform("d", lambda x: F.abs(x - F.col("mid"))))
+    ).withColumn(
+        "z", F.transform("d", lambda x: (x - F.col("mid")) / F.greatest(F.col("mad"), F.lit(0.005)))
+    )
+    # all sampled blocks count, also those without any pixel of a column
+    columns = z.select(
+        "scene_id", F.posexplode(F.arrays_zip("d", "z")).alias("sample", "p")
+    ).groupBy("scene_id", "sample").agg(
+        F.avg((F.col("p.z") >= 2.5).cast("double")).alias("repeat"),
+        F.percentile(F.col("p.d"), F.lit(0.5)).alias("profile"),
+    )
+    folded = dense(columns, ["scene_id"], ["repeat", "profile"], frames)
+    local = neighbour_median(F.col("profile"), 6, 1, 2, F.lit(None).cast("double"))
+    scored = folded.withColumn("local", local).withColumn("whole", A.median(F.col("profile")))
+    risk = F.zip_with(
+        F.arrays_zip("repeat", "profile"), "local",
+        lambda p, l: F.least(F.greatest(
+            0.60 * p["repeat"] + 0.40 * F.least(F.greatest(
+                (p["profile"] - F.coalesce(l, F.col("whole"))) / 0.10, F.lit(0.0)), F.lit(1.0)),
+            F.lit(0.0)), F.lit(1.0)),
+    )
+    return column_rows(scored.withColumn("risk", risk), ["scene_id"], ["risk"])
+
+
+def in_blocks(df: DataFrame, blocks: DataFrame, size: int = 256) -> DataFrame:
+    """Rows whose line lies in a block ``[_a, _b)``: blocks are cut into line
+    bins, so the range join is an equi join plus a filter."""
+    binned = blocks.withColumn(
+        "_bin", F.explode(F.sequence(F.floor(F.col("_a") / size), F.floor((F.col("_b") - 1) / size)))
+    )
+    return (
+        df.withColumn("_bin", F.floor(F.col("line") / size))
+        .join(binned, ["scene_id", "_bin"])
+        .where("line >= _a and line < _b")
+        .drop("_bin")
+    )

@@ -92,6 +92,19 @@ class Views:
             )
         )
 
+    @cached_property
+    def frames(self) -> DataFrame:
+        """Lines and detector columns of every score plane."""
+        return self.cells.groupBy("scene_id").agg(
+            (F.max("line") + 1).alias("lines"), (F.max("sample") + 1).alias("samples")
+        )
+
+    @cached_property
+    def pixel_frames(self) -> DataFrame:
+        return self.pixels.groupBy("scene_id").agg(
+            (F.max("line") + 1).alias("lines"), (F.max("sample") + 1).alias("samples")
+        )
+
     @cached_property
     def valid(self) -> DataFrame:
         """Material mask: scanned cells in 40-line boxes, 20 lines apart."""
@@ -131,6 +144,8 @@ SQL_VIEWS = {
           CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS disc,
           CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS tax
           FROM lineitem GROUP BY ALL)""",
+    "frames": """SELECT scene_id, CAST(max(line) + 1 AS INTEGER) AS lines,
+        CAST(max(sample) + 1 AS INTEGER) AS samples FROM cells GROUP BY scene_id""",
     "valid": "SELECT scene_id, line, sample FROM cells WHERE line % 60 < 40",
     "striped": """SELECT * FROM cells WHERE line % 60 < 40
         AND (score <= 0.004 OR (sample % 11 = 5 AND score <= 0.05))""",

@@ -1,3 +1,3 @@
 """Every query the package answers, by operator family."""
 
-from . import spectra  # noqa: F401
+from . import planes, spectra  # noqa: F401

@@ -390,22 +390,22 @@ def scored_pixels(v, k: int = 2):
 
 
 @query("a1_best_k_mean_consensus", f"""
-    WITH {SCORE_SQL} SELECT scene_id, line, sample, mineral, round(score, 6) AS score, round(consensus, 6) AS consensus FROM ms""")
+    WITH {SCORE_SQL} SELECT scene_id, line, sample, mineral, round(score, 5) AS score, round(consensus, 6) AS consensus FROM ms""")
 def a1(v):
     return scored_pixels(v).select(*KEY, F.inline("minerals")).select(
-        *KEY, "mineral", F.round("score", 6).alias("score"), F.round("consensus", 6).alias("consensus"))
+        *KEY, "mineral", F.round("score", 5).alias("score"), F.round("consensus", 6).alias("consensus"))
 
 
 @query("a2_mineral_competition", f"""
     WITH {SCORE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY scene_id, line, sample ORDER BY score, mineral) AS pos FROM ms)
     SELECT scene_id, line, sample, CAST(max(CASE WHEN pos = 1 THEN mineral + 1 END) AS INTEGER) AS label,
-      round(min(CASE WHEN pos = 1 THEN score END), 6) AS best, round(min(CASE WHEN pos = 2 THEN score END), 6) AS second,
-      round(min(CASE WHEN pos = 2 THEN score END) - min(CASE WHEN pos = 1 THEN score END), 6) AS margin
+      round(min(CASE WHEN pos = 1 THEN score END), 5) AS best, round(min(CASE WHEN pos = 2 THEN score END), 5) AS second,
+      round(min(CASE WHEN pos = 2 THEN score END) - min(CASE WHEN pos = 1 THEN score END), 5) AS margin
     FROM o GROUP BY ALL""")
 def a2(v):
     won = scoring.competition(F.col("minerals")["score"])
     return scored_pixels(v).withColumn("c", won).select(
-        *KEY, "c.label", *[F.round(f"c.{n}", 6).alias(n) for n in ("best", "second", "margin")])
+        *KEY, "c.label", *[F.round(f"c.{n}", 5).alias(n) for n in ("best", "second", "margin")])
 
 
 @query("j1_pixel_reference_scoring", f"""
@@ -459,13 +459,13 @@ def x1(v):
 
 
 @query("x2_best_k_aggregate", f"""
-    WITH {SCORE_SQL} SELECT scene_id, line, sample, mineral, round(score, 6) AS score FROM ms""")
+    WITH {SCORE_SQL} SELECT scene_id, line, sample, mineral, round(score, 5) AS score FROM ms""")
 def x2(v):
     rows = library(v)
     angles = K.angles_to([r["spectrum"] for r in rows])(F.col("spectrum"))
     minerals = F.array(*[F.lit(r["mineral"]) for r in rows])
     pairs = v.pixels.select(*KEY, F.inline(F.arrays_zip(minerals.alias("mineral"), angles.alias("angle"))))
-    return pairs.groupBy(*KEY, "mineral").agg(F.round(udfs.best_two_mean(F.col("angle")), 6).alias("score"))
+    return pairs.groupBy(*KEY, "mineral").agg(F.round(udfs.best_two_mean(F.col("angle")), 5).alias("score"))
 
 
 @query("x3_feature_table_function", f"""
