@@ -41,3 +41,9 @@ def policy_candidates(
     return scores.join(limits, ["scene_id", "sample"]).withColumn("policy", F.explode(passed)).select(
         *scores.columns, "policy"
     )
+
+
+def split_labels(labels: DataFrame, block: int = 256, modulo: int = 5) -> DataFrame:
+    """Every fifth depth block is held out."""
+    held = F.floor(F.col("line") / block) % modulo == 0
+    return labels.withColumn("split", F.when(held, "holdout").otherwise("training"))

@@ -118,3 +118,72 @@ def gate_failures(gate: dict) -> Column:
         F.when(F.col("area_difference") > gate.get("maximum_area_difference_fraction", 0.05), "area"),
     ]
     return F.array_compact(F.array(*checks))
+
+
+def nearest_resample(frames: DataFrame, sized: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Set cells on a new grid: target (line, sample) reads ``floor(i * source / target)``.
+
+    Each source cell knows its own range of target cells, so it emits them
+    directly and no grid is built.
+    """
+    grown = cells.join(frames, keys).join(sized, keys)
+
+    def reach(at: str, source: str, target: str) -> Column:
+        first = F.ceil(F.col(at) * F.col(target) / F.col(source)).cast("int")
+        last = (F.ceil((F.col(at) + 1) * F.col(target) / F.col(source)) - 1).cast("int")
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    return (
+        grown.withColumn("_l", F.explode(reach("line", "lines", "to_lines")))
+        .withColumn("_s", F.explode(reach("sample", "samples", "to_samples")))
+        .select(*keys, F.col("_l").alias("line"), F.col("_s").alias("sample"))
+    )
+
+
+def time_mapped_lines(frames: DataFrame, sized: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Target line to the source line at the same share of the scan time."""
+    share = F.col("target_line") * (F.col("lines") - 1) / F.greatest(F.col("to_lines") - 1, F.lit(1))
+    return (
+        frames.join(sized, keys)
+        .withColumn("target_line", F.explode(F.sequence(F.lit(0), F.col("to_lines") - 1)))
+        .select(*keys, "target_line", F.rint(share).cast("int").alias("line"))
+    )
+
+
+def affine_bilinear(values: DataFrame, targets: DataFrame, inverse: Sequence[Sequence[float]], keys: Sequence[str],
+                    value: str) -> DataFrame:
+    """Resample through a 3x3 inverse matrix; taps outside the source count as 0."""
+    x, y = F.col("sample").cast("double"), F.col("line").cast("double")
+
+    def row(r: Sequence[float]) -> Column:
+        return r[0] * x + r[1] * y + r[2]
+
+    w = row(inverse[2])
+    located = targets.select(*keys, "line", "sample", (row(inverse[0]) / w).alias("_x"), (row(inverse[1]) / w).alias("_y"))
+    fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
+    taps = F.array(*[
+        F.struct(
+            (F.floor("_y") + dy).cast("int").alias("line"), (F.floor("_x") + dx).cast("int").alias("sample"),
+            ((fx if dx else 1 - fx) * (fy if dy else 1 - fy)).alias("weight"),
+        ) for dy in (0, 1) for dx in (0, 1)
+    ])
+    tapped = located.select(*keys, F.col("line").alias("_tl"), F.col("sample").alias("_ts"), F.inline(taps))
+    joined = tapped.join(values.select(*keys, "line", "sample", F.col(value).alias("_v")), [*keys, "line", "sample"], "left")
+    return joined.groupBy(*keys, "_tl", "_ts").agg(
+        F.sum(F.col("weight") * F.coalesce("_v", F.lit(0.0))).alias(value)
+    ).withColumnsRenamed({"_tl": "line", "_ts": "sample"})
+
+
+def blend_tiles(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Weighted mean of overlapping tile scores; both sums combine map-side."""
+    sums = tiles.groupBy(*keys, "line", "sample").agg(
+        F.sum(F.col("score") * F.col("weight")).alias("_a"), F.sum("weight").alias("_b")
+    )
+    return sums.select(*keys, "line", "sample", (F.col("_a") / F.col("_b")).alias("score"))
+
+
+def hann(position: Column, size: int) -> Column:
+    """Tile weight that fades towards the tile edge but stays positive."""
+    import math
+
+    return F.greatest(0.5 - 0.5 * F.cos(2.0 * math.pi * (position + 0.5) / size), F.lit(1e-3))

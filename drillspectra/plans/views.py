@@ -122,6 +122,31 @@ class Views:
         """Candidate cells at a moderate threshold."""
         return self.cells.where("line % 60 < 40 and score <= 0.03")
 
+    @cached_property
+    def measurements(self) -> DataFrame:
+        """Library measurements: a named curve per part, one source per brand."""
+        k, size = F.col("p_partkey"), F.col("p_size")
+        words = F.split("p_name", " ")
+        adjective, noun = words[0], words[1]
+        name = (
+            F.when(k % 5 == 0, F.concat(noun, F.lit(" "), F.col("p_brand")))
+            .when(k % 5 == 1, F.concat(noun, F.lit("/"), adjective))
+            .when(k % 5 == 2, F.concat(noun, F.lit(" bearing "), F.col("p_type")))
+            .when(k % 5 == 3, F.concat(adjective, F.lit("_"), noun))
+            .otherwise(F.concat(F.lit('"'), F.initcap(noun), F.lit("  "), F.col("p_type"), F.lit('"')))
+        )
+        values = F.array(
+            (size - 3).cast("double"), (size % 7).cast("double"), F.when(k % 31 != 0, size / 50.0),
+            F.when(k % 97 == 0, 0.5).otherwise((k % 13).cast("double")),
+        )
+        return self.table("part").select(
+            k.alias("measurement_id"), F.col("p_brand").alias("source_id"), name.alias("raw_name"),
+            noun.alias("phase"), F.when(k % 3 == 0, F.col("p_type")).alias("sample_code"),
+            F.when(k % 97 == 0, F.array(*[F.lit(0.5)] * 4)).otherwise(values).alias("values"),
+            F.concat_ws(",", size.cast("string"), F.col("p_type")).alias("curve_text"),
+            F.col("p_retailprice").alias("price"), size.cast("int").alias("size"),
+        )
+
 
 SQL_VIEWS = {
     "pixels": """SELECT 'S' || CAST(vec_id // 1000 AS VARCHAR) AS scene_id,
@@ -144,6 +169,15 @@ SQL_VIEWS = {
           CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT) AS disc,
           CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS tax
           FROM lineitem GROUP BY ALL)""",
+    "measurements": """SELECT p_partkey AS measurement_id, p_brand AS source_id,
+        CASE p_partkey % 5 WHEN 0 THEN noun || ' ' || p_brand WHEN 1 THEN noun || '/' || adj
+          WHEN 2 THEN noun || ' bearing ' || p_type WHEN 3 THEN adj || '_' || noun
+          ELSE '"' || upper(noun[1]) || noun[2:] || '  ' || p_type || '"' END AS raw_name,
+        noun AS phase, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS sample_code,
+        CASE WHEN p_partkey % 97 = 0 THEN [0.5::DOUBLE, 0.5, 0.5, 0.5] ELSE [CAST(p_size - 3 AS DOUBLE), CAST(p_size % 7 AS DOUBLE),
+          CASE WHEN p_partkey % 31 <> 0 THEN p_size / 50.0::DOUBLE END, CAST(p_partkey % 13 AS DOUBLE)] END AS values,
+        CAST(p_size AS VARCHAR) || ',' || p_type AS curve_text, p_retailprice AS price, CAST(p_size AS INTEGER) AS size
+        FROM (SELECT *, split_part(p_name, ' ', 1) AS adj, split_part(p_name, ' ', 2) AS noun FROM part)""",
     "frames": """SELECT scene_id, CAST(max(line) + 1 AS INTEGER) AS lines,
         CAST(max(sample) + 1 AS INTEGER) AS samples FROM cells GROUP BY scene_id""",
     "valid": "SELECT scene_id, line, sample FROM cells WHERE line % 60 < 40",

@@ -321,11 +321,13 @@ def j3(v):
 @query("p19_candidate_predicate", """
     WITH v AS (SELECT cells.* FROM cells JOIN valid USING (scene_id, line, sample)),
     p(policy, f, a) AS (VALUES ('conservative', 0.04, 0.02), ('balanced', 0.08, 0.03), ('sensitive', 0.12, 0.05)),
-    q AS (SELECT scene_id, sample, policy, quantile_cont(score, list_value(0.04, 0.08, 0.12))[CASE policy WHEN 'conservative' THEN 1 WHEN 'balanced' THEN 2 ELSE 3 END] AS t FROM v, p GROUP BY ALL),
+    q0 AS (SELECT scene_id, sample, [quantile_cont(score, 0.04), quantile_cont(score, 0.08), quantile_cont(score, 0.12)] AS ts FROM v GROUP BY ALL),
+    q AS (SELECT scene_id, sample, policy, ts[CAST(f / 0.04 AS INTEGER)] AS t FROM q0, p),
     o(k) AS (VALUES (-2), (-1), (0), (1), (2)),
     m AS (SELECT a.scene_id, a.sample, a.policy, median(b.t) AS t FROM q a JOIN frames f USING (scene_id), o
       JOIN q b ON b.scene_id = a.scene_id AND b.policy = a.policy AND b.sample = greatest(0, least(f.samples - 1, a.sample + o.k)) GROUP BY ALL),
-    s AS (SELECT scene_id, policy, quantile_cont(score, list_value(0.1, 0.2, 0.3))[CASE policy WHEN 'conservative' THEN 1 WHEN 'balanced' THEN 2 ELSE 3 END] AS sc FROM v, p GROUP BY ALL)
+    s0 AS (SELECT scene_id, [quantile_cont(score, 0.1), quantile_cont(score, 0.2), quantile_cont(score, 0.3)] AS ts FROM v GROUP BY ALL),
+    s AS (SELECT scene_id, policy, ts[CAST(f / 0.04 AS INTEGER)] AS sc FROM s0, p)
     SELECT v.scene_id, policy, count(*) AS pixels, CAST(sum(line) AS BIGINT) AS line_sum FROM v JOIN m USING (scene_id, sample)
       JOIN s USING (scene_id, policy) JOIN p USING (policy) WHERE score <= t AND score <= a AND score <= sc GROUP BY ALL""")
 def p19(v):
