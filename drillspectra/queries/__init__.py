@@ -1,3 +1,3 @@
 """Every query the package answers, by operator family."""
 
-from . import decisions, planes, spectra  # noqa: F401
+from . import decisions, libraries, planes, spectra  # noqa: F401
