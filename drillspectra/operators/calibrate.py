@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scoring import candidate
-from . import columns
-from .quantiles import exact_quantiles
+from ..session import durable
+from . import columns, components as CC, grid
+from .quantiles import exact_quantile_array, exact_quantiles
+from .sampling import strongest
 
 
 def scene_fraction(settings: Mapping) -> float:
@@ -47,3 +49,435 @@ def split_labels(labels: DataFrame, block: int = 256, modulo: int = 5) -> DataFr
     """Every fifth depth block is held out."""
     held = F.floor(F.col("line") / block) % modulo == 0
     return labels.withColumn("split", F.when(held, "holdout").otherwise("training"))
+
+
+NOISE_FACTOR = {"conservative": 3.0, "balanced": 2.2, "sensitive": 1.5}
+POLICIES = ("conservative", "balanced", "sensitive")
+
+
+def resolve_policies(scores: DataFrame, noise: DataFrame, policies: Mapping[str, Mapping]) -> DataFrame:
+    """``scene_id, policy`` with the scene threshold and the depth floor.
+
+    The floor is the larger of the catalog's and a multiple of the scene noise.
+    """
+    names = list(policies)
+    scene = exact_quantiles(scores, ["scene_id"], "score", [scene_fraction(policies[p]) for p in names])
+    rows = F.array(*[
+        F.struct(
+            F.lit(p).alias("policy"), F.col(f"q{i}").alias("scene_threshold"),
+            F.lit(float(policies[p].get("absolute_sam_threshold_rad", float("inf")))).alias("absolute_threshold"),
+            F.greatest(F.lit(float(policies[p].get("minimum_absorption_depth", 0.0))),
+                       NOISE_FACTOR[p] * F.col("noise")).alias("minimum_depth"),
+        ) for i, p in enumerate(names)
+    ])
+    return scene.join(noise, "scene_id").select("scene_id", F.inline(rows))
+
+
+# --- threshold search ------------------------------------------------------
+
+COVERAGE_CAP = {"conservative": 0.08, "balanced": 0.18, "sensitive": 0.30}
+
+
+def search_grid(policies: Mapping[str, Mapping], policy: str, steps: int = 5) -> tuple[list[float], list[float]]:
+    """Percentile and absolute candidates between the strictest and widest policy."""
+
+    def values(name: str) -> list[float]:
+        given = [float(p[name]) for p in policies.values() if name in p]
+        lo, hi = min(given), max(given)
+        spread = [lo + (hi - lo) * k / max(steps - 1, 1) for k in range(steps)]
+        return sorted({round(x, 12) for x in [*spread, float(policies[policy][name])]})
+
+    return values("column_percentile"), values("absolute_sam_threshold_rad")
+
+
+def fixed_column_penalty(hits: DataFrame, valid: DataFrame, blocks: DataFrame, frames: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Root of (peak severity x share of the hits in suspicious columns)."""
+    keys = ["scene_id", *extra]
+    spans = blocks.select("scene_id", F.col("start").alias("_a"), F.col("stop").alias("_b"))
+    exposed = columns.in_blocks(valid.select("scene_id", "line", "sample"), spans).groupBy("scene_id", "_a", "sample").agg(F.count(F.lit(1)).alias("valid"))
+    counted = columns.in_blocks(hits.select(*keys, "line", "sample"), spans).groupBy(*keys, "_a", "sample").agg(F.count(F.lit(1)).alias("hits"))
+    cells = hits.select(*keys).distinct().join(exposed, "scene_id")
+    share = cells.join(counted, [*keys, "_a", "sample"], "left").select(
+        *keys, "_a", "sample", (F.coalesce("hits", F.lit(0)) / F.col("valid")).alias("d"))
+    # a block in which a column has no material counts as density 0
+    used = exposed.select("scene_id", "_a").distinct().groupBy("scene_id").agg(F.count(F.lit(1)).alias("blocks"))
+    gathered = share.groupBy(*keys, "sample").agg(F.collect_list("d").alias("ds")).join(used, "scene_id")
+    padded = F.concat("ds", F.array_repeat(F.lit(0.0), (F.col("blocks") - F.size("ds")).cast("int")))
+    from ..functions import arrays as A
+
+    persistent = gathered.select(*keys, "sample", A.median(padded).alias("p"))
+    packed = columns.dense(persistent, keys, ["p"], frames).withColumn("p", F.transform("p", lambda x: F.coalesce(x, F.lit(0.0))))
+    local = packed.withColumn("local", columns.neighbour_median(F.col("p"), 3, 0, 1, F.lit(None).cast("double"))).withColumn("whole", A.median(F.col("p")))
+    severity = F.zip_with("p", "local", lambda p, m: F.least(F.greatest(
+        (F.greatest(p - F.coalesce(m, F.col("whole")), F.lit(0.0)) - 0.03) / 0.20, F.lit(0.0)), F.lit(1.0)))
+    rows = columns.column_rows(local.withColumn("severity", severity), keys, ["severity"])
+    totals = hits.groupBy(*keys, "sample").agg(F.count(F.lit(1)).alias("n"))
+    joined = rows.join(totals, [*keys, "sample"], "left").groupBy(*keys).agg(
+        F.max("severity").alias("peak"), F.sum("n").alias("all"), F.sum(F.when(F.col("severity") > 0, F.col("n"))).alias("bad"))
+    return joined.select(*keys, F.when(
+        (F.col("all") > 0) & (F.col("peak") > 0), F.sqrt(F.col("peak") * F.coalesce("bad", F.lit(0)) / F.col("all"))).otherwise(0.0).alias("column_penalty"))
+
+
+def search_thresholds(
+    scores: DataFrame, valid: DataFrame, frames: DataFrame, blocks: DataFrame, policies: Mapping[str, Mapping], policy: str,
+    steps: int = 5, minimum_pixels: int = 16, hard_coverage: float = 0.65, edge_width: int = 2, isolated_pixels: int = 4,
+) -> DataFrame:
+    """Every (percentile, absolute) candidate with its terms and objective.
+
+    A sampled pixel meets its column's thresholds once and unfolds only into
+    the candidates it passes; every term is then one aggregation over
+    (scene, candidate).
+    """
+    percentiles, absolutes = search_grid(policies, policy, steps)
+    spans = blocks.select("scene_id", F.col("start").alias("_a"), F.col("stop").alias("_b"))
+    sampled = durable(columns.in_blocks(scores.join(valid, ["scene_id", "line", "sample"], "left_semi"), spans).select("scene_id", "line", "sample", "score"))
+    limits = columns.column_thresholds(sampled, frames, percentiles, minimum=1, radius=1).select(
+        "scene_id", "sample", *[f"t{i}" for i in range(len(percentiles))])
+    edges = grid.edge_risk(sampled.select("scene_id", "line", "sample"), ["scene_id"], edge_width).select(
+        "scene_id", "line", "sample", (F.col("edge_risk") > 0).alias("edge"))
+    options = F.array_compact(F.array(*[
+        F.when((F.col("score") <= F.col(f"t{i}")) & (F.col("score") <= a), F.struct(F.lit(p).alias("percentile"), F.lit(a).alias("absolute")))
+        for i, p in enumerate(percentiles) for a in absolutes]))
+    hits = durable(
+        sampled.join(limits, ["scene_id", "sample"]).join(edges, ["scene_id", "line", "sample"])
+        .select("scene_id", "line", "sample", "score", "edge", F.explode(options).alias("c"))
+        .select("scene_id", "line", "sample", "score", "edge", "c.percentile", "c.absolute"))
+    keys = ["scene_id", "percentile", "absolute"]
+    size = sampled.groupBy("scene_id").agg(F.count(F.lit(1)).alias("sample_pixels"))
+    counts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"), F.avg(F.col("edge").cast("double")).alias("edge_penalty"))
+    middle = exact_quantiles(hits, keys, "score", [0.5]).select(*keys, F.col("q0").alias("_median"))
+    isolated = CC.small_share(CC.components(hits.select(*keys, "line", "sample"), keys), isolated_pixels, keys)
+    penalty = fixed_column_penalty(hits, sampled, blocks, frames, ["percentile", "absolute"])
+    every = F.array(*[F.struct(F.lit(p).alias("percentile"), F.lit(a).alias("absolute")) for p in percentiles for a in absolutes])
+    table = size.select("scene_id", "sample_pixels", F.inline(every))
+    for part in (counts, middle, isolated, penalty):
+        table = table.join(part, keys, "left")
+    reference, cap = max(absolutes), min(COVERAGE_CAP.get(policy, 0.18), hard_coverage)
+    c = F.col
+    none = c("pixels").isNull()
+    table = table.withColumns({
+        "pixels": F.coalesce("pixels", F.lit(0)), "edge_penalty": F.coalesce("edge_penalty", F.lit(1.0)),
+        "isolated": F.coalesce("isolated", F.lit(1.0)), "column_penalty": F.when(none, 1.0).otherwise(F.coalesce("column_penalty", F.lit(0.0))),
+        "evidence": F.coalesce(F.least(F.greatest((reference - c("_median")) / reference, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)),
+    }).withColumn("coverage", c("pixels") / c("sample_pixels")).withColumn("accepted", (c("pixels") >= minimum_pixels) & (c("coverage") <= hard_coverage))
+    target = max(min(cap * 0.25, 0.05), 0.005)
+    over = F.pow(F.greatest((c("coverage") - cap) / cap, F.lit(0.0)), 2)
+    objective = (
+        1.25 * c("evidence") + 0.35 * F.least(c("coverage") / target, F.lit(1.0)) + 0.25 * (1.0 - c("isolated"))
+        - 0.90 * c("column_penalty") - 0.45 * c("edge_penalty") - 0.55 * c("isolated") - 1.35 * over)
+    return table.withColumn("overcoverage", over).withColumn("objective", F.when(c("accepted"), objective)).drop("_median")
+
+
+def best_candidate(candidates: DataFrame) -> DataFrame:
+    """Accepted candidate with the largest objective, NULLs when none passes."""
+    down = lambda n: (-F.col(n)).alias(n)
+    key = F.struct("objective", down("column_penalty"), down("edge_penalty"), down("isolated"), down("overcoverage"),
+                   down("coverage"), down("absolute"), down("percentile"))
+    best = candidates.groupBy("scene_id").agg(F.max(F.when(F.col("accepted"), key)).alias("b"))
+    return best.select(
+        "scene_id", F.when(F.col("b").isNull(), "blocked").otherwise("resolved").alias("status"),
+        (-F.col("b.percentile")).alias("percentile"), (-F.col("b.absolute")).alias("absolute"), F.col("b.objective").alias("objective"))
+
+
+def joint_objective(objective: Column, ready: Column, pixels: Column) -> Column:
+    """Objective with feature support: log-scaled ready pixels and their share."""
+    support = F.least(F.log1p(ready) / F.log1p(F.lit(64.0)), F.lit(1.0))
+    return (objective + 0.35 * support + 0.15 * F.sqrt(ready / F.greatest(pixels, F.lit(1)))
+            - F.when(ready == 0, 0.20).otherwise(0.0))
+
+
+def threshold_trial(
+    per_policy: Mapping[str, DataFrame], ready: Mapping[str, DataFrame], overrides: Mapping[str, Mapping[str, float]] | None = None
+) -> DataFrame:
+    """Pick one candidate per policy so that thresholds never tighten from
+    conservative to sensitive; a user override replaces the picked value."""
+    floor, out = None, None
+    keys = ["scene_id", "percentile", "absolute"]
+    for policy in POLICIES:
+        rows = per_policy[policy].join(ready[policy], keys, "left").withColumn("ready", F.coalesce("ready", F.lit(0)))
+        rows = rows.withColumn("joint", joint_objective(F.col("objective"), F.col("ready"), F.col("pixels")))
+        if floor is not None:
+            rows = rows.join(floor, "scene_id").where("percentile >= _p - 1e-12 and absolute >= _a - 1e-12")
+        key = F.struct("joint", "ready", (-F.col("column_penalty")).alias("cp"), (-F.col("edge_penalty")).alias("ep"),
+                       (-F.col("absolute")).alias("a"), (-F.col("percentile")).alias("p"))
+        fixed = (overrides or {}).get(policy, {})
+        picked = durable(rows.where("accepted").groupBy("scene_id").agg(F.max(key).alias("b")).select(
+            "scene_id", F.lit(policy).alias("policy"),
+            F.coalesce(F.lit(fixed.get("column_percentile")).cast("double"), -F.col("b.p")).alias("percentile"),
+            F.coalesce(F.lit(fixed.get("absolute_sam_threshold_rad")).cast("double"), -F.col("b.a")).alias("absolute"),
+            F.col("b.joint").alias("joint"), F.col("b.ready").alias("ready")))
+        floor = picked.select("scene_id", F.col("percentile").alias("_p"), F.col("absolute").alias("_a"))
+        out = picked if out is None else out.unionByName(picked)
+    return out
+
+
+# --- learning from reviewed labels ----------------------------------------
+
+RECALL = {"conservative": 0.80, "balanced": 0.93, "sensitive": 0.985}
+CANDIDATE_COVERAGE = {"conservative": 0.20, "balanced": 0.38, "sensitive": 0.60}
+
+
+def detection_thresholds(scored: DataFrame, minimum: int = 100) -> DataFrame:
+    """Threshold per policy from labels: recall of training positives, capped by scene coverage.
+
+    ``scored`` is (scene_id, score, positive, split); also reports both recalls.
+    """
+    train = scored.where("positive and split = 'training'")
+    recall = exact_quantiles(train, ["scene_id"], "score", [RECALL[p] for p in POLICIES])
+    cover = exact_quantiles(scored, ["scene_id"], "score", [CANDIDATE_COVERAGE[p] for p in POLICIES])
+    pairs = recall.where(F.col("n") >= minimum).select("scene_id", *[F.col(f"q{i}").alias(f"r{i}") for i in range(3)]).join(
+        cover.select("scene_id", *[F.col(f"q{i}").alias(f"c{i}") for i in range(3)]), "scene_id")
+    rows = pairs.select("scene_id", F.inline(F.array(*[
+        F.struct(F.lit(p).alias("policy"), F.least(f"r{i}", f"c{i}").alias("threshold")) for i, p in enumerate(POLICIES)])))
+    inside = F.col("score") <= F.col("threshold")
+    share = lambda test: F.sum((inside & test).cast("long")) / F.sum(test.cast("long"))
+    positive = F.col("positive")
+    return scored.join(rows, "scene_id").groupBy("scene_id", "policy", "threshold").agg(
+        share(positive & (F.col("split") == "training")).alias("training_recall"),
+        F.try_divide(F.sum((inside & positive & (F.col("split") == "holdout")).cast("long")),
+                     F.sum((positive & (F.col("split") == "holdout")).cast("long"))).alias("holdout_recall"),
+        F.avg(inside.cast("double")).alias("coverage"))
+
+
+def domain_offsets(mineral_scores: DataFrame, strength: float, cap: float) -> DataFrame:
+    """Per-mineral shift: median above the group's lowest median, scaled and capped."""
+    medians = exact_quantiles(mineral_scores, ["scene_id", "group_no", "mineral"], "score", [0.5])
+    low = medians.groupBy("scene_id", "group_no").agg(F.min("q0").alias("_low"))
+    return medians.join(low, ["scene_id", "group_no"]).select(
+        "scene_id", "group_no", "mineral", F.col("q0").alias("median"),
+        F.least(F.greatest(strength * (F.col("q0") - F.col("_low")), F.lit(0.0)), F.lit(cap)).alias("offset"))
+
+
+def score_offsets(sample: DataFrame, minerals: int, maximum: float = 0.45, ridge: float = 0.02, rounds: int = 25) -> list[float]:
+    """Class-balanced multinomial intercepts per mineral.
+
+    ``sample`` is (scores ARRAY, label INT), already thinned per class.  Each
+    Newton round is one aggregation that returns a gradient and a Hessian of
+    mineral-count size, so only those small sums reach the driver.
+    """
+    import numpy as np
+
+    from ..functions import arrays as A
+
+    weights = sample.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    classes = weights.count()
+    gap = F.sort_array("scores")[1] - F.sort_array("scores")[0]
+    rows = durable(sample.join(weights, "label").select(
+        "scores", "label", (1.0 / (F.col("_n") * classes)).alias("w"), gap.alias("gap")))
+    temperature = max(float(exact_quantiles(rows.withColumn("k", F.lit(1)), ["k"], "gap", [0.5]).first()["q0"]), 0.03)
+    b = np.zeros(minerals)
+    for _ in range(rounds):
+        shift = A.literal_doubles(b)
+        logits = F.zip_with("scores", shift, lambda s, k: -s / temperature + k)
+        raw = A.let(logits, lambda l: A.let(F.array_max(l), lambda top: F.transform(l, lambda x: F.exp(x - top))))
+        p = rows.select("label", "w", A.let(raw, lambda e: A.let(A.total(e), lambda z: F.transform(e, lambda x: x / z))).alias("p"))
+        cell = lambda i: F.col("p")[i]
+        target = lambda i: (F.col("label") == i).cast("double")
+        sums = p.agg(
+            *[F.sum(F.col("w") * (target(i) - cell(i))).alias(f"g{i}") for i in range(minerals)],
+            *[F.sum(F.col("w") * cell(i) * ((1.0 if i == j else 0.0) - cell(j))).alias(f"h{i}_{j}")
+              for i in range(minerals) for j in range(i, minerals)],
+        ).first()
+        gradient = np.array([sums[f"g{i}"] for i in range(minerals)]) - ridge * b
+        hessian = np.array([[sums[f"h{min(i, j)}_{max(i, j)}"] for j in range(minerals)] for i in range(minerals)])
+        step = np.linalg.solve(hessian + ridge * np.eye(minerals), gradient)
+        b = b + step
+        b -= b.mean()
+        if np.max(np.abs(step - step.mean())) < 1e-10:
+            break
+    offsets = np.clip(b * temperature, -maximum, maximum)
+    return [float(x) for x in offsets - offsets.mean()]
+
+
+GATE_QUANTILES = {"conservative": (0.10, 0.90), "balanced": (0.02, 0.98), "sensitive": (0.005, 0.995)}
+GATE_FLOOR = {"conservative": 0.35, "balanced": 0.10, "sensitive": 0.02}
+
+
+def feature_gates(training: DataFrame, keys: Sequence[str], center: str, window: tuple[float, float], minimum: str, catalog_minimum: float) -> DataFrame:
+    """Centre window and feature minimum per policy from training positives."""
+    keys = list(keys)
+    ends = [GATE_QUANTILES[p] for p in POLICIES]
+    c = exact_quantiles(training, keys, center, [q for pair in ends for q in pair]).drop("n")
+    m = exact_quantiles(training, keys, minimum, [pair[0] for pair in ends]).drop("n")
+    m = m.select(*keys, *[F.col(f"q{i}").alias(f"m{i}") for i in range(3)])
+    rows = F.array(*[
+        F.struct(F.lit(p).alias("policy"), F.greatest(F.lit(window[0]), F.col(f"q{2 * i}")).alias("center_lo"),
+                 F.least(F.lit(window[1]), F.col(f"q{2 * i + 1}")).alias("center_hi"),
+                 F.greatest(F.lit(0.0), F.col(f"m{i}"), F.lit(GATE_FLOOR[p] * catalog_minimum)).alias("minimum"),
+                 F.lit("any" if p == "sensitive" else "all").alias("match"))
+        for i, p in enumerate(POLICIES)])
+    return c.join(m, keys).select(*keys, F.inline(rows))
+
+
+def gate_model(training: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Scaled diagonal two-class model per key, one row of parameters each.
+
+    ``training`` has a boolean ``positive``; missing values take the median.
+    """
+    keys = list(keys)
+    long = training.select(*keys, "positive", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])))
+    by = [*keys, "feature"]
+    mid = exact_quantiles(long, by, "x", [0.5]).select(*by, F.col("q0").alias("median"))
+    filled = durable(long.join(mid, by, "left").select(*by, "positive", F.coalesce("x", "median", F.lit(0.0)).alias("x"), F.coalesce("median", F.lit(0.0)).alias("median")))
+    ends = exact_quantiles(filled, by, "x", [0.25, 0.75])
+    spread = filled.groupBy(*by, "median").agg(F.stddev_pop("x").alias("_std")).join(ends, by)
+    iqr = F.col("q1") - F.col("q0")
+    scale = F.when(iqr > 1e-8, iqr).when(F.col("_std") > 1e-8, F.col("_std")).otherwise(1.0)
+    scaled = spread.select(*by, "median", scale.alias("scale"))
+    moments = filled.drop("median").join(scaled, by).groupBy(*by, "median", "scale").agg(*[
+        agg(F.when(test, (F.col("x") - F.col("median")) / F.col("scale"))).alias(name)
+        for agg, test, name in (
+            (F.avg, F.col("positive"), "mp"), (F.avg, ~F.col("positive"), "mn"),
+            (F.var_pop, F.col("positive"), "vp"), (F.var_pop, ~F.col("positive"), "vn"))])
+    floored = moments.withColumns({"vp": F.greatest("vp", F.lit(0.20)), "vn": F.greatest("vn", F.lit(0.20))})
+    return floored.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
+        "feature", F.struct("median", "scale", "mp", "mn", "vp", "vn")))).alias("model"))
+
+
+def gate_score(features: Sequence[str]) -> Column:
+    """Log-likelihood ratio of a row under ``model``."""
+    total = F.lit(0.0)
+    for f in features:
+        m = F.col("model")[f]
+        z = (F.coalesce(F.col(f).cast("double"), m["median"]) - m["median"]) / m["scale"]
+        total = total - 0.5 * (F.pow(z - m["mp"], 2) / m["vp"] + F.log(m["vp"]) - F.pow(z - m["mn"], 2) / m["vn"] - F.log(m["vn"]))
+    return total
+
+
+def _threshold_table(scores: DataFrame, keys: Sequence[str], steps: int) -> DataFrame:
+    """True and false positive rates at each distinct quantile of the scores.
+
+    Scores are counted between thresholds and summed from above, so no pixel
+    meets every threshold.
+    """
+    keys = list(keys)
+    fractions = [0.02 + 0.96 * i / (steps - 1) for i in range(steps)]
+    cuts = exact_quantile_array(scores, keys, "s", fractions).select(*keys, F.array_sort(F.array_distinct("qs")).alias("cuts"))
+    at = F.size(F.filter("cuts", lambda c: c <= F.col("s")))
+    bins = scores.join(cuts, keys).groupBy(*keys, at.alias("at")).agg(
+        F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("n"))
+    below = W.partitionBy(*keys).orderBy(F.desc("at"))
+    every = W.partitionBy(*keys)
+    rates = bins.select(
+        *keys, "at", (F.sum("p").over(below) / F.sum("p").over(every)).alias("recall"), (F.sum("n").over(below) / F.sum("n").over(every)).alias("fpr"),
+        F.sum("p").over(every).alias("np"), F.sum("n").over(every).alias("nn"))
+    # a cut without scores of its own repeats the rates of the next filled one
+    listed = cuts.select(*keys, F.posexplode("cuts").alias("i", "threshold")).withColumn("at", F.col("i") + 1)
+    filled = W.partitionBy(*keys).orderBy(F.desc("at")).rowsBetween(W.unboundedPreceding, 0)
+    both = listed.join(rates, [*keys, "at"], "full_outer")
+    return both.select(*keys, "threshold", *[F.last(c, True).over(filled).alias(c) for c in ("recall", "fpr", "np", "nn")]).where("threshold is not null").fillna(0.0, ["recall", "fpr"])
+
+
+def gate_threshold(scores: DataFrame, keys: Sequence[str], steps: int = 161) -> DataFrame:
+    """Score cut with the best F1, penalised below 0.55 recall."""
+    keys = list(keys)
+    table = _threshold_table(scores, keys, steps)
+    prevalence = F.col("np") / (F.col("np") + F.col("nn"))
+    hit = prevalence * F.col("recall")
+    precision = hit / F.greatest(hit + (1.0 - prevalence) * F.col("fpr"), F.lit(1e-12))
+    f1 = 2.0 * precision * F.col("recall") / F.greatest(precision + F.col("recall"), F.lit(1e-12))
+    utility = f1 - 0.15 * F.greatest(0.55 - F.col("recall"), F.lit(0.0))
+    best = table.groupBy(*keys).agg(F.max(F.struct(
+        utility.alias("u"), "recall", precision.alias("precision"), (-F.col("fpr")).alias("f"), (-F.col("threshold")).alias("t"))).alias("b"))
+    return best.select(*keys, (-F.col("b.t")).alias("threshold"), F.col("b.recall").alias("recall"), (-F.col("b.f")).alias("fpr"))
+
+
+def axis_threshold(rows: DataFrame, keys: Sequence[str], features: Sequence[str], minimum_recall: float = 0.40, steps: int = 97) -> DataFrame:
+    """Best single-feature cut in either direction, when the model finds too little."""
+    keys = list(keys)
+    long = rows.select(*keys, "positive", F.inline(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.lit(d).alias("direction"), (d * F.col(f).cast("double")).alias("s"))
+        for f in features for d in (-1, 1)]))).where("s is not null")
+    table = _threshold_table(long, [*keys, "feature", "direction"], steps).where(F.col("recall") >= minimum_recall)
+    best = table.groupBy(*keys).agg(F.max(F.struct(
+        (F.col("recall") - F.col("fpr")).alias("utility"), "recall", (-F.col("fpr")).alias("f"), "feature", "direction", "threshold")).alias("b"))
+    return best.select(*keys, "b.feature", "b.direction", (F.col("b.direction") * F.col("b.threshold")).alias("threshold"), "b.recall", "b.utility")
+
+
+EVIDENCE_RECALL = {"conservative": 0.55, "balanced": 0.82, "sensitive": 0.95}
+AREA_FACTOR = {"conservative": 0.85, "balanced": 1.75, "sensitive": 3.00}
+DOMAIN_SHARE = {"conservative": 0.04, "balanced": 0.25, "sensitive": 0.25}
+
+
+def evidence_gates(scored: DataFrame, keys: Sequence[str], base: DataFrame, identity: Sequence[str]) -> DataFrame:
+    """Pixels inside each policy's gate.
+
+    ``scored`` is (keys, identity, s, positive, split); ``base`` the F1 cut.
+    The cut follows the recall target, and an area cap keeps the strongest.
+    """
+    keys = list(keys)
+    train = scored.where("positive and split = 'training'")
+    recall = exact_quantiles(train, keys, "s", [1.0 - EVIDENCE_RECALL[p] for p in POLICIES])
+    sizes = scored.groupBy(*keys).agg(F.sum(F.col("positive").cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    merged = recall.drop("n").join(base.select(*keys, "threshold"), keys).join(sizes, keys)
+    rows = F.array(*[
+        F.struct(
+            F.lit(p).alias("policy"),
+            (F.greatest if p == "conservative" else F.least)(F.col("threshold"), F.col(f"q{i}")).alias("cut"),
+            F.greatest(F.lit(1), F.rint(AREA_FACTOR[p] * F.col("_p")), F.rint(DOMAIN_SHARE[p] * F.col("_n"))).cast("long").alias("cap"))
+        for i, p in enumerate(POLICIES)])
+    limits = merged.select(*keys, F.inline(rows))
+    inside = scored.join(limits, keys).where("s >= cut")
+    return strongest(inside, [*keys, "policy"], "s", list(identity), "cap").select(*keys, "policy", *identity, "s")
+
+
+def consensus_floor(catalog: Column, policy: Column, references: Column) -> Column:
+    """A policy asks for two agreeing references when strict, one otherwise, never
+    more than exist, and never more than the catalog says."""
+    needed = F.when(policy == "conservative", 2).otherwise(1)
+    count = F.greatest(references, F.lit(1))
+    return F.least(catalog, F.least(needed, count) / count)
+
+
+CONFIDENCE_Q = {"conservative": 0.60, "balanced": 0.25, "sensitive": 0.05}
+LABEL_Q = {"conservative": 0.35, "balanced": 0.15, "sensitive": 0.05}
+
+
+def adaptive_confidence(evidence: DataFrame, catalog: Mapping[str, float], label_minimum: int, safe_floor: bool = False) -> DataFrame:
+    """Confidence threshold per scene, policy and mineral.
+
+    ``evidence`` is (scene_id, policy, mineral, confidence, labelled); labelled
+    training pixels may lower a threshold, never below 0.20.
+    """
+    keys = ["scene_id", "policy", "mineral"]
+    fractions = [CONFIDENCE_Q[p] for p in POLICIES]
+    scene = exact_quantiles(evidence, keys, "confidence", fractions).drop("n")
+    label = exact_quantiles(evidence.where("labelled"), keys, "confidence", [LABEL_Q[p] for p in POLICIES]).select(
+        *keys, F.col("n").alias("_n"), *[F.col(f"q{i}").alias(f"l{i}") for i in range(3)])
+    joined = scene.join(label, keys, "left")
+
+    def pick(prefix: str) -> Column:
+        out = F.lit(None).cast("double")
+        for i, p in enumerate(POLICIES):
+            out = F.when(F.col("policy") == p, F.col(f"{prefix}{i}")).otherwise(out)
+        return out
+
+    floor = F.create_map(*[x for p in POLICIES for x in (F.lit(p), F.lit(float(catalog[p])))])[F.col("policy")]
+    own = (F.greatest if safe_floor else F.least)(floor, pick("q"))
+    learned = F.greatest(F.lit(0.20), F.least(own, pick("l")))
+    return joined.select(*keys, F.when(F.coalesce(F.col("_n") >= label_minimum, F.lit(False)), learned).otherwise(own).alias("threshold"))
+
+
+PROTECTION_Q = {"conservative": 0.50, "balanced": 0.65, "sensitive": 0.80}
+PROTECTION_FLOOR = {"conservative": 0.55, "balanced": 0.50, "sensitive": 0.55}
+
+
+def protection_thresholds(accepted: DataFrame, ceiling: float = 0.72) -> DataFrame:
+    """Strong-evidence level per scene, policy and class from low-risk columns.
+
+    ``accepted`` is (scene_id, policy, class_id, confidence, risk).
+    """
+    keys = ["scene_id", "policy", "class_id"]
+    damped = accepted.where("risk < 0.5").withColumn("_c", F.col("confidence") * (1.0 - 0.35 * F.col("risk")))
+    q = exact_quantiles(damped, keys, "_c", [PROTECTION_Q[p] for p in POLICIES])
+    out = F.lit(None).cast("double")
+    for i, p in enumerate(POLICIES):
+        out = F.when(F.col("policy") == p, F.greatest(F.lit(PROTECTION_FLOOR[p]), F.least(F.lit(ceiling), F.col(f"q{i}")))).otherwise(out)
+    return q.select(*keys, out.alias("protection"))
+
+
+def saturation(pixels: DataFrame, keys: Sequence[str], level: str, fraction: float = 0.999) -> DataFrame:
+    """Flag pixels at or above the scene's top reflectance quantile."""
+    top = exact_quantiles(pixels, keys, level, [fraction]).select(*keys, F.col("q0").alias("_top"))
+    return pixels.join(top, list(keys)).withColumn("saturated", F.col(level) >= F.col("_top")).drop("_top")

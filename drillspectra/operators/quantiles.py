@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.arrays import literal_doubles
 
-def exact_quantiles(
+
+def exact_quantile_array(
     df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024
 ) -> DataFrame:
-    """``keys, n, q0, q1, ...`` for the given fractions.
+    """``keys, n, qs``: one interpolated quantile per fraction, in order.
 
     Equal values are counted together first.  A per-key histogram then tells
     which bin holds each wanted rank, and only those bins are ordered; an
@@ -30,39 +32,40 @@ def exact_quantiles(
     )
     width = (F.col("_hi") - F.col("_lo")) / bins
     place = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1)))
-    placed = (counts.join(ends, keys) if keys else counts.crossJoin(F.broadcast(ends))).withColumn(
-        "_bin", F.coalesce(place, F.lit(0))
-    )
+    placed = counts.join(ends, keys).withColumn("_bin", F.coalesce(place, F.lit(0)))
     before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    ranks = []
-    for i, fraction in enumerate(fractions):
-        position = (F.col("n") - 1) * F.lit(float(fraction))
-        ranks += [F.floor(position).alias(f"_l{i}"), F.ceil(position).alias(f"_h{i}")]
-    histogram = (
+    steps = literal_doubles(fractions)
+    ranks = F.array_distinct(F.flatten(F.transform(
+        steps, lambda f: F.array(F.floor((F.col("n") - 1) * f), F.ceil((F.col("n") - 1) * f)))))
+
+    def inside(start: str, length: str):
+        return lambda r: (r >= F.col(start)) & (r < F.col(start) + F.col(length))
+
+    chosen = (
         placed.groupBy(*keys, "_bin", "n").agg(F.sum("_c").alias("_m"))
         .withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-        .select("*", *ranks)
+        .withColumn("_ranks", F.filter(ranks, inside("_before", "_m")))
+        .where(F.size("_ranks") > 0).select(*keys, "_bin", "_before", "_ranks")
     )
-
-    def within(rank: str, start: str, length: str):
-        return (F.col(rank) >= F.col(start)) & (F.col(rank) < F.col(start) + F.col(length))
-
-    names = [f"_{side}{i}" for i in range(len(fractions)) for side in "lh"]
-    wanted = F.lit(False)
-    for name in names:
-        wanted = wanted | within(name, "_before", "_m")
-    chosen = histogram.where(wanted).drop("_m", "n")
-    inside = W.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(W.unboundedPreceding, -1)
+    upto = W.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(W.unboundedPreceding, -1)
     ordered = placed.join(chosen, [*keys, "_bin"]).withColumn(
-        "_start", F.col("_before") + F.coalesce(F.sum("_c").over(inside), F.lit(0))
+        "_start", F.col("_before") + F.coalesce(F.sum("_c").over(upto), F.lit(0))
     )
-    picks = [F.max(F.when(within(n, "_start", "_c"), F.col("_x"))).alias(n) for n in names]
-    result = ordered.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
-    out = []
-    for i, fraction in enumerate(fractions):
-        position = (F.col("n") - 1) * F.lit(float(fraction))
-        out.append(
-            (F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (position - F.floor(position)))
-            .alias(f"q{i}")
-        )
-    return result.select(*keys, "n", *out)
+    hits = ordered.select(*keys, "n", "_x", F.explode(F.filter("_ranks", inside("_start", "_c"))).alias("_rank"))
+    known = hits.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
+
+    def interpolate(f):
+        position = (F.col("n") - 1) * f
+        low = F.col("_at")[F.floor(position)]
+        return low + (F.col("_at")[F.ceil(position)] - low) * (position - F.floor(position))
+
+    return known.select(*keys, "n", F.transform(steps, interpolate).alias("qs"))
+
+
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024
+) -> DataFrame:
+    """``keys, n, q0, q1, ...`` for the given fractions."""
+    arrays = exact_quantile_array(df, keys, value, fractions, bins)
+    return arrays.select(*keys, "n", *[F.col("qs")[i].alias(f"q{i}") for i in range(len(fractions))])

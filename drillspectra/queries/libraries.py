@@ -143,7 +143,8 @@ def curated(v):
 
 CURATE_SQL = f"""{PARSE_SQL}, ce AS (SELECT pa.*, (CASE WHEN measurement_id % 97 = 0 THEN TRUE ELSE measurement_id % 31 = 0 OR
       (size > 3)::INT + (size % 7 > 0)::INT + (measurement_id % 31 <> 0)::INT + (measurement_id % 13 > 0)::INT < 2 END) AS invalid FROM pa),
-    cu AS (SELECT measurement_id, source_id, phase_id, role, CASE WHEN role <> 'mineral_reference' OR purity IN ('mixture', 'not_mineral_reference') OR invalid THEN 'excluded'
+    cl AS (SELECT curve_text, price FROM pa GROUP BY ALL HAVING count(DISTINCT coalesce(phase_id, '')) > 1),
+    cu AS (SELECT measurement_id, source_id, phase_id, role, CASE WHEN (curve_text, price) IN (SELECT (curve_text, price) FROM cl) OR role <> 'mineral_reference' OR purity IN ('mixture', 'not_mineral_reference') OR invalid THEN 'excluded'
       WHEN catalogued AND purity = 'declared_pure' THEN 'eligible' ELSE 'review' END AS qc_status FROM ce)"""
 
 
