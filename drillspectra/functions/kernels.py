@@ -161,13 +161,10 @@ def _feature_matrix(values: np.ndarray, axis: np.ndarray, definitions: Sequence[
     return np.column_stack(columns) if columns else np.empty((len(values), 0))
 
 
-def evidence_to(
-    references: Sequence[Sequence[float]],
-    axis: Sequence[float],
-    definitions: Sequence[dict],
-    weights: dict,
+def evidence_function(
+    references: Sequence[Sequence[float]], axis: Sequence[float], definitions: Sequence[dict], weights: dict
 ):
-    """Total evidence distance of an absorption curve to every reference curve."""
+    """Matrix function: absorption curves to total distances from every reference."""
     grid = np.asarray(axis, dtype=float)
     library = np.asarray(references, dtype=float)
     slopes = taps_matrix(len(grid), S.gradient_taps(list(grid)))
@@ -176,39 +173,94 @@ def evidence_to(
     library_features = _feature_matrix(library, grid, definitions)
     energy = np.sum(library * library, axis=1)
 
-    @arrow_udf(DOUBLES)
-    def kernel(curves: pa.Array) -> pa.Array:
-        pixels = _matrix(curves)
-        if not len(pixels):
-            return _lists(np.empty((0, len(library))))
+    def feature_distance(pixels: np.ndarray) -> np.ndarray:
+        own = _feature_matrix(pixels, grid, definitions)
+        squares = np.zeros((len(pixels), len(library)))
+        shared = np.zeros_like(squares)
+        for f in range(own.shape[1]):
+            gap = own[:, [f]] - library_features[None, :, f]
+            seen = np.isfinite(gap)
+            squares += np.where(seen, gap * gap, 0.0)
+            shared += seen
+        if not own.shape[1]:
+            return squares
+        return np.sqrt(np.divide(squares, shared, out=np.full_like(squares, np.nan), where=shared > 0))
+
+    def fit_distance(pixels: np.ndarray) -> np.ndarray:
+        cross = pixels @ library.T
+        scale = np.divide(cross, energy, out=np.zeros_like(cross), where=energy > 0)
+        rest = np.sum(pixels * pixels, axis=1)[:, None] - 2 * scale * cross + scale * scale * energy
+        rms = np.sqrt(np.maximum(rest, 0.0) / pixels.shape[1])
+        return np.clip(rms / np.maximum(np.mean(np.abs(pixels), axis=1)[:, None], 1e-8), 0.0, np.pi)
+
+    def totals(pixels: np.ndarray) -> np.ndarray:
         parts = [
             (merged["shape"], np.arccos(np.clip(_units(pixels) @ shape_dirs, -1, 1))),
             (merged["derivative"], np.arccos(np.clip(_units(pixels @ slopes) @ slope_dirs, -1, 1))),
         ]
         if merged["features"] > 0:
-            own = _feature_matrix(pixels, grid, definitions)
-            squares = np.zeros((len(pixels), len(library)))
-            shared = np.zeros_like(squares)
-            for f in range(own.shape[1]):
-                gap = own[:, [f]] - library_features[None, :, f]
-                seen = np.isfinite(gap)
-                squares += np.where(seen, gap * gap, 0.0)
-                shared += seen
-            distance = np.sqrt(np.divide(squares, shared, out=np.full_like(squares, np.nan), where=shared > 0))
-            parts.append((merged["features"], distance if own.shape[1] else np.zeros_like(squares)))
+            parts.append((merged["features"], feature_distance(pixels)))
         if merged["fit"] > 0:
-            cross = pixels @ library.T
-            scale = np.divide(cross, energy, out=np.zeros_like(cross), where=energy > 0)
-            rest = np.sum(pixels * pixels, axis=1)[:, None] - 2 * scale * cross + scale * scale * energy
-            rms = np.sqrt(np.maximum(rest, 0.0) / pixels.shape[1])
-            level = np.maximum(np.mean(np.abs(pixels), axis=1)[:, None], 1e-8)
-            parts.append((merged["fit"], np.clip(rms / level, 0.0, np.pi)))
+            parts.append((merged["fit"], fit_distance(pixels)))
         weighted = np.zeros((len(pixels), len(library)))
         available = np.zeros_like(weighted)
         for weight, value in parts:
             seen = np.isfinite(value) & (weight > 0)
             weighted += np.where(seen, value * weight, 0.0)
             available += np.where(seen, weight, 0.0)
-        return _lists(np.divide(weighted, available, out=np.full_like(weighted, np.nan), where=available > 0))
+        return np.divide(weighted, available, out=np.full_like(weighted, np.nan), where=available > 0)
+
+    return totals
+
+
+def evidence_to(
+    references: Sequence[Sequence[float]], axis: Sequence[float], definitions: Sequence[dict], weights: dict
+):
+    """Total evidence distance of an absorption curve to every reference curve."""
+    totals = evidence_function(references, axis, definitions, weights)
+    width = len(references)
+
+    @arrow_udf(DOUBLES)
+    def kernel(curves: pa.Array) -> pa.Array:
+        pixels = _matrix(curves)
+        return _lists(totals(pixels) if len(pixels) else np.empty((0, width)))
+
+    return kernel
+
+
+EVIDENCE = T.StructType([T.StructField("depth", T.DoubleType()), T.StructField("distances", DOUBLES)])
+
+
+def grouped_evidence(groups: dict[int, dict], axis: Sequence[float]):
+    """``(group, spectrum) -> depth and distances`` with one plan per group.
+
+    Rows of a batch are dealt to their group's references, so a pixel is only
+    compared with the library it competes in.  Distances are padded with NULL
+    to the largest group.
+    """
+    grid = np.asarray(axis, dtype=float)
+    width = max(len(g["references"]) for g in groups.values())
+    plans = {}
+    for number, g in groups.items():
+        at = list(g["positions"])
+        curves = np.maximum(1.0 - _segmented(np.asarray(g["references"], dtype=float)[:, at], grid[at]), 0.0)
+        plans[number] = (at, evidence_function(curves, grid[at], g["features"], g["weights"]))
+
+    @arrow_udf(EVIDENCE)
+    def kernel(numbers: pa.Array, spectra: pa.Array) -> pa.Array:
+        values = _matrix(spectra)
+        chosen = numbers.to_numpy(zero_copy_only=False)
+        depth = np.full(len(values), np.nan)
+        distances = np.full((len(values), width), np.nan)
+        for number, (at, totals) in plans.items():
+            rows = np.flatnonzero(chosen == number)
+            if not len(rows):
+                continue
+            curves = np.maximum(1.0 - _segmented(values[rows][:, at], grid[at]), 0.0)
+            depth[rows] = curves.max(axis=1)
+            found = totals(curves)
+            distances[rows, : found.shape[1]] = found
+        return pa.StructArray.from_arrays(
+            [pa.array(depth, mask=~np.isfinite(depth)), _lists(distances)], names=["depth", "distances"])
 
     return kernel

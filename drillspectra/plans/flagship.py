@@ -1,4 +1,149 @@
-"""Placeholder until the flagship lands."""
+"""Scenes to class maps: the whole mapping run as one dataflow.
 
-def run_flagship(spark, folder):
-    raise NotImplementedError
+The pixels are read twice, once for the thresholds and once for the candidates
+that pass them; spectra never cross an exchange.  What is shuffled are scores,
+labels and per-column statistics.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import kernels as K, scoring, spectral as S
+from ..operators import artifacts, calibrate, columns, grid, maps, sampling
+from ..operators.quantiles import exact_quantiles
+from ..session import collect_bounded, durable
+from .views import AXIS, Views
+
+CELL = ["scene_id", "line", "sample"]
+LIBRARY_BOUND = 20_000
+
+# settings of every group in the demonstration domain
+POLICIES = {
+    "conservative": {"column_percentile": 0.20, "absolute_sam_threshold_rad": 0.18, "minimum_absorption_depth": 0.02, "minimum_margin": 0.0, "confidence_threshold": 0.45, "minimum_reference_consensus": 0.50},
+    "balanced": {"column_percentile": 0.40, "absolute_sam_threshold_rad": 0.20, "minimum_absorption_depth": 0.012, "minimum_margin": 0.0, "confidence_threshold": 0.30, "minimum_reference_consensus": 0.34},
+    "sensitive": {"column_percentile": 0.60, "absolute_sam_threshold_rad": 0.22, "minimum_absorption_depth": 0.008, "minimum_margin": 0.0, "confidence_threshold": 0.15, "minimum_reference_consensus": 0.20},
+}
+GROUP = {
+    "detection": [(1350.0, 1800.0), (1850.0, 2260.0)],
+    "classification": [(1350.0, 2260.0)],
+    "features": [
+        {"id": "water_ratio", "type": "depth_ratio", "window_nm": (1410.0, 1490.0)},
+        {"id": "aloh_center_nm", "type": "center_nm", "window_nm": (2140.0, 2250.0)},
+    ],
+    "weights": {"shape": 0.55, "derivative": 0.15, "features": 0.30},
+}
+
+
+def detection_scores(pixels: DataFrame, groups: dict[int, dict], bands: int, carry_spectrum: bool) -> DataFrame:
+    """One row per pixel and group with its smallest angle; one Python pass."""
+    smooth = K.smooth(bands)
+    scored = pixels.select(*CELL, smooth(F.col("spectrum")).alias("smooth"))
+    rows = F.array(*[
+        F.struct(
+            F.lit(number).alias("group_no"),
+            F.array_min(K.angles_to(g["references"], g["detect"])(F.col("smooth"))).alias("score"),
+        ) for number, g in groups.items()])
+    kept = ["smooth"] if carry_spectrum else []
+    return scored.select(*CELL, *kept, F.inline(rows))
+
+
+def candidate_limits(scores: DataFrame, frames: DataFrame) -> DataFrame:
+    """Column, scene and absolute limits of every policy per (scene, group, column)."""
+    names = list(POLICIES)
+    keys = ["scene_id", "group_no"]
+    limits = columns.column_thresholds(
+        scores, frames, [POLICIES[p]["column_percentile"] for p in names], keys=keys, minimum=5).select(
+        *keys, "sample", *[f"t{i}" for i in range(len(names))])
+    scene = exact_quantiles(scores, keys, "score", [max(calibrate.scene_fraction(POLICIES[p]), POLICIES[p]["column_percentile"]) for p in names])
+    joined = limits.join(scene.drop("n"), keys)
+    return joined.select(*keys, "sample", F.array(*[
+        F.least(f"t{i}", f"q{i}", F.lit(POLICIES[p]["absolute_sam_threshold_rad"])) for i, p in enumerate(names)]).alias("limits"))
+
+
+def map_scenes(pixels: DataFrame, library: list, frames: DataFrame, axis: list[float]) -> DataFrame:
+    """Final class maps: (scene, line, sample, group_no, policy, mineral, confidence).
+
+    ``library`` holds rows with mineral, group_no and spectrum.
+    """
+    names = list(POLICIES)
+    groups = {}
+    for number in sorted({r["group_no"] for r in library}):
+        own = [r for r in library if r["group_no"] == number]
+        groups[number] = {
+            "references": [r["spectrum"] for r in own], "minerals": [r["mineral"] for r in own],
+            "detect": S.window_positions(axis, GROUP["detection"], minimum=3),
+            "positions": S.window_positions(axis, GROUP["classification"], minimum=3),
+            "features": GROUP["features"], "weights": GROUP["weights"],
+        }
+    limits = durable(candidate_limits(detection_scores(pixels, groups, len(axis), False), frames))
+    found = detection_scores(pixels, groups, len(axis), True).join(limits, ["scene_id", "group_no", "sample"])
+    passed = F.array_compact(F.array(*[F.when(F.col("score") <= F.col("limits")[i], p) for i, p in enumerate(names)]))
+    candidates = found.withColumn("policies", passed).where(F.size("policies") > 0)
+    evidence = candidates.withColumn("e", K.grouped_evidence(groups, axis)(F.col("group_no"), F.col("smooth")))
+
+    per_group = F.lit(None)
+    for number, g in groups.items():
+        order = sorted(set(g["minerals"]))
+        per_group = F.when(F.col("group_no") == number, scoring.mineral_scores(F.col("e.distances"), g["minerals"], order, 2)).otherwise(per_group)
+    counts = F.create_map(*[x for n, g in groups.items() for x in (F.lit(n), F.lit(len(set(g["minerals"]))))])
+    judged = evidence.withColumn("m", per_group).withColumn("c", scoring.competition(F.col("m")["score"]))
+    table = durable(judged.select(
+        *CELL, "group_no", "score", "policies", F.col("e.depth").alias("depth"), F.col("c.label").alias("label"),
+        F.col("c.best").alias("best"), F.col("c.margin").alias("margin"), counts[F.col("group_no")].alias("minerals"),
+        scoring.gather_winner(F.col("m")["consensus"], F.col("c.label")).alias("consensus"),
+        scoring.gather_winner(F.col("m")["mineral"], F.col("c.label")).alias("mineral"),
+    ))
+    accepted = durable(accept(table, pixels.select(*CELL), frames))
+    kept = artifacts.terminal_filter(
+        accepted.select("scene_id", "policy", "line", "sample", (F.col("group_no") * 1000 + F.col("mineral")).alias("class_id")),
+        pixels.select(*CELL), frames).where("removed_in is null")
+    named = kept.select(*CELL, "policy", F.floor(F.col("class_id") / 1000).cast("int").alias("group_no"),
+                        (F.col("class_id") % 1000).cast("int").alias("class_id"))
+    confidence = accepted.where("policy = 'sensitive'").select(*CELL, "group_no", "confidence")
+    final = maps.arbitrate(named, confidence, CELL)
+    return final.join(confidence, [*CELL, "group_no"]).select(
+        *CELL, "group_no", "policy", F.col("class_id").alias("mineral"), "confidence")
+
+
+def accept(table: DataFrame, valid: DataFrame, frames: DataFrame) -> DataFrame:
+    """Confidence of every candidate, then the gates of each policy, nested."""
+    keys = ["scene_id", "group_no"]
+    raw = exact_quantiles(table, keys, "best", [0.10, 0.90]).select(*keys, F.col("q0").alias("p10"), F.col("q1").alias("p90"))
+    finite = table.where("margin < double('infinity')")
+    gaps = exact_quantiles(finite, keys, "margin", [0.75]).select(*keys, F.col("q0").alias("p75"))
+    plan = sampling.depth_blocks(valid, frames, desired=8, height=16, minimum=1).select("scene_id", "start", "stop")
+    hits = table.where(F.array_contains("policies", "balanced")).select(*CELL).distinct()
+    risk = columns.fixed_column_risk(hits, valid, plan, frames)
+    edges = grid.edge_risk(valid, ["scene_id"]).select(*CELL, "edge_risk")
+    joined = table.join(raw, keys).join(gaps, keys, "left").join(risk, ["scene_id", "sample"], "left").join(edges, CELL, "left")
+    c = F.col
+    both = scoring.confidence(
+        angle=c("score"), angle_limit=F.lit(POLICIES["sensitive"]["absolute_sam_threshold_rad"]), best_raw=c("best"), p10=c("p10"), p90=c("p90"),
+        margin=c("margin"), margin_p75=F.coalesce("p75", F.lit(0.0)), minerals=c("minerals"), consensus_share=c("consensus"), depth=c("depth"),
+        depth_floor=F.lit(POLICIES["sensitive"]["minimum_absorption_depth"]), agrees=F.lit(True), classified=c("label") > 0,
+        column_risk=F.coalesce("risk", F.lit(0.0)), edge_risk=F.coalesce("edge_risk", F.lit(0.0)), saturated=F.lit(False))
+    scored = joined.withColumn("e", both).select(*table.columns, "e.confidence")
+    rules = F.filter(F.array(*[
+        F.struct(F.lit(p).alias("policy"), *[F.lit(float(rule[k])).alias(k) for k in (
+            "minimum_absorption_depth", "minimum_margin", "confidence_threshold", "minimum_reference_consensus")])
+        for p, rule in POLICIES.items()]), lambda r: F.array_contains("policies", r["policy"]))
+    rows = scored.select("*", F.inline(rules))
+    ok = rows.where(
+        scoring.margin_pass(c("margin"), c("minimum_margin"), c("minerals"), c("label") > 0)
+        & (c("depth") >= c("minimum_absorption_depth")) & (c("confidence") >= c("confidence_threshold"))
+        & (c("consensus") >= calibrate.consensus_floor(c("minimum_reference_consensus"), c("policy"), F.lit(3))))
+    # a pixel a stricter policy takes also belongs to the weaker ones
+    ranks = F.create_map(F.lit("conservative"), F.lit(0), F.lit("balanced"), F.lit(1), F.lit("sensitive"), F.lit(2))
+    strictest = ok.groupBy(*CELL, "group_no", "mineral", "confidence").agg(F.min(ranks[c("policy")]).alias("r"))
+    names = F.array(*[F.lit(p) for p in POLICIES])
+    return strictest.select(*CELL, "group_no", "mineral", "confidence", F.explode(F.slice(names, c("r") + 1, 3)).alias("policy"))
+
+
+def run_flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Pixels per scene, group, policy and mineral."""
+    views = Views(spark, folder)
+    library = sorted(collect_bounded(views.refs, LIBRARY_BOUND, "the reference library"), key=lambda r: (r["mineral"], r["ref_id"]))
+    final = map_scenes(views.pixels, library, views.pixel_frames, AXIS)
+    return final.groupBy("scene_id", "group_no", "policy", "mineral").agg(
+        F.count(F.lit(1)).alias("pixels"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))

@@ -1,3 +1,3 @@
 """Every query the package answers, by operator family."""
 
-from . import artifact_control, calibration, decisions, libraries, planes, spectra  # noqa: F401
+from . import artifact_control, calibration, decisions, inputs, libraries, planes, runs, spectra  # noqa: F401

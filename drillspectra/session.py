@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,9 @@ def collect_bounded(df: DataFrame, maximum_rows: int, what: str) -> list:
     if len(rows) > maximum_rows:
         raise ValueError(f"{what} holds more than {maximum_rows} rows; process it in parts")
     return rows
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder next to the checkpoints, so every executor reaches it."""
+    _checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
