@@ -28,19 +28,15 @@ def policy_candidates(
     """
     names = list(policies)
     limits = columns.column_thresholds(
-        scores, frames, [float(policies[p]["column_percentile"]) for p in names], minimum=minimum
-    ).select("scene_id", "sample", *[f"t{i}" for i in range(len(names))])
-    scene = exact_quantiles(scores, ["scene_id"], "score", [scene_fraction(policies[p]) for p in names])
-    limits = limits.join(
-        scene.select("scene_id", *[F.col(f"q{i}").alias(f"s{i}") for i in range(len(names))]), "scene_id"
-    )
+        scores, frames, [float(policies[p]["column_percentile"]) for p in names], minimum=minimum,
+        scene_fractions=[scene_fraction(policies[p]) for p in names])
     passed = F.array_compact(F.array(*[
         F.when(
             candidate(F.col("score"), F.col(f"t{i}"), F.col(f"s{i}"),
                       F.lit(float(policies[p].get("absolute_sam_threshold_rad", float("inf"))))), p)
         for i, p in enumerate(names)
     ]))
-    return scores.join(limits, ["scene_id", "sample"]).withColumn("policy", F.explode(passed)).select(
+    return scores.join(limits.drop("n"), ["scene_id", "sample"]).withColumn("policy", F.explode(passed)).select(
         *scores.columns, "policy"
     )
 

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrays as A
-from .quantiles import exact_quantiles
+from ..session import durable
+from .quantiles import count_values, exact_quantiles
 
 
 def dense(df: DataFrame, keys: Sequence[str], values: Sequence[str], frames: DataFrame) -> DataFrame:
@@ -107,18 +108,26 @@ def fill_linear(profile: Column) -> Column:
 def column_thresholds(
     scores: DataFrame, frames: DataFrame, fractions: Sequence[float], keys: Sequence[str] = ("scene_id",),
     minimum: int = 20, radius: int = 2, fallback: str = "interpolate", value: str = "score",
+    scene_fractions: Sequence[float] | None = None,
 ) -> DataFrame:
     """Smoothed percentile threshold of every detector column.
 
     Returns ``keys, sample, n, t0, t1, ...`` plus the scene-wide ``s0, s1, ...``.
     Columns with fewer than ``minimum`` scores take the neighbours'
-    interpolation (or the scene value), and a column median follows.
+    interpolation (or the scene value), and a column median follows.  With
+    ``scene_fractions`` the scene-wide values are taken there instead.
+
+    The scores are read once: their value counts per column are stored, and
+    both the column and the scene quantiles come from those.
     """
     keys = list(keys)
     qs = [f"q{i}" for i in range(len(fractions))]
-    own = exact_quantiles(scores, [*keys, "sample"], value, fractions)
-    scene = exact_quantiles(scores, keys, value, fractions).select(
-        *keys, *[F.col(q).alias(q.replace("q", "s")) for q in qs]
+    counted = durable(count_values(scores, [*keys, "sample"], value))
+    own = exact_quantiles(counted, [*keys, "sample"], "_x", fractions, weight="_c")
+    wanted = [*fractions, *(scene_fractions or fractions)]
+    scene = exact_quantiles(counted, keys, "_x", wanted, weight="_c").select(
+        *keys, *[F.col(q).alias(q.replace("q", "f")) for q in qs],
+        *[F.col(f"q{len(fractions) + i}").alias(f"s{i}") for i in range(len(wanted) - len(fractions))],
     )
     trusted = own.select(
         *keys, "sample", "n", *[F.when(F.col("n") >= minimum, F.col(q)).alias(q) for q in qs]
@@ -126,21 +135,22 @@ def column_thresholds(
     packed = dense(trusted, keys, ["n", *qs], frames).join(scene, keys)
 
     def resolve(q: str) -> Column:
-        whole = F.transform(F.col(q), lambda x: F.col(q.replace("q", "s")))
+        whole = F.transform(F.col(q), lambda x: F.col(q.replace("q", "f")))
         none = ~F.exists(F.col(q), lambda x: x.isNotNull())
         if fallback == "interpolate":
             filled = fill_linear(F.col(q))
         else:
-            filled = F.transform(F.col(q), lambda x: F.coalesce(x, F.col(q.replace("q", "s"))))
+            filled = F.transform(F.col(q), lambda x: F.coalesce(x, F.col(q.replace("q", "f"))))
         smoothed = edge_median(filled, radius) if radius else filled
         return F.when(none, whole).otherwise(smoothed)
 
+    ss = [f"s{i}" for i in range(len(wanted) - len(fractions))]
     resolved = packed.select(
-        *keys, *[q.replace("q", "s") for q in qs],
+        *keys, *ss,
         F.transform("n", lambda x: F.coalesce(x, F.lit(0))).alias("n"),
         *[resolve(q).alias(q.replace("q", "t")) for q in qs],
     )
-    ts, ss = [q.replace("q", "t") for q in qs], [q.replace("q", "s") for q in qs]
+    ts = [q.replace("q", "t") for q in qs]
     return column_rows(resolved, [*keys, *ss], ["n", *ts])
 
 

@@ -9,8 +9,16 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.arrays import literal_doubles
 
 
+def count_values(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """``keys, _x, _c``: how often each present value occurs."""
+    x = F.col(value).cast("double")
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_x")).agg(n.alias("_c"))
+
+
 def exact_quantile_array(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024,
+    weight: str | None = None,
 ) -> DataFrame:
     """``keys, n, qs``: one interpolated quantile per fraction, in order.
 
@@ -18,15 +26,10 @@ def exact_quantile_array(
     which bin holds each wanted rank, and only those bins are ordered; an
     ordered bin spills rather than being collected.  A hot key is therefore
     spread over (key, value) in the first exchange and over (key, bin) in the
-    last one.
+    last one.  ``weight`` names a count column of an already counted input.
     """
     keys = list(keys)
-    x = F.col(value).cast("double")
-    counts = (
-        df.where(x.isNotNull() & ~F.isnan(x))
-        .groupBy(*keys, x.alias("_x"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
+    counts = count_values(df, keys, value, weight)
     ends = counts.groupBy(*keys).agg(
         F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_c").alias("n")
     )
@@ -64,8 +67,9 @@ def exact_quantile_array(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024,
+    weight: str | None = None,
 ) -> DataFrame:
     """``keys, n, q0, q1, ...`` for the given fractions."""
-    arrays = exact_quantile_array(df, keys, value, fractions, bins)
+    arrays = exact_quantile_array(df, keys, value, fractions, bins, weight)
     return arrays.select(*keys, "n", *[F.col("qs")[i].alias(f"q{i}") for i in range(len(fractions))])

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import kernels as K, scoring, spectral as S
 from ..operators import artifacts, calibrate, columns, grid, maps, sampling
 from ..operators.quantiles import exact_quantiles
-from ..session import collect_bounded, durable
+from ..session import collect_bounded, durable, ship_package
 from .views import AXIS, Views
 
 CELL = ["scene_id", "line", "sample"]
@@ -52,13 +52,12 @@ def candidate_limits(scores: DataFrame, frames: DataFrame) -> DataFrame:
     """Column, scene and absolute limits of every policy per (scene, group, column)."""
     names = list(POLICIES)
     keys = ["scene_id", "group_no"]
+    fractions = [POLICIES[p]["column_percentile"] for p in names]
     limits = columns.column_thresholds(
-        scores, frames, [POLICIES[p]["column_percentile"] for p in names], keys=keys, minimum=5).select(
-        *keys, "sample", *[f"t{i}" for i in range(len(names))])
-    scene = exact_quantiles(scores, keys, "score", [max(calibrate.scene_fraction(POLICIES[p]), POLICIES[p]["column_percentile"]) for p in names])
-    joined = limits.join(scene.drop("n"), keys)
-    return joined.select(*keys, "sample", F.array(*[
-        F.least(f"t{i}", f"q{i}", F.lit(POLICIES[p]["absolute_sam_threshold_rad"])) for i, p in enumerate(names)]).alias("limits"))
+        scores, frames, fractions, keys=keys, minimum=5,
+        scene_fractions=[max(calibrate.scene_fraction(POLICIES[p]), f) for p, f in zip(names, fractions)])
+    return limits.select(*keys, "sample", F.array(*[
+        F.least(f"t{i}", f"s{i}", F.lit(POLICIES[p]["absolute_sam_threshold_rad"])) for i, p in enumerate(names)]).alias("limits"))
 
 
 def map_scenes(pixels: DataFrame, library: list, frames: DataFrame, axis: list[float]) -> DataFrame:
@@ -142,6 +141,7 @@ def accept(table: DataFrame, valid: DataFrame, frames: DataFrame) -> DataFrame:
 
 def run_flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Pixels per scene, group, policy and mineral."""
+    ship_package(spark)
     views = Views(spark, folder)
     library = sorted(collect_bounded(views.refs, LIBRARY_BOUND, "the reference library"), key=lambda r: (r["mineral"], r["ref_id"]))
     final = map_scenes(views.pixels, library, views.pixel_frames, AXIS)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from .views import Views, with_views
 
 _ENTRIES: dict[str, tuple[Callable[[Views], DataFrame], str | None]] = {}
@@ -25,7 +26,11 @@ def query(name: str, sql: str | None = None):
 
 def runnable() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
-        return lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Views(spark, sf_dir))
+
+        return run
 
     return {name: bind(fn) for name, (fn, _) in _ENTRIES.items()}
 

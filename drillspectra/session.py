@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,20 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in every Python worker, once per application."""
+    context = spark.sparkContext
+    archive = f"drillspectra-{context.applicationId}.zip"
+    if any(name.endswith(archive) for name in context.listFiles):
+        return
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="spark-"))
+    with zipfile.ZipFile(folder / archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(folder / archive))
+
+
 def _checkpoint_folder(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
@@ -40,9 +56,14 @@ def _checkpoint_folder(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a table in the shared folder and cut its lineage.
+
+    A written table keeps its real size for the planner and is read column by
+    column; losing an executor costs a re-read and no recomputation.
+    """
+    folder = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def collect_bounded(df: DataFrame, maximum_rows: int, what: str) -> list:
