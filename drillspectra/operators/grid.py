@@ -172,6 +172,24 @@ def islands(df: DataFrame, keys: Sequence[str], at: str, gap: int, upto: str | N
     ).drop("_new")
 
 
+def merge_spans(
+    df: DataFrame, keys: Sequence[str], start: str, stop: str, gap: int = 0, tile: int = 4096
+) -> DataFrame:
+    """Touching spans as one: ``keys, start, stop, parts``.
+
+    Spans are folded inside tiles of their start first, so a busy key is
+    ordered tile by tile and only the folded spans meet.
+    """
+    keys = list(keys)
+    tiled = df.withColumn("_tile", F.floor(F.col(start) / tile))
+    inner = islands(tiled, [*keys, "_tile"], start, gap, stop).groupBy(*keys, "_tile", "island").agg(
+        F.min(start).alias("start"), F.max(stop).alias("stop"), F.count(F.lit(1)).alias("parts")
+    ).drop("_tile", "island")
+    return islands(inner, keys, "start", gap, "stop").groupBy(*keys, "island").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("parts").alias("parts")
+    ).drop("island")
+
+
 def depth_segments(
     valid: DataFrame, keys: Sequence[str] = ("scene_id",), row_pixels: int = 4, gap: int = 12, height: int = 16
 ) -> DataFrame:

@@ -95,7 +95,7 @@ def m8(v):
     scored = scored_pixels(v)
     minerals = 10
     rows = scored.select("vec_id", "label", F.transform("minerals", lambda m: m["score"]).alias("scores")).where(F.size("scores") == minerals)
-    sample = sampling.evenly_spaced(rows, ["label"], [F.col("vec_id")], 5000)
+    sample = sampling.evenly_spaced(rows.withColumn("block", F.floor(F.col("vec_id") / 1000)), ["label"], [F.col("vec_id")], 5000, "block")
     offsets = M.score_offsets(sample.select("scores", "label"), minerals)
     shift = F.array(*[F.lit(x) for x in offsets])
     adjusted = F.zip_with("scores", shift, lambda s, o: s - o)

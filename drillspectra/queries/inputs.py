@@ -49,12 +49,15 @@ def s2(v):
 
 
 @query("s3_spectral_library_scan", """
-    SELECT label AS source_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS source_index,
-      CASE WHEN label % 2 = 0 THEN 'vec' || vec_id ELSE 'Spectrum ' || row_number() OVER (PARTITION BY label ORDER BY vec_id) END AS raw_name, round(list_sum(spectrum), 6) AS total FROM pixels""")
+    SELECT label * 1000000 + vec_id // 100 AS source_id, CAST(row_number() OVER p - 1 AS INTEGER) AS source_index,
+      CASE WHEN label % 2 = 0 THEN 'vec' || vec_id ELSE 'Spectrum ' || row_number() OVER p END AS raw_name, round(list_sum(spectrum), 6) AS total
+    FROM pixels WINDOW p AS (PARTITION BY label, vec_id // 100 ORDER BY vec_id)""")
 def s3(v):
+    """Library files of at most a hundred spectra each, back to rows."""
     rows = F.array_sort(F.collect_list(F.struct("vec_id", "spectrum")))
-    packed = v.pixels.groupBy(F.col("label").alias("source_id")).agg(rows.alias("r")).select(
-        "source_id", F.when(F.col("source_id") % 2 == 0, F.transform("r", lambda x: F.concat(F.lit("vec"), x["vec_id"].cast("string"))))
+    source = F.col("label") * 1000000 + F.floor(F.col("vec_id") / 100)
+    packed = v.pixels.groupBy(source.alias("source_id"), "label").agg(rows.alias("r")).select(
+        "source_id", F.when(F.col("label") % 2 == 0, F.transform("r", lambda x: F.concat(F.lit("vec"), x["vec_id"].cast("string"))))
         .otherwise(F.array().cast("array<string>")).alias("names"),
         A.literal_doubles(AXIS).alias("wavelengths"), F.transform("r", lambda x: x["spectrum"]).alias("spectra"))
     return rasters.library_rows(packed).select("source_id", "source_index", "raw_name", F.round(A.total(F.col("values")), 6).alias("total"))

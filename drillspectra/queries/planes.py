@@ -130,8 +130,7 @@ def w7(v):
 def w8(v):
     spans = v.candidate.select("scene_id", "sample", F.col("line").alias("a"),
                                (F.col("line") + 1 + F.floor(F.col("score") * 200).cast("int")).alias("b"))
-    return grid.islands(spans, ["scene_id", "sample"], "a", 0, "b").groupBy("scene_id", "sample", "island").agg(
-        F.min("a").alias("start"), F.max("b").alias("stop"), F.count(F.lit(1)).alias("parts")).drop("island")
+    return grid.merge_spans(spans, ["scene_id", "sample"], "a", "b", tile=256)
 
 
 @query("w9_rank_score", f"""
