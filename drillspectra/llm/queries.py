@@ -1,4 +1,4 @@
 """Imports every operator module, which registers its query."""
 
-from . import near_copies  # noqa: F401
+from . import language, near_copies  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
