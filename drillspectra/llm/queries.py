@@ -1,4 +1,4 @@
 """Imports every operator module, which registers its query."""
 
-from . import language, near_copies, tokens, topk  # noqa: F401
+from . import language, near_copies, tokens, topk, warc  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
