@@ -1,4 +1,4 @@
 """Imports every operator module, which registers its query."""
 
-from . import edits, language, licenses, near_copies, tokens, topk, warc  # noqa: F401
+from . import edits, language, licenses, lines, near_copies, tokens, topk, warc  # noqa: F401
 from .common import QUERIES, SQL  # noqa: F401
