@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ END = 1
 #: A shard is closed once it holds this many ids; one longer document is a shard of its own.
 SHARD_TOKENS = 4 << 20
 #: Encoded chunks and words that a worker keeps; the memory is emptied when it is full.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 900_000
+#: Letters of Latin-1 and a run of plain marks, which the pre-tokenizer always parts.
+_WORD_AND_MARK = re.compile(r"([a-zà-öø-ÿ]+)([.,;:!?&*%#]+)").fullmatch
 
 
 class Encoder:
@@ -29,7 +32,8 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins anything across white space, so a text's ids are the
     ids of its white-space-separated chunks in order. That holds for lower-cased Latin-1 text, where
-    normalisation is character by character; any other text goes to the library as a whole.
+    normalisation is character by character; any other text, and one that may spell out a special token,
+    goes to the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -47,10 +51,23 @@ class Encoder:
         self.used = 0
 
     def _learn(self, chunks: list[str]) -> None:
-        found = self.library.encode_batch_fast(chunks, add_special_tokens=False)
-        ids = [f.ids for f in found]
+        """Ask for the ids of new chunks; one of letters and a mark behind them is put together from both."""
+        parts = [(m[1], m[2]) if (m := _WORD_AND_MARK(c)) else (c,) for c in chunks]
+        asked = list({p for one in parts for p in one if p not in self.place})
+        if asked:
+            self._keep(asked, [f.ids for f in self.library.encode_batch_fast(asked, add_special_tokens=False)])
+        joined = [c for c, one in zip(chunks, parts) if len(one) == 2]
+        ends = [one for one in parts if len(one) == 2]
+        if joined:
+            self._keep(joined, [self._known(a) + self._known(b) for a, b in ends])
+
+    def _known(self, part: str) -> list[int]:
+        at = self.place[part]
+        return self.flat[self.starts[at] : self.starts[at] + self.lengths[at]].tolist()
+
+    def _keep(self, chunks: list[str], ids: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for one in ids for x in one), np.uint16, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint16, int(lengths.sum()))
         n = len(self.place)
         self.flat = _room(self.flat, self.used + len(flat))
         self.starts, self.lengths = _room(self.starts, n + len(ids)), _room(self.lengths, n + len(ids))
@@ -98,7 +115,7 @@ def _plain(text: str) -> bool:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return False
-    return not ("\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    return not ("<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:
@@ -186,7 +203,8 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files of a manifest."""
     order = W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1)
     placed = manifest.withColumn("start", F.coalesce(F.sum("tokens").over(order), F.lit(0)))  # one row per shard
-    return (placed.select("path", "start").repartition("path")
+    shards = max(manifest.count(), 1)
+    return (placed.select("path", "start").repartition(shards, "path")
             .mapInArrow(_shards_read, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
