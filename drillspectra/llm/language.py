@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .arrays import flat_text, slices
 from .common import narrow, query, ship_package, table
@@ -141,6 +142,7 @@ class ContextTrees:
 
 
 def held_out(doc_id="doc_id"):
+    """Rows that are never learned from, to measure accuracy on; a null doc_id is not one of them (nor learned from)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
@@ -195,30 +197,31 @@ def _predicted(shared):
                     names = [trees.langs[i] if ok else UNDETERMINED for i, ok in zip(best, letters)]
                     score = np.where(letters, score, 0.0)
                     bits = least / _UNIT
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("held_out"), pa.array(names, pa.string()), pa.array(score), pa.array(bits, pa.float64())],
-                    names=["doc_id", "held_out", "lang_pred", "score", "code_bits"])
+                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(names, pa.string()), pa.array(score), pa.array(bits, pa.float64())],
+                                                 names=["row", "lang_pred", "score", "code_bits"])
 
     return run
 
 
-def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, code_bits`` of every row of ``docs(doc_id, text)``.
+def identified(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
+    """``row, lang_pred, score, code_bits``: every row of ``docs`` whole, and the language of its ``text``.
 
     The language with the shortest code wins, ties go to the name that sorts first; the score is its
     probability against the other languages at equal odds. A null text, or one without a letter, is
     ``und`` with score 0, as is every text if there was nothing to learn from. Only the bytes of the
-    text are looked at. A null doc_id counts as not held out and is never learned from.
+    text are looked at.
     """
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(trees)
-    rows = docs.select(F.col("doc_id"), held_out().alias("held_out"), F.col("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(_predicted(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double, code_bits double")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("lang_pred", StringType()),
+                         StructField("score", DoubleType()), StructField("code_bits", DoubleType())])
+    return rows.mapInArrow(_predicted(shared), schema)
 
 
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, train(docs))
+    found = identified(docs.select("doc_id", "text"), train(docs))
+    return found.select(F.col("row.doc_id").alias("doc_id"), held_out("row.doc_id").alias("held_out"), "lang_pred", "score", "code_bits")
