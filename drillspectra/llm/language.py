@@ -64,9 +64,11 @@ class ContextTrees:
     def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, deep: int = DEEP_CONTEXTS):
         self.langs = langs
         seen = np.unique(gram & 255)
-        self.letters = np.zeros(256, np.int64)  # class 0: before the text, and bytes never seen
-        self.letters[seen[seen > 0]] = np.arange(1, (seen > 0).sum() + 1)
-        width = self.width = int((seen > 0).sum()) + 1
+        seen = seen[seen > 0]
+        width = self.width = len(seen) + 2
+        self.letters = np.full(256, width - 1, np.int64)  # the last class: bytes never seen
+        self.letters[0] = 0  # before the text
+        self.letters[seen] = np.arange(1, len(seen) + 1)
         a, b1, b2, b3 = (self.letters[(gram >> shift) & 255] for shift in (0, 8, 16, 24))
         pair, triple = b2 * width + b1, (b3 * width + b2) * width + b1
         names, place = np.unique(triple, return_inverse=True)
