@@ -100,7 +100,7 @@ def parse(html: str) -> Node:
             elif tag in HEADINGS:
                 close(HEADINGS, WALLS)
             elif tag not in ("html", "body"):
-                close(frozenset([tag]), _TABLE_WALLS.get(tag, WALLS - {tag} if tag in BLOCK else BLOCK - {"p"}))
+                close(frozenset([tag]), _TABLE_WALLS.get(tag, WALLS - {tag} if tag in BLOCK else BLOCK))
             continue
         if tag in ("html", "body"):
             close(frozenset(["head"]), frozenset())
