@@ -8,6 +8,7 @@ configuration-sized and checked by ``collect_bounded`` before it is shipped.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -83,18 +84,21 @@ def smooth(bands: int, window: int = 11, order: int = 2):
     return kernel
 
 
-def _segmented(values: np.ndarray, axis: np.ndarray) -> np.ndarray:
-    out = np.full_like(values, np.nan)
-    good = np.all(np.isfinite(values) & (values > 0), axis=1)
-    rows = values[good]
-    for start, stop in S.axis_segments(axis):
-        if stop - start == 1:
-            out[good, start] = 1.0
-            continue
-        share = (axis[start:stop] - axis[start]) / (axis[stop - 1] - axis[start])
-        line = rows[:, [start]] + (rows[:, [stop - 1]] - rows[:, [start]]) * share
-        out[np.ix_(good, range(start, stop))] = rows[:, start:stop] / line
-    return out
+class SegmentLine:
+    """Straight lines between the ends of every axis segment, as one matrix applied to all spectra."""
+
+    def __init__(self, axis: np.ndarray):
+        self.ends = np.zeros((len(axis), len(axis)))
+        for first, stop in S.axis_segments(axis):
+            last, here = stop - 1, np.arange(first, stop)
+            rise = (axis[here] - axis[first]) / max(axis[last] - axis[first], np.finfo(float).tiny)
+            np.add.at(self.ends, (first, here), 1.0 - rise)
+            np.add.at(self.ends, (last, here), rise)
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        usable = (np.isfinite(values) & (values > 0)).all(axis=1, keepdims=True)
+        safe = np.where(usable, values, 1.0)
+        return np.where(usable, safe / (safe @ self.ends), np.nan)
 
 
 def _hull(values: np.ndarray, axis: np.ndarray) -> np.ndarray:
@@ -130,85 +134,94 @@ def _hull(values: np.ndarray, axis: np.ndarray) -> np.ndarray:
 def absorb(axis: Sequence[float], positions: Sequence[int], method: str = "segmented"):
     """Absorption curve over the chosen bands."""
     sub = np.asarray([axis[i] for i in positions], dtype=float)
-    remove = {"segmented": _segmented, "hull": _hull}[method]
+    remove = SegmentLine(sub) if method == "segmented" else partial(_hull, axis=sub)
 
     @arrow_udf(DOUBLES)
     def kernel(spectra: pa.Array) -> pa.Array:
         values = _matrix(spectra)
         if not len(values):
             return _lists(np.empty((0, len(positions))))
-        return _lists(np.maximum(1.0 - remove(values[:, positions], sub), 0.0))
+        return _lists(np.maximum(1.0 - remove(values[:, positions]), 0.0))
 
     return kernel
 
 
-def _feature_matrix(values: np.ndarray, axis: np.ndarray, definitions: Sequence[dict]) -> np.ndarray:
-    columns = []
-    full = np.maximum(values.max(axis=1), 1e-12) if len(values) else np.empty(0)
-    for d in definitions:
-        lo, hi = d["window_nm"]
-        inside = np.flatnonzero((axis >= lo) & (axis <= hi))
-        if not len(inside):
-            columns.append(np.full(len(values), np.nan))
-            continue
-        part = values[:, inside]
-        if d["type"] == "center_nm":
-            columns.append((axis[inside][part.argmax(axis=1)] - lo) / max(hi - lo, 1.0))
-        elif d["type"] == "depth_ratio":
-            columns.append(part.max(axis=1) / full)
-        else:
-            columns.append(part.max(axis=1))
-    return np.column_stack(columns) if columns else np.empty((len(values), 0))
+class FeaturePlan:
+    """All diagnostic features of a table of curves by three reductions over concatenated windows.
+
+    A feature is (position or peak - shift) / span, and a relative one is also divided by the curve's
+    own peak; what differs between kinds is kept in vectors, one entry per feature.
+    """
+
+    def __init__(self, axis: np.ndarray, definitions: Sequence[dict]):
+        bounds = np.array([d["window_nm"] for d in definitions], float).reshape(-1, 2)
+        kinds = np.array([d["type"] for d in definitions], dtype=object)
+        members = [np.flatnonzero((axis >= lo) & (axis <= hi)) for lo, hi in bounds]
+        self.width = len(members)
+        self.present = np.array([i for i, m in enumerate(members) if len(m)], int)
+        self.bands = np.concatenate([members[i] for i in self.present]) if len(self.present) else np.zeros(0, int)
+        sizes = np.array([len(members[i]) for i in self.present], int)
+        self.cuts, self.owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(sizes)), sizes)
+        self.axis = axis[self.bands]
+        self.positional, self.relative = kinds[self.present] == "center_nm", kinds[self.present] == "depth_ratio"
+        self.shift = np.where(self.positional, bounds[self.present, 0], 0.0)
+        self.span = np.where(self.positional, np.maximum(bounds[self.present, 1] - bounds[self.present, 0], 1.0), 1.0)
+
+    def __call__(self, curves: np.ndarray) -> np.ndarray:
+        out = np.full((len(curves), self.width), np.nan)
+        if len(curves) and len(self.present):
+            inside = curves[:, self.bands]
+            peak = np.maximum.reduceat(inside, self.cuts, axis=1)
+            place = np.minimum.reduceat(np.where(inside == peak[:, self.owner], self.axis, np.inf), self.cuts, axis=1)
+            own = np.where(self.relative, np.maximum(curves.max(axis=1, keepdims=True), 1e-12), 1.0)
+            out[:, self.present] = (np.where(self.positional, place, peak) - self.shift) / self.span / own
+        return out
+
+
+def _angles(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_units(left) @ _units(right).T, -1.0, 1.0))
+
+
+def _shared_distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Root mean square difference over the columns that both rows have."""
+    known = np.isfinite(left)[:, None, :] & np.isfinite(right)[None, :, :]
+    gaps = np.where(known, np.nan_to_num(left)[:, None, :] - np.nan_to_num(right)[None, :, :], 0.0)
+    count = known.sum(axis=2)
+    return np.sqrt(np.divide((gaps**2).sum(axis=2), count, out=np.full(count.shape, np.nan), where=count > 0))
+
+
+def _unexplained(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What the best multiple of each right row leaves of a left row, relative to its level."""
+    energy = (right**2).sum(axis=1)
+    explained = np.divide((left @ right.T) ** 2, energy, out=np.zeros((len(left), len(right))), where=energy > 0)
+    rest = np.maximum((left**2).sum(axis=1, keepdims=True) - explained, 0.0)
+    level = np.maximum(np.abs(left).mean(axis=1, keepdims=True), 1e-8)
+    return np.minimum(np.sqrt(rest / left.shape[1]) / level, np.pi)
 
 
 def evidence_function(
     references: Sequence[Sequence[float]], axis: Sequence[float], definitions: Sequence[dict], weights: dict
 ):
-    """Matrix function: absorption curves to total distances from every reference."""
-    grid = np.asarray(axis, dtype=float)
-    library = np.asarray(references, dtype=float)
-    slopes = taps_matrix(len(grid), S.gradient_taps(list(grid)))
-    merged = {**S.DEFAULT_WEIGHTS, **weights}
-    shape_dirs, slope_dirs = _units(library).T, _units(library @ slopes).T
-    library_features = _feature_matrix(library, grid, definitions)
-    energy = np.sum(library * library, axis=1)
-
-    def feature_distance(pixels: np.ndarray) -> np.ndarray:
-        own = _feature_matrix(pixels, grid, definitions)
-        squares = np.zeros((len(pixels), len(library)))
-        shared = np.zeros_like(squares)
-        for f in range(own.shape[1]):
-            gap = own[:, [f]] - library_features[None, :, f]
-            seen = np.isfinite(gap)
-            squares += np.where(seen, gap * gap, 0.0)
-            shared += seen
-        if not own.shape[1]:
-            return squares
-        return np.sqrt(np.divide(squares, shared, out=np.full_like(squares, np.nan), where=shared > 0))
-
-    def fit_distance(pixels: np.ndarray) -> np.ndarray:
-        cross = pixels @ library.T
-        scale = np.divide(cross, energy, out=np.zeros_like(cross), where=energy > 0)
-        rest = np.sum(pixels * pixels, axis=1)[:, None] - 2 * scale * cross + scale * scale * energy
-        rms = np.sqrt(np.maximum(rest, 0.0) / pixels.shape[1])
-        return np.clip(rms / np.maximum(np.mean(np.abs(pixels), axis=1)[:, None], 1e-8), 0.0, np.pi)
+    """Matrix function: absorption curves to total distances from every reference.
+
+    Each term is a pair of prepared tables and a distance between them; the total is their weighted
+    mean over the terms that are defined for the pair.
+    """
+    grid, library = np.asarray(axis, dtype=float), np.asarray(references, dtype=float)
+    slopes, features = taps_matrix(len(grid), S.gradient_taps(list(grid))), FeaturePlan(grid, definitions)
+    terms = {
+        "shape": (lambda x: x, _angles), "derivative": (lambda x: x @ slopes, _angles),
+        "features": (features, _shared_distance), "fit": (lambda x: x, _unexplained),
+    }
+    share = {name: w for name, w in (S.DEFAULT_WEIGHTS | dict(weights)).items() if name in terms and w > 0}
+    prepared = {name: terms[name][0](library) for name in share}
+    scale = np.array(list(share.values()))[:, None, None]
 
     def totals(pixels: np.ndarray) -> np.ndarray:
-        parts = [
-            (merged["shape"], np.arccos(np.clip(_units(pixels) @ shape_dirs, -1, 1))),
-            (merged["derivative"], np.arccos(np.clip(_units(pixels @ slopes) @ slope_dirs, -1, 1))),
-        ]
-        if merged["features"] > 0:
-            parts.append((merged["features"], feature_distance(pixels)))
-        if merged["fit"] > 0:
-            parts.append((merged["fit"], fit_distance(pixels)))
-        weighted = np.zeros((len(pixels), len(library)))
-        available = np.zeros_like(weighted)
-        for weight, value in parts:
-            seen = np.isfinite(value) & (weight > 0)
-            weighted += np.where(seen, value * weight, 0.0)
-            available += np.where(seen, weight, 0.0)
-        return np.divide(weighted, available, out=np.full_like(weighted, np.nan), where=available > 0)
+        stack = np.stack([terms[name][1](terms[name][0](pixels), prepared[name]) for name in share])
+        weight = np.where(np.isfinite(stack), scale, 0.0)
+        sums = weight.sum(axis=0)
+        return np.divide((np.nan_to_num(stack) * weight).sum(axis=0), sums, out=np.full(sums.shape, np.nan), where=sums > 0)
 
     return totals
 
@@ -243,8 +256,9 @@ def grouped_evidence(groups: dict[int, dict], axis: Sequence[float]):
     plans = {}
     for number, g in groups.items():
         at = list(g["positions"])
-        curves = np.maximum(1.0 - _segmented(np.asarray(g["references"], dtype=float)[:, at], grid[at]), 0.0)
-        plans[number] = (at, evidence_function(curves, grid[at], g["features"], g["weights"]))
+        line = SegmentLine(grid[at])
+        curves = np.maximum(1.0 - line(np.asarray(g["references"], dtype=float)[:, at]), 0.0)
+        plans[number] = (at, line, evidence_function(curves, grid[at], g["features"], g["weights"]))
 
     @arrow_udf(EVIDENCE)
     def kernel(numbers: pa.Array, spectra: pa.Array) -> pa.Array:
@@ -252,11 +266,11 @@ def grouped_evidence(groups: dict[int, dict], axis: Sequence[float]):
         chosen = numbers.to_numpy(zero_copy_only=False)
         depth = np.full(len(values), np.nan)
         distances = np.full((len(values), width), np.nan)
-        for number, (at, totals) in plans.items():
+        for number, (at, line, totals) in plans.items():
             rows = np.flatnonzero(chosen == number)
             if not len(rows):
                 continue
-            curves = np.maximum(1.0 - _segmented(values[rows][:, at], grid[at]), 0.0)
+            curves = np.maximum(1.0 - line(values[rows][:, at]), 0.0)
             depth[rows] = curves.max(axis=1)
             found = totals(curves)
             distances[rows, : found.shape[1]] = found

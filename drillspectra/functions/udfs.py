@@ -54,17 +54,14 @@ def register_scalars(spark: SparkSession, axis: Sequence[float], positions: Sequ
 
 def register_feature_table(spark: SparkSession, axis: Sequence[float], definitions: Sequence[dict]) -> None:
     grid = np.asarray(axis, dtype=float)
-    plan = [dict(d) for d in definitions]
+    plan, names = K.FeaturePlan(grid, definitions), [d["id"] for d in definitions]
+    starts = [d["window_nm"][0] if d["type"] == "center_nm" else 0.0 for d in definitions]
+    spans = [max(d["window_nm"][1] - d["window_nm"][0], 1.0) if d["type"] == "center_nm" else 1.0 for d in definitions]
 
     @udtf(returnType="feature_id string, value double")
     class SpectrumFeatures:
         def eval(self, curve):
-            values = np.asarray(curve, dtype=float)[None, :]
-            raw = K._feature_matrix(values, grid, plan)[0]
-            for d, value in zip(plan, raw):
-                if d["type"] == "center_nm":
-                    lo, hi = d["window_nm"]
-                    value = lo + value * max(hi - lo, 1.0)
-                yield d["id"], float(value)
+            values = plan(np.asarray(curve, dtype=float)[None, :])[0]
+            yield from zip(names, (float(s + v * w) for s, v, w in zip(starts, values, spans)))
 
     spark.udtf.register("spectrum_features", SpectrumFeatures)

@@ -31,15 +31,9 @@ GATES = {
       WHEN 2 THEN confidence >= 0.3 OR margin >= 0.4 ELSE confidence >= 0.2 AND margin >= 0.3 END AS passed
     FROM candidate, (VALUES ('conservative'), ('balanced'), ('sensitive')) p(policy)""")
 def p20(v):
-    values = {"center": 2250 + F.col("confidence") * 100, "ratio": F.col("confidence"), "tax": F.col("margin")}
-
-    def passed(policy):
-        gate = F.lit(False)
-        for mineral, rule in GATES.items():
-            gate = F.when(F.col("class_id") == mineral, scoring.feature_gate(rule, policy, F.col("depth"), values)).otherwise(gate)
-        return F.struct(F.lit(policy).alias("policy"), gate.alias("passed"))
-
-    return v.candidate.select(*KEY, F.inline(F.array(*[passed(p) for p in scoring.POLICIES])))
+    gates = v.spark.createDataFrame(scoring.gate_table(GATES), scoring.GATE_SCHEMA)  # a row per mineral and policy of the catalog
+    values = F.create_map(F.lit("center"), 2250 + F.col("confidence") * 100, F.lit("ratio"), F.col("confidence"), F.lit("tax"), F.col("margin"))
+    return v.candidate.join(gates, F.col("class_id") == F.col("mineral")).select(*KEY, "policy", scoring.gate_passed(F.col("depth"), values).alias("passed"))
 
 
 @query("p21_margin_gate", """
