@@ -304,7 +304,7 @@ def brightness_contrast(
     """Median level and relative range of a few spread bands."""
     picked = F.filter(
         F.array(*[spectrum[i] for i in positions]),
-        lambda x: x.isNotNull() & ~F.isnan(x) & (x > epsilon),
+        lambda x: x.isNotNull() & (x > epsilon) & (x < float("inf")),  # NaN is above infinity
     )
     needed = max(1, int(np.ceil(len(positions) * share)))
     level = A.median(picked)
@@ -318,7 +318,7 @@ def brightness_contrast(
 
 def is_material(values: Column, epsilon: float = 1e-10) -> Column:
     """True when any band carries a finite non-zero value."""
-    return F.exists(values, lambda b: b.isNotNull() & ~F.isnan(b) & (F.abs(b) > epsilon))
+    return F.exists(values, lambda b: b.isNotNull() & (F.abs(b) > epsilon) & (F.abs(b) < float("inf")))
 
 
 def spectral_domain(lo: Column, hi: Column) -> Column:

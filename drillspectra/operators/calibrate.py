@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -47,6 +48,7 @@ def split_labels(labels: DataFrame, block: int = 256, modulo: int = 5) -> DataFr
     return labels.withColumn("split", F.when(held, "holdout").otherwise("training"))
 
 
+# fixed values: multiples of the scene noise
 NOISE_FACTOR = {"conservative": 3.0, "balanced": 2.2, "sensitive": 1.5}
 POLICIES = ("conservative", "balanced", "sensitive")
 
@@ -71,6 +73,7 @@ def resolve_policies(scores: DataFrame, noise: DataFrame, policies: Mapping[str,
 
 # --- threshold search ------------------------------------------------------
 
+# fixed values: largest accepted share of a scene
 COVERAGE_CAP = {"conservative": 0.08, "balanced": 0.18, "sensitive": 0.30}
 
 
@@ -187,52 +190,60 @@ def threshold_trial(
 ) -> DataFrame:
     """Pick one candidate per policy so that thresholds never tighten from
     conservative to sensitive; a user override replaces the picked value."""
-    floor, out = None, None
     keys = ["scene_id", "percentile", "absolute"]
+    scenes = durable(reduce(DataFrame.union, [df.select("scene_id") for df in per_policy.values()]).distinct())
+    floor = scenes.select("scene_id", F.lit(float("-inf")).alias("_p"), F.lit(float("-inf")).alias("_a"))
+    out = None
     for policy in POLICIES:
         rows = per_policy[policy].join(ready[policy], keys, "left").withColumn("ready", F.coalesce("ready", F.lit(0)))
         rows = rows.withColumn("joint", joint_objective(F.col("objective"), F.col("ready"), F.col("pixels")))
-        if floor is not None:
-            rows = rows.join(floor, "scene_id").where("percentile >= _p - 1e-12 and absolute >= _a - 1e-12")
+        rows = rows.join(floor, "scene_id").where("percentile >= _p - 1e-12 and absolute >= _a - 1e-12")
         key = F.struct("joint", "ready", (-F.col("column_penalty")).alias("cp"), (-F.col("edge_penalty")).alias("ep"),
                        (-F.col("absolute")).alias("a"), (-F.col("percentile")).alias("p"))
         fixed = (overrides or {}).get(policy, {})
-        picked = durable(rows.where("accepted").groupBy("scene_id").agg(F.max(key).alias("b")).select(
-            "scene_id", F.lit(policy).alias("policy"),
-            F.coalesce(F.lit(fixed.get("column_percentile")).cast("double"), -F.col("b.p")).alias("percentile"),
-            F.coalesce(F.lit(fixed.get("absolute_sam_threshold_rad")).cast("double"), -F.col("b.a")).alias("absolute"),
+        best = rows.where("accepted").groupBy("scene_id").agg(F.max(key).alias("b"))
+        found = F.col("b").isNotNull()
+        given = lambda name, own: F.when(found, F.coalesce(F.lit(fixed.get(name)).cast("double"), own))
+        # a scene without an accepted candidate is blocked here and keeps its limits for the weaker policies
+        picked = durable(scenes.join(best, "scene_id", "left").select(
+            "scene_id", F.lit(policy).alias("policy"), F.when(found, "resolved").otherwise("blocked").alias("status"),
+            given("column_percentile", -F.col("b.p")).alias("percentile"), given("absolute_sam_threshold_rad", -F.col("b.a")).alias("absolute"),
             F.col("b.joint").alias("joint"), F.col("b.ready").alias("ready")))
-        floor = picked.select("scene_id", F.col("percentile").alias("_p"), F.col("absolute").alias("_a"))
+        floor = durable(floor.join(picked, "scene_id").select(
+            "scene_id", F.coalesce("percentile", "_p").alias("_p"), F.coalesce("absolute", "_a").alias("_a")))
         out = picked if out is None else out.unionByName(picked)
     return out
 
 
 # --- learning from reviewed labels ----------------------------------------
 
+# fixed values: recall targets of training positives
 RECALL = {"conservative": 0.80, "balanced": 0.93, "sensitive": 0.985}
 CANDIDATE_COVERAGE = {"conservative": 0.20, "balanced": 0.38, "sensitive": 0.60}
 
 
-def detection_thresholds(scored: DataFrame, minimum: int = 100) -> DataFrame:
+def detection_thresholds(scored: DataFrame, current: Mapping[str, float], minimum: int = 100) -> DataFrame:
     """Threshold per policy from labels: recall of training positives, capped by scene coverage.
 
-    ``scored`` is (scene_id, score, positive, split); also reports both recalls.
+    ``scored`` is (scene_id, score, positive, split); also reports both recalls.  A scene with fewer
+    than ``minimum`` training positives keeps the ``current`` thresholds and says so in ``status``.
     """
-    train = scored.where("positive and split = 'training'")
-    recall = exact_quantiles(train, ["scene_id"], "score", [RECALL[p] for p in POLICIES])
+    positive, training = F.col("positive"), F.col("split") == "training"
+    labels = scored.groupBy("scene_id").agg(F.sum((positive & training).cast("long")).alias("training_pixels"))
+    recall = exact_quantiles(scored.where(positive & training), ["scene_id"], "score", [RECALL[p] for p in POLICIES])
     cover = exact_quantiles(scored, ["scene_id"], "score", [CANDIDATE_COVERAGE[p] for p in POLICIES])
-    pairs = recall.where(F.col("n") >= minimum).select("scene_id", *[F.col(f"q{i}").alias(f"r{i}") for i in range(3)]).join(
-        cover.select("scene_id", *[F.col(f"q{i}").alias(f"c{i}") for i in range(3)]), "scene_id")
-    rows = pairs.select("scene_id", F.inline(F.array(*[
-        F.struct(F.lit(p).alias("policy"), F.least(f"r{i}", f"c{i}").alias("threshold")) for i, p in enumerate(POLICIES)])))
-    inside = F.col("score") <= F.col("threshold")
-    share = lambda test: F.sum((inside & test).cast("long")) / F.sum(test.cast("long"))
-    positive = F.col("positive")
-    return scored.join(rows, "scene_id").groupBy("scene_id", "policy", "threshold").agg(
-        share(positive & (F.col("split") == "training")).alias("training_recall"),
-        F.try_divide(F.sum((inside & positive & (F.col("split") == "holdout")).cast("long")),
-                     F.sum((positive & (F.col("split") == "holdout")).cast("long"))).alias("holdout_recall"),
-        F.avg(inside.cast("double")).alias("coverage"))
+    known = labels.join(recall.select("scene_id", *[F.col(f"q{i}").alias(f"r{i}") for i in range(3)]), "scene_id", "left").join(
+        cover.select("scene_id", *[F.col(f"q{i}").alias(f"c{i}") for i in range(3)]), "scene_id", "left")
+    enough = F.col("training_pixels") >= minimum
+    status = F.when(enough, "resolved").otherwise("insufficient_training_labels")
+    rows = known.select("scene_id", "training_pixels", status.alias("status"), F.inline(F.array(*[
+        F.struct(F.lit(p).alias("policy"), F.when(enough, F.least(f"r{i}", f"c{i}")).otherwise(F.lit(float(current[p]))).alias("threshold"))
+        for i, p in enumerate(POLICIES)])))
+    inside, learned = F.col("score") <= F.col("threshold"), F.col("status") == "resolved"
+    share = lambda test: F.try_divide(F.sum((learned & inside & test).cast("long")), F.sum((learned & test).cast("long")))
+    return scored.join(rows, "scene_id").groupBy("scene_id", "policy", "threshold", "status", "training_pixels").agg(
+        share(positive & training).alias("training_recall"), share(positive & (F.col("split") == "holdout")).alias("holdout_recall"),
+        share(F.lit(True)).alias("coverage"))
 
 
 def domain_offsets(mineral_scores: DataFrame, strength: float, cap: float) -> DataFrame:
@@ -285,6 +296,7 @@ def score_offsets(sample: DataFrame, minerals: int, maximum: float = 0.45, ridge
     return [float(x) for x in offsets - offsets.mean()]
 
 
+# fixed values: ends of learned windows
 GATE_QUANTILES = {"conservative": (0.10, 0.90), "balanced": (0.02, 0.98), "sensitive": (0.005, 0.995)}
 GATE_FLOOR = {"conservative": 0.35, "balanced": 0.10, "sensitive": 0.02}
 
@@ -391,22 +403,28 @@ def axis_threshold(rows: DataFrame, keys: Sequence[str], features: Sequence[str]
     return best.select(*keys, "b.feature", "b.direction", (F.col("b.direction") * F.col("b.threshold")).alias("threshold"), "b.recall", "b.utility")
 
 
+# fixed values: recall targets and area caps of learned gates
 EVIDENCE_RECALL = {"conservative": 0.55, "balanced": 0.82, "sensitive": 0.95}
 AREA_FACTOR = {"conservative": 0.85, "balanced": 1.75, "sensitive": 3.00}
 DOMAIN_SHARE = {"conservative": 0.04, "balanced": 0.25, "sensitive": 0.25}
 
 
-def evidence_gates(scored: DataFrame, keys: Sequence[str], base: DataFrame, identity: Sequence[str]) -> DataFrame:
+def evidence_gates(scored: DataFrame, keys: Sequence[str], base: DataFrame, identity: Sequence[str], minimum: int = 25) -> DataFrame:
     """Pixels inside each policy's gate.
 
     ``scored`` is (keys, identity, s, positive, split); ``base`` the F1 cut.
     The cut follows the recall target, and an area cap keeps the strongest.
+    A key with fewer than ``minimum`` training pixels of either kind has no gate: all its pixels
+    pass, with status ``insufficient_training_labels``.
     """
     keys = list(keys)
-    train = scored.where("positive and split = 'training'")
-    recall = exact_quantiles(train, keys, "s", [1.0 - EVIDENCE_RECALL[p] for p in POLICIES])
-    sizes = scored.groupBy(*keys).agg(F.sum(F.col("positive").cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    merged = recall.drop("n").join(base.select(*keys, "threshold"), keys).join(sizes, keys)
+    training = F.col("split") == "training"
+    sizes = scored.groupBy(*keys).agg(
+        F.sum(F.col("positive").cast("long")).alias("_p"), F.count(F.lit(1)).alias("_n"),
+        F.sum((training & F.col("positive")).cast("long")).alias("_tp"), F.sum((training & ~F.col("positive")).cast("long")).alias("_tn"))
+    sizes = durable(sizes.withColumn("_few", (F.col("_tp") < minimum) | (F.col("_tn") < minimum)))
+    recall = exact_quantiles(scored.where(training & F.col("positive")), keys, "s", [1.0 - EVIDENCE_RECALL[p] for p in POLICIES])
+    merged = recall.drop("n").join(base.select(*keys, "threshold"), keys).join(sizes.where("not _few"), keys)
     rows = F.array(*[
         F.struct(
             F.lit(p).alias("policy"),
@@ -415,7 +433,10 @@ def evidence_gates(scored: DataFrame, keys: Sequence[str], base: DataFrame, iden
         for i, p in enumerate(POLICIES)])
     limits = merged.select(*keys, F.inline(rows))
     inside = scored.join(limits, keys).where("s >= cut")
-    return strongest(inside, [*keys, "policy"], "s", list(identity), "cap").select(*keys, "policy", *identity, "s")
+    learned = strongest(inside, [*keys, "policy"], "s", list(identity), "cap").select(*keys, "policy", *identity, "s", F.lit("resolved").alias("status"))
+    poor = scored.join(sizes.where("_few").select(*keys), keys).select(
+        *keys, F.explode(F.array(*[F.lit(p) for p in POLICIES])).alias("policy"), *identity, "s", F.lit("insufficient_training_labels").alias("status"))
+    return learned.unionByName(poor)
 
 
 def consensus_floor(catalog: Column, policy: Column, references: Column) -> Column:
@@ -426,6 +447,7 @@ def consensus_floor(catalog: Column, policy: Column, references: Column) -> Colu
     return F.least(catalog, F.least(needed, count) / count)
 
 
+# fixed values: quantiles of adaptive confidence
 CONFIDENCE_Q = {"conservative": 0.60, "balanced": 0.25, "sensitive": 0.05}
 LABEL_Q = {"conservative": 0.35, "balanced": 0.15, "sensitive": 0.05}
 
@@ -455,6 +477,7 @@ def adaptive_confidence(evidence: DataFrame, catalog: Mapping[str, float], label
     return joined.select(*keys, F.when(F.coalesce(F.col("_n") >= label_minimum, F.lit(False)), learned).otherwise(own).alias("threshold"))
 
 
+# fixed values: quantiles and floors of protection
 PROTECTION_Q = {"conservative": 0.50, "balanced": 0.65, "sensitive": 0.80}
 PROTECTION_FLOOR = {"conservative": 0.55, "balanced": 0.50, "sensitive": 0.55}
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..session import durable
 from . import grid
 
-STEP = 1 << 20
+STEP = 1 << 31  # line and sample are 32-bit, so no two cells share a code
 
 
 def _tile_labels(lines: np.ndarray, samples: np.ndarray) -> np.ndarray:

@@ -55,7 +55,7 @@ def otsu(df: DataFrame, keys: Sequence[str], value: str, bins: int = 256) -> Dat
     return best.select(*keys, F.col("best.centre").alias("threshold"))
 
 
-def on_border(width: int) -> Column:
+def on_border(width: int | Column) -> Column:
     return (
         (F.col("line") < width) | (F.col("sample") < width)
         | (F.col("line") >= F.col("lines") - width) | (F.col("sample") >= F.col("samples") - width)
@@ -73,13 +73,15 @@ def refine(
     return CC.keep_large(CC.components(filled, keys), minimum).select(*keys, "line", "sample")
 
 
-def automatic_mask(pixels: DataFrame, frames: DataFrame, positions: Sequence[int], border: int = 2) -> DataFrame:
+def automatic_mask(pixels: DataFrame, frames: DataFrame, positions: Sequence[int], border: int | None = None) -> DataFrame:
     """Raw material pixels of every scene, with the threshold that was used.
 
     ``pixels`` is (scene_id, line, sample, spectrum).  The frame border models
     the background; a mixed border falls back to a brightness split.
     """
     keys = ["scene_id"]
+    if border is None:  # a 32nd of the shorter side, two at least
+        border = F.greatest(F.lit(2), F.floor(F.least("lines", "samples") / 32))
     seen = pixels.withColumn("b", S.brightness_contrast(F.col("spectrum"), positions)).where("b.usable").select(
         *keys, "line", "sample", F.col("b.brightness").alias("brightness"), F.col("b.contrast").alias("contrast"))
     marked = seen.join(frames, "scene_id").withColumn("edge", on_border(border))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import arrays as A
 from . import artifacts, columns, grid
 
 
@@ -57,8 +58,9 @@ def quality_report(wide: DataFrame, confidence: DataFrame, valid: DataFrame, fra
     balanced = wide.where("balanced > 0").select("scene_id", "line", "sample", F.col("balanced").alias("class_id"))
     seen = balanced.groupBy("scene_id").agg(F.count_distinct("class_id").alias("seen"))
     cluster = clustered_share(balanced, ["scene_id"])
-    dense = columns.density(balanced, valid, ["scene_id"]).groupBy("scene_id").agg(
-        F.max("density").alias("peak"), F.percentile("density", F.lit(0.5)).alias("middle"))
+    profile = columns.dense(columns.density(balanced, valid, ["scene_id"]), ["scene_id"], ["density"], frames)
+    profile = profile.withColumn("density", F.transform("density", lambda x: F.coalesce(x, F.lit(0.0))))  # a column without material is empty
+    dense = profile.select("scene_id", F.array_max("density").alias("peak"), A.median(F.col("density")).alias("middle"))
     stripes = residual_stripes(balanced, valid, frames, ["scene_id"]).groupBy("scene_id").agg(
         F.sum("pixels").alias("stripe_pixels"), F.max("repetition").alias("repetition"))
     joined = frames.select("scene_id")

@@ -9,12 +9,14 @@ from __future__ import annotations
 import re
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BANDS = 64
 AXIS = [1000.0 + 20.0 * band for band in range(BANDS)]
 SAMPLES = 32
 SCENE_LINES = 1000
+#: Vectors of one spectrum scene: four full scan lines and a part of a fifth.
+SCENE_VECTORS = 110
 KEY = ["scene_id", "line", "sample"]
 
 
@@ -31,9 +33,9 @@ class Views:
         """One row per scanned pixel with its spectrum; 25 detector columns."""
         v = F.col("vec_id")
         return self.table("embeddings").select(
-            F.concat(F.lit("S"), F.floor(v / 1000).cast("string")).alias("scene_id"),
-            F.floor((v % 1000) / 25).cast("int").alias("line"),
-            (v % 25).cast("int").alias("sample"),
+            F.concat(F.lit("S"), F.floor(v / SCENE_VECTORS).cast("string")).alias("scene_id"),
+            F.floor((v % SCENE_VECTORS) / 25).cast("int").alias("line"),
+            (v % SCENE_VECTORS % 25).cast("int").alias("sample"),
             F.col("vec_id"),
             F.col("label").cast("int").alias("label"),
             F.transform("embedding", lambda x: x.cast("double") + 1.0).alias("spectrum"),
@@ -48,14 +50,17 @@ class Views:
 
     @cached_property
     def refs(self) -> DataFrame:
-        """Reference library: three spectra per mineral label."""
-        rank = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
+        """Reference library: of each mineral the spectra with the highest peak, the deepest band and the widest range.
+
+        Chosen over all rows by combinable maxima; one spectrum may be extreme in several ways.
+        """
+        row = F.struct("vec_id", "embedding")
+        highest, deepest = F.array_max("embedding"), F.array_min("embedding")
+        extremes = [F.max(F.struct(x.alias("x"), (-F.col("vec_id")).alias("first"), row.alias("row")))["row"]
+                    for x in (highest, -deepest, highest - deepest)]
         return (
-            self.table("embeddings")
-            .select("vec_id", "label", "embedding")
-            .withColumn("ref_no", rank)
-            .where("ref_no <= 3")
-            .select(
+            self.table("embeddings").groupBy("label").agg(F.array_distinct(F.array(*extremes)).alias("rows"))
+            .select("label", F.inline("rows")).select(
                 F.col("label").cast("int").alias("mineral"),
                 F.floor(F.col("label") / 3).cast("int").alias("group_no"),
                 F.col("vec_id").alias("ref_id"),
@@ -149,16 +154,19 @@ class Views:
 
 
 SQL_VIEWS = {
-    "pixels": """SELECT 'S' || CAST(vec_id // 1000 AS VARCHAR) AS scene_id,
-        CAST((vec_id % 1000) // 25 AS INTEGER) AS line, CAST(vec_id % 25 AS INTEGER) AS sample,
+    "pixels": f"""SELECT 'S' || CAST(vec_id // {SCENE_VECTORS} AS VARCHAR) AS scene_id,
+        CAST((vec_id % {SCENE_VECTORS}) // 25 AS INTEGER) AS line, CAST(vec_id % {SCENE_VECTORS} % 25 AS INTEGER) AS sample,
         vec_id, CAST(label AS INTEGER) AS label,
         list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 1.0) AS spectrum FROM embeddings""",
     "px": """SELECT scene_id, line, sample, vec_id, label, CAST(b AS INTEGER) AS band,
         spectrum[b + 1] AS v, CAST(1000 + 20 * b AS DOUBLE) AS w FROM pixels, range(64) t(b)""",
-    "refs": """SELECT CAST(label AS INTEGER) AS mineral, CAST(label // 3 AS INTEGER) AS group_no,
-        vec_id AS ref_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 1.0) AS spectrum
-        FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)
-        WHERE rn <= 3""",
+    "refs": """SELECT DISTINCT CAST(e.label AS INTEGER) AS mineral, CAST(e.label // 3 AS INTEGER) AS group_no,
+        e.vec_id AS ref_id, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE) + 1.0) AS spectrum
+        FROM embeddings e JOIN (SELECT label, unnest([
+            arg_max(vec_id, struct_pack(x := list_max(embedding), f := -vec_id)),
+            arg_max(vec_id, struct_pack(x := -list_min(embedding), f := -vec_id)),
+            arg_max(vec_id, struct_pack(x := list_max(embedding) - list_min(embedding), f := -vec_id))]) AS vec_id
+          FROM embeddings GROUP BY label) k ON k.vec_id = e.vec_id""",
     "cells": """SELECT scene_id, line, sample, CAST(cents AS DOUBLE) / (n * 105000000.0::DOUBLE) AS score,
         CAST(disc AS DOUBLE) / (n * 10.0::DOUBLE) AS confidence, CAST(qty AS DOUBLE) / (n * 50.0::DOUBLE) AS depth,
         CAST(tax AS DOUBLE) / (n * 8.0::DOUBLE) AS margin, CAST(qty % 3 + 1 AS INTEGER) AS class_id

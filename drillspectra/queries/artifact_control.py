@@ -107,7 +107,7 @@ def q2(v):
 @query("q1_run_quality_report")
 def q1(v):
     wide = maps.enforce_nesting(policy_maps(v), KEY)
-    report = quality.quality_report(wide, v.cells, v.valid, v.frames, 4)
+    report = quality.quality_report(wide, v.cells, v.valid, v.frames, 3)
     return report.select("scene_id", "grade", "publishable", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("issues"), "classified", "clustered", "peak", "stripe_pixels")
 
 

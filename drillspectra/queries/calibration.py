@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, spectral as S
 from ..operators import calibrate as M, columns, sampling
 from ..plans.registry import query
-from ..plans.views import BANDS, KEY
+from ..plans.views import KEY, SCENE_VECTORS
 from .planes import BLOCK_SQL, blocks
 from .spectra import SCORE_SQL, scored_pixels
 
@@ -60,7 +60,7 @@ def m4(v):
         found = M.durable(M.search_thresholds(masked(v), v.valid, v.frames, blocks(v), POLICIES, policy, steps=2))
         per_policy[policy] = found
         ready[policy] = found.select("scene_id", "percentile", "absolute", F.floor(F.col("pixels") * 0.4).alias("ready"))
-    return M.threshold_trial(per_policy, ready).select("scene_id", "policy", "percentile", "absolute", "ready")
+    return M.threshold_trial(per_policy, ready).select("scene_id", "policy", "percentile", "absolute", "ready", "status")
 
 
 @query("m5_domain_offsets", f"""
@@ -80,22 +80,22 @@ def labelled_cells(v):
 
 @query("m7_detection_thresholds", f"""
     WITH {LABEL_SQL}, q AS (SELECT scene_id, quantile_cont(score, 0.8) FILTER (WHERE positive AND split = 'training') AS r0, quantile_cont(score, 0.93) FILTER (WHERE positive AND split = 'training') AS r1,
-      quantile_cont(score, 0.985) FILTER (WHERE positive AND split = 'training') AS r2, quantile_cont(score, 0.2) AS c0, quantile_cont(score, 0.38) AS c1, quantile_cont(score, 0.6) AS c2 FROM lb GROUP BY scene_id),
-    t AS (SELECT scene_id, policy, CASE policy WHEN 'conservative' THEN least(r0, c0) WHEN 'balanced' THEN least(r1, c1) ELSE least(r2, c2) END AS threshold FROM q, (VALUES ('conservative'), ('balanced'), ('sensitive')) p(policy))
-    SELECT scene_id, policy, round(threshold, 8) AS threshold, round(count(*) FILTER (WHERE score <= threshold AND positive AND split = 'training') / count(*) FILTER (WHERE positive AND split = 'training')::DOUBLE, 7) AS training_recall,
-      round(count(*) FILTER (WHERE score <= threshold AND positive AND split = 'holdout') / count(*) FILTER (WHERE positive AND split = 'holdout')::DOUBLE, 7) AS holdout_recall,
-      round(count(*) FILTER (WHERE score <= threshold) / count(*)::DOUBLE, 7) AS coverage FROM lb JOIN t USING (scene_id) GROUP BY scene_id, policy, threshold""")
+      quantile_cont(score, 0.985) FILTER (WHERE positive AND split = 'training') AS r2, quantile_cont(score, 0.2) AS c0, quantile_cont(score, 0.38) AS c1, quantile_cont(score, 0.6) AS c2, count(*) FILTER (WHERE positive AND split = 'training') < 100 AS few FROM lb GROUP BY scene_id),
+    t AS (SELECT scene_id, policy, few, CASE WHEN few THEN CASE policy WHEN 'conservative' THEN 0.02 WHEN 'balanced' THEN 0.03 ELSE 0.05 END ELSE CASE policy WHEN 'conservative' THEN least(r0, c0) WHEN 'balanced' THEN least(r1, c1) ELSE least(r2, c2) END END::DOUBLE AS threshold FROM q, (VALUES ('conservative'), ('balanced'), ('sensitive')) p(policy))
+    SELECT scene_id, policy, CASE WHEN few THEN 'insufficient_training_labels' ELSE 'resolved' END AS status, round(threshold, 8) AS threshold, round(count(*) FILTER (WHERE NOT few AND score <= threshold AND positive AND split = 'training') / count(*) FILTER (WHERE positive AND split = 'training')::DOUBLE, 7) AS training_recall,
+      round(count(*) FILTER (WHERE NOT few AND score <= threshold AND positive AND split = 'holdout') / count(*) FILTER (WHERE positive AND split = 'holdout')::DOUBLE, 7) AS holdout_recall,
+      round(count(*) FILTER (WHERE NOT few AND score <= threshold) / count(*)::DOUBLE, 7) AS coverage FROM lb JOIN t USING (scene_id) GROUP BY scene_id, policy, threshold, few""")
 def m7(v):
-    out = M.detection_thresholds(labelled_cells(v))
-    return out.select("scene_id", "policy", F.round("threshold", 8).alias("threshold"), *[F.round(c, 7).alias(c) for c in ("training_recall", "holdout_recall", "coverage")])
+    out = M.detection_thresholds(labelled_cells(v), {p: s["absolute_sam_threshold_rad"] for p, s in POLICIES.items()})
+    return out.select("scene_id", "policy", "status", F.round("threshold", 8).alias("threshold"), *[F.round(c, 7).alias(c) for c in ("training_recall", "holdout_recall", "coverage")])
 
 
 @query("m8_score_offsets")
 def m8(v):
     scored = scored_pixels(v)
-    minerals = 10
+    minerals = v.refs.select("mineral").distinct().count()
     rows = scored.select("vec_id", "label", F.transform("minerals", lambda m: m["score"]).alias("scores")).where(F.size("scores") == minerals)
-    sample = sampling.evenly_spaced(rows.withColumn("block", F.floor(F.col("vec_id") / 1000)), ["label"], [F.col("vec_id")], 5000, "block")
+    sample = sampling.evenly_spaced(rows.withColumn("block", F.floor(F.col("vec_id") / SCENE_VECTORS)), ["label"], [F.col("vec_id")], 5000, "block")
     offsets = M.score_offsets(sample.select("scores", "label"), minerals)
     shift = F.array(*[F.lit(x) for x in offsets])
     adjusted = F.zip_with("scores", shift, lambda s, o: s - o)
@@ -142,10 +142,10 @@ def m10_scores(v):
 def m10(v):
     rows = gate_rows(v)
     model = M.gate_model(rows.where("split = 'training'"), SC, GATE_FEATURES)
-    scored = M.durable(rows.join(model, SC).select(*KEY, "positive", "split", M.gate_score(GATE_FEATURES).alias("s")))
+    scored = M.durable(rows.join(model, SC, "left").select(*KEY, "positive", "split", M.gate_score(GATE_FEATURES).alias("s")))
     base = M.gate_threshold(scored.where("split = 'training'"), SC)
     inside = M.evidence_gates(scored, SC, base, ["line", "sample"])
-    return inside.join(scored.select(*KEY, "positive"), KEY).groupBy("scene_id", "policy").agg(
+    return inside.join(scored.select(*KEY, "positive"), KEY).groupBy("scene_id", "policy", "status").agg(
         F.count(F.lit(1)).alias("pixels"), F.sum(F.col("positive").cast("long")).alias("positives"))
 
 

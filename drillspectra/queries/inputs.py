@@ -30,7 +30,7 @@ def s1(v):
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sample", "spectrum"))), lambda s: s["spectrum"])).alias("flat"),
         F.count(F.lit(1)).alias("samples"))
     raw = packed.select("scene_id", "line", rasters.encode_line("flat").alias("raw"))
-    values = raw.select("scene_id", "line", F.posexplode(rasters.decode_line(25, BANDS)("raw")).alias("at", "value"))
+    values = raw.select("scene_id", "line", F.posexplode(rasters.decode_line("raw")).alias("at", "value"))
     return values.select("scene_id", "line", F.floor(F.col("at") / BANDS).cast("int").alias("sample"),
                          (F.col("at") % BANDS).alias("band"), F.round("value", 9).alias("value"))
 
@@ -156,19 +156,21 @@ VARIANTS = [("full", 0, 64), ("short", 0, 40), ("long", 20, 64), ("core", 12, 52
 
 
 @query("a20_rule_error_ranking", """
-    WITH r AS (SELECT spectrum AS ref FROM refs ORDER BY mineral, ref_id LIMIT 1),
+    WITH r AS (SELECT ref_id, spectrum AS ref FROM refs),
     v(variant, a, b) AS (VALUES ('full', 1, 64), ('short', 1, 40), ('long', 21, 64), ('core', 13, 52)),
-    t AS (SELECT scene_id, variant, vec_id, acos(greatest(-1, least(1, list_dot_product(spectrum[a:b], ref[a:b]) / (sqrt(list_dot_product(spectrum[a:b], spectrum[a:b])) * sqrt(list_dot_product(ref[a:b], ref[a:b])))))) AS x FROM pixels, r, v),
-    f AS (SELECT scene_id, vec_id, x AS truth FROM t WHERE variant = 'full')
-    SELECT scene_id, variant, round(avg(abs(x - truth)), 6) AS mae, round(max(abs(x - truth)), 6) AS worst, round(sqrt(avg((x - truth) ** 2)), 6) AS rmse FROM t JOIN f USING (scene_id, vec_id) GROUP BY ALL""")
+    t AS (SELECT scene_id, variant, vec_id, ref_id, acos(greatest(-1, least(1, list_dot_product(spectrum[a:b], ref[a:b]) / (sqrt(list_dot_product(spectrum[a:b], spectrum[a:b])) * sqrt(list_dot_product(ref[a:b], ref[a:b])))))) AS x FROM pixels, r, v),
+    f AS (SELECT scene_id, vec_id, ref_id, x AS truth FROM t WHERE variant = 'full')
+    SELECT scene_id, ref_id, variant, round(avg(abs(x - truth)), 6) AS mae, round(max(abs(x - truth)), 6) AS worst, round(sqrt(avg((x - truth) ** 2)), 6) AS rmse FROM t JOIN f USING (scene_id, vec_id, ref_id) GROUP BY ALL""")
 def a20(v):
-    """Which band window reproduces a stored rule image best."""
-    reference = library(v)[0]["spectrum"]
+    """Which band window reproduces each reference's stored rule image best."""
+    rows = library(v)
+    ids = F.array(*[F.lit(r["ref_id"]).cast("long") for r in rows])
     columns = v.pixels.select("scene_id", *[
-        F.get(K.angles_to([reference], list(range(a, b)))(F.col("spectrum")), F.lit(0)).alias(n) for n, a, b in VARIANTS])
-    gaps = columns.select("scene_id", F.inline(F.array(*[
-        F.struct(F.lit(n).alias("variant"), (F.col(n) - F.col("full")).alias("e")) for n, _, _ in VARIANTS])))
-    return gaps.groupBy("scene_id", "variant").agg(
+        K.angles_to([r["spectrum"] for r in rows], list(range(a, b)))(F.col("spectrum")).alias(n) for n, a, b in VARIANTS])
+    errors = F.transform(ids, lambda k, i: F.struct(k.alias("ref_id"), *[(F.get(F.col(n), i) - F.get(F.col("full"), i)).alias(n) for n, _, _ in VARIANTS]))
+    each = columns.select("scene_id", F.inline(errors))
+    gaps = each.select("scene_id", "ref_id", F.inline(F.array(*[F.struct(F.lit(n).alias("variant"), F.col(n).alias("e")) for n, _, _ in VARIANTS])))
+    return gaps.groupBy("scene_id", "ref_id", "variant").agg(
         F.round(F.avg(F.abs("e")), 6).alias("mae"), F.round(F.max(F.abs("e")), 6).alias("worst"), F.round(F.sqrt(F.avg(F.col("e") ** 2)), 6).alias("rmse"))
 
 

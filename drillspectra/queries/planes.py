@@ -50,11 +50,14 @@ def a5(v):
 
 
 @query("a5_density_summary", f"""
-    WITH {PROFILE_SQL} SELECT scene_id, round(max(density), 8) AS peak, round(median(density), 8) AS middle,
+    WITH {PROFILE_SQL}, fl AS (SELECT f.scene_id, s AS sample, coalesce(density, 0) AS density, coalesce(hits, 0) AS hits FROM frames f JOIN range(0, 32) r(s) ON s < samples LEFT JOIN pf ON pf.scene_id = f.scene_id AND pf.sample = s)
+    SELECT scene_id, round(max(density), 8) AS peak, round(median(density), 8) AS middle,
       round(quantile_cont(density, 0.95), 8) AS p95, round(max(hits) / CAST(sum(hits) AS DOUBLE), 8) AS largest_share
-    FROM pf GROUP BY scene_id""")
+    FROM fl GROUP BY scene_id""")
 def a5_summary(v):
-    return density(v).groupBy("scene_id").agg(
+    every = v.frames.select("scene_id", F.explode(F.sequence(F.lit(0), F.col("samples") - 1)).alias("sample"))
+    filled = every.join(density(v), ["scene_id", "sample"], "left").fillna(0, ["density", "hits"])
+    return filled.groupBy("scene_id").agg(
         F.round(F.max("density"), 8).alias("peak"),
         F.round(F.percentile("density", F.lit(0.5)), 8).alias("middle"),
         F.round(F.percentile("density", F.lit(0.95)), 8).alias("p95"),
@@ -201,12 +204,12 @@ def w15(v):
         v.candidate.select(*KEY, "class_id", "margin"), S, tolerance=0.5, own_at_most=2, rival_at_least=2)
 
 
-LABEL_SQL = """e AS (SELECT a.scene_id, a.line * 1048576::BIGINT + a.sample AS u, b.line * 1048576::BIGINT + b.sample AS w
+LABEL_SQL = """e AS (SELECT a.scene_id, a.line * 2147483648::BIGINT + a.sample AS u, b.line * 2147483648::BIGINT + b.sample AS w
       FROM candidate a JOIN candidate b ON a.scene_id = b.scene_id AND b.line BETWEEN a.line - 1 AND a.line + 1
       AND b.sample BETWEEN a.sample - 1 AND a.sample + 1),
-    r(scene_id, u, w) AS (SELECT scene_id, line * 1048576::BIGINT + sample, line * 1048576::BIGINT + sample FROM candidate
+    r(scene_id, u, w) AS (SELECT scene_id, line * 2147483648::BIGINT + sample, line * 2147483648::BIGINT + sample FROM candidate
       UNION SELECT r.scene_id, r.u, e.w FROM r JOIN e ON e.scene_id = r.scene_id AND e.u = r.w),
-    lb AS (SELECT scene_id, CAST(u // 1048576 AS INTEGER) AS line, CAST(u % 1048576 AS INTEGER) AS sample, min(w) AS label
+    lb AS (SELECT scene_id, CAST(u // 2147483648 AS INTEGER) AS line, CAST(u % 2147483648 AS INTEGER) AS sample, min(w) AS label
       FROM r GROUP BY scene_id, u),
     cc AS (SELECT scene_id, label, count(*) AS size, min(line) AS min_line, max(line) AS max_line,
       min(sample) AS min_sample, max(sample) AS max_sample, avg(line) AS center_line, avg(sample) AS center_sample FROM lb GROUP BY ALL)"""
@@ -270,11 +273,11 @@ def c7(v):
 
 @query("c8_mask_cleanup", f"""
     WITH RECURSIVE {DENSE_SQL}, {BOX_SQL}, er AS (SELECT scene_id, line, sample FROM bf WHERE n >= 5),
-    e AS (SELECT a.scene_id, a.line * 1048576::BIGINT + a.sample AS u, b.line * 1048576::BIGINT + b.sample AS w
+    e AS (SELECT a.scene_id, a.line * 2147483648::BIGINT + a.sample AS u, b.line * 2147483648::BIGINT + b.sample AS w
       FROM (SELECT * FROM er) a JOIN er b ON a.scene_id = b.scene_id AND b.line BETWEEN a.line - 1 AND a.line + 1
       AND b.sample BETWEEN a.sample - 1 AND a.sample + 1),
     g AS (SELECT scene_id, u, count(*) AS n FROM e GROUP BY ALL)
-    SELECT er.scene_id, er.line, er.sample FROM er JOIN g ON g.scene_id = er.scene_id AND g.u = er.line * 1048576::BIGINT + er.sample WHERE n >= 2""")
+    SELECT er.scene_id, er.line, er.sample FROM er JOIN g ON g.scene_id = er.scene_id AND g.u = er.line * 2147483648::BIGINT + er.sample WHERE n >= 2""")
 def c8(v):
     """Majority filter, then drop single pixels (components below two)."""
     smooth = grid.majority(dense_cells(v), v.frames, S)

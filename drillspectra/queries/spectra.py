@@ -116,13 +116,14 @@ def p5(v):
 
 
 @query("p6_continuum_upper_hull", """
-    WITH h AS (SELECT i.vec_id, i.band, max(CASE WHEN j.band = k.band THEN j.v
-        ELSE j.v + (k.v - j.v) * (i.w - j.w) / (k.w - j.w) END) AS c
-      FROM px i JOIN px j ON j.vec_id = i.vec_id AND j.band <= i.band
-      JOIN px k ON k.vec_id = i.vec_id AND k.band >= i.band
-      GROUP BY i.vec_id, i.band)
-    SELECT p.scene_id, p.line, p.sample, p.band, round(greatest(1 - p.v / h.c, 0), 6) AS value
-    FROM px p JOIN h USING (vec_id, band)""")
+    WITH RECURSIVE nx AS (SELECT a.vec_id, a.band, arg_max(b.band, struct_pack(s := (b.v - a.v) / (b.w - a.w), b := b.band)) AS nb
+      FROM px a JOIN px b ON b.vec_id = a.vec_id AND b.band > a.band GROUP BY ALL),
+    hull(vec_id, band, nb) AS (SELECT vec_id, band, nb FROM nx WHERE band = 0
+      UNION ALL SELECT nx.vec_id, nx.band, nx.nb FROM hull JOIN nx ON nx.vec_id = hull.vec_id AND nx.band = hull.nb),
+    c AS (SELECT p.scene_id, p.line, p.sample, p.band, p.v, a.v + (b.v - a.v) * (p.w - a.w) / (b.w - a.w) AS c
+      FROM hull h JOIN px a ON a.vec_id = h.vec_id AND a.band = h.band JOIN px b ON b.vec_id = h.vec_id AND b.band = h.nb
+      JOIN px p ON p.vec_id = h.vec_id AND p.band >= h.band AND (p.band < h.nb OR p.band = 63 AND h.nb = 63))
+    SELECT scene_id, line, sample, band, round(greatest(1 - v / c, 0), 6) AS value FROM c""")
 def p6(v):
     return long(v.pixels.withColumn("x", K.absorb(AXIS, range(BANDS), "hull")(F.col("spectrum"))))
 
@@ -280,15 +281,13 @@ def p14(v):
 @query("p14_reference_evidence_expression", f"""
     WITH {EVIDENCE_SQL} SELECT scene_id, line, sample,
       round(sum(((coalesce(0.5 * shape, 0) + coalesce(0.15 * slope, 0) + 0.25 * feat + 0.1 * fit) / (0.35 + CASE WHEN shape IS NULL THEN 0 ELSE 0.5 END + CASE WHEN slope IS NULL THEN 0 ELSE 0.15 END))), 4) AS total FROM ev
-      WHERE vec_id NOT IN (SELECT ref_id FROM refs) AND pos < 3 GROUP BY ALL""")
+      WHERE vec_id NOT IN (SELECT ref_id FROM refs) GROUP BY ALL""")
 def p14_expression(v):
     curves, refs = evidence_inputs(v)
     pixels = curves.join(v.refs.select("ref_id"), F.col("vec_id") == F.col("ref_id"), "left_anti")
-    values = [
-        S.reference_evidence(F.col("curve"), A.literal_doubles(r["curve"]), SUB_AXIS, FEATURES, EVIDENCE_WEIGHTS)["total"]
-        for r in refs[:3]
-    ]
-    return pixels.select(*KEY, F.round(sum(values), 4).alias("total"))
+    table = A.literal_matrix([r["curve"] for r in refs])
+    values = F.transform(table, lambda r: S.reference_evidence(F.col("curve"), r, SUB_AXIS, FEATURES, EVIDENCE_WEIGHTS)["total"])
+    return pixels.select(*KEY, F.round(A.total(values), 4).alias("total"))
 
 
 def _end_weights_sql(name: str, window: int) -> str:

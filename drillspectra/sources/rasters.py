@@ -122,15 +122,14 @@ def encode_line(values: pa.Array) -> pa.Array:
     return pa.array([np.asarray(v, dtype=">f8").tobytes() for v in values.to_pylist()], type=pa.binary())
 
 
-def decode_line(samples: int, bands: int):
-    """Binary line of an interleaved-by-pixel cube back to its flat values."""
-
-    @arrow_udf(K.DOUBLES)
-    def kernel(lines: pa.Array) -> pa.Array:
-        rows = [decode(raw.as_py(), 5, True, "bip", 1, samples, bands).ravel().astype(float) for raw in lines]
-        return K._lists(np.array(rows).reshape(len(rows), samples * bands))
-
-    return kernel
+@arrow_udf(K.DOUBLES)
+def decode_line(lines: pa.Array) -> pa.Array:
+    """Big-endian doubles of a scan line of any length back to its flat values, read in place."""
+    held = lines.fill_null(b"").cast(pa.large_binary())
+    _, offsets, data = held.buffers()
+    borders = np.frombuffer(offsets, np.int64, len(held) + 1, held.offset * 8)
+    values = np.frombuffer(data, ">f8", (borders[-1] - borders[0]) // 8, borders[0]).astype(float) if data is not None and borders[-1] > borders[0] else np.zeros(0)
+    return pa.ListArray.from_arrays(((borders - borders[0]) // 8).astype(np.int32), pa.array(values))
 
 
 def ascii_spectrum(text: Column) -> Column:
