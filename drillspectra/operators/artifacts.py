@@ -281,23 +281,25 @@ POLICY_RANK = {"conservative": 0, "balanced": 1, "sensitive": 2}
 
 
 def terminal_filter(
-    stacked: DataFrame, valid: DataFrame, frames: DataFrame, passes: int = 4, detection_policy: str = "balanced"
+    stacked: DataFrame, valid: DataFrame, frames: DataFrame, passes: int = 4, detection_policy: str = "balanced",
+    groups: Sequence[str] = (),
 ) -> DataFrame:
     """Repeat the column audit on nested maps until nothing is left to remove.
 
-    ``stacked`` is (scene_id, policy, line, sample, class_id).  What falls in a
-    weaker map also falls in the stricter ones.  Returns the input with
-    ``removed_in`` (pass, NULL when kept) and ``inherited``.
+    ``stacked`` is (scene_id, policy, line, sample, class_id, *groups).  What falls
+    in a weaker map also falls in the stricter ones of the same group; groups do
+    not touch each other.  Returns the input with ``removed_in`` (pass, NULL when
+    kept) and ``inherited``.
     """
-    cell = ["scene_id", "line", "sample"]
+    cell = ["scene_id", *groups, "line", "sample"]
     rank = F.create_map(*[x for p, r in POLICY_RANK.items() for x in (F.lit(p), F.lit(r))])
     state = stacked.withColumns({
         "rank": rank[F.col("policy")], "removed_in": F.lit(None).cast("int"), "inherited": F.lit(None).cast("boolean")})
     for number in range(1, passes + 1):
         live = state.where("removed_in is null")
         found = repeated_stripes(
-            live.select("scene_id", "policy", "class_id", "line", "sample"), valid, frames,
-            ["scene_id", "policy", "class_id"], detection_policy, corridors=number == 1,
+            live.select(*cell, "policy", "class_id"), valid, frames,
+            ["scene_id", *groups, "policy", "class_id"], detection_policy, corridors=number == 1,
         ).select(*cell, rank[F.col("policy")].alias("_from"))
         falls = durable(found.groupBy(*cell).agg(F.max("_from").alias("_top"), F.collect_set("_from").alias("_own")))
         if falls.isEmpty():

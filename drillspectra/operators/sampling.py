@@ -70,11 +70,16 @@ def strongest(
     return whole.unionByName(cut)
 
 
-def depth_blocks(valid: DataFrame, frames: DataFrame, desired: int = 12, height: int = 64, minimum: int = 128) -> DataFrame:
+def depth_blocks(
+    valid: DataFrame, frames: DataFrame, desired: int = 12, height: int = 64, minimum: int = 128, forced: DataFrame | None = None
+) -> DataFrame:
     """Non-overlapping full-width blocks spread over the depth: per stratum the
     densest block on a quarter-height grid, first one on ties.
 
-    Works on line counts and on running sums of them, so the pixels are read once.
+    Blocks around ``forced`` lines (scene_id, line) come first.  A scene in which
+    no stratum has enough material gets its densest block; if that is too poor as
+    well, it keeps one row with reason ``no_block`` and no lines.  Works on line
+    counts and on running sums of them, so the pixels are read once.
     """
     counts = valid.groupBy("scene_id", "line").agg(F.count(F.lit(1)).alias("c"))
     h = F.least(F.greatest(F.lit(height), F.lit(8)), F.col("lines"))
@@ -100,6 +105,11 @@ def depth_blocks(valid: DataFrame, frames: DataFrame, desired: int = 12, height:
         "scene_id", "k", (-F.col("b._s")).alias("start"),
         F.least(-F.col("b._s") + F.col("h"), F.col("lines")).cast("int").alias("stop"), F.col("b.v").alias("valid_pixels"),
     ).where(F.col("valid_pixels") >= minimum)
+    if forced is not None:
+        begin = F.least(F.greatest(F.col("line") - F.floor(F.col("h") / 2), F.lit(0)), F.col("lines") - F.col("h")).cast("int")
+        asked = forced.select("scene_id", "line").distinct().join(frames.select("scene_id", "lines", h.alias("h")), "scene_id").select(
+            "scene_id", (F.col("line") - (1 << 30)).alias("k"), begin.alias("start"), (begin + F.col("h")).cast("int").alias("stop"), "lines", F.lit(None).alias("h"))
+        picked = picked.unionByName(_material(asked, counts).where(F.col("valid_pixels") >= minimum))
     # at most 32 blocks per scene: keep a block unless an earlier kept one overlaps
     folded = picked.groupBy("scene_id").agg(
         F.array_sort(F.collect_list(F.struct("k", "start", "stop", "valid_pixels"))).alias("all")
@@ -110,9 +120,26 @@ def depth_blocks(valid: DataFrame, frames: DataFrame, desired: int = 12, height:
             F.exists(acc, lambda y: (x["stop"] > y["start"]) & (x["start"] < y["stop"])), acc
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return folded.select("scene_id", F.inline(kept)).select(
-        "scene_id", "start", "stop", F.format_string("depth_stratum_%02d", F.col("k") + 1).alias("reason"), "valid_pixels"
+    found = folded.select("scene_id", F.inline(kept)).select(
+        "scene_id", "start", "stop",
+        F.when(F.col("k") < 0, "forced_line").otherwise(F.format_string("depth_stratum_%02d", F.col("k") + 1)).alias("reason"), "valid_pixels"
     )
+    missing = frames.select("scene_id", "lines", h.alias("h")).join(folded, "scene_id", "left_anti")
+    every = missing.select("scene_id", "lines", F.explode(F.sequence(F.lit(0), (F.col("lines") - F.col("h")).cast("int"))).alias("start"), "h").select(
+        "scene_id", F.lit(0).alias("k"), "start", (F.col("start") + F.col("h")).cast("int").alias("stop"), "lines", "h")
+    densest = _material(every, counts).groupBy("scene_id").agg(F.max(F.struct("valid_pixels", (-F.col("start")).alias("_s"), "stop")).alias("b"))
+    enough = F.col("b.valid_pixels") >= minimum
+    fallback = densest.select(
+        "scene_id", F.when(enough, -F.col("b._s")).cast("int").alias("start"), F.when(enough, F.col("b.stop")).alias("stop"),
+        F.when(enough, "validity_fallback").otherwise("no_block").alias("reason"), F.col("b.valid_pixels").alias("valid_pixels"))
+    return found.unionByName(fallback)
+
+
+def _material(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Blocks (scene_id, k, start, stop) with the material pixels of their lines."""
+    keys = ["scene_id", "k", "start", "stop"]
+    lines = blocks.select(*keys, F.explode(F.sequence("start", F.col("stop") - 1)).alias("line"))
+    return lines.join(counts, ["scene_id", "line"], "left").groupBy(*keys).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("valid_pixels"))
 
 
 def even_rows(blocks: DataFrame, maximum: int) -> DataFrame:

@@ -33,18 +33,21 @@ GROUP = {
     ],
     "weights": {"shape": 0.55, "derivative": 0.15, "features": 0.30},
 }
+#: Strength and cap of the shift of a mineral whose scores are high all over a scene.
+OFFSETS = (0.25, 0.03)
 
 
 def detection_scores(pixels: DataFrame, groups: dict[int, dict], bands: int, carry_spectrum: bool) -> DataFrame:
     """One row per pixel and group with its smallest angle; one Python pass."""
     smooth = K.smooth(bands)
-    scored = pixels.select(*CELL, smooth(F.col("spectrum")).alias("smooth"))
+    level = ["saturated"] if carry_spectrum else []
+    scored = pixels.select(*CELL, *level, smooth(F.col("spectrum")).alias("smooth"))
     rows = F.array(*[
         F.struct(
             F.lit(number).alias("group_no"),
             F.array_min(K.angles_to(g["references"], g["detect"])(F.col("smooth"))).alias("score"),
         ) for number, g in groups.items()])
-    kept = ["smooth"] if carry_spectrum else []
+    kept = [*level, "smooth"] if carry_spectrum else []
     return scored.select(*CELL, *kept, F.inline(rows))
 
 
@@ -75,8 +78,12 @@ def map_scenes(pixels: DataFrame, library: list, frames: DataFrame, axis: list[f
             "positions": S.window_positions(axis, GROUP["classification"], minimum=3),
             "features": GROUP["features"], "weights": GROUP["weights"],
         }
+    # the flag of the middle band travels with the pixel, so it costs no join later
+    middle = len(axis) // 2
+    top = exact_quantiles(pixels.select("scene_id", F.col("spectrum")[middle].alias("v")), ["scene_id"], "v", [0.999]).select("scene_id", F.col("q0").alias("_top"))
+    flagged = pixels.join(top, "scene_id", "left").withColumn("saturated", F.coalesce(F.col("spectrum")[middle] >= F.col("_top"), F.lit(False)))
     limits = durable(candidate_limits(detection_scores(pixels, groups, len(axis), False), frames))
-    found = detection_scores(pixels, groups, len(axis), True).join(limits, ["scene_id", "group_no", "sample"])
+    found = detection_scores(flagged, groups, len(axis), True).join(limits, ["scene_id", "group_no", "sample"])
     passed = F.array_compact(F.array(*[F.when(F.col("score") <= F.col("limits")[i], p) for i, p in enumerate(names)]))
     candidates = found.withColumn("policies", passed).where(F.size("policies") > 0)
     evidence = candidates.withColumn("e", K.grouped_evidence(groups, axis)(F.col("group_no"), F.col("smooth")))
@@ -86,21 +93,28 @@ def map_scenes(pixels: DataFrame, library: list, frames: DataFrame, axis: list[f
         order = sorted(set(g["minerals"]))
         per_group = F.when(F.col("group_no") == number, scoring.mineral_scores(F.col("e.distances"), g["minerals"], order, 2)).otherwise(per_group)
     counts = F.create_map(*[x for n, g in groups.items() for x in (F.lit(n), F.lit(len(set(g["minerals"]))))])
-    judged = evidence.withColumn("m", per_group).withColumn("c", scoring.competition(F.col("m")["score"]))
-    table = durable(judged.select(
-        *CELL, "group_no", "score", "policies", F.col("e.depth").alias("depth"), F.col("c.label").alias("label"),
-        F.col("c.best").alias("best"), F.col("c.margin").alias("margin"), counts[F.col("group_no")].alias("minerals"),
+    held = {m: sum(r["mineral"] == m for r in library) for m in {r["mineral"] for r in library}}
+    references = F.create_map(*[x for m, n in sorted(held.items()) for x in (F.lit(m), F.lit(n))])
+    judged = durable(evidence.select(*CELL, "group_no", "score", "policies", "saturated", F.col("e.depth").alias("depth"), per_group.alias("m")))
+    # minerals that sit above the best one all over a scene are shifted before they compete again
+    medians = judged.select("scene_id", "group_no", F.inline("m"))
+    shifts = calibrate.domain_offsets(medians, *OFFSETS).groupBy("scene_id", "group_no").agg(
+        F.map_from_entries(F.collect_list(F.struct("mineral", "offset"))).alias("shift"))  # one entry per mineral of a group
+    shifted = judged.join(shifts, ["scene_id", "group_no"], "left").withColumn(
+        "s", F.transform("m", lambda x: x["score"] - F.coalesce(F.col("shift")[x["mineral"]], F.lit(0.0))))
+    settled = shifted.withColumn("c", scoring.competition(F.col("s"))).withColumn("raw", scoring.competition(F.col("m")["score"])["label"])
+    table = durable(settled.select(
+        *CELL, "group_no", "score", "policies", "saturated", "depth", F.col("c.label").alias("label"), F.col("c.best").alias("best"),
+        F.col("c.margin").alias("margin"), counts[F.col("group_no")].alias("minerals"), (F.col("raw") == F.col("c.label")).alias("agrees"),
         scoring.gather_winner(F.col("m")["consensus"], F.col("c.label")).alias("consensus"),
         scoring.gather_winner(F.col("m")["mineral"], F.col("c.label")).alias("mineral"),
-    ))
+    ).withColumn("references", references[F.col("mineral")]))
     accepted = durable(accept(table, pixels.select(*CELL), frames))
     kept = artifacts.terminal_filter(
-        accepted.select("scene_id", "policy", "line", "sample", (F.col("group_no") * 1000 + F.col("mineral")).alias("class_id")),
-        pixels.select(*CELL), frames).where("removed_in is null")
-    named = kept.select(*CELL, "policy", F.floor(F.col("class_id") / 1000).cast("int").alias("group_no"),
-                        (F.col("class_id") % 1000).cast("int").alias("class_id"))
+        accepted.select("scene_id", "group_no", "policy", "line", "sample", F.col("mineral").alias("class_id")),
+        pixels.select(*CELL), frames, groups=["group_no"]).where("removed_in is null")
     confidence = accepted.where("policy = 'sensitive'").select(*CELL, "group_no", "confidence")
-    final = maps.arbitrate(named, confidence, CELL)
+    final = maps.arbitrate(kept.select(*CELL, "policy", "group_no", "class_id"), confidence, CELL)
     return final.join(confidence, [*CELL, "group_no"]).select(
         *CELL, "group_no", "policy", F.col("class_id").alias("mineral"), "confidence")
 
@@ -120,8 +134,8 @@ def accept(table: DataFrame, valid: DataFrame, frames: DataFrame) -> DataFrame:
     both = scoring.confidence(
         angle=c("score"), angle_limit=F.lit(POLICIES["sensitive"]["absolute_sam_threshold_rad"]), best_raw=c("best"), p10=c("p10"), p90=c("p90"),
         margin=c("margin"), margin_p75=F.coalesce("p75", F.lit(0.0)), minerals=c("minerals"), consensus_share=c("consensus"), depth=c("depth"),
-        depth_floor=F.lit(POLICIES["sensitive"]["minimum_absorption_depth"]), agrees=F.lit(True), classified=c("label") > 0,
-        column_risk=F.coalesce("risk", F.lit(0.0)), edge_risk=F.coalesce("edge_risk", F.lit(0.0)), saturated=F.lit(False))
+        depth_floor=F.lit(POLICIES["sensitive"]["minimum_absorption_depth"]), agrees=F.coalesce("agrees", F.lit(False)), classified=c("label") > 0,
+        column_risk=F.coalesce("risk", F.lit(0.0)), edge_risk=F.coalesce("edge_risk", F.lit(0.0)), saturated=c("saturated"))
     scored = joined.withColumn("e", both).select(*table.columns, "e.confidence")
     rules = F.filter(F.array(*[
         F.struct(F.lit(p).alias("policy"), *[F.lit(float(rule[k])).alias(k) for k in (
@@ -131,7 +145,7 @@ def accept(table: DataFrame, valid: DataFrame, frames: DataFrame) -> DataFrame:
     ok = rows.where(
         scoring.margin_pass(c("margin"), c("minimum_margin"), c("minerals"), c("label") > 0)
         & (c("depth") >= c("minimum_absorption_depth")) & (c("confidence") >= c("confidence_threshold"))
-        & (c("consensus") >= calibrate.consensus_floor(c("minimum_reference_consensus"), c("policy"), F.lit(3))))
+        & (c("consensus") >= calibrate.consensus_floor(c("minimum_reference_consensus"), c("policy"), c("references"))))
     # a pixel a stricter policy takes also belongs to the weaker ones
     ranks = F.create_map(F.lit("conservative"), F.lit(0), F.lit("balanced"), F.lit(1), F.lit("sensitive"), F.lit(2))
     strictest = ok.groupBy(*CELL, "group_no", "mineral", "confidence").agg(F.min(ranks[c("policy")]).alias("r"))

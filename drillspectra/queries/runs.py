@@ -59,7 +59,7 @@ def q12(v):
     area = v.pixel_frames
     quality = sensor.sensor_quality(v.px).select("scene_id", "snr", "bad_bands")
     mask = v.pixels.where(S.is_material(F.col("spectrum"))).groupBy("scene_id").agg(F.count(F.lit(1)).alias("pixels"))
-    plan = sampling.depth_blocks(v.pixels.select(*KEY), area, desired=4, height=8, minimum=16).groupBy("scene_id").agg(F.count(F.lit(1)).alias("blocks"))
+    plan = sampling.depth_blocks(v.pixels.select(*KEY), area, desired=4, height=8, minimum=16).groupBy("scene_id").agg(F.count("start").alias("blocks"))
     spacing = sensor_axis(v).groupBy("scene_id").agg((F.max("wavelength_nm") - F.min("wavelength_nm")).alias("span"))
     rows = area.join(mask, "scene_id", "left").join(quality, "scene_id", "left").join(plan, "scene_id", "left").join(spacing, "scene_id", "left")
     reasons = F.array_compact(F.array(
