@@ -141,7 +141,8 @@ def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, run_words: int = R
     marks = (rows.select("text").mapInArrow(_fingerprints(window), "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
     met = durable(rows.select("doc", "text").mapInArrow(_windows(window), "mark long, content long, doc long, start int")
                   .join(durable(marks), "mark", "left_semi").select("content", "doc", "start").distinct())
-    first = met.groupBy("content").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first")
+    # a written table keeps the join a plain one of two shuffles, which Spark may split at a hot passage
+    first = durable(met.groupBy("content").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first"))
     repeats = met.join(first, "content").where(F.struct("doc", "start") != F.col("first"))
     per_doc = repeats.groupBy("doc").agg(F.collect_list(F.struct("start", "content")).alias("found"))
     per_doc = per_doc.select("doc", F.col("found.start").alias("starts"), F.col("found.content").alias("contents"))
