@@ -139,7 +139,20 @@ def q9(v):
 VARIANTS = [("narrow", 41, 0.12, 2.0), ("default", 61, 0.15, 1.8), ("strict", 61, 0.25, 2.5), ("wide", 81, 0.10, 1.5)]
 
 
-@query("q11_stripe_filter_variants")
+def variant_sql(name: str, window: int, density: float, ratio: float) -> str:
+    half = window // 2
+    return f"""SELECT vv.scene_id, '{name}' AS variant, count(*) AS removed FROM (SELECT v.*, s.score IS NOT NULL AS hit, count(*) OVER q AS exposed, count(s.score) OVER q AS hits
+        FROM valid v LEFT JOIN striped s USING (scene_id, line, sample) WINDOW q AS (PARTITION BY v.scene_id, v.sample ORDER BY v.line RANGE BETWEEN {half} PRECEDING AND {half} FOLLOWING)) vv
+      JOIN lt USING (scene_id, line, sample) JOIN bl USING (scene_id, sample)
+      WHERE hit AND d >= {density} AND d >= base * {ratio} AND d >= base + 0.04 AND CAST(hits AS DOUBLE) / exposed >= {density} AND lateral_hits <= 2 GROUP BY vv.scene_id"""
+
+
+@query("q11_stripe_filter_variants", f"""
+    WITH dn AS (SELECT v.scene_id, v.sample, count(s.score) / CAST(count(*) AS DOUBLE) AS d FROM valid v LEFT JOIN striped s USING (scene_id, line, sample) GROUP BY ALL),
+    bl AS (SELECT a.scene_id, a.sample, a.d, coalesce(median(b.d), 0) AS base FROM dn a LEFT JOIN dn b ON b.scene_id = a.scene_id AND ((b.sample >= a.sample - 6 AND b.sample < a.sample - 1)
+      OR (b.sample >= a.sample + 2 AND b.sample < a.sample + 7)) GROUP BY ALL),
+    lt AS (SELECT scene_id, line, sample, count(*) OVER (PARTITION BY scene_id, line ORDER BY sample RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS lateral_hits FROM striped)
+    {" UNION ALL ".join(variant_sql(*x) for x in VARIANTS)}""")
 def q11(v):
     hits = v.striped.select(*KEY)
     rows = None

@@ -16,7 +16,7 @@ from ..session import scratch_folder
 from ..sources import rasters, sinks
 from ..streaming import lines
 from .decisions import POLICY_SQL, policy_maps
-from .planes import DENSE_SQL, dense_cells
+from .planes import DENSE_SQL, dense_cells, gaps_sql, reach_sql
 from .spectra import IN_WINDOW, POSITIONS, SPREAD, SUB_AXIS, absorbed, library
 
 SC = ["scene_id"]
@@ -102,7 +102,7 @@ def s7(v):
     return v.table("supplier").select("s_suppkey", moved.alias("m")).select("s_suppkey", F.round("m.map_x", 6).alias("map_x"), F.round("m.map_y", 6).alias("map_y"))
 
 
-@query("s8_library_sink")
+@query("s8_library_sink", "SELECT source_id, count(*) AS candidates FROM measurements GROUP BY source_id")
 def s8(v):
     folder = scratch_folder(v.spark, "library")
     sinks.write_candidates(v.measurements.select("measurement_id", "source_id", "raw_name", "phase"), folder)
@@ -235,7 +235,14 @@ def q10(v):
     return masks.coverage_gate(masks.coverage_regions(blocks), v.frames)
 
 
-@query("u6_hybrid_mask")
+@query("u6_hybrid_mask", f"""
+    WITH RECURSIVE base AS (SELECT scene_id, line, sample FROM cells WHERE score <= 0.05), sure AS (SELECT scene_id, line, sample FROM cells WHERE depth >= 0.9),
+    un AS (SELECT * FROM base UNION SELECT s.* FROM sure s SEMI JOIN base b ON b.scene_id = s.scene_id AND b.line BETWEEN s.line - 2 AND s.line + 2 AND b.sample BETWEEN s.sample - 2 AND s.sample + 2),
+    {gaps_sql('un')}, {reach_sql('gp', 'gaps', 4)},
+    filled AS (SELECT * FROM un UNION ALL SELECT gp.scene_id, line, sample FROM gp JOIN frames USING (scene_id) WHERE size <= 4 AND lo > 0 AND left_ > 0 AND hi < lines - 1 AND right_ < samples - 1),
+    {reach_sql('fl', 'filled', 4)}
+    SELECT scene_id, CAST((b.line IS NOT NULL)::INTEGER + 2 * (s.line IS NOT NULL)::INTEGER AS INTEGER) AS agreement, count(*) AS pixels
+    FROM fl LEFT JOIN base b USING (scene_id, line, sample) LEFT JOIN sure s USING (scene_id, line, sample) WHERE size >= 4 GROUP BY ALL""")
 def u6(v):
     base = v.cells.where("score <= 0.05").select(*KEY)
     out = masks.hybrid_mask(base, v.cells.select(*KEY, F.col("depth").alias("probability")), v.frames, hole=4, component=4)

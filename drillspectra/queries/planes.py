@@ -247,12 +247,30 @@ def c4(v):
         F.round("center_line", 6).alias("center_line"), F.round("center_sample", 6).alias("center_sample"))
 
 
-HOLE_SQL = f"""{DENSE_SQL.replace('0.085', '0.09')}, h AS (SELECT f.scene_id, CAST(l AS INTEGER) AS line, CAST(s AS INTEGER) AS sample FROM frames f,
-      range(0, 1000) a(l), range(0, 32) b(s) WHERE l < lines AND s < samples
-      AND NOT EXISTS (SELECT 1 FROM dense_cells d WHERE d.scene_id = f.scene_id AND d.line = l AND d.sample = s) )"""
-
-
-@query("c5_fill_small_holes")
+def reach_sql(name: str, cells: str, most: int) -> str:
+    """Size of each cell's component, exact up to ``most`` cells and larger than that otherwise.
+
+    Walks at most that many steps from each cell, and not beyond one whose neighbours are too many already.
+    """
+    return f"""{name}_n AS (SELECT a.scene_id, a.line, a.sample, count(*) - 1 AS n FROM {cells} a JOIN {cells} b ON b.scene_id = a.scene_id
+        AND b.line BETWEEN a.line - 1 AND a.line + 1 AND b.sample BETWEEN a.sample - 1 AND a.sample + 1 GROUP BY ALL),
+    {name}_r(scene_id, l0, s0, line, sample, n, d) AS (SELECT scene_id, line, sample, line, sample, n, 0 FROM {name}_n
+      UNION SELECT r.scene_id, r.l0, r.s0, c.line, c.sample, c.n, d + 1 FROM {name}_r r JOIN (SELECT scene_id, line + dl AS fl, sample + ds AS fs, line, sample, n
+          FROM {name}_n, (VALUES (-1), (0), (1)) x(dl), (VALUES (-1), (0), (1)) y(ds) WHERE dl <> 0 OR ds <> 0) c
+        ON c.scene_id = r.scene_id AND c.fl = r.line AND c.fs = r.sample WHERE d < {most} AND r.n < {most}),
+    {name} AS (SELECT scene_id, l0 AS line, s0 AS sample, greatest(count(DISTINCT line * 1000 + sample), max(n) + 1) AS size, min(line) AS lo, max(line) AS hi, min(sample) AS left_, max(sample) AS right_
+      FROM {name}_r GROUP BY ALL)"""
+
+
+def gaps_sql(cells: str) -> str:
+    return f"""gaps AS (SELECT f.scene_id, CAST(l AS INTEGER) AS line, CAST(s AS INTEGER) AS sample FROM frames f JOIN range(0, 1000) a(l) ON l < lines JOIN range(0, 32) b(s) ON s < samples
+      ANTI JOIN {cells} d ON d.scene_id = f.scene_id AND d.line = l AND d.sample = s)"""
+
+
+@query("c5_fill_small_holes", f"""
+    WITH RECURSIVE {DENSE_SQL}, {gaps_sql('dense_cells')}, {reach_sql('gp', 'gaps', 6)}
+    SELECT scene_id, line, sample FROM dense_cells UNION ALL
+    SELECT gp.scene_id, line, sample FROM gp JOIN frames USING (scene_id) WHERE size <= 6 AND lo > 0 AND left_ > 0 AND hi < lines - 1 AND right_ < samples - 1""")
 def c5(v):
     return CC.fill_holes(dense_cells(v), v.frames, 6)
 
