@@ -22,7 +22,7 @@ def score_lines(stream: DataFrame, score: Callable[[DataFrame], DataFrame], targ
 
 
 def running_density(stream: DataFrame, time: str, column: str, limit: float, window: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Events, low values and their share per time window and column."""
+    """Events, low values and their share per time window and column; rows more than ``late`` behind the newest are refused."""
     return (
         stream.withWatermark(time, late)
         .groupBy(F.window(time, window), column)
@@ -31,14 +31,10 @@ def running_density(stream: DataFrame, time: str, column: str, limit: float, win
     )
 
 
-def keep_latest(result: DataFrame, target: str, state: str) -> None:
-    """Write the complete result of every batch over the previous one."""
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
-
+def append_closed(result: DataFrame, target: str, state: str) -> None:
+    """Append each window once its end lies behind the watermark; its state is dropped then and later rows are refused."""
     query = (
-        result.writeStream.outputMode("complete").foreachBatch(replace)
+        result.writeStream.outputMode("append").format("parquet").option("path", target)
         .option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
