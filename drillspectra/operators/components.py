@@ -70,7 +70,7 @@ def connected_roots(edges: DataFrame, limit: int = 60) -> DataFrame:
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))
         )
-        current = durable(small.where("u <> v").distinct())
+        current = durable(small.where("u <> v").distinct(), replaces=current)
         state = current.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
         ).first()

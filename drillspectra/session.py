@@ -55,15 +55,29 @@ def _checkpoint_folder(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and cut its lineage.
 
     A written table keeps its real size for the planner and is read column by
-    column; losing an executor costs a re-read and no recomputation.
+    column; losing an executor costs a re-read and no recomputation.  A table
+    that this one ``replaces`` is deleted once the new one is written.
     """
     folder = scratch_folder(df.sparkSession, "table")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out.durable_folder = folder
+    if replaces is not None:
+        discard(replaces)
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a ``durable`` table that nothing reads any more."""
+    folder = getattr(table, "durable_folder", None)
+    if folder is not None:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def collect_bounded(df: DataFrame, maximum_rows: int, what: str) -> list:
