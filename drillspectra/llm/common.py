@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import durable, scratch_folder, ship_package
+from ..session import discard, durable, scratch_folder, ship_package
 
-__all__ = ["QUERIES", "SQL", "durable", "fits", "query", "scratch_folder", "ship_package", "table"]
+__all__ = ["QUERIES", "SQL", "discard", "durable", "fits", "query", "scratch_folder", "ship_package", "table"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

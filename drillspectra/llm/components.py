@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,20 +23,19 @@ def components(edges: DataFrame) -> DataFrame:
         while True:
             up = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
             hooks = durable(hooks.join(up, "root").select("node", F.col("above").alias("root"),
-                                                         (F.col("above") < F.col("root")).alias("moved")))
+                                                         (F.col("above") < F.col("root")).alias("moved")), replaces=hooks)
             if hooks.where("moved").isEmpty():
                 break
-            hooks = hooks.drop("moved")
-        hooks = hooks.drop("moved")
-        if known is None:
-            known = hooks
-        else:
-            step = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            known = durable(known.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+        step = hooks.select(F.col("node").alias("root"), F.col("root").alias("above"))
         head = hooks.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         tail = hooks.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         links = durable(links.join(head, "a").join(tail, "b").where("ra <> rb")
-                        .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+                        .select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), replaces=links)
+        if known is None:
+            known = hooks
+        else:
+            known = durable(known.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")), replaces=known)
+            discard(hooks)
     if known is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return known
+    return known.select("node", "root")
