@@ -14,6 +14,8 @@ from drillspectra.llm.tokens import packed_tokens
 
 #: The stages hold Python and numpy work, so no SQL states them; tests compare them with brute force.
 ORACLE_SQL = None
+#: Encodings a worker remembers; fewer than alone, as the stages share the memory of one executor.
+KEPT_WORDS = 150_000
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +59,8 @@ def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     try:
         placed = docs.select(F.col("doc_id"), F.col("text"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     except AnalysisException:
-        return packed_tokens(rows)
-    return packed_tokens(placed, order=["_file", "_row"])
+        return packed_tokens(rows, kept_words=KEPT_WORDS)
+    return packed_tokens(placed, order=["_file", "_row"], kept_words=KEPT_WORDS)
 
 
 STAGES = [

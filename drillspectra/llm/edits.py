@@ -151,6 +151,7 @@ def _matched(shared):
         matcher = cache["matcher"]
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
         for batch in batches:
+            batch = batch.append_column("text", batch.column("row").field("text"))
             for piece in slices(batch):
                 out = []
                 for text, before in zip(piece.column("text").to_pylist(), piece.column("matches").to_pylist()):
@@ -160,7 +161,7 @@ def _matched(shared):
                         name = matcher.items[number][0]
                         least[name] = min(distance, least.get(name, distance))
                     out.append([{"item_id": k, "distance": v} for k, v in sorted(least.items(), key=lambda kv: (kv[0] is None, kv[0]))])
-                yield pa.RecordBatch.from_arrays([piece.column("row"), piece.column("text"), pa.array(out, kind)], names=["row", "text", "matches"])
+                yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(out, kind)], names=["row", "matches"])
 
     return run
 
@@ -177,17 +178,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     ship_package(spark)
     known = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
     blocks = max(-(-known.count() // ITEM_BLOCK), 1)
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"),
-                      F.array().cast(MATCHES).alias("matches"))
-    schema = StructType([StructField("row", out.schema["row"].dataType), StructField("text", out.schema["text"].dataType),
-                         StructField("matches", out.schema["matches"].dataType)])
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.array().cast(MATCHES).alias("matches"))
+    schema = StructType([StructField("row", out.schema["row"].dataType), StructField("matches", out.schema["matches"].dataType)])
     for block in range(blocks):
         rows = collect_bounded(known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block), 4 * ITEM_BLOCK, "a block of benchmark items")
         items = [(r["item_id"], folded(r["item"])) for r in rows]
         items = [(name, text) for name, text in items if len(text) >= SHORTEST_ITEM]
         if items:
             out = out.mapInArrow(_matched(spark.sparkContext.broadcast((items, rate))), schema)
-    return out.select("row", "matches")
+    return out
 
 
 @query("op4_decontamination")

@@ -66,7 +66,7 @@ class ContextTrees:
         seen = np.unique(gram & 255)
         seen = seen[seen > 0]
         width = self.width = len(seen) + 2
-        self.letters = np.full(256, width - 1, np.int64)  # the last class: bytes never seen
+        self.letters = np.full(256, width - 1, np.int32)  # the last class: bytes never seen
         self.letters[0] = 0  # before the text
         self.letters[seen] = np.arange(1, len(seen) + 1)
         a, b1, b2, b3 = (self.letters[(gram >> shift) & 255] for shift in (0, 8, 16, 24))
@@ -138,7 +138,7 @@ class ContextTrees:
         if len(full):
             now, before = _codes(raw, borders)
             a, b1, b2, b3 = (self.letters[x] for x in (now, *before))
-            cells = self.ready()[(b3 * self.width + b2) * self.width + b1].astype(np.int64) * self.width + a
+            cells = self.ready()[(b3 * self.width + b2) * self.width + b1] * np.int32(self.width) + a
             out[full] = np.add.reduceat(self.cost[cells], borders[:-1][full], axis=0, dtype=np.int64)
         return out
 
@@ -186,7 +186,8 @@ def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = shared.value
         for batch in batches:
-            for piece in slices(batch, limit=_PIECE):
+            texts = pa.RecordBatch.from_arrays([batch.column("row"), batch.column("row").field("text")], names=["row", "text"])
+            for piece in slices(texts, limit=_PIECE):
                 raw, borders = flat_text(piece.column("text"))
                 letters = _has_letter(piece, raw, borders)
                 if trees is None:
@@ -216,7 +217,7 @@ def identified(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(trees)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     schema = StructType([StructField("row", rows.schema["row"].dataType), StructField("lang_pred", StringType()),
                          StructField("score", DoubleType()), StructField("code_bits", DoubleType())])
     return rows.mapInArrow(_predicted(shared), schema)

@@ -36,7 +36,8 @@ class Encoder:
     goes to the library as a whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS):
+        self.kept_words = kept_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -90,7 +91,7 @@ class Encoder:
             else:
                 apart[row] = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
         new = set(words).difference(self.place)
-        if len(self.place) + len(new) > KEPT_WORDS and self.place:
+        if len(self.place) + len(new) > self.kept_words and self.place:
             self._clear()
             new = set(words)
         if new:
@@ -129,16 +130,17 @@ def _room(array: np.ndarray, size: int) -> np.ndarray:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
+def encoder(vocabulary: str, kept_words: int = KEPT_WORDS) -> Encoder:
     """One encoder per worker process; ``vocabulary`` is a file, or a name the tokenizer package knows."""
     if vocabulary not in _ENCODERS:
         import public_tokenizers
 
         _ENCODERS[vocabulary] = Encoder(vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary))
+    _ENCODERS[vocabulary].kept_words = kept_words
     return _ENCODERS[vocabulary]
 
 
-def _shards_written(folder: str, vocabulary: str, shard_tokens: int, kind: str):
+def _shards_written(folder: str, vocabulary: str, shard_tokens: int, kept_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         ids, documents, lengths, held, number = [], [], [], 0, 0
@@ -156,7 +158,7 @@ def _shards_written(folder: str, vocabulary: str, shard_tokens: int, kind: str):
         for batch in batches:
             for piece in slices(batch):
                 texts = piece.column("text").fill_null("").to_pylist()
-                found, sizes = encoder(vocabulary).encode(texts)
+                found, sizes = encoder(vocabulary, kept_words).encode(texts)
                 stops = np.cumsum(sizes)
                 found = np.insert(found, stops, END)
                 ids.append(found)
@@ -168,22 +170,25 @@ def _shards_written(folder: str, vocabulary: str, shard_tokens: int, kind: str):
                     ids, documents, lengths, held, number = [], [], [], 0, number + 1
         if held:
             yield close()
+        if kept_words < KEPT_WORDS:  # memory is short, so the worker starts its next task without
+            _ENCODERS.pop(vocabulary, None)
 
     return run
 
 
 def write_shards(docs: DataFrame, folder: str, order: list[str] = ("doc_id",), vocabulary: str = "word_bpe_49k.json",
-                 shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+                 shard_tokens: int = SHARD_TOKENS, kept_words: int = KEPT_WORDS) -> DataFrame:
     """Write ``docs(doc_id, text, *order)`` as shards; ``part, number, path, tokens, documents`` of each.
 
     Documents stand in ascending ``order`` (nulls first), ties by doc_id and text. Each ends with id 1;
     a null or empty text is that id alone. The shards in order of (part, number) hold the whole stream.
+    ``kept_words`` bounds what a worker remembers of its encodings; it changes time and memory only.
     """
     keys = list(dict.fromkeys([*order, "doc_id"]))
     rows = docs.select(*[F.col(k) for k in keys], F.col("text"))
     rows = rows.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in [*keys, "text"]])
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_shards_written(folder, vocabulary, shard_tokens, "long"), "part int, number int, path string, tokens long, documents long")
+    return rows.mapInArrow(_shards_written(folder, vocabulary, shard_tokens, kept_words), "part int, number int, path string, tokens long, documents long")
 
 
 def _shards_read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +213,12 @@ def read_shards(manifest: DataFrame) -> DataFrame:
             .mapInArrow(_shards_read, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
-def packed_tokens(docs: DataFrame, order: list[str] = ("doc_id",), vocabulary: str = "word_bpe_49k.json") -> DataFrame:
+def packed_tokens(docs: DataFrame, order: list[str] = ("doc_id",), vocabulary: str = "word_bpe_49k.json", kept_words: int = KEPT_WORDS) -> DataFrame:
     """Write shards into the shared folder and read every document back from them."""
     spark = docs.sparkSession
     ship_package(spark)
     folder = scratch_folder(spark, "tokens")
-    return read_shards(durable(write_shards(docs, folder, order, vocabulary)))
+    return read_shards(durable(write_shards(docs, folder, order, vocabulary, kept_words=kept_words)))
 
 
 @query("op3_token_shards")
