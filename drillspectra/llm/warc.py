@@ -232,7 +232,7 @@ def _archives_read(with_payload: bool):
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """Every record of the archives of ``manifest(path, records)``, with its payload if asked for."""
-    return manifest.repartition("path").mapInArrow(_archives_read(with_payload), _READ)
+    return manifest.repartition(max(manifest.count(), 1), "path").mapInArrow(_archives_read(with_payload), _READ)
 
 
 SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
