@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .arrays import slices
+from .arrays import SLICE_BYTES, slices
 from .common import durable, query, scratch_folder, ship_package, table
 from .storage import reading, writing
 from .wavelet import WaveletMatrix
@@ -23,6 +23,8 @@ END = 1
 SHARD_TOKENS = 4 << 20
 #: Encoded chunks and words that a worker keeps; the memory is emptied when it is full.
 KEPT_WORDS = 900_000
+#: Text encoded at once, where a worker has that much memory.
+TEXT_SLICE = 4 << 20
 #: Letters of Latin-1 and a run of plain marks, which the pre-tokenizer always parts.
 _WORD_AND_MARK = re.compile(r"([a-zà-öø-ÿ]+)([.,;:!?&*%#]+)").fullmatch
 
@@ -156,7 +158,7 @@ def _shards_written(folder: str, vocabulary: str, shard_tokens: int, kept_words:
                                                pa.array([int(sizes.sum())]), pa.array([len(sizes)])], names=["part", "number", "path", "tokens", "documents"])
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=TEXT_SLICE if kept_words == KEPT_WORDS else SLICE_BYTES):
                 texts = piece.column("text").fill_null("").to_pylist()
                 found, sizes = encoder(vocabulary, kept_words).encode(texts)
                 stops = np.cumsum(sizes)
