@@ -25,9 +25,12 @@ _LAST = (1 << 63) - 1
 
 
 class Lines:
-    """Lines of all rows of a slice: hash, words, byte range, row and number in the row."""
+    """Lines of all rows of a slice: hash, words, byte range, row and number in the row.
 
-    def __init__(self, column: pa.Array, window: int):
+    ``short`` holds (lines, first lines, contents) of the shorter windows that have ``short_words`` words alone.
+    """
+
+    def __init__(self, column: pa.Array, window: int, short_words: int | None = None):
         self.raw, self.borders = raw, borders = flat_text(column)
         self.window = window
         low = lower_ascii(raw)
@@ -59,50 +62,65 @@ class Lines:
         self.least, self.value = least, value
         self.fresh = np.ones(len(at), bool)
         self.fresh[1:] = place[1:] != place[:-1]
+        self.short = [self._short(size, short_words) for size in range(1, window)] if short_words is not None else []
 
+    def _short(self, size: int, least_words: int) -> tuple[int, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(self.number + size <= self.counts[self.row])
+        at = at[sum(self.words[at + step] for step in range(size)) >= least_words]
+        value = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for step in range(size):
+                value = mix(value * np.uint64(0x2545F4914F6CDD1D) + self.hash[at + step])
+        return size, at, value
 
-def _fingerprints(window: int):
+
+def _fingerprints(window: int, short_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                lines = Lines(piece.column("text"), window)
-                yield pa.RecordBatch.from_arrays([pa.array(lines.least[lines.fresh].view(np.int64))], names=["mark"])
+                lines = Lines(piece.column("text"), window, short_words)
+                marks = np.concatenate([lines.least[lines.fresh], *(value for _, _, value in lines.short)])
+                yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64))], names=["mark"])
 
     return run
 
 
-def _windows(window: int):
+def _windows(window: int, short_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                lines = Lines(piece.column("text"), window)
-                doc = piece.column("doc").to_numpy()[lines.row[lines.at]] if piece.num_rows else np.zeros(0, np.int64)
+                lines = Lines(piece.column("text"), window, short_words)
+                at = np.concatenate([lines.at, *(first for _, first, _ in lines.short)])
+                mark = np.concatenate([lines.least, *(value for _, _, value in lines.short)])  # a short window is its own mark
+                value = np.concatenate([lines.value, *(value for _, _, value in lines.short)])
+                doc = piece.column("doc").to_numpy()[lines.row[at]] if piece.num_rows else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lines.least.view(np.int64)), pa.array(lines.value.view(np.int64)), pa.array(doc), pa.array(lines.number[lines.at].astype(np.int32))],
+                    [pa.array(mark.view(np.int64)), pa.array(value.view(np.int64)), pa.array(doc), pa.array(lines.number[at].astype(np.int32))],
                     names=["mark", "content", "doc", "start"])
 
     return run
 
 
-def _cleaned(window: int, run_words: int):
+def _cleaned(window: int, run_words: int, short_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
-                lines = Lines(piece.column("text"), window)
+                lines = Lines(piece.column("text"), window, short_words)
                 starts, contents = piece.column("starts"), piece.column("contents")
                 texts, gone = [], []
                 for row in range(piece.num_rows):
                     text = piece.column("text")[row].as_py()
                     begin, count = int(lines.begin[row]), int(lines.counts[row])
                     dead = np.zeros(count, bool)
-                    if starts[row].is_valid and count >= window:
-                        lo, hi = np.searchsorted(lines.at, [begin, begin + count])
-                        own = lines.value[lo:hi].view(np.int64)
-                        at, content = np.array(starts[row].as_py()), np.array(contents[row].as_py(), np.int64)
-                        fits = at < len(own)
-                        at, content = at[fits], content[fits]
-                        for start in at[own[at] == content]:
-                            dead[start : start + window] = True
+                    if starts[row].is_valid and count:
+                        repeated = np.array(starts[row].as_py()) + begin, np.array(contents[row].as_py(), np.int64)
+                        for size, first, value in [(window, lines.at, lines.value), *lines.short]:
+                            lo, hi = np.searchsorted(first, [begin, begin + count])
+                            place = lo + np.searchsorted(first[lo:hi], repeated[0])
+                            fits = np.flatnonzero(place < hi)
+                            fits = fits[(first[place[fits]] == repeated[0][fits]) & (value[place[fits]].view(np.int64) == repeated[1][fits])]
+                            for start in repeated[0][fits] - begin:
+                                dead[start : start + size] = True
                         edges = np.flatnonzero(np.diff(np.concatenate([[0], dead.astype(np.int8), [0]])))
                         for a, b in zip(edges[::2], edges[1::2]):
                             if lines.words[begin + a : begin + b].sum() < run_words:
@@ -122,7 +140,7 @@ def _cleaned(window: int, run_words: int):
     return run
 
 
-def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, run_words: int = RUN_WORDS) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, run_words: int = RUN_WORDS, by_words: bool = False) -> DataFrame:
     """``doc_id, text, n_lines, n_removed`` of every row of ``docs(doc_id, text)``, without later repeats.
 
     1. Of each ``window`` consecutive lines the one with the smallest hash is a fingerprint; equal runs
@@ -132,14 +150,18 @@ def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, run_words: int = R
     3. Repeats that touch or overlap grow together into runs, however far they reach; runs of at least
        ``run_words`` words are deleted. All other bytes stay as they are.
 
+    With ``by_words`` the words alone decide: runs of fewer than ``window`` lines with ``run_words`` words
+    are found too, as windows of their own. The query and its SQL ask for ``window`` lines.
+
     Repeats inside one document count too. A null or empty text has no lines and stays. Rows with a
     null doc_id come last and, like rows that repeat a doc_id, are one document.
     """
     spark = docs.sparkSession
     ship_package(spark)
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"))
-    marks = (rows.select("text").mapInArrow(_fingerprints(window), "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
-    met = durable(rows.select("doc", "text").mapInArrow(_windows(window), "mark long, content long, doc long, start int")
+    short_words = run_words if by_words else None
+    marks = (rows.select("text").mapInArrow(_fingerprints(window, short_words), "mark long").groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
+    met = durable(rows.select("doc", "text").mapInArrow(_windows(window, short_words), "mark long, content long, doc long, start int")
                   .join(durable(marks), "mark", "left_semi").select("content", "doc", "start").distinct())
     # a written table keeps the join a plain one of two shuffles, which Spark may split at a hot passage
     first = durable(met.groupBy("content").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("content", "first"))
@@ -148,7 +170,7 @@ def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, run_words: int = R
     per_doc = per_doc.select("doc", F.col("found.start").alias("starts"), F.col("found.content").alias("contents"))
     kind = dict(docs.dtypes)["doc_id"]
     return (rows.join(per_doc, "doc", "left").select("doc_id", "text", "starts", "contents")
-            .mapInArrow(_cleaned(window, run_words), f"doc_id {kind}, text string, n_lines long, n_removed long"))
+            .mapInArrow(_cleaned(window, run_words, short_words), f"doc_id {kind}, text string, n_lines long, n_removed long"))
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -303,6 +304,52 @@ def test_repeated_rows_count_as_one_document(spark):
     assert got == [("4", 0), ("4", 0), ("9", 8), ("None", 8)]
 
 
+def _without_repeats_by_words(rows, window=3, run_words=40):
+    cut = {d: [p for p in re.split(r"(?<=\n)|(?<=[.!?] )", t or "") if p] for d, t in rows}
+    seen, out = set(), {}
+    for doc_id in sorted(cut):
+        parts = cut[doc_id]
+        full = [i for i, p in enumerate(parts) if p.split()]
+        size = [len(parts[i].split()) for i in full]
+        dead = set()
+        for n in range(1, window + 1):
+            for at in range(len(full) - n + 1):
+                if n == window or sum(size[at : at + n]) >= run_words:
+                    content = tuple(parts[full[at + s]].strip().lower() for s in range(n))
+                    if content in seen:
+                        dead |= set(range(at, at + n))
+                    seen.add(content)
+        for at in [a for a in sorted(dead) if a - 1 not in dead]:
+            run = [at]
+            while run[-1] + 1 in dead:
+                run.append(run[-1] + 1)
+            if sum(size[i] for i in run) < run_words:
+                dead -= set(run)
+        gone = {full[i] for i in dead}
+        out[doc_id] = ("".join(p for i, p in enumerate(parts) if i not in gone), len(full), len(gone))
+    return out
+
+
+def test_passages_of_one_and_two_lines_go_by_their_words(spark):
+    r = random.Random(8)
+    sentence = lambda n: " ".join(r.choice("alpha beta gamma delta".split()) + str(r.randint(0, 99)) for _ in range(n)) + r.choice([". ", "!\n", "\n"])
+    passages = [[sentence(n) for n in sizes] for sizes in ([55], [30, 25], [20, 19], [40], [39], [10, 20, 9], [14, 14, 14], [3, 60, 3])]
+    rows = [(0, passages[0][0].strip()), (1, "head " * 9 + "\n" + passages[0][0]), (2, passages[0][0] + passages[0][0])]
+    for i in range(3, 60):
+        body = [sentence(r.randint(1, 9)) for _ in range(r.randint(0, 4))]
+        for _ in range(r.randint(0, 3)):
+            at = r.randint(0, len(body))
+            body[at:at] = r.choice(passages)
+        rows.append((i, "".join(body)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed"]) for x in lines.drop_repeated_runs(docs, by_words=True).collect()}
+    want = _without_repeats_by_words(rows)
+    assert got == want and sum(n for _, _, n in want.values()) > 60
+    assert [want[d][2] for d in range(3)] == [0, 1, 2]
+    by_lines = {x["doc_id"]: x["n_removed"] for x in lines.drop_repeated_runs(docs).collect()}
+    assert by_lines[1] == by_lines[2] == 0  # three whole lines, as the SQL asks
+
+
 def test_mixture_keeps_every_row_and_its_shares(spark, odd, none):
     r = random.Random(8)
     rows = [(i, r.choice(["a"] * 6 + ["b", "c"]), r.randint(0, 300)) for i in range(3000)]
