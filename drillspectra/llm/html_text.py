@@ -252,13 +252,44 @@ def _rows(node: Node) -> Iterator[Node]:
                 yield from _rows(child)
 
 
+def _holders(node: Node) -> Iterator[Node]:
+    """What may hold content outside cells: the table, its sections at any depth and their rows."""
+    yield node
+    for child in node.children:
+        if isinstance(child, Node) and child.tag in ("tr", "thead", "tbody", "tfoot", "colgroup") and visible(child):
+            yield from (child,) if child.tag == "tr" else _holders(child)
+
+
+def _parted(node: Node) -> tuple[list[Node], list[Node | str]]:
+    """Cells of a row, also those inside a form or another element there, and the content outside of them."""
+    cells, others = [], []
+    for child in node.children:
+        if isinstance(child, str):
+            others.append(child)
+        elif child.tag in ("td", "th"):
+            cells.append(child)
+        elif child.tag in ("table", "details") or not visible(child):
+            others.append(child)
+        else:
+            inner, rest = _parted(child)
+            if inner:
+                cells += inner
+                part = Node(child.tag, child.attributes)
+                part.children = rest
+                others.append(part)
+            else:
+                others.append(child)
+    return cells, others
+
+
 def table_lines(table_node: Node, depth: int) -> list[str]:
     """Captions and stray content, then the rows with columns aligned; spans take the columns they cover."""
     out = Page()
     stray = Node("div", {})
-    for holder in [table_node, *(c for c in table_node.children if isinstance(c, Node) and c.tag in ("thead", "tbody", "tfoot", "tr") and visible(c))]:
-        stray.children += [c for c in holder.children if (isinstance(c, str) and c.strip()) or
-                           (isinstance(c, Node) and c.tag not in ("tr", "thead", "tbody", "tfoot", "td", "th", "colgroup", "col"))]
+    for holder in _holders(table_node):
+        content = _parted(holder)[1] if holder.tag == "tr" else [
+            c for c in holder.children if isinstance(c, str) or c.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup")]
+        stray.children += [c for c in content if not isinstance(c, str) or c.strip()]
     layout(stray, out, False, depth)
     out.end_line()
     grid: list[list[tuple[int, int, list[str]]]] = []
@@ -267,8 +298,8 @@ def table_lines(table_node: Node, depth: int) -> list[str]:
         cells, column = [], 0
         taken = {c for c, left in covered.items() if left > 0}
         covered = {c: left - 1 for c, left in covered.items() if left > 1}
-        for cell in row.children:
-            if not isinstance(cell, Node) or cell.tag not in ("td", "th") or not visible(cell):
+        for cell in _parted(row)[0]:
+            if not visible(cell):
                 continue
             while column in taken:
                 column += 1

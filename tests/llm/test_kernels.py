@@ -260,6 +260,28 @@ def test_rendered_layout(html, text):
     assert render(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<table><tbody><tr>text<td>a<td>b</table>", "text\na  b"),
+    ("<table><tbody><tr><form><td>a</td><td>b</td></form></tr></tbody></table>", "a  b"),
+    ("<table><tr><td>name<td>x<tr><form>go <input><td>a</td><td>b</td></form></table>", "go\nname  x\na     b"),
+    ("<table><thead><tr>h<th>A<tfoot><tr><b>f</b><td>B</table>", "hf\nA\nB"),
+    ("<table><tbody><tr><form hidden><td>no</td></form><td>yes</table>", "yes"),
+    ("<table><tbody><tr><div>in <table><tr><td>x<td>y</table></div><td>b</table>", "in\n\nx  y\nb"),
+    ("<table><colgroup>c<tr><td>a</table>", "c\na"),
+])
+def test_table_content_outside_cells_is_kept(html, text):
+    assert render(html) == text
+
+
+def test_tables_of_damaged_rows_lose_no_word():
+    r = random.Random(10)
+    bits = ["<tbody>", "<thead>", "<tfoot>", "</tbody>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<form>", "</form>", "<b>", "</b>", "<colgroup>", "<caption>", "<div>", "</div>", "<table>", "</table>"]
+    for depth in [0] * 300 + [140, 146, 147, 148, 149, 150, 160] * 20:
+        words = [f"w{i}" for i in range(12)]
+        shown = render("<div>" * depth + "<table><tbody><tr>" + "".join(x for w in words for x in (r.choice(bits), r.choice(bits), f" {w} ")))
+        assert sorted(shown.split()) == sorted(words)
+
+
 def test_rendering_survives_damage():
     for odd in ("<" * 5000, "<a '" * 3000, "<div>" * 5000 + "x", "<table><tr><td>" * 500, '<b' + '"' * 9999, "<table><td rowspan=999 colspan=999>a<td>b" * 9, "&#xD800;&#0;"):
         assert isinstance(render(odd), str)
