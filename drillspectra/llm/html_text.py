@@ -44,7 +44,8 @@ DEEPEST = 150
 WIDEST_PAD = 60
 WIDEST_SPAN = 1000
 
-_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,65536}+"|'[^']{0,65536}+')*+)>|/?[a-zA-Z][^>]*>|[!?/][^>]*>)""", re.S)
+_TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)|[!?/][^>]*>)""", re.S)
+_STOP = re.compile(r""">|=[ \t\n\r\f]*+["']""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -64,6 +65,38 @@ def attributes_of(text: str) -> dict[str, str]:
     return out
 
 
+class Ends:
+    """Where the tags of a page end: at the first ``>`` outside quoted values, however long these are.
+
+    A quote only opens a value behind ``=``; a stray one has no effect on where a tag ends. Quotes at which an earlier search failed are remembered, as is the last place of each sign, so
+    damaged pages are not searched again and again.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {sign: html.rfind(sign) for sign in ">\"'"}
+        self.failed: set[int] = set()
+        self.open_until = -1
+
+    def find(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose attributes start at ``at``; -1 if there is none."""
+        if at <= self.open_until:
+            return -1
+        opened = []
+        while at <= self.last[">"]:
+            at = _STOP.search(self.html, at).end() - 1
+            if self.html[at] == ">":
+                return at
+            opened.append(at)
+            if at in self.failed or at >= self.last[self.html[at]]:
+                break
+            at = self.html.find(self.html[at], at + 1) + 1
+        self.failed.update(opened)
+        if opened:
+            self.open_until = opened[0]
+        return -1
+
+
 def parse(html: str) -> Node:
     """Element tree of a page; start and end tags that authors leave out are implied."""
     root = Node("html", {})
@@ -79,6 +112,7 @@ def parse(html: str) -> Node:
         return False
 
     at, end = 0, len(html)
+    ends_of = Ends(html)
     while at < end:
         found = _TAG.search(html, at)
         if found is None or found.start() > at:
@@ -90,6 +124,17 @@ def parse(html: str) -> Node:
         tag = found[2]
         if tag is None:
             continue
+        stop = ends_of.find(at)
+        if stop < 0:
+            if at > ends_of.last[">"]:  # no tag ends behind here, only a comment may follow
+                at = html.find("<!--", found.start())
+                text = html[found.start() : at if at >= 0 else end]
+                stack[-1].children.append(unescape(text) if "&" in text else text)
+                at = at if at >= 0 else end
+            else:
+                at = html.index(">", at) + 1
+            continue
+        inside, at = html[at:stop], stop + 1
         tag = tag.lower()
         if found[1]:
             if tag == "br":
@@ -105,7 +150,7 @@ def parse(html: str) -> Node:
         if tag in ("html", "body"):
             close(frozenset(["head"]), frozenset())
             continue
-        attributes = attributes_of(found[3]) if found[3].strip(" \t\n\r\f/") else {}
+        attributes = attributes_of(inside) if inside.strip(" \t\n\r\f/") else {}
         if stack[-1].tag == "head" and tag in BLOCK:
             stack.pop()
         if tag in CLOSES_P:

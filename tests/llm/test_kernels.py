@@ -282,6 +282,18 @@ def test_tables_of_damaged_rows_lose_no_word():
         assert sorted(shown.split()) == sorted(words)
 
 
+def test_long_attributes_belong_to_their_tag():
+    for quote in "\"'":
+        long = f"data-x={quote}" + "a>b <i>c</i> " * 10_000 + quote
+        assert render(f"x<p {long}>y</p {long}>z") == "x\n\ny\n\nz"
+        assert render(f"x<p {long} hidden>no</p>z") == render("x<p hidden>no</p>z")
+        assert render(f"x<script {long}>no</script><style {long}>no</style>z") == "xz"
+    assert render("<b title='open>x " + "y" * 100_000) == "x " + "y" * 100_000
+    assert render("<a href=\"u\"\">x</a> <i title=it's>y</i> " + "z" * 100_000 + "\"'") == "x y " + "z" * 100_000 + "\"'"
+    for odd in ("<a '", "<b x=\"", "<b x='<i>", "<b x = '\""):
+        assert isinstance(render(odd * 20_001 + ">"), str)
+
+
 def test_rendering_survives_damage():
     for odd in ("<" * 5000, "<a '" * 3000, "<div>" * 5000 + "x", "<table><tr><td>" * 500, '<b' + '"' * 9999, "<table><td rowspan=999 colspan=999>a<td>b" * 9, "&#xD800;&#0;"):
         assert isinstance(render(odd), str)
