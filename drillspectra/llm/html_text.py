@@ -38,7 +38,7 @@ IMPLIED = [
 _IMPLIED = {tag: (ends, walls) for tags, ends, walls in IMPLIED for tag in tags}
 WALLS = frozenset("table td th caption button object html body".split())
 _TABLE_WALLS = {"table": frozenset()} | {tag: frozenset(["table"]) for tag in "tr td th thead tbody tfoot caption".split()}
-#: Open elements beyond this depth do not nest further.
+#: Open elements beyond this depth do not nest further, unless they are hidden or stand in a hidden one.
 DEEPEST = 150
 #: Cells are padded to their column's width up to here, so one long cell does not widen every row.
 WIDEST_PAD = 60
@@ -101,11 +101,36 @@ def parse(html: str) -> Node:
     """Element tree of a page; start and end tags that authors leave out are implied."""
     root = Node("html", {})
     stack = [root]
+    beyond: dict[str, list[int]] = {}  # places of the open elements beyond DEEPEST, by name
+
+    dark = 0  # place of the first hidden open element
+
+    def push(node: Node) -> None:
+        nonlocal dark
+        if len(stack) >= DEEPEST:
+            beyond.setdefault(node.tag, []).append(len(stack))
+        dark = dark or (0 if visible(node) else len(stack))
+        stack.append(node)
+
+    def cut(at: int) -> None:
+        nonlocal dark
+        for node in stack[max(at, DEEPEST) :]:
+            beyond[node.tag].pop()
+        dark = dark if dark < at else 0
+        del stack[at:]
 
     def close(ends: frozenset, walls: frozenset) -> bool:
-        for at in range(len(stack) - 1, 0, -1):
+        if len(stack) > DEEPEST:  # by name, as elements that stand in a hidden one may be many
+            last = max((places[-1] for tag in ends if (places := beyond.get(tag))), default=0)
+            wall = max((places[-1] for tag in walls if (places := beyond.get(tag))), default=0)
+            if last and last >= wall:
+                cut(last)
+                return True
+            if wall:
+                return False
+        for at in range(min(len(stack), DEEPEST) - 1, 0, -1):
             if stack[at].tag in ends:
-                del stack[at:]
+                cut(at)
                 return True
             if stack[at].tag in walls:
                 break
@@ -152,11 +177,11 @@ def parse(html: str) -> Node:
             continue
         attributes = attributes_of(inside) if inside.strip(" \t\n\r\f/") else {}
         if stack[-1].tag == "head" and tag in BLOCK:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES_P:
             close(frozenset(["p"]), WALLS)
         if tag in HEADINGS and stack[-1].tag in HEADINGS:
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in _IMPLIED:
             ends, walls = _IMPLIED[tag]
             while close(ends, walls):
@@ -165,7 +190,7 @@ def parse(html: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Node("tr", {})
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         stack[-1].children.append(node)
         if tag in RAW:
             stop = end if tag == "plaintext" else -1
@@ -177,8 +202,8 @@ def parse(html: str) -> Node:
             text = html[at:stop]
             node.children.append(unescape(text) if tag in ("textarea", "title") else text)
             at = following
-        elif tag not in VOID and len(stack) < DEEPEST:
-            stack.append(node)
+        elif tag not in VOID and (len(stack) < DEEPEST or dark or not visible(node)):
+            push(node)
     return root
 
 

@@ -294,6 +294,17 @@ def test_long_attributes_belong_to_their_tag():
         assert isinstance(render(odd * 20_001 + ">"), str)
 
 
+@pytest.mark.parametrize("depth", [0, 140, 147, 148, 149, 150, 151, 400])
+def test_hidden_elements_stay_hidden_at_any_depth(depth):
+    top = "<div>" * depth
+    assert "".join(render(top + "a<div hidden>no<div>no</div><p>no<ul><li>no</ul></div>b").split()) == "ab"
+    for hidden in ("<div style='display:none'>no<div>no</div>no<p>no<b>no</i>no</div>", "<template>no<b>no</b></template>", "<span hidden>no<i>no</i></span>", "<dialog>no<p>no</dialog>"):
+        shown = render(f"{top}yes {hidden} yes<b> yes</b> {hidden}yes" + "</div>" * depth + "yes")
+        assert "no" not in shown and shown.count("yes") == 5
+    assert "x" not in render(top + "<div hidden>" + "<span><i></b>x" * 20_000)
+    assert render(top + "<div hidden>" + "<div>x" * 20_000 + "</div>" * 20_001 + "y").split() == ["y"]
+
+
 def test_rendering_survives_damage():
     for odd in ("<" * 5000, "<a '" * 3000, "<div>" * 5000 + "x", "<table><tr><td>" * 500, '<b' + '"' * 9999, "<table><td rowspan=999 colspan=999>a<td>b" * 9, "&#xD800;&#0;"):
         assert isinstance(render(odd), str)
