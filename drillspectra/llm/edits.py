@@ -15,7 +15,7 @@ from .common import query, ship_package, table
 
 #: Edits allowed per byte of a normalised item.
 ERROR_RATE = 0.1
-#: Normalised items below this many bytes say too little to name a leak and take no part.
+#: Normalised items below this many bytes say too little to allow edits; they are held as whole words only.
 SHORTEST_ITEM = 24
 #: Items matched in one pass; each pass broadcasts no more than these.
 ITEM_BLOCK = 10_000
@@ -74,12 +74,14 @@ def closest(masks: dict[int, int], size: int, window: bytes, stop_at: int = 0) -
 class Matcher:
     """All items of a block: an automaton over their pieces, and Myers' distance around its hits.
 
+    Items below SHORTEST_ITEM have an automaton of their own, of their words between spaces.
+
     A hit climbs a binary tree over the item's pieces. If the item is held with at most one edit less
     than it has pieces, the same is true of one half of its pieces, and so on down to an untouched
     piece; so a hit only goes on while the span above it is close enough, and few reach the item.
     """
 
-    def __init__(self, items: list[tuple[int | None, bytes]], rate: float):
+    def __init__(self, items: list[tuple[object, bytes]], rate: float):
         import ahocorasick
 
         self.items = items
@@ -87,7 +89,14 @@ class Matcher:
         self.paths: list[list[list[tuple[int, int]]]] = []
         self.masks: dict[tuple[int, int, int], dict[int, int]] = {}
         where: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        short: dict[bytes, list[int]] = defaultdict(list)
         for number, (_, text) in enumerate(items):
+            if len(text) < SHORTEST_ITEM:
+                self.cuts.append([])
+                self.paths.append([])
+                if text:
+                    short[b" " + text + b" "].append(number)
+                continue
             parts = pieces(text, int(rate * len(text)))
             self.cuts.append([a for a, _ in parts] + [len(text)])
             self.paths.append(_paths(len(parts)))
@@ -97,11 +106,18 @@ class Matcher:
         for piece, places in where.items():
             self.automaton.add_word(piece.decode("latin-1"), (len(piece), places))
         self.automaton.make_automaton()
+        self.short = ahocorasick.Automaton()
+        for words, numbers in short.items():
+            self.short.add_word(words.decode("latin-1"), numbers)
+        self.short.make_automaton()
 
     def find(self, text: bytes) -> dict[int, int]:
         """Number of each item within its budget of some part of the text, and its distance."""
         found: dict[int, int] = {}
-        for end, (length, places) in self.automaton.iter(text.decode("latin-1")):
+        if len(self.short):
+            for _, numbers in self.short.iter(f" {text.decode('latin-1')} "):
+                found |= dict.fromkeys(numbers, 0)
+        for end, (length, places) in self.automaton.iter(text.decode("latin-1")) if len(self.automaton) else ():
             for number, leaf in places:
                 if found.get(number) != 0:
                     distance = self._climb(text, end + 1 - length, number, leaf)
@@ -158,8 +174,8 @@ def _matched(shared):
                     found = matcher.find(folded(text)) if text else {}
                     least = {m["item_id"]: m["distance"] for m in before}
                     for number, distance in found.items():
-                        name = matcher.items[number][0]
-                        least[name] = min(distance, least.get(name, distance))
+                        for name in matcher.items[number][0]:
+                            least[name] = min(distance, least.get(name, distance))
                     out.append([{"item_id": k, "distance": v} for k, v in sorted(least.items(), key=lambda kv: (kv[0] is None, kv[0]))])
                 yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(out, kind)], names=["row", "matches"])
 
@@ -170,20 +186,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     """``row, matches``: every row of ``docs`` whole, and the items of ``benchmark(item_id, text)`` it holds.
 
     An item is held if its normalised text is within ``rate`` times its bytes in edits of some part of
-    the normalised document. Items go round in blocks of bounded size; each is broadcast. A null or
-    empty document holds nothing; a null, empty or very short item is held by nothing; an item_id that
-    repeats is named once with its least distance.
+    the normalised document; one below SHORTEST_ITEM bytes if its words stand there unchanged. Items go
+    round in blocks of a bounded number of different texts; each is broadcast. A null or empty document
+    holds nothing; a null or empty item is held by nothing; an item_id that repeats is named once with
+    its least distance.
     """
     spark = docs.sparkSession
     ship_package(spark)
     known = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
+    known = known.groupBy("item").agg(F.collect_set(F.struct("item_id")).alias("ids"))
     blocks = max(-(-known.count() // ITEM_BLOCK), 1)
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.array().cast(MATCHES).alias("matches"))
     schema = StructType([StructField("row", out.schema["row"].dataType), StructField("matches", out.schema["matches"].dataType)])
     for block in range(blocks):
         rows = collect_bounded(known.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block), 4 * ITEM_BLOCK, "a block of benchmark items")
-        items = [(r["item_id"], folded(r["item"])) for r in rows]
-        items = [(name, text) for name, text in items if len(text) >= SHORTEST_ITEM]
+        items = [([i["item_id"] for i in r["ids"]], folded(r["item"])) for r in rows]
+        items = [(names, text) for names, text in items if text]
         if items:
             out = out.mapInArrow(_matched(spark.sparkContext.broadcast((items, rate))), schema)
     return out

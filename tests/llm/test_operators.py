@@ -226,6 +226,23 @@ def test_contamination_of_odd_rows(spark, odd, none, monkeypatch):
     assert [r["matches"] for r in edits.contamination(odd, items.where("false")).select("matches").collect()] == [[]] * len(ODD_ROWS)
 
 
+def test_short_items_are_held_as_whole_words(spark):
+    items = [(1, "Paris"), (2, "In 1789, of course"), (3, "é"), (4, "..."), (5, "a b"), (5, "b a"), (None, "PARIS!"), (6, "the longest item of this table, by far")]
+    rows = [(1, "It is paris."), (2, "comparison; Parisian"), (3, "in 1789 of  course: Paris"), (4, "in 1780 of course"), (5, "cafe\u0301 é"), (6, "caf\u00e9"), (7, "a b a b"), (8, None), (9, "..."),
+            (10, "x the longest item of this tabel, by far paris")]
+    got = edits.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: [(m["item_id"], m["distance"]) for m in r["matches"]] for r in got.select("row.doc_id", "matches").collect()}
+    paris = [(1, 0), (None, 0)]
+    assert got == {1: paris, 2: [], 3: [(1, 0), (2, 0), (None, 0)], 4: [], 5: [(3, 0)], 6: [], 7: [(5, 0)], 8: [], 9: [], 10: [(1, 0), (6, 2), (None, 0)]}
+
+
+def test_one_benchmark_text_under_many_ids(spark, monkeypatch):
+    monkeypatch.setattr(edits, "ITEM_BLOCK", 2)
+    items = spark.createDataFrame([(i, COPY) for i in range(30)] + [(None, COPY)], "item_id long, text string")
+    got = edits.contamination(spark.createDataFrame([(1, "so " + COPY), (2, "no")], "doc_id long, text string"), items).select("row.doc_id", "matches").collect()
+    assert {r["doc_id"]: [(m["item_id"], m["distance"]) for m in r["matches"]] for r in got} == {1: [(i, 0) for i in range(30)] + [(None, 0)], 2: []}
+
+
 def test_license_texts_in_other_spellings(spark, odd, none):
     known = spark.createDataFrame(LICENSE_TEXTS + [(None, "no id"), ("NULL", None), ("EMPTY", "...")], "license_id string, text string")
     mit = LICENSE_TEXTS[0][1]
