@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import discard, durable, scratch_folder, ship_package
 
-__all__ = ["QUERIES", "SQL", "discard", "durable", "fits", "query", "scratch_folder", "ship_package", "table"]
+__all__ = ["QUERIES", "SQL", "crc32_sql", "discard", "durable", "fits", "query", "scratch_folder", "ship_package", "table"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +40,13 @@ def fits(df: DataFrame, rows: int) -> bool:
 def narrow(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator reads, so that others with clashing names cannot interfere."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+_CRC = """CAST(list_reduce(list_prepend(4294967295, flatten(list_transform(range(length({0})),
+  lambda k: list_concat([-1 - ascii(substr({0}, k + 1, 1))], [0, 0, 0, 0, 0, 0, 0, 0])))),
+  lambda c, x: CASE WHEN x < 0 THEN xor(c, -1 - x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS BIGINT)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB expression of the unsigned crc32 of an ASCII text that is not empty."""
+    return f"xor({_CRC.format(text)}, 4294967295)"
