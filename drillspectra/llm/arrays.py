@@ -10,7 +10,6 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -58,22 +57,28 @@ def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans_hash(raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span ``raw[start:stop]``: polynomial prefix sums, then a finaliser over value and length."""
-    powers = _powers(len(raw))
+    """64-bit hash of every span ``raw[start:stop]``: a sum of one spread value per (byte, place in the span), with the length.
+
+    The values come from a finaliser and no power series, so texts that cancel out in a polynomial
+    (a Thue-Morse word and its complement) do not meet.
+    """
+    sizes = stops - starts
+    ends = np.cumsum(sizes)
+    place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    total = np.zeros(len(place) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        prefix = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers["up"][: len(raw)], out=prefix[1:])
-        value = (prefix[stops] - prefix[starts]) * powers["down"][starts]
-        return mix(value ^ mix((stops - starts).astype(np.uint64) + _ODD))
-
-
-def _powers(n: int) -> dict[str, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n + 1:
-        size = max(n + 1, SLICE_BYTES * 2)
-        base = 0x5851F42D4C957F2D
-        for name, factor in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            steps = np.full(size, np.uint64(factor), np.uint64)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS
+        code = (place << 8) | raw[place + np.repeat(starts, sizes)]
+        far = code >= len(_SPREAD)
+        value = _SPREAD[np.where(far, 0, code)] if far.any() else _SPREAD[code]
+        value[far] = _spread(code[far])
+        np.cumsum(value, out=total[1:])
+        return mix((total[ends] - total[ends - sizes]) ^ mix(sizes.astype(np.uint64) + _ODD))
+
+
+def _spread(code: np.ndarray) -> np.ndarray:
+    """The value of a byte at a place, ``code`` being ``place * 256 + byte``."""
+    with np.errstate(over="ignore"):
+        return mix(code.astype(np.uint64) * _ODD + _M2)
+
+
+_SPREAD = _spread(np.arange(1 << 16))

@@ -17,7 +17,7 @@ from .arrays import flat_text, mix, slices, spans_hash
 from .common import durable, query, ship_package, table
 from .shingles import lower_ascii, word_spans
 
-#: Every repeated run of at least this many lines is found.
+#: Every repeated run of at least this many lines is found, and shorter ones of RUN_WORDS words.
 WINDOW = 3
 #: A repeated run is deleted from this many words on.
 RUN_WORDS = 40
@@ -140,7 +140,7 @@ def _cleaned(window: int, run_words: int, short_words: int | None):
     return run
 
 
-def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, run_words: int = RUN_WORDS, by_words: bool = False) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, run_words: int = RUN_WORDS, by_words: bool = True) -> DataFrame:
     """``doc_id, text, n_lines, n_removed`` of every row of ``docs(doc_id, text)``, without later repeats.
 
     1. Of each ``window`` consecutive lines the one with the smallest hash is a fingerprint; equal runs
@@ -150,8 +150,8 @@ def drop_repeated_runs(docs: DataFrame, window: int = WINDOW, run_words: int = R
     3. Repeats that touch or overlap grow together into runs, however far they reach; runs of at least
        ``run_words`` words are deleted. All other bytes stay as they are.
 
-    With ``by_words`` the words alone decide: runs of fewer than ``window`` lines with ``run_words`` words
-    are found too, as windows of their own. The query and its SQL ask for ``window`` lines.
+    The words alone decide: runs of fewer than ``window`` lines with ``run_words`` words are found too, as
+    windows of their own, unless ``by_words`` is off.
 
     Repeats inside one document count too. A null or empty text has no lines and stays. Rows with a
     null doc_id come last and, like rows that repeat a doc_id, are one document.
@@ -179,11 +179,14 @@ SQL = rf"""WITH cut AS (SELECT doc_id, generate_subscripts(u, 1) AS place, unnes
   norm AS (SELECT *, trim(translate(line, '{_UPPER}', lower('{_UPPER}')), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS words FROM cut),
   num AS (SELECT doc_id, place, words, len(regexp_extract_all(words, '[^\s\x0b]+')) AS n,
       row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM norm WHERE words <> ''),
-  win AS (SELECT doc_id, i, words || chr(30) || lead(words) OVER d || chr(30) || lead(words, 2) OVER d AS content
-      FROM num WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
-  hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY content ORDER BY doc_id, i) AS r
+  win AS (SELECT doc_id, i, 3 AS size, words || chr(30) || lead(words) OVER d || chr(30) || lead(words, 2) OVER d AS content
+      FROM num WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+    UNION ALL SELECT doc_id, i, 2, CASE WHEN n + lead(n) OVER d >= {RUN_WORDS} THEN words || chr(30) || lead(words) OVER d END
+      FROM num WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+    UNION ALL SELECT doc_id, i, 1, words FROM num WHERE n >= {RUN_WORDS}),
+  hit AS (SELECT doc_id, i, size FROM (SELECT doc_id, i, size, row_number() OVER (PARTITION BY size, content ORDER BY doc_id, i) AS r
       FROM win WHERE content IS NOT NULL) WHERE r > 1),
-  cover AS (SELECT DISTINCT doc_id, i + s AS i FROM hit, range({WINDOW}) t(s)),
+  cover AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM hit),
   run AS (SELECT c.doc_id, c.i, num.place, num.n, c.i - row_number() OVER (PARTITION BY c.doc_id ORDER BY c.i) AS g
       FROM cover c JOIN num ON num.doc_id = c.doc_id AND num.i = c.i),
   dead AS (SELECT doc_id, place FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, g) AS total FROM run) WHERE total >= {RUN_WORDS})

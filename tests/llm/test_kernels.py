@@ -188,21 +188,49 @@ def test_edit_matches_equal_dynamic_programming():
     assert edits.folded("  It's -- ÉTÉ_1\n") == "it s été 1".encode()
 
 
+def _deviation(weights, slots, period, length):
+    """The largest distance of a source from its target weight at any slot, the schedule repeated up to ``length`` slots."""
+    total = sum(weights.values())
+    plan = [source for source, _, _ in mixing.period_schedule(slots, period)]
+    done, worst = Counter(), 0
+    for slot in range(length):
+        done[plan[slot % period]] += 1
+        worst = max(worst, max(abs(done[s] - Fraction(w) * (slot + 1) / total) for s, w in weights.items()))
+    return worst
+
+
 def test_pfair_deviation_stays_below_one_block():
     r = random.Random(4)
-    for period in (10, 97, 1000):
-        slots = mixing.shares({f"s{i}": r.random() ** 3 + 1e-6 for i in range(r.randint(1, 9))}, period)
+    for longest in (10, 97, 1000):
+        slots, period = mixing.shares({f"s{i}": r.random() ** 3 + 1e-6 for i in range(r.randint(1, 9))}, longest)
         assert sum(slots.values()) == period and min(slots.values()) >= 1
         done = Counter()
         for source, block, slot in mixing.period_schedule(slots, period):
             assert block == done[source] and block * period // slots[source] <= slot < -(-(block + 1) * period // slots[source])
             done[source] += 1
-            for s, w in slots.items():
-                assert abs(done[s] - Fraction(w * (slot + 1), period)) < 1
         assert done == Counter(slots)
-    assert mixing.shares({}, 10) == {} and mixing.period_schedule({}, 10) == []
+    assert mixing.shares({}) == ({}, 1) and mixing.period_schedule({}, 1) == []
+    assert mixing.period_schedule({"a": 2, "b": 1}, 3, 2) == mixing.period_schedule({"a": 2, "b": 1}, 3)[:2]
+
+
+def test_shares_are_the_target_weights():
+    assert mixing.shares({"a": 0.9, "b": 0.1}) == ({"a": 9, "b": 1}, 10)
+    assert mixing.shares({"a": 0.7, "b": 0.2, "c": 0.1}) == ({"a": 7, "b": 2, "c": 1}, 10)
+    assert mixing.shares({"a": 1, "b": 1, "c": 1}) == ({"a": 1, "b": 1, "c": 1}, 3)
+    for weights in ({"a": Fraction(9, 10), "b": Fraction(1, 10)}, {"a": 1, "b": 1, "c": 1}, {"a": 5, "b": 7, "c": 2, "d": 999}):
+        assert _deviation(weights, *mixing.shares(weights), 20_000) < 1
+    slots, period = mixing.shares({str(i): 1.0 + i / 7 for i in range(40)}, 10)  # more sources than slots asked for
+    assert period == 640 and sum(slots.values()) == 640 and len(slots) == 40
     with pytest.raises(ValueError):
-        mixing.shares({str(i): 1.0 for i in range(11)}, 10)
+        mixing.shares({"a": 0.0})
+
+
+def test_million_slots_keep_their_target_weights():
+    weights = {"a": 9, "b": 1}
+    slots, period = mixing.shares(weights)
+    plan = np.array([s == "a" for s, _, _ in mixing.period_schedule(slots, period)])
+    ahead = np.cumsum(np.tile(plan, 100_000)) * 10 - 9 * np.arange(1, 1_000_001)
+    assert np.abs(ahead).max() < 10
 
 
 def test_warc_round_trip_and_damage():

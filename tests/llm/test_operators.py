@@ -107,6 +107,15 @@ def test_near_copies_of_odd_rows(odd, none):
     assert near_copies.near_copies(none).count() == 0
 
 
+def test_words_that_cancel_in_a_power_series_do_not_meet(spark):
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)], "doc_id long, text string")
+    got = {x["doc_id"]: (x["component_id"], x["kept"]) for x in near_copies.near_copies(docs).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
 def test_repeated_doc_id_joins_its_groups(spark):
     other = " ".join(f"z{i}" for i in range(30))
     rows = [(5, COPY), (5, other), (3, COPY), (9, other), (7, "apart from all of these others")]
@@ -305,7 +314,7 @@ def test_repeated_runs_go_wherever_they_stand(spark, odd, none):
             body[at:at] = r.choice(passages)
         rows.append((i, "".join(body)))
     rows.append((60, "again. " * 100))
-    got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed"]) for x in lines.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed"]) for x in lines.drop_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), by_words=False).collect()}
     want = _without_repeats(rows)
     assert got == want and sum(n for _, _, n in want.values()) > 100
     kept = lines.drop_repeated_runs(odd).collect()
@@ -359,18 +368,19 @@ def test_passages_of_one_and_two_lines_go_by_their_words(spark):
             body[at:at] = r.choice(passages)
         rows.append((i, "".join(body)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed"]) for x in lines.drop_repeated_runs(docs, by_words=True).collect()}
+    got = {x["doc_id"]: (x["text"], x["n_lines"], x["n_removed"]) for x in lines.drop_repeated_runs(docs).collect()}
     want = _without_repeats_by_words(rows)
     assert got == want and sum(n for _, _, n in want.values()) > 60
     assert [want[d][2] for d in range(3)] == [0, 1, 2]
-    by_lines = {x["doc_id"]: x["n_removed"] for x in lines.drop_repeated_runs(docs).collect()}
-    assert by_lines[1] == by_lines[2] == 0  # three whole lines, as the SQL asks
+    by_lines = {x["doc_id"]: x["n_removed"] for x in lines.drop_repeated_runs(docs, by_words=False).collect()}
+    assert by_lines[1] == by_lines[2] == 0  # three whole lines only
 
 
 def test_mixture_keeps_every_row_and_its_shares(spark, odd, none):
     r = random.Random(8)
     rows = [(i, r.choice(["a"] * 6 + ["b", "c"]), r.randint(0, 300)) for i in range(3000)]
-    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, size long"), {"a": 2.0, "b": 1.0, "c": 1.0}, block_bytes=500, period=100).toPandas()
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, size long"), {"a": 2.0, "b": 1.0, "c": 1.0}, block_bytes=500)
+    got = got.select("row.*", "block", "release", "deadline", "slot", "place").toPandas()
     assert sorted(got.doc_id) == list(range(3000)) and (got.release <= got.slot).all() and (got.slot < got.deadline).all()
     blocks = got.groupby(["source", "block"]).slot.nunique()
     assert (blocks == 1).all() and not got.groupby("slot")[["source", "block"]].nunique().gt(1).any().any()
@@ -378,8 +388,13 @@ def test_mixture_keeps_every_row_and_its_shares(spark, odd, none):
     for _, part in starts.groupby("source"):
         at = part.block.to_numpy() * 500 + part.place.to_numpy()
         assert at[0] == 0 and (np.diff(at) == part["size"].to_numpy()[:-1] + 1).all()
-    wide = odd.select("doc_id", "source", F.octet_length("text").alias("size"), "n", "key", "row")
-    assert mixing.mixed(wide).count() == len(ODD_ROWS)
+    wide = odd.select("doc_id", "source", F.octet_length("text").alias("size"), "n", "key", "row", "_key", "block", "slot", F.lit("p").alias("place"))
+    kept = mixing.mixed(wide).collect()
+    assert len(kept) == len(ODD_ROWS) and all((k["row"]["block"], k["row"]["place"], k["row"]["_key"]) == ("block", "p", "_key") for k in kept)
+    behind = mixing.mixed(wide, {"a": 0.9, "b": 0.1, "x": 5}).collect()
+    assert len(behind) == len(ODD_ROWS)
+    late = [b for b in behind if b["row"]["source"] not in ("a", "b")]
+    assert len(late) == 3 and all(b["release"] is None and b["slot"] > max(x["slot"] for x in behind if x["row"]["source"] in ("a", "b")) for b in late)
     assert mixing.mixed(none.withColumn("size", F.col("n_chars"))).count() == 0
 
 
