@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mixture: it is the order of the written rows."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select("doc_id", "source", F.octet_length("text").alias("size"), whole)
-    return mixed(rows).orderBy("slot", "place").select("row.*")
+    return mixed(rows).orderBy("slot", "place").select("row.row.*")
 
 
 def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
