@@ -13,7 +13,7 @@ import heapq
 from fractions import Fraction
 from math import lcm
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..session import collect_bounded
@@ -26,6 +26,8 @@ LONGEST_PERIOD = 1 << 20
 SMOOTHING = 0.7
 MOST_SOURCES = 1 << 20
 _CELL_ROWS = 20_000
+_SHARES = pa.schema([("_key", pa.string()), ("_share", pa.int64()), ("_tail", pa.int64())])
+_TURNS = pa.schema([("_key", pa.string()), ("_turn", pa.int64()), ("_slot", pa.int64())])
 
 
 def shares(weights: dict[str, float | Fraction], longest: int = LONGEST_PERIOD) -> tuple[dict[str, int], int]:
@@ -106,10 +108,12 @@ def mixed(rows: DataFrame, weights: dict[str | None, float] | None = None, block
     for k in sorted(set(found) - set(slots)):
         behind.append((k, tail))
         tail += blocks[k]
-    share = pd.DataFrame([(k, n, None) for k, n in sorted(slots.items())] + [(k, None, at) for k, at in behind], columns=["_key", "_share", "_tail"])
-    share = F.broadcast(spark.createDataFrame(share.astype({"_share": "Int64", "_tail": "Int64"}), "_key string, _share long, _tail long"))  # one row per source
-    plan = pd.DataFrame(period_schedule(slots, period, length), columns=["_key", "_turn", "_slot"])
-    plan = F.broadcast(spark.createDataFrame(plan, "_key string, _turn long, _slot long"))  # at most one row per slot of a period
+    share = pa.table({"_key": [*sorted(slots), *(k for k, _ in behind)], "_share": [*(slots[k] for k in sorted(slots)), *(None for _ in behind)],
+                      "_tail": [*(None for _ in slots), *(at for _, at in behind)]}, _SHARES)
+    share = F.broadcast(spark.createDataFrame(share))  # one row per source
+    turns = period_schedule(slots, period, length)
+    plan = pa.table({"_key": [t[0] for t in turns], "_turn": [t[1] for t in turns], "_slot": [t[2] for t in turns]}, _TURNS)
+    plan = F.broadcast(spark.createDataFrame(plan))  # at most one row per slot of a period
 
     rank = max(max((r["n"] for r in found.values()), default=0) // _CELL_ROWS, 1).bit_length() + 4
     placed = placed.withColumn("_cell", F.shiftright("_draw", 64 - min(rank, 40)))

@@ -14,7 +14,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -64,15 +63,15 @@ class Skeleton(NamedTuple):
     def shard(self, path: bytes, conv: int) -> int:
         return bisect.bisect_right(self.splitters, (path, conv))
 
-    def facts(self) -> pd.DataFrame:
+    def facts(self) -> pa.Table:
         """Per node what its subtree's skeleton adds: one turn text is kept of each node, and its skeleton children."""
         kept, children = self.size.astype(np.int64), np.zeros(len(self.size), np.int64)
         for node in range(len(self.size) - 1, 0, -1):  # a child's number is above its parent's
             kept[self.parent[node]] += kept[node]
             children[self.parent[node]] += 1
-        return pd.DataFrame({"skeleton": np.arange(len(self.size)), "depth": self.depth, "parent_skeleton": self.parent, "kept": kept, "branches": children})
+        return pa.table({"skeleton": np.arange(len(self.size)), "depth": self.depth, "parent_skeleton": self.parent, "kept": kept, "branches": children})
 
-    def above_ends(self) -> pd.DataFrame:
+    def above_ends(self) -> pa.Table:
         """``(tip, skeleton)``: each node without skeleton children, with itself and all nodes above it."""
         tips = np.setdiff1d(np.arange(len(self.size)), self.parent)
         rows, seen = [], set()
@@ -82,7 +81,7 @@ class Skeleton(NamedTuple):
                 seen.add(tip)
                 rows.append(np.column_stack([np.full(len(path), tip), path]))
         rows = np.concatenate(rows) if rows else np.zeros((1, 2), np.int64)
-        return pd.DataFrame(rows, columns=["tip", "skeleton"])
+        return pa.table({"tip": rows[:, 0], "skeleton": rows[:, 1]})
 
 
 def shared_turns(a: bytes, b: bytes) -> int:
