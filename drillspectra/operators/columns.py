@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrays as A
 from ..session import durable
-from .quantiles import count_values, exact_quantiles
+from .profiles import band_medians
+from .quantiles import exact_quantiles
 
 
 def dense(df: DataFrame, keys: Sequence[str], values: Sequence[str], frames: DataFrame) -> DataFrame:
@@ -117,15 +118,15 @@ def column_thresholds(
     interpolation (or the scene value), and a column median follows.  With
     ``scene_fractions`` the scene-wide values are taken there instead.
 
-    The scores are read once: their value counts per column are stored, and
-    both the column and the scene quantiles come from those.
+    The scores are read once: key, column and score are stored, and both the
+    column and the scene quantiles come from those.
     """
     keys = list(keys)
     qs = [f"q{i}" for i in range(len(fractions))]
-    counted = durable(count_values(scores, [*keys, "sample"], value))
-    own = exact_quantiles(counted, [*keys, "sample"], "_x", fractions, weight="_c")
+    narrow = durable(scores.select(*keys, "sample", value))
+    own = exact_quantiles(narrow, [*keys, "sample"], value, fractions)
     wanted = [*fractions, *(scene_fractions or fractions)]
-    scene = exact_quantiles(counted, keys, "_x", wanted, weight="_c").select(
+    scene = exact_quantiles(narrow, keys, value, wanted).select(
         *keys, *[F.col(q).alias(q.replace("q", "f")) for q in qs],
         *[F.col(f"q{len(fractions) + i}").alias(f"s{i}") for i in range(len(wanted) - len(fractions))],
     )
@@ -154,22 +155,10 @@ def column_thresholds(
     return column_rows(resolved, [*keys, *ss], ["n", *ts])
 
 
-def column_medians(pixels: DataFrame, spectrum: str) -> DataFrame:
-    """Median spectrum of every detector column as ``profile``."""
-    bands = pixels.select("scene_id", "sample", F.posexplode(spectrum).alias("band", "v"))
-    medians = exact_quantiles(bands, ["scene_id", "sample", "band"], "v", [0.5])
-    return medians.groupBy("scene_id", "sample").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("band", F.col("q0").alias("m")))), lambda s: s["m"]
-        ).alias("profile")
-    )
-
-
 def column_bias(pixels: DataFrame, frames: DataFrame, spectrum: str = "spectrum", radius: int = 2) -> DataFrame:
     """Detector-column offset per band: column median minus its neighbourhood,
     centred per band; columns without pixels get no offset."""
-    bands = pixels.select("scene_id", "sample", F.posexplode(spectrum).alias("band", "v"))
-    medians = exact_quantiles(bands, ["scene_id", "sample", "band"], "v", [0.5]).withColumnRenamed("q0", "m")
+    medians = band_medians(pixels, ["scene_id", "sample"], spectrum)
     packed = dense(medians, ["scene_id", "band"], ["m"], frames)
     raw = packed.withColumn("d", F.zip_with("m", shrinking_median(F.col("m"), radius), lambda a, b: a - b))
     centred = raw.withColumn("mid", A.median(F.col("d"))).withColumn(

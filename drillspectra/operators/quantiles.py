@@ -4,39 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.arrays import literal_doubles
 
+#: Bins per doubling of a value's size, and a place above all exponents of a double.
+FINENESS = 2048
+_ABOVE = 1100
 
-def count_values(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
-    """``keys, _x, _c``: how often each present value occurs."""
-    x = F.col(value).cast("double")
-    n = F.sum(weight) if weight else F.count(F.lit(1))
-    return df.where(x.isNotNull() & ~F.isnan(x)).groupBy(*keys, x.alias("_x")).agg(n.alias("_c"))
+
+def magnitude_bin(x: Column, fineness: int = FINENESS) -> Column:
+    """A whole number that never falls as ``x`` grows; it needs no range of the data to be known first."""
+    size = F.abs(x)
+    place = F.floor(F.log2(size) * fineness) + F.lit(_ABOVE * fineness)
+    place = F.when(size == float("inf"), F.lit(2 * _ABOVE * fineness)).otherwise(place)
+    return F.when(x == 0, F.lit(0)).otherwise(F.signum(x).cast("long") * place).cast("long")
 
 
 def exact_quantile_array(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024,
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], fineness: int = FINENESS,
     weight: str | None = None,
 ) -> DataFrame:
     """``keys, n, qs``: one interpolated quantile per fraction, in order.
 
-    Equal values are counted together first.  A per-key histogram then tells
-    which bin holds each wanted rank, and only those bins are ordered; an
-    ordered bin spills rather than being collected.  A hot key is therefore
-    spread over (key, value) in the first exchange and over (key, bin) in the
-    last one.  ``weight`` names a count column of an already counted input.
+    One pass counts the values of every key by size, combined before the
+    exchange; the counts tell which bin holds each wanted rank.  A second pass
+    keeps only values in those bins, counts equal ones together and orders them
+    inside (key, bin).  A hot key is therefore spread over its bins, and a value
+    that many rows share is one row.  ``weight`` names a count column.
     """
     keys = list(keys)
-    counts = count_values(df, keys, value, weight)
-    ends = counts.groupBy(*keys).agg(
-        F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_c").alias("n")
-    )
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    place = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1)))
-    placed = counts.join(ends, keys).withColumn("_bin", F.coalesce(place, F.lit(0)))
-    before = W.partitionBy(*keys).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull() & ~F.isnan(x)).select(
+        *keys, x.alias("_x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_c"), magnitude_bin(x, fineness).alias("_bin"))
+    counts = rows.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_m"))
+    along = W.partitionBy(*keys).orderBy("_bin")
     steps = literal_doubles(fractions)
     ranks = F.array_distinct(F.flatten(F.transform(
         steps, lambda f: F.array(F.floor((F.col("n") - 1) * f), F.ceil((F.col("n") - 1) * f)))))
@@ -45,15 +47,15 @@ def exact_quantile_array(
         return lambda r: (r >= F.col(start)) & (r < F.col(start) + F.col(length))
 
     chosen = (
-        placed.groupBy(*keys, "_bin", "n").agg(F.sum("_c").alias("_m"))
-        .withColumn("_before", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+        counts.withColumn("_before", F.coalesce(F.sum("_m").over(along.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("n", F.sum("_m").over(W.partitionBy(*keys)))
         .withColumn("_ranks", F.filter(ranks, inside("_before", "_m")))
-        .where(F.size("_ranks") > 0).select(*keys, "_bin", "_before", "_ranks")
+        .where(F.size("_ranks") > 0).select(*keys, "_bin", "_before", "_ranks", "n")
     )
+    equal = rows.join(chosen, [*keys, "_bin"]).groupBy(*keys, "_bin", "_x").agg(
+        F.sum("_c").alias("_c"), *[F.first(c).alias(c) for c in ("_before", "_ranks", "n")])
     upto = W.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(W.unboundedPreceding, -1)
-    ordered = placed.join(chosen, [*keys, "_bin"]).withColumn(
-        "_start", F.col("_before") + F.coalesce(F.sum("_c").over(upto), F.lit(0))
-    )
+    ordered = equal.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(upto), F.lit(0)))
     hits = ordered.select(*keys, "n", "_x", F.explode(F.filter("_ranks", inside("_start", "_c"))).alias("_rank"))
     known = hits.groupBy(*keys).agg(
         F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("_rank", "_x"))).alias("_at"))
@@ -67,9 +69,9 @@ def exact_quantile_array(
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024,
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], fineness: int = FINENESS,
     weight: str | None = None,
 ) -> DataFrame:
     """``keys, n, q0, q1, ...`` for the given fractions."""
-    arrays = exact_quantile_array(df, keys, value, fractions, bins, weight)
+    arrays = exact_quantile_array(df, keys, value, fractions, fineness, weight)
     return arrays.select(*keys, "n", *[F.col("qs")[i].alias(f"q{i}") for i in range(len(fractions))])

@@ -7,20 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import arrays as A
-from .quantiles import exact_quantiles
+from .profiles import band_medians
 
 
-def sensor_quality(bands: DataFrame) -> DataFrame:
-    """Signal-to-noise and bad bands per scene from (scene_id, band, v).
+def sensor_quality(pixels: DataFrame, spectrum: str = "spectrum") -> DataFrame:
+    """Signal-to-noise and bad bands per scene.
 
     A band is bad when under 98 % of its values are present or its noise stands
-    out.  After the per-band medians a scene is one row per band.
+    out.  The spectra are read once for the medians and once for the noise
+    around them; what is exchanged are counts and one row per scene and band.
     """
     keys = ["scene_id", "band"]
-    middle = exact_quantiles(bands, keys, "v", [0.5]).select(*keys, F.col("q0").alias("m"))
-    share = bands.groupBy(*keys).agg(F.avg(F.col("v").isNotNull().cast("double")).alias("finite"))
-    around = bands.join(middle, keys).select(*keys, F.abs(F.col("v") - F.col("m")).alias("d"))
-    noise = exact_quantiles(around, keys, "d", [0.5]).select(*keys, (1.4826 * F.col("q0")).alias("noise"))
+    middle = band_medians(pixels, ["scene_id"], spectrum)
+    size = pixels.groupBy("scene_id").agg(F.count(spectrum).alias("pixels"), F.max(F.size(spectrum)).alias("bands"))
+    profile = middle.groupBy("scene_id").agg(F.map_from_entries(F.collect_list(F.struct("band", "m"))).alias("_m"))
+    around = pixels.select("scene_id", spectrum).join(profile, "scene_id").select("scene_id", F.transform(
+        spectrum, lambda v, b: F.abs(v - F.try_element_at(F.col("_m"), b))).alias("d"))
+    noise = band_medians(around, ["scene_id"], "d").select(*keys, (1.4826 * F.col("m")).alias("noise"))
+    every = size.select("scene_id", "pixels", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)).alias("band"))
+    share = every.join(middle, keys, "left").select(*keys, (F.coalesce("n", F.lit(0)) / F.col("pixels")).alias("finite"))
+    middle = middle.drop("n")
     rows = share.join(middle, keys, "left").join(noise, keys, "left")
     packed = rows.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("band", "m", "noise", "finite"))).alias("b")).select(
         "scene_id", "b", F.transform("b", lambda x: x["m"]).alias("m"), F.transform("b", lambda x: x["noise"]).alias("noise"))

@@ -148,7 +148,7 @@ BAND_SQL = """bm AS (SELECT scene_id, band, median(v) AS m, avg(CASE WHEN vec_id
 def a10(v):
     from ..operators.sensor import sensor_quality
 
-    holed = v.px.withColumn("v", F.when(F.col("vec_id") % 97 != F.col("band"), F.col("v")))
+    holed = v.pixels.withColumn("spectrum", F.transform("spectrum", lambda x, band: F.when(F.col("vec_id") % 97 != band, x)))
     return sensor_quality(holed).select("scene_id", F.round("snr", 5).alias("snr"), "bad_bands", "bands")
 
 

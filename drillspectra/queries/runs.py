@@ -57,7 +57,7 @@ def l11(v):
 def q12(v):
     """Grid, mask, sensor and plan of every scene in one readiness row."""
     area = v.pixel_frames
-    quality = sensor.sensor_quality(v.px).select("scene_id", "snr", "bad_bands")
+    quality = sensor.sensor_quality(v.pixels).select("scene_id", "snr", "bad_bands")
     mask = v.pixels.where(S.is_material(F.col("spectrum"))).groupBy("scene_id").agg(F.count(F.lit(1)).alias("pixels"))
     plan = sampling.depth_blocks(v.pixels.select(*KEY), area, desired=4, height=8, minimum=16).groupBy("scene_id").agg(F.count("start").alias("blocks"))
     spacing = sensor_axis(v).groupBy("scene_id").agg((F.max("wavelength_nm") - F.min("wavelength_nm")).alias("span"))

@@ -69,18 +69,18 @@ def p2_kernel(v):
     return long(v.pixels.withColumn("x", K.smooth(BANDS)(F.col("spectrum"))))
 
 
-@query("p3_detector_column_correction", """
-    WITH b AS (SELECT scene_id, sample, band, median(v) AS m FROM px GROUP BY ALL)
-    SELECT p.scene_id, p.line, p.sample, p.band, round(p.v - 0.7::DOUBLE * (b.m - 1), 6) AS value
-    FROM px p JOIN b USING (scene_id, sample, band)""")
+@query("p3_detector_column_correction", f"""
+    WITH {SMOOTH_SQL}, b AS (SELECT scene_id, sample, band, median(s) AS m FROM sm GROUP BY ALL),
+    l AS (SELECT a.scene_id, a.sample, a.band, a.m - median(n.m) AS d FROM b a JOIN b n ON n.scene_id = a.scene_id AND n.band = a.band
+      AND n.sample BETWEEN a.sample - 2 AND a.sample + 2 GROUP BY a.scene_id, a.sample, a.band, a.m),
+    c AS (SELECT scene_id, sample, band, d - median(d) OVER (PARTITION BY scene_id, band) AS bias FROM l)
+    SELECT scene_id, line, sample, band, round(s - 0.7::DOUBLE * bias, 6) AS value FROM sm JOIN c USING (scene_id, sample, band)""")
 def p3(v):
-    from ..operators.columns import column_medians
+    from ..operators.columns import column_bias
 
-    bias = column_medians(v.pixels, "spectrum").select(
-        "scene_id", "sample", F.transform("profile", lambda m: m - 1).alias("bias")
-    )
-    joined = v.pixels.join(bias, ["scene_id", "sample"])
-    return long(joined.withColumn("x", S.column_corrected(F.col("spectrum"), F.col("bias"))))
+    smooth = v.pixels.select(*KEY, K.smooth(BANDS)(F.col("spectrum")).alias("smooth"))
+    joined = smooth.join(column_bias(smooth, v.pixel_frames, "smooth"), ["scene_id", "sample"])
+    return long(joined.withColumn("x", S.column_corrected(F.col("smooth"), F.col("bias"))))
 
 
 ANGLE_SQL = """acos(greatest(-1, least(1, list_dot_product(p.spectrum, r.spectrum) /
