@@ -69,9 +69,9 @@ def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     step = np.int64(1) << np.int64(64 - BIN_BITS)
     for batch in batches:
         low, last = (batch.column(c).to_numpy() for c in ("_low", "_last"))
-        with np.errstate(over="ignore"):
-            high = np.where(last > np.iinfo(np.int64).max - step, np.iinfo(np.int64).max, last + step - 1)
-        ends = [pa.array(_values(p.astype(np.int64)), pa.float64()) for p in (low, high)]
+        least, most = _places(np.array([-np.inf, np.inf]))  # beyond these lie the NaNs
+        high = np.where(last > most - step, most, np.minimum(last, most - step) + step - 1)
+        ends = [pa.array(_values(p.astype(np.int64)), pa.float64()) for p in (np.maximum(low, least), high)]
         yield pa.RecordBatch.from_arrays([*batch.columns, *ends], names=[*batch.schema.names, "_from", "_to"])
 
 

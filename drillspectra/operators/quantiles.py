@@ -63,7 +63,8 @@ def exact_quantile_array(
     def interpolate(f):
         position = (F.col("n") - 1) * f
         low = F.col("_at")[F.floor(position)]
-        return low + (F.col("_at")[F.ceil(position)] - low) * (position - F.floor(position))
+        between = low + (F.col("_at")[F.ceil(position)] - low) * (position - F.floor(position))
+        return F.when(position == F.floor(position), low).otherwise(between)
 
     return known.select(*keys, "n", F.transform(steps, interpolate).alias("qs"))
 

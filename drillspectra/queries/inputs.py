@@ -13,7 +13,7 @@ from ..plans import catalog
 from ..plans.registry import query
 from ..plans.views import AXIS, BANDS, KEY
 from ..session import scratch_folder
-from ..sources import rasters, sinks
+from ..sources import cubes, rasters, sinks
 from ..streaming import lines
 from .decisions import POLICY_SQL, policy_maps
 from .planes import DENSE_SQL, dense_cells, gaps_sql, reach_sql
@@ -22,17 +22,28 @@ from .spectra import IN_WINDOW, POSITIONS, SPREAD, SUB_AXIS, absorbed, library
 SC = ["scene_id"]
 
 
+def written_cubes(v) -> str:
+    """The scenes as cube files, a third of them in each interleave; the folder they lie in."""
+    folder = scratch_folder(v.spark, "cubes")
+    order = F.element_at(F.array(F.lit("bip"), F.lit("bil"), F.lit("bsq")), (F.crc32("scene_id") % 3 + 1).cast("int"))
+    cubes.write_cubes(v.pixels.withColumn("order", order), folder, "order", block_lines=2).agg(F.count("file")).collect()
+    return folder
+
+
 @query("s1_raster_cube_scan", """
     SELECT scene_id, line, sample, band, round(v, 9) AS value FROM px""")
 def s1(v):
-    """Scan lines as bytes and back, through the decoder the cube reader uses."""
-    packed = v.pixels.groupBy("scene_id", "line").agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("sample", "spectrum"))), lambda s: s["spectrum"])).alias("flat"),
-        F.count(F.lit(1)).alias("samples"))
-    raw = packed.select("scene_id", "line", rasters.encode_line("flat").alias("raw"))
-    values = raw.select("scene_id", "line", F.posexplode(rasters.decode_line("raw")).alias("at", "value"))
-    return values.select("scene_id", "line", F.floor(F.col("at") / BANDS).cast("int").alias("sample"),
-                         (F.col("at") % BANDS).alias("band"), F.round("value", 9).alias("value"))
+    """Scenes written as cubes and read back by the data source."""
+    rows = cubes.read_cubes(v.spark, written_cubes(v)).where(F.exists("spectrum", lambda x: x.isNotNull()))  # cells without a pixel hold nothing
+    return rows.select(*KEY, F.posexplode("spectrum").alias("band", "value")).withColumn("value", F.round("value", 9))
+
+
+@query("s1_cube_band_subset", """
+    SELECT scene_id, line, sample, [round(spectrum[13], 9), round(spectrum[4], 9), round(spectrum[5], 9)] AS spectrum FROM pixels WHERE line BETWEEN 1 AND 3""")
+def s1_subset(v):
+    """Three bands of three scan lines: no other bytes of band-sequential files are read."""
+    rows = cubes.read_cubes(v.spark, written_cubes(v), bands=[12, 3, 4], first_line=1, last_line=3).where(F.exists("spectrum", lambda x: x.isNotNull()))
+    return rows.withColumn("spectrum", F.transform("spectrum", lambda x: F.round(x, 9)))
 
 
 @query("s2_header_metadata", """
@@ -53,14 +64,17 @@ def s2(v):
       CASE WHEN label % 2 = 0 THEN 'vec' || vec_id ELSE 'Spectrum ' || row_number() OVER p END AS raw_name, round(list_sum(spectrum), 6) AS total
     FROM pixels WINDOW p AS (PARTITION BY label, vec_id // 100 ORDER BY vec_id)""")
 def s3(v):
-    """Library files of at most a hundred spectra each, back to rows."""
+    """Binary library files of at most a hundred spectra each, written and read back."""
     rows = F.array_sort(F.collect_list(F.struct("vec_id", "spectrum")))
     source = F.col("label") * 1000000 + F.floor(F.col("vec_id") / 100)
     packed = v.pixels.groupBy(source.alias("source_id"), "label").agg(rows.alias("r")).select(
         "source_id", F.when(F.col("label") % 2 == 0, F.transform("r", lambda x: F.concat(F.lit("vec"), x["vec_id"].cast("string"))))
         .otherwise(F.array().cast("array<string>")).alias("names"),
         A.literal_doubles(AXIS).alias("wavelengths"), F.transform("r", lambda x: x["spectrum"]).alias("spectra"))
-    return rasters.library_rows(packed).select("source_id", "source_index", "raw_name", F.round(A.total(F.col("values")), 6).alias("total"))
+    folder = scratch_folder(v.spark, "libraries")
+    cubes.write_libraries(packed, folder).agg(F.count("file")).collect()
+    rows = cubes.read_libraries(v.spark, folder).withColumn("source_id", F.col("source_id").cast("long"))
+    return rows.select("source_id", "source_index", "raw_name", F.round(A.total(F.col("values")), 6).alias("total"))
 
 
 @query("s4_ascii_spectrum_scan", """

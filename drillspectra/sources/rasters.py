@@ -1,26 +1,12 @@
-"""Raster cubes, headers and spectral tables to rows.
-
-Headers are small text and parsed with column expressions; the flat data file
-of a cube is split into line blocks, and each task reads only its own bytes.
-"""
+"""Headers and spectral text files to rows, as column expressions; ``cubes`` reads the flat data files."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.functions import arrow_udf
-
-from ..functions import kernels as K
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # raster data type codes (fixed values)
 DATA_TYPES = {1: "u1", 2: "i2", 3: "i4", 4: "f4", 5: "f8", 12: "u2", 13: "u4", 14: "i8", 15: "u8"}
 
-PIXELS = "scene_id string, line int, sample int, spectrum array<double>"
-
 
 def header_map(text: Column) -> Column:
     """``key = value`` pairs, values in braces may span lines."""
@@ -48,90 +34,6 @@ def read_headers(spark: SparkSession, pattern: str) -> DataFrame:
     return files.select("path", header_map(F.col("value")).alias("header"))
 
 
-def cube_layout(headers: DataFrame) -> DataFrame:
-    """Typed columns a reader needs, from header maps."""
-    h = lambda k: F.col("header")[k]
-    return headers.select(
-        "path", h("samples").cast("int").alias("samples"), h("lines").cast("int").alias("lines"), h("bands").cast("int").alias("bands"),
-        F.coalesce(h("header offset").cast("long"), F.lit(0)).alias("offset"), h("data type").cast("int").alias("data_type"),
-        F.lower(h("interleave")).alias("interleave"), F.coalesce(h("byte order").cast("int"), F.lit(0)).alias("byte_order"))
-
-
-def decode(raw: bytes, kind: int, big: bool, interleave: str, lines: int, samples: int, bands: int) -> np.ndarray:
-    """Bytes of whole lines (or of a full plane set) to ``lines x samples x bands``."""
-    flat = np.frombuffer(raw, dtype=np.dtype(DATA_TYPES[kind]).newbyteorder(">" if big else "<"))
-    if interleave == "bip":
-        return flat.reshape(lines, samples, bands)
-    if interleave == "bil":
-        return flat.reshape(lines, bands, samples).transpose(0, 2, 1)
-    return flat.reshape(bands, lines, samples).transpose(1, 2, 0)
-
-
-def _read_block(handle, row) -> np.ndarray:
-    width = np.dtype(DATA_TYPES[row.data_type]).itemsize
-    lines = row.stop - row.start
-    if row.interleave in ("bip", "bil"):
-        handle.seek(row.offset + row.start * row.samples * row.bands * width)
-        raw = handle.read(lines * row.samples * row.bands * width)
-    else:
-        planes = []
-        for band in range(row.bands):
-            handle.seek(row.offset + (band * row.lines + row.start) * row.samples * width)
-            planes.append(handle.read(lines * row.samples * width))
-        raw = b"".join(bytes(p) for p in planes)
-    return decode(raw, row.data_type, row.byte_order == 1, row.interleave, lines, row.samples, row.bands)
-
-
-def read_cubes(spark: SparkSession, headers: DataFrame, block_lines: int = 64) -> DataFrame:
-    """Pixels of every cube, one task input per line block.
-
-    ``headers`` is ``cube_layout`` plus ``data_path``.  Blocks are spread over
-    the cluster before any byte is read; a file of the wrong length is refused.
-    """
-    blocks = headers.select("*", F.explode(F.sequence(F.lit(0), F.col("lines") - 1, F.lit(block_lines))).alias("start")).withColumn(
-        "stop", F.least(F.col("start") + block_lines, F.col("lines")))
-    spread = blocks.repartition("data_path", "start")
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                system, name = fs.FileSystem.from_uri(row.data_path)
-                expected = row.offset + row.lines * row.samples * row.bands * np.dtype(DATA_TYPES[row.data_type]).itemsize
-                if system.get_file_info(name).size != expected:
-                    raise ValueError(f"{row.data_path}: size differs from its header")
-                with system.open_input_file(name) as handle:
-                    cube = _read_block(handle, row)
-                at = np.indices(cube.shape[:2]).reshape(2, -1)
-                yield pd.DataFrame({
-                    "scene_id": row.data_path, "line": (at[0] + row.start).astype("int32"), "sample": at[1].astype("int32"),
-                    "spectrum": list(cube.reshape(-1, cube.shape[2]).astype("float64"))})
-
-    return spread.mapInPandas(load, PIXELS)
-
-
-def finite_only(spectrum: Column) -> Column:
-    """NaN and infinities in a stored spectrum become NULL."""
-    return F.transform(spectrum, lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x))
-
-
-@arrow_udf(T.BinaryType())
-def encode_line(values: pa.Array) -> pa.Array:
-    """One scan line (bands of each sample, sample after sample) as big-endian doubles."""
-    return pa.array([np.asarray(v, dtype=">f8").tobytes() for v in values.to_pylist()], type=pa.binary())
-
-
-@arrow_udf(K.DOUBLES)
-def decode_line(lines: pa.Array) -> pa.Array:
-    """Big-endian doubles of a scan line of any length back to its flat values, read in place."""
-    held = lines.fill_null(b"").cast(pa.large_binary())
-    _, offsets, data = held.buffers()
-    borders = np.frombuffer(offsets, np.int64, len(held) + 1, held.offset * 8)
-    values = np.frombuffer(data, ">f8", (borders[-1] - borders[0]) // 8, borders[0]).astype(float) if data is not None and borders[-1] > borders[0] else np.zeros(0)
-    return pa.ListArray.from_arrays(((borders - borders[0]) // 8).astype(np.int32), pa.array(values))
-
-
 def ascii_spectrum(text: Column) -> Column:
     """Two-column text: label and the (wavelength, value) pairs, NULL when unusable."""
     number = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[Ee][+-]?\d+)?"
@@ -144,17 +46,6 @@ def ascii_spectrum(text: Column) -> Column:
         F.when(label != "", label).alias("label"), w.alias("wavelengths"), y.alias("values")))
 
 
-def library_rows(libraries: DataFrame) -> DataFrame:
-    """One row per stored spectrum; missing names become ``Spectrum i``.
-
-    ``libraries`` is (source_id, names ARRAY, wavelengths ARRAY, spectra ARRAY<ARRAY>).
-    """
-    named = F.size("names") == F.size("spectra")
-    rows = libraries.select("source_id", "names", named.alias("_named"), "wavelengths", F.posexplode("spectra").alias("source_index", "values"))
-    return rows.select("source_id", "source_index", F.when(F.col("_named"), F.get("names", F.col("source_index"))).otherwise(
-        F.concat(F.lit("Spectrum "), (F.col("source_index") + 1).cast("string"))).alias("raw_name"), "wavelengths", "values")
-
-
 def moved_tie_point(tie_x: Column, tie_y: Column, step_x: Column, step_y: Column, first_sample: Column, first_line: Column) -> Column:
     """Map coordinates of the upper-left pixel of a crop."""
     return F.struct((tie_x + first_sample * step_x).alias("map_x"), (tie_y - first_line * step_y).alias("map_y"))

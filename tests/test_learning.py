@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drillspectra.operators import calibrate as M, library as L
-from drillspectra.sources import rasters
+from drillspectra.sources import cubes, rasters
 
 SC = ["scene_id"]
 
@@ -171,9 +171,8 @@ def test_cube_files(spark, tmp_path, interleave):
     headers = rasters.read_headers(spark, f"{tmp_path}/*.hdr")
     w = headers.select(rasters.number_list(F.col("header")["wavelength"])).first()[0]
     assert w == [2.08, 10.0, 25.0]
-    layout = rasters.cube_layout(headers).withColumn("data_path", F.lit(f"file://{tmp_path}/a.dat"))
-    rows = rasters.read_cubes(spark, layout, block_lines=1).collect()
-    assert len(rows) == 8 and all(r["spectrum"] == cube[r["line"], r["sample"]].tolist() for r in rows)
+    rows = cubes.read_cubes(spark, f"file://{tmp_path}", block_bytes=1).collect()
+    assert len(rows) == 8 and all(r["scene_id"] == "a" and r["spectrum"] == cube[r["line"], r["sample"]].tolist() for r in rows)
 
 
 def test_numeric_qc(spark):
