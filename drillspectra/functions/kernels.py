@@ -244,6 +244,24 @@ def evidence_to(
 EVIDENCE = T.StructType([T.StructField("depth", T.DoubleType()), T.StructField("distances", DOUBLES)])
 
 
+def evidence_plans(groups: dict[int, dict], axis: Sequence[float]):
+    """Per group a function from spectra to their deepest absorption and their distance from every reference."""
+    grid = np.asarray(axis, dtype=float)
+
+    def plan(g: dict):
+        at = list(g["positions"])
+        line = SegmentLine(grid[at])
+        totals = evidence_function(np.maximum(1.0 - line(np.asarray(g["references"], dtype=float)[:, at]), 0.0), grid[at], g["features"], g["weights"])
+
+        def judge(spectra: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            curves = np.maximum(1.0 - line(spectra[:, at]), 0.0)
+            return curves.max(axis=1), totals(curves)
+
+        return judge
+
+    return {number: plan(g) for number, g in groups.items()}
+
+
 def grouped_evidence(groups: dict[int, dict], axis: Sequence[float]):
     """``(group, spectrum) -> depth and distances`` with one plan per group.
 
@@ -251,14 +269,8 @@ def grouped_evidence(groups: dict[int, dict], axis: Sequence[float]):
     compared with the library it competes in.  Distances are padded with NULL
     to the largest group.
     """
-    grid = np.asarray(axis, dtype=float)
     width = max(len(g["references"]) for g in groups.values())
-    plans = {}
-    for number, g in groups.items():
-        at = list(g["positions"])
-        line = SegmentLine(grid[at])
-        curves = np.maximum(1.0 - line(np.asarray(g["references"], dtype=float)[:, at]), 0.0)
-        plans[number] = (at, line, evidence_function(curves, grid[at], g["features"], g["weights"]))
+    plans = evidence_plans(groups, axis)
 
     @arrow_udf(EVIDENCE)
     def kernel(numbers: pa.Array, spectra: pa.Array) -> pa.Array:
@@ -266,14 +278,11 @@ def grouped_evidence(groups: dict[int, dict], axis: Sequence[float]):
         chosen = numbers.to_numpy(zero_copy_only=False)
         depth = np.full(len(values), np.nan)
         distances = np.full((len(values), width), np.nan)
-        for number, (at, line, totals) in plans.items():
+        for number, plan in plans.items():
             rows = np.flatnonzero(chosen == number)
-            if not len(rows):
-                continue
-            curves = np.maximum(1.0 - line(values[rows][:, at]), 0.0)
-            depth[rows] = curves.max(axis=1)
-            found = totals(curves)
-            distances[rows, : found.shape[1]] = found
+            if len(rows):
+                depth[rows], found = plan(values[rows])
+                distances[rows, : found.shape[1]] = found
         return pa.StructArray.from_arrays(
             [pa.array(depth, mask=~np.isfinite(depth)), _lists(distances)], names=["depth", "distances"])
 

@@ -3,13 +3,16 @@
 Only set cells are stored.  A scan line is bounded by the detector width, a
 column is not, so anything that runs along a column is cut into line tiles:
 each tile also receives the rows its neighbours need (the halo), and every
-window stays inside one tile.
+window stays inside one tile.  Boxes are sums over shifted planes of a tile, so
+no cell is sent to the cells around it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CELL = ["line", "sample"]
@@ -54,67 +57,116 @@ def across_samples(
     return df.select("*", *[value.over(frame).alias(name) for name, value in sums.items()])
 
 
-def _offsets(rows: int, columns: int, include_self: bool) -> Column:
-    pairs = [
-        F.struct(F.lit(a).alias("dl"), F.lit(b).alias("ds"))
-        for a in range(-rows, rows + 1)
-        for b in range(-columns, columns + 1)
-        if include_self or a or b
-    ]
-    return F.array(*pairs)
+class Tile:
+    """One haloed tile as dense planes; a detector is narrow and a tile is short, so planes are small."""
 
+    def __init__(self, table: pa.Table, rows: int, columns: int, tile_lines: int):
+        self.line, self.sample = (table.column(c).to_numpy().astype(np.int64) for c in CELL)
+        size = max(tile_lines, 2 * rows)
+        self.start = int(table.column("tile")[0].as_py()) * size
+        self.stop = self.start + size
+        self.low = int(self.sample.min()) - columns
+        self.rows, self.columns = rows, columns
+        self.shape = (size + 2 * rows, int(self.sample.max()) - self.low + columns + 1)
+        self.at = (self.line - self.start + rows, self.sample - self.low)
+        self.home = (self.line >= self.start) & (self.line < self.stop)
 
-def spread(
-    cells: DataFrame, keys: Sequence[str], rows: int, columns: int, include_self: bool = True,
-    carry: Sequence[str] = (),
-) -> DataFrame:
-    """Every set cell, sent to each cell of the box around it."""
-    return cells.select(
-        *keys, "line", "sample", *carry, F.explode(_offsets(rows, columns, include_self)).alias("_o")
-    ).select(
-        *keys,
-        (F.col("line") + F.col("_o.dl")).alias("line"),
-        (F.col("sample") + F.col("_o.ds")).alias("sample"),
-        *carry,
-    )
+    def plane(self, values) -> np.ndarray:
+        out = np.zeros(self.shape)
+        np.add.at(out, self.at, values)
+        return out
+
+    def around(self, plane: np.ndarray) -> np.ndarray:
+        """Sum over the box around every cell of the home lines: first down, then across."""
+        r, c = self.rows, self.columns
+        tall, wide = self.shape
+        down = sum(plane[k : tall - 2 * r + k] for k in range(2 * r + 1))
+        padded = np.pad(down, ((0, 0), (c, c)))
+        return sum(padded[:, k : wide + k] for k in range(2 * c + 1))
+
+    def of(self, sums: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Values of ``around`` at cells of the home lines."""
+        return sums[self.at[0][which] - self.rows, self.at[1][which]]
+
+
+def per_tile(df: DataFrame, keys: Sequence[str], rows: int, columns: int, run, added: str, tile_lines: int = 512) -> DataFrame:
+    """``keys, line, sample`` and ``added`` of every haloed tile: one exchange, in which only seam rows are doubled.
+
+    ``run(tile, table)`` returns lines, samples and the added columns.
+    """
+    keys = list(keys)
+    haloed = with_halo(df, rows, tile_lines).drop("home")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in haloed.select(*keys).schema)
+    names = [a.strip().split(" ")[0] for a in added.split(",")] if added else []
+
+    def whole(table: pa.Table) -> pa.Table:
+        line, sample, *values = run(Tile(table, rows, columns, tile_lines), table)
+        heads = {k: pa.repeat(table.column(k)[0], len(line)) for k in keys}
+        return pa.table(heads | {"line": pa.array(line.astype(np.int32)), "sample": pa.array(sample.astype(np.int32))} | dict(zip(names, map(pa.array, values))))
+
+    return haloed.groupBy(*keys, "tile").applyInArrow(whole, f"{kinds}, line int, sample int" + (f", {added}" if added else ""))
 
 
 def box_counts(
     cells: DataFrame, targets: DataFrame, keys: Sequence[str], rows: int, columns: int,
     include_self: bool = True,
 ) -> DataFrame:
-    """``targets`` with ``n``: the set cells in the box around each one.
+    """``targets`` with ``n``: the set cells in the box around each one."""
+    same = cells is targets
+    asked = cells.select(*keys, *CELL)
+    if not same:
+        asked = asked.withColumn("_set", F.lit(1)).unionByName(targets.select(*keys, *CELL, F.lit(0).alias("_set")))
 
-    Contributions and targets meet in a single aggregation, which combines
-    before the exchange.
-    """
-    given = spread(cells, keys, rows, columns, include_self).withColumn("_n", F.lit(1)).withColumn(
-        "_t", F.lit(0)
-    )
-    asked = targets.select(*keys, *CELL, F.lit(0).alias("_n"), F.lit(1).alias("_t"))
+    def run(tile: Tile, table: pa.Table):
+        given = np.ones(table.num_rows) if same else table.column("_set").to_numpy()
+        plane = tile.plane(given)
+        n = tile.around(plane)
+        wanted = tile.home if same else tile.home & (given == 0)
+        _, first = np.unique(np.stack([tile.line[wanted], tile.sample[wanted]], 1), axis=0, return_index=True)
+        which = np.flatnonzero(wanted)[first]
+        found = tile.of(n, which) - (0 if include_self else plane[tile.at[0][which], tile.at[1][which]])
+        return tile.line[which], tile.sample[which], found.astype(np.int64)
+
+    return per_tile(asked, keys, rows, columns, run, "n long")
+
+
+def box_sums(cells: DataFrame, keys: Sequence[str], rows: int, columns: int, values: Sequence[str]) -> DataFrame:
+    """Every cell with ``n`` and the sum of each of ``values`` in the box around it."""
+
+    def run(tile: Tile, table: pa.Table):
+        which = np.flatnonzero(tile.home)
+        planes = [tile.plane(1.0), *(tile.plane(table.column(v).to_numpy(zero_copy_only=False)) for v in values)]
+        n, *sums = (tile.of(tile.around(p), which) for p in planes)
+        return tile.line[which], tile.sample[which], n.astype(np.int64), *sums
+
+    return per_tile(cells.select(*keys, *CELL, *values), keys, rows, columns, run, ", ".join(["n long", *(f"{v} double" for v in values)]))
+
+
+def box_map(cells: DataFrame, keys: Sequence[str], rows: int, columns: int, least: int) -> DataFrame:
+    """Cells, set or not, whose box holds at least ``least`` set cells."""
+
+    def run(tile: Tile, table: pa.Table):
+        line, sample = np.nonzero(tile.around(tile.plane(1.0)) >= least)
+        return line + tile.start, sample + tile.low
+
+    return per_tile(cells.select(*keys, *CELL), keys, rows, columns, run, "")
+
+
+def _inside(cells: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     return (
-        given.unionByName(asked)
-        .groupBy(*keys, *CELL)
-        .agg(F.sum("_n").alias("n"), F.max("_t").alias("_t"))
-        .where("_t = 1")
-        .drop("_t")
+        cells.join(frames, "scene_id")
+        .where("line >= 0 and sample >= 0 and line < lines and sample < samples")
+        .select(*keys, *CELL)
     )
 
 
 def erode(cells: DataFrame, keys: Sequence[str], size: int = 3) -> DataFrame:
-    r = size // 2
-    return box_counts(cells, cells, keys, r, r).where(F.col("n") == size * size).drop("n")
+    return box_map(cells, keys, size // 2, size // 2, size * size)
 
 
 def dilate(cells: DataFrame, frames: DataFrame, keys: Sequence[str], size: int = 3) -> DataFrame:
     """Grow inside the scene frame ``(scene_id, lines, samples)``."""
-    r = size // 2
-    grown = spread(cells, keys, r, r).distinct()
-    return (
-        grown.join(frames, "scene_id")
-        .where("line >= 0 and sample >= 0 and line < lines and sample < samples")
-        .select(*keys, *CELL)
-    )
+    return _inside(box_map(cells, keys, size // 2, size // 2, 1), frames, keys)
 
 
 def close(cells: DataFrame, frames: DataFrame, keys: Sequence[str], size: int = 3) -> DataFrame:
@@ -123,13 +175,7 @@ def close(cells: DataFrame, frames: DataFrame, keys: Sequence[str], size: int =
 
 def majority(cells: DataFrame, frames: DataFrame, keys: Sequence[str], size: int = 3) -> DataFrame:
     """Cells of the frame with more than half of the box set."""
-    r, needed = size // 2, (size * size) // 2 + 1
-    counts = spread(cells, keys, r, r).groupBy(*keys, *CELL).count().where(F.col("count") >= needed)
-    return (
-        counts.join(frames, "scene_id")
-        .where("line >= 0 and sample >= 0 and line < lines and sample < samples")
-        .select(*keys, *CELL)
-    )
+    return _inside(box_map(cells, keys, size // 2, size // 2, (size * size) // 2 + 1), frames, keys)
 
 
 def complement(cells: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import grid
@@ -17,27 +19,27 @@ def local_tie_relabel(
 ) -> DataFrame:
     """Give an isolated near-tied pixel the class that surrounds it.
 
-    Neighbour classes and the pixels themselves meet in one aggregation.
+    Classes are counted in haloed tiles, one plane per class; of equally
+    frequent rivals the smallest class wins.
     """
     keys = list(keys)
-    near = grid.spread(cells, keys, 1, 1, include_self=False, carry=["class_id"])
-    counts = near.groupBy(*keys, "line", "sample", F.col("class_id").alias("_other")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    packed = counts.groupBy(*keys, "line", "sample").agg(
-        F.map_from_entries(F.collect_list(F.struct("_other", "_n"))).alias("_around")
-    )
-    joined = cells.join(packed, [*keys, "line", "sample"], "left")
-    own = F.coalesce(F.col("_around")[F.col("class_id")], F.lit(0))
-    rivals = F.filter(F.map_entries("_around"), lambda e: e["key"] != F.col("class_id"))
-    best = F.array_max(
-        F.transform(rivals, lambda e: F.struct(e["value"].alias("n"), (-e["key"]).alias("k")))
-    )
-    switch = (own <= own_at_most) & (best["n"] >= rival_at_least) & (F.col(margin) <= tolerance)
-    return joined.select(
-        *keys, "line", "sample",
-        F.when(F.coalesce(switch, F.lit(False)), -best["k"]).otherwise(F.col("class_id")).alias("label"),
-    )
+
+    def run(tile: grid.Tile, table: pa.Table):
+        which = np.flatnonzero(tile.home)
+        classes = table.column("class_id").to_numpy().astype(np.int64)
+        mine, close = classes[which], table.column("_close").to_numpy(zero_copy_only=False)[which]
+        own, best, rival = (np.zeros(len(which), np.int64) for _ in range(3))
+        for label in np.unique(classes):
+            count = np.rint(tile.of(tile.around(tile.plane(classes == label)), which)).astype(np.int64)
+            same = mine == label
+            own[same] = count[same] - 1
+            more = ~same & (count > best)
+            best[more], rival[more] = count[more], label
+        switch = (own <= own_at_most) & (best >= rival_at_least) & close
+        return tile.line[which], tile.sample[which], np.where(switch, rival, mine).astype(np.int32)
+
+    close = F.coalesce(F.col(margin) <= tolerance, F.lit(False)).alias("_close")
+    return grid.per_tile(cells.select(*keys, "line", "sample", F.col("class_id").cast("int").alias("class_id"), close), keys, 1, 1, run, "label int")
 
 
 def enforce_nesting(stacked: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -172,8 +172,8 @@ def radiometric_stability(
     """Pixels on even ground: full neighbourhood, low local variation, low slope of log reflectance."""
     keys, r = ["scene_id"], window // 2
     good = level.where((F.col(value) > 0) & ~F.isnan(value)).select(*keys, "line", "sample", F.col(value).alias("x"))
-    around = grid.spread(good, keys, r, r, carry=["x"]).groupBy(*keys, "line", "sample").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("x").alias("_s"), F.sum(F.col("x") * F.col("x")).alias("_q"))
+    squares = good.select(*keys, "line", "sample", F.col("x").alias("_s"), (F.col("x") * F.col("x")).alias("_q"))
+    around = grid.box_sums(squares, keys, r, r, ["_s", "_q"]).withColumnRenamed("n", "_n")
     smooth, slope = _gaussian_taps()
     logs = good.withColumn("g", F.log(F.greatest("x", F.lit(1e-6)))).join(frames, "scene_id")
     first = _along(logs, keys, "sample", "samples", {"gs": ("g", smooth), "gd": ("g", slope)})

@@ -1,8 +1,9 @@
 """Scenes to class maps: the whole mapping run as one dataflow.
 
-The pixels are read twice, once for the thresholds and once for the candidates
-that pass them; spectra never cross an exchange.  What is shuffled are scores,
-labels and per-column statistics.
+The pixels are read twice for the detector's column bias, once for the scores
+behind the thresholds and once for the candidates that pass them.  Spectra cross
+no exchange: limits and bias are looked up by scene (``operators.candidates``).
+What is shuffled are counts, scores, labels and per-column statistics.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import kernels as K, scoring, spectral as S
-from ..operators import artifacts, calibrate, columns, grid, maps, sampling
+from ..operators import artifacts, calibrate, candidates, columns, grid, maps, sampling
 from ..operators.quantiles import exact_quantiles
 from ..session import collect_bounded, durable, ship_package
 from .views import AXIS, Views
@@ -33,24 +34,12 @@ GROUP = {
     ],
     "weights": {"shape": 0.55, "derivative": 0.15, "features": 0.30},
 }
+#: Share of the detector-column bias that is taken off before detection.
+CORRECTION = 0.70
 #: Strength and cap of the shift of a mineral whose scores are high all over a scene.
 OFFSETS = (0.25, 0.03)
 
 
-def detection_scores(pixels: DataFrame, groups: dict[int, dict], bands: int, carry_spectrum: bool) -> DataFrame:
-    """One row per pixel and group with its smallest angle; one Python pass."""
-    smooth = K.smooth(bands)
-    level = ["saturated"] if carry_spectrum else []
-    scored = pixels.select(*CELL, *level, smooth(F.col("spectrum")).alias("smooth"))
-    rows = F.array(*[
-        F.struct(
-            F.lit(number).alias("group_no"),
-            F.array_min(K.angles_to(g["references"], g["detect"])(F.col("smooth"))).alias("score"),
-        ) for number, g in groups.items()])
-    kept = [*level, "smooth"] if carry_spectrum else []
-    return scored.select(*CELL, *kept, F.inline(rows))
-
-
 def candidate_limits(scores: DataFrame, frames: DataFrame) -> DataFrame:
     """Column, scene and absolute limits of every policy per (scene, group, column)."""
     names = list(POLICIES)
@@ -78,24 +67,27 @@ def map_scenes(pixels: DataFrame, library: list, frames: DataFrame, axis: list[f
             "positions": S.window_positions(axis, GROUP["classification"], minimum=3),
             "features": GROUP["features"], "weights": GROUP["weights"],
         }
-    # the flag of the middle band travels with the pixel, so it costs no join later
-    middle = len(axis) // 2
-    top = exact_quantiles(pixels.select("scene_id", F.col("spectrum")[middle].alias("v")), ["scene_id"], "v", [0.999]).select("scene_id", F.col("q0").alias("_top"))
-    flagged = pixels.join(top, "scene_id", "left").withColumn("saturated", F.coalesce(F.col("spectrum")[middle] >= F.col("_top"), F.lit(False)))
-    limits = durable(candidate_limits(detection_scores(pixels, groups, len(axis), False), frames))
-    found = detection_scores(flagged, groups, len(axis), True).join(limits, ["scene_id", "group_no", "sample"])
-    passed = F.array_compact(F.array(*[F.when(F.col("score") <= F.col("limits")[i], p) for i, p in enumerate(names)]))
-    candidates = found.withColumn("policies", passed).where(F.size("policies") > 0)
-    evidence = candidates.withColumn("e", K.grouped_evidence(groups, axis)(F.col("group_no"), F.col("smooth")))
+    middle, bands = len(axis) // 2, len(axis)
+    scenes = frames.count()
+    smooth = pixels.select(*CELL, K.smooth(bands)(F.col("spectrum")).alias("smooth"))
+    bias = candidates.scene_table(columns.column_bias(smooth, frames, "smooth"), scenes)
+    detector = candidates.Detector(groups, bands, bias, CORRECTION)
+    narrow = durable(candidates.detection_scores(pixels, detector, middle))
+    valid = narrow.select(*CELL)
+    scored = narrow.select(*CELL, F.posexplode("scores").alias("_g", "score")).withColumn("group_no", F.array(*map(F.lit, groups))[F.col("_g")]).drop("_g")
+    top = exact_quantiles(narrow, ["scene_id"], "level", [0.999]).select("scene_id", F.col("q0").alias("top"))
+    limits = candidates.scene_table(candidate_limits(scored, frames).join(top, "scene_id", "left"), scenes)
+    evidence = candidates.candidate_evidence(
+        pixels, detector, limits, names, middle, K.evidence_plans(groups, axis), max(len(g["references"]) for g in groups.values()))
 
     per_group = F.lit(None)
     for number, g in groups.items():
         order = sorted(set(g["minerals"]))
-        per_group = F.when(F.col("group_no") == number, scoring.mineral_scores(F.col("e.distances"), g["minerals"], order, 2)).otherwise(per_group)
+        per_group = F.when(F.col("group_no") == number, scoring.mineral_scores(F.col("distances"), g["minerals"], order, 2)).otherwise(per_group)
     counts = F.create_map(*[x for n, g in groups.items() for x in (F.lit(n), F.lit(len(set(g["minerals"]))))])
     held = {m: sum(r["mineral"] == m for r in library) for m in {r["mineral"] for r in library}}
     references = F.create_map(*[x for m, n in sorted(held.items()) for x in (F.lit(m), F.lit(n))])
-    judged = durable(evidence.select(*CELL, "group_no", "score", "policies", "saturated", F.col("e.depth").alias("depth"), per_group.alias("m")))
+    judged = durable(evidence.select(*CELL, "group_no", "score", "policies", "saturated", "depth", per_group.alias("m")))
     # minerals that sit above the best one all over a scene are shifted before they compete again
     medians = judged.select("scene_id", "group_no", F.inline("m"))
     shifts = calibrate.domain_offsets(medians, *OFFSETS).groupBy("scene_id", "group_no").agg(
@@ -109,10 +101,10 @@ def map_scenes(pixels: DataFrame, library: list, frames: DataFrame, axis: list[f
         scoring.gather_winner(F.col("m")["consensus"], F.col("c.label")).alias("consensus"),
         scoring.gather_winner(F.col("m")["mineral"], F.col("c.label")).alias("mineral"),
     ).withColumn("references", references[F.col("mineral")]))
-    accepted = durable(accept(table, pixels.select(*CELL), frames))
+    accepted = durable(accept(table, valid, frames))
     kept = artifacts.terminal_filter(
         accepted.select("scene_id", "group_no", "policy", "line", "sample", F.col("mineral").alias("class_id")),
-        pixels.select(*CELL), frames, groups=["group_no"]).where("removed_in is null")
+        valid, frames, groups=["group_no"]).where("removed_in is null")
     confidence = accepted.where("policy = 'sensitive'").select(*CELL, "group_no", "confidence")
     final = maps.arbitrate(kept.select(*CELL, "policy", "group_no", "class_id"), confidence, CELL)
     return final.join(confidence, [*CELL, "group_no"]).select(
