@@ -47,7 +47,9 @@ WIDEST_SPAN = 1000
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)|[!?/][^>]*>)""", re.S)
 _STOP = re.compile(r""">|=[ \t\n\r\f]*+["']""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARATION = re.compile(r"""(?:[^;"'(\\]++|"[^"]*+"?|'[^']*+'?|\([^)]*+\)?|\\.?)++""", re.S)
+_RULE = re.compile(r"([^{}@;]++)\{([^{}]*+)\}")
+_SELECTOR = re.compile(r"([a-zA-Z][a-zA-Z0-9]*+|\*)?(?:([.#])([\w-]++))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -65,6 +67,73 @@ def attributes_of(text: str) -> dict[str, str]:
     return out
 
 
+def declarations(style: str) -> dict[str, tuple[bool, str]]:
+    """``display`` and ``visibility`` of a style, each with whether it is important; of repeated ones the last counts."""
+    out: dict[str, tuple[bool, str]] = {}
+    if "display" in style.lower() or "visibility" in style.lower():
+        for part in _DECLARATION.findall(re.sub(r"/\*.*?(?:\*/|\Z)", " ", style, flags=re.S)):
+            name, colon, value = part.partition(":")
+            name, value = name.strip().lower(), value.strip().lower()
+            important = value.endswith("important") and value.removesuffix("important").rstrip().endswith("!")
+            if important:
+                value = value.removesuffix("important").rstrip().removesuffix("!").rstrip()
+            if colon and name in ("display", "visibility") and re.fullmatch(r"[a-z-]+(?: [a-z-]+)*", value):
+                if important or not out.get(name, (False, ""))[0]:
+                    out[name] = (important, value)
+    return out
+
+
+class Sheet:
+    """Rules of a page's style elements for one element name, class or id; other selectors and at-rules are left out."""
+
+    def __init__(self):
+        self.rules: dict[tuple[str, str], list[tuple[int, int, str, dict]]] = {}
+        self.count = 0
+
+    def add(self, text: str) -> None:
+        text = re.sub(r"/\*.*?(?:\*/|\Z)", " ", text, flags=re.S)
+        text = re.sub(r"@[^{};]*+(?:;|\{(?:[^{}]*+\{[^{}]*+\})*+[^{}]*+\}?)", " ", text)
+        for selectors, style in _RULE.findall(text):
+            declared = declarations(style)
+            for selector in selectors.split(",") if declared else ():
+                found = _SELECTOR.fullmatch(selector.strip())
+                if found and selector.strip():
+                    tag, sign, name = found.groups()
+                    weight = {"#": 100, ".": 10}.get(sign, 0) + (tag not in (None, "*"))
+                    self.count += 1
+                    self.rules.setdefault((sign or "", name or (tag or "").lower()), []).append((weight, self.count, (tag or "*").lower(), declared))
+
+    def declared(self, node: Node) -> dict[str, str]:
+        keys = [("", node.tag), ("", "*"), ("#", node.attributes.get("id", "")), *((".", c) for c in node.attributes.get("class", "").split())]
+        best: dict[str, tuple] = {}
+        layers = [rule for key in keys for rule in self.rules.get(key, ()) if rule[2] in ("*", node.tag)]
+        layers.append((1000, 0, "*", declarations(node.attributes.get("style", ""))))
+        for weight, order, _, declared in layers:
+            for name, (important, value) in declared.items():
+                best[name] = max(best.get(name, (False, -1, 0, "")), (important, weight, order, value))
+        return {name: found[3] for name, found in best.items()}
+
+
+def settle(root: Node, sheet: Sheet) -> None:
+    """Mark what is not displayed, and take the text out of what is displayed but not visible."""
+    todo = [(root, False)]
+    while todo:
+        node, unseen = todo.pop()
+        declared = sheet.declared(node)
+        display, visibility = declared.get("display"), declared.get("visibility", "inherit")
+        if display == "none":
+            node.attributes["hidden"] = ""
+        elif display is not None:
+            node.attributes.pop("hidden", None)
+        if display is not None:
+            node.attributes.pop("style", None)
+        if visibility not in ("inherit", "unset"):
+            unseen = visibility in ("hidden", "collapse")
+        if unseen:
+            node.children = [c for c in node.children if isinstance(c, Node)]
+        todo += [(c, unseen) for c in node.children if isinstance(c, Node)]
+
+
 class Ends:
     """Where the tags of a page end: at the first ``>`` outside quoted values, however long these are.
 
@@ -101,6 +170,7 @@ def parse(html: str) -> Node:
     """Element tree of a page; start and end tags that authors leave out are implied."""
     root = Node("html", {})
     stack = [root]
+    sheet, styled = Sheet(), False
     beyond: dict[str, list[int]] = {}  # places of the open elements beyond DEEPEST, by name
 
     dark = 0  # place of the first hidden open element
@@ -200,10 +270,15 @@ def parse(html: str) -> Node:
             else:
                 following = end
             text = html[at:stop]
+            if tag == "style":
+                sheet.add(text)
             node.children.append(unescape(text) if tag in ("textarea", "title") else text)
             at = following
-        elif tag not in VOID and (len(stack) < DEEPEST or dark or not visible(node)):
+        elif tag not in VOID and (len(stack) < DEEPEST or dark or not visible(node) or "visibility" in attributes.get("style", "").lower()):
             push(node)
+        styled = styled or "style" in attributes
+    if styled or sheet.rules:
+        settle(root, sheet)
     return root
 
 
@@ -213,7 +288,7 @@ def visible(node: Node) -> bool:
         return False
     if node.tag == "input":
         return False
-    return not ("style" in attributes and _HIDDEN.search(attributes["style"]))
+    return not ("style" in attributes and declarations(attributes["style"]).get("display", (False, ""))[1] == "none")
 
 
 class Page:
@@ -426,7 +501,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, text`` of every row of ``pages(page_id, html)``, row by row without a shuffle.
 
     A null page has null text, an empty one and one without visible text has empty text. Markup of any
-    kind is accepted; elements nested deeper than ``DEEPEST`` are read as siblings.
+    kind is accepted; elements nested deeper than ``DEEPEST`` are read as siblings. Whether an element is
+    shown follows its attributes, its own style and the page's rules for single names, classes and ids.
+    Pages of any length are read whole, one at a time; rows with equal or null page_id are judged alone.
     """
     ship_package(pages.sparkSession)
     kind = dict(pages.dtypes)["page_id"]

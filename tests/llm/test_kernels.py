@@ -301,6 +301,55 @@ def test_table_content_outside_cells_is_kept(html, text):
     assert render(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>SEEN</b>c</div>", "SEEN"),
+    ("<div style='display:none;display:block'>x</div>", "x"),
+    ("<div style='DISPLAY : NONE'>x</div>y", "y"),
+    ("<div style='background:url(x?display:none)'>x</div>", "x"),
+    ("<div style='--x:display:none'>x</div>", "x"),
+    ("<div style='content:\"a;display:none\"'>x</div>", "x"),
+    ("<div style='display:none!important;display:block'>no</div>y", "y"),
+    ("<div style='/* display:block */display:none'>no</div>y", "y"),
+    ("<div hidden style='display:block'>x</div>", "x"),
+    ("<style>.gone, #away {display:none} b{visibility:hidden}</style><p class='x gone'>no<p id=away>no<p>a<b>no<i style='visibility:visible'>c</i></b>", "ac"),
+    ("<style>p{display:none} p.on{display:block}</style><p>no<p class=on>yes", "yes"),
+    ("<style>@media print{p{display:none}} @import 'x'; div p{display:none}</style><p>yes", "yes"),
+    ("<style>.a{display:none}</style><p class=a style='display:block'>yes", "yes"),
+    ("<table><tr><td style='visibility:collapse'>no<td>yes</table>", "yes"),
+])
+def test_what_is_shown(html, text):
+    assert " ".join(render(html).split()) == text
+
+
+def _plain_text(tree, unseen=False):
+    """Words that a tree of (tag, style, children) shows, by the cascade alone."""
+    tag, style, children = tree
+    if style == "display:none":
+        return []
+    unseen = {"visibility:hidden": True, "visibility:visible": False}.get(style, unseen)
+    out = []
+    for child in children:
+        out += _plain_text(child, unseen) if isinstance(child, tuple) else [] if unseen else [child]
+    return out
+
+
+def test_random_trees_show_what_the_cascade_shows():
+    r = random.Random(12)
+    counter = iter(range(10**6))
+
+    def grow(depth):
+        children = [grow(depth - 1) if depth and r.random() < 0.6 else f"w{next(counter)}" for _ in range(r.randint(0, 4))]
+        return r.choice(["div", "span", "section", "b", "blockquote"]), r.choice(["", "", "color:red", "display:none", "visibility:hidden", "visibility:visible"]), children
+
+    def written(tree):
+        tag, style, children = tree
+        return f"<{tag} style='{style}'>" + "".join(written(c) if isinstance(c, tuple) else f" {c} " for c in children) + f"</{tag}>"
+
+    for _ in range(400):
+        tree = ("div", "", [grow(6) for _ in range(3)])
+        assert render(written(tree)).split() == _plain_text(tree)
+
+
 def test_tables_of_damaged_rows_lose_no_word():
     r = random.Random(10)
     bits = ["<tbody>", "<thead>", "<tfoot>", "</tbody>", "<tr>", "</tr>", "<td>", "</td>", "<th>", "<form>", "</form>", "<b>", "</b>", "<colgroup>", "<caption>", "<div>", "</div>", "<table>", "</table>"]
