@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import re
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -50,9 +53,14 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 
 
 def parse_record(raw: bytes) -> dict:
-    """Headers and payload of one decoded frame; anything that is not exactly one sound record is an error."""
+    """Headers and payload of one decoded frame; anything that is not exactly one sound record is an error.
+
+    All record types are read. A payload is what follows the HTTP head of a response, revisit or request,
+    and the whole block of other records. A stated digest of a known kind, in hex or base 32, has to fit it;
+    a revisit's digest is that of the payload it leaves out.
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
+    lines = re.sub(r"\r\n[ \t]+", " ", head.decode("utf-8")).split("\r\n")
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise WarcError("no WARC version line")
     fields = {}
@@ -60,30 +68,71 @@ def parse_record(raw: bytes) -> dict:
         name, colon, value = line.partition(":")
         if not colon or not name or name != name.strip():
             raise WarcError(f"bad header line {line!r}")
-        fields[name.lower()] = value.strip()
+        fields.setdefault(name.lower(), value.strip())
     kind = fields.get("warc-type")
     size = fields.get("content-length", "")
-    if kind not in ("response", "revisit") or not size.isdigit():
+    if not kind or not size.isdigit():
         raise WarcError("record type or length is missing")
     if len(rest) != int(size) + 4 or rest[-4:] != b"\r\n\r\n":
         raise WarcError("the block is not as long as its header says")
-    http, gap, payload = rest[:-4].partition(b"\r\n\r\n")
-    length = [v.strip() for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:]) if k.lower() == b"content-length"]
-    if not gap or len(length) != 1 or not length[0].isdigit():
-        raise WarcError("no payload length")
-    digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    refers = fields.get("warc-refers-to")
-    if kind == "response":
-        if len(payload) != int(length[0]) or hashlib.sha1(payload).hexdigest() != digest:
-            raise WarcError("the payload differs from its length or digest")
-    elif payload or refers is None or fields.get("warc-profile") != REVISIT_PROFILE:
-        raise WarcError("a revisit names its original and has no payload")
-    return {"page_id": _number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"), "payload_bytes": int(length[0]),
-            "payload_digest": digest, "record_type": kind, "refers_to": _number(refers), "payload": payload if kind == "response" else None}
+    payload, stated, chunked = rest[:-4], None, False
+    if fields.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        http, gap, payload = payload.partition(b"\r\n\r\n")
+        said = [(k.lower(), v.strip()) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")[1:])]
+        length = [v for k, v in said if k == b"content-length" and v.isdigit()]
+        stated = int(length[-1]) if length else None
+        chunked = any(k == b"transfer-encoding" and b"chunked" in v.lower() for k, v in said)
+        if not gap and kind in ("response", "request"):
+            raise WarcError("the HTTP head does not end")
+    digest = fields.get("warc-payload-digest")
+    revisit = kind == "revisit"
+    if revisit:
+        if "/revisit/" not in fields.get("warc-profile", "") or (payload and fields["warc-profile"] == REVISIT_PROFILE):
+            raise WarcError("a revisit of an equal payload names its profile and has no payload")
+        if digest is None and fields["warc-profile"] == REVISIT_PROFILE:
+            raise WarcError("a revisit of an equal payload has its digest")
+    else:
+        if stated is not None and kind == "response" and not chunked and len(payload) != stated:
+            raise WarcError("the payload differs from its length")
+        if digest is not None and not (_fits(digest, payload) or (chunked and _fits(digest, _unchunked(payload)))):
+            raise WarcError("the payload differs from its digest")
+    return {"page_id": _number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"),
+            "payload_bytes": stated if revisit else len(payload), "payload_digest": _hex(digest) if digest else None, "record_type": kind,
+            "refers_to": _number(fields.get("warc-refers-to")), "record_id": fields.get("warc-record-id"),
+            "refers_to_id": fields.get("warc-refers-to"), "payload": None if revisit else payload}
+
+
+def _hex(digest: str) -> str:
+    """The bare digest in lower-case hex, whichever of the two usual spellings it has."""
+    kind, _, value = digest.rpartition(":")
+    size = {"sha1": 20, "sha-1": 20, "md5": 16, "sha256": 32, "sha-256": 32, "sha512": 64, "sha-512": 64}.get(kind.lower())
+    if size is not None and len(value) != 2 * size:
+        try:
+            return base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+        except binascii.Error as error:
+            raise WarcError(f"bad digest {digest!r}") from error
+    return value.lower()
+
+
+def _fits(digest: str, payload: bytes) -> bool:
+    kind = digest.rpartition(":")[0].lower().replace("-", "")
+    return kind not in ("sha1", "md5", "sha256", "sha512") or hashlib.new(kind, payload).hexdigest() == _hex(digest)
+
+
+def _unchunked(body: bytes) -> bytes:
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9a-fA-F]{1,15}", size) or int(size, 16) == 0:
+            break
+        out.append(body[end + 2 : end + 2 + int(size, 16)])
+        at = end + 4 + int(size, 16)
+    return b"".join(out)
 
 
 def _number(value: str | None) -> int | None:
-    return None if value is None else int(value.removeprefix("<urn:page:").removesuffix(">"))
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", value or "")
+    return int(found[1]) if found else None
 
 
 def dictionary_of(samples: list[bytes]):
@@ -200,12 +249,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     return rows.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_archives_written(folder), "path string, records long")
 
 
-_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, payload binary"
 
 
 def _archives_read(with_payload: bool):
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-                        ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+                        ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +271,7 @@ def _archives_read(with_payload: bool):
                         if held >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(found, schema)
                             found, held = [], 0
-                if count != records:
+                if records is not None and count != records:
                     raise WarcError(f"{path} holds {count} records, {records} were written")
                 if found:
                     yield pa.RecordBatch.from_pylist(found, schema)
@@ -231,10 +280,24 @@ def _archives_read(with_payload: bool):
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Every record of the archives of ``manifest(path, records)``, with its payload if asked for."""
+    """Every record of the archives of ``manifest(path, records)``, with its payload if asked for.
+
+    Archives of others are read too: with a null ``records`` their number is not checked. Records of
+    other types than response and revisit come along; ids that no page of ours has are only in
+    ``record_id`` and ``refers_to_id``, and page_id is null.
+    """
     return manifest.repartition(max(manifest.count(), 1), "path").mapInArrow(_archives_read(with_payload), _READ)
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Revisits whose original is not among ``records``, or has another payload digest or length."""
+    whole = records.where("record_type <> 'revisit'").select(
+        F.col("record_id").alias("refers_to_id"), "payload_digest", F.col("payload_bytes").alias("whole_bytes"))
+    revisits = records.where("record_type = 'revisit' AND refers_to_id IS NOT NULL")
+    same = (revisits["refers_to_id"] == whole["refers_to_id"]) & (revisits["payload_digest"] == whole["payload_digest"])
+    return revisits.join(whole, same & (revisits["payload_bytes"].isNull() | (revisits["payload_bytes"] == whole["whole_bytes"])), "left_anti")
+
+
 SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
   d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
   m AS (SELECT *, CASE WHEN payload_bytes >= {SMALLEST_REVISIT} THEN max(page_id) OVER (PARTITION BY payload_digest) END AS latest FROM d)

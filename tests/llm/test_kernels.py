@@ -1,5 +1,7 @@
 """Kernels of the corpus operators against plain Python."""
 
+import base64
+import hashlib
 import io
 import math
 import random
@@ -246,7 +248,8 @@ def test_warc_round_trip_and_damage():
     assert back == records
     parsed = [warc.parse_record(b) for b in back]
     assert [p["payload"] for p in parsed[:-1]] == pages and [p["page_id"] for p in parsed[:3]] == [0, 1, 2]
-    assert parsed[-1] | {"url": 0} == {"page_id": None, "url": 0, "payload_bytes": 2000, "payload_digest": "d" * 40, "record_type": "revisit", "refers_to": 7, "payload": None}
+    assert parsed[-1] | {"url": 0} == {"page_id": None, "url": 0, "payload_bytes": 2000, "payload_digest": "d" * 40, "record_type": "revisit", "refers_to": 7,
+                                          "record_id": None, "refers_to_id": "<urn:page:7>", "payload": None}
     for broken in (raw[:-5], raw[:-20] + b"\0" * 20, raw[:6]):
         with pytest.raises(warc.WarcError):
             list(warc.read_archive(io.BytesIO(broken)))
@@ -265,6 +268,43 @@ def test_warc_round_trip_and_damage():
     assert parts == records  # a closed archive loses no record to the next one
 
 
+def _foreign(kind, block, **more):
+    head = {"WARC-Type": kind, "WARC-Date": "2024-01-01T00:00:00Z", "WARC-Record-ID": f"<urn:uuid:{kind}>", "Content-Length": str(len(block))} | {k.replace("_", "-"): v for k, v in more.items()}
+    return ("WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_records_of_other_writers():
+    body = b"<p>hello</p>" * 40
+    sha1 = hashlib.sha1(body).digest()
+    base32 = "sha1:" + base64.b32encode(sha1).decode()
+    http = {"Content_Type": "application/http; msgtype=response"}
+    plain = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    pieces = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + b"".join(b"%x\r\n%s\r\n" % (len(body[i : i + 50]), body[i : i + 50]) for i in range(0, len(body), 50)) + b"0\r\n\r\n"
+    records = [
+        _foreign("warcinfo", b"software: other\r\n", Content_Type="application/warc-fields"),
+        _foreign("request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", Content_Type="application/http; msgtype=request"),
+        _foreign("response", plain, WARC_Payload_Digest=base32, WARC_Target_URI="http://h/", **http),
+        _foreign("response", pieces, WARC_Payload_Digest=base32, **http),
+        _foreign("response", plain, WARC_Payload_Digest="sha-256:" + hashlib.sha256(body).hexdigest().upper(), **http),
+        _foreign("response", plain, WARC_Payload_Digest="blake:unknown", **http),
+        _foreign("metadata", b"fetchTimeMs: 5\r\n"), _foreign("resource", b"\x00\x01", WARC_Payload_Digest="md5:" + hashlib.md5(b"\x00\x01").hexdigest()),
+        _foreign("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", WARC_Profile="http://netpreserve.org/warc/1.0/revisit/server-not-modified",
+                 WARC_Refers_To="<urn:uuid:response>", **http),
+        b"WARC/1.0\r\nWARC-Type: metadata\r\nX-Long: a\r\n  b\r\nContent-Length: 1\r\n\r\nx\r\n\r\n",
+    ]
+    out = io.BytesIO()
+    warc.write_archive(out, iter(records))
+    got = [warc.parse_record(r) for r in warc.read_archive(io.BytesIO(out.getvalue()))]
+    assert [g["record_type"] for g in got] == ["warcinfo", "request", *["response"] * 4, "metadata", "resource", "revisit", "metadata"]
+    assert [g["payload"] for g in got[2:3]] == [body] and got[2]["payload_digest"] == sha1.hex() == got[3]["payload_digest"]
+    assert got[0]["payload"] == b"software: other\r\n" and got[1]["payload"] == b"" and all(g["page_id"] is None for g in got)
+    assert got[8]["refers_to_id"] == "<urn:uuid:response>" and got[8]["refers_to"] is None and got[8]["payload"] is None
+    for bad in (_foreign("response", plain[:-1], WARC_Payload_Digest=base32, **http), _foreign("response", plain, WARC_Payload_Digest="sha1:!", **http),
+                _foreign("revisit", b"", WARC_Profile="other"), _foreign("response", b"HTTP/1.1 200 OK", **http)):
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(bad)
+
+
 @pytest.mark.parametrize("html, text", [
     ("", ""),
     ("plain &amp; &lt;b>", "plain & <b>"),

@@ -220,6 +220,9 @@ def test_warc_of_odd_pages(spark, tmp_path):
     have = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], None if r["payload"] is None else bytes(r["payload"])) for r in got]
     assert sorted(have, key=key) == sorted(want, key=key)
     assert warc.read_archives(warc.write_archives(pages.where("false"), f"file:{tmp_path}/none")).count() == 0
+    kind = "record_id string, record_type string, refers_to_id string, payload_digest string, payload_bytes long"
+    known = [("a", "response", None, "d", 5), ("b", "revisit", "a", "d", 5), ("c", "revisit", "a", "e", 5), ("e", "revisit", "x", "d", 5), ("f", "revisit", "a", "d", None)]
+    assert sorted(r["record_id"] for r in warc.broken_revisits(spark.createDataFrame(known, kind)).collect()) == ["c", "e"]
 
 
 def test_contamination_of_odd_rows(spark, odd, none, monkeypatch):
