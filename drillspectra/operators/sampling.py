@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Values of the first tie column (a scan line, mostly) that are ordered together.
+TIE_RUN = 256
+
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], buckets: str | None = None) -> DataFrame:
     """Add the global 1-based position ``pos`` and count ``n`` within a key.
@@ -46,7 +49,9 @@ def strongest(
     """The ``limit`` best rows of a key (``limit`` depends on the key alone).
 
     A score histogram finds the bin the limit falls into; bins above it are
-    taken whole and only that one bin is ordered.
+    taken whole.  In that bin the rows are counted once more by score and by
+    runs of the first tie column, so that equal scores are split as well, and
+    only the one run that holds the limit is ordered.
     """
     keys = list(keys)
     x = F.col(score)
@@ -54,20 +59,23 @@ def strongest(
     width = (F.col("_hi") - F.col("_lo")) / bins
     placed = df.join(ends, keys).withColumn(
         "_bin", F.coalesce(F.when(width > 0, F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1))), F.lit(0))
-    )
-    above = W.partitionBy(*keys).orderBy(F.desc("_bin")).rowsBetween(W.unboundedPreceding, -1)
-    histogram = placed.groupBy(*keys, "_bin", F.col(limit).alias("_cap")).agg(F.count(F.lit(1)).alias("_m")).withColumn(
-        "_above", F.coalesce(F.sum("_m").over(above), F.lit(0))
-    ).where("_above < _cap").select(*keys, "_bin", "_m", "_above", "_cap")
-    reached = placed.join(histogram, [*keys, "_bin"])
-    helpers = ["_lo", "_hi", "_bin", "_m", "_above", "_cap"]
-    whole = reached.where("_above + _m <= _cap").drop(*helpers)
-    order = W.partitionBy(*keys, "_bin").orderBy(x.desc(), *tie)
-    cut = (
-        reached.where("_above + _m > _cap").withColumn("_r", F.row_number().over(order))
-        .where("_above + _r <= _cap").drop(*helpers, "_r")
-    )
-    return whole.unionByName(cut)
+    ).drop("_lo", "_hi")
+
+    def cut_by(rows: DataFrame, within: list[str], order: list[Column], part: list[str], cap: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of the parts that are taken whole, and those of the part in which ``cap`` lies."""
+        ahead = W.partitionBy(*keys, *within).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        counted = rows.groupBy(*keys, *within, *part, F.col(cap).alias("_cap")).agg(F.count(F.lit(1)).alias("_m")).withColumn(
+            "_above", F.coalesce(F.sum("_m").over(ahead), F.lit(0))).where("_above < _cap")
+        reached = rows.join(counted.select(*keys, *within, *part, "_m", "_above", "_cap"), [*keys, *within, *part])
+        whole = reached.where("_above + _m <= _cap").select(*df.columns)
+        return whole, reached.where("_above + _m > _cap").withColumn("_left", F.col("_cap") - F.col("_above")).drop("_m", "_above", "_cap")
+
+    taken, rest = cut_by(placed, [], [F.desc("_bin")], ["_bin"], limit)
+    rest = rest.withColumns({"_x": x, "_run": F.floor(F.col(tie[0]) / TIE_RUN)})
+    more, last = cut_by(rest, ["_bin"], [F.desc("_x"), F.asc("_run")], ["_x", "_run"], "_left")
+    order = W.partitionBy(*keys, "_bin", "_x", "_run").orderBy(*tie)
+    cut = last.withColumn("_r", F.row_number().over(order)).where("_r <= _left").select(*df.columns)
+    return taken.unionByName(more).unionByName(cut)
 
 
 def depth_blocks(

@@ -98,15 +98,18 @@ def s5(v):
 
 
 @query("s6_class_map_sink", f"""
-    WITH {POLICY_SQL} SELECT scene_id, policy, class_id, 'class ' || class_id AS class_name, count(*) AS pixels FROM
-      (UNPIVOT nst ON conservative, balanced, sensitive INTO NAME policy VALUE class_id) WHERE class_id > 0 GROUP BY ALL""")
+    WITH {POLICY_SQL}, lg AS (SELECT scene_id, line, sample, policy, class_id FROM (UNPIVOT nst ON conservative, balanced, sensitive INTO NAME policy VALUE class_id) WHERE class_id > 0),
+    al AS (SELECT scene_id, policy, class_id FROM lg UNION ALL SELECT scene_id, policy, 4 FROM (SELECT scene_id, line, sample FROM cells WHERE line % 60 >= 40) JOIN (SELECT DISTINCT scene_id, policy FROM lg) USING (scene_id)),
+    cs(class_id, class_name, red, green, blue) AS (VALUES (1, 'class 1', 242, 61, 61), (2, 'class 2', 61, 242, 61), (3, 'class 3', 61, 61, 242), (4, 'masked', 96, 96, 96))
+    SELECT scene_id, policy, class_id, class_name, red, green, blue, count(*) AS pixels FROM al JOIN cs USING (class_id) GROUP BY ALL""")
 def s6(v):
     from ..operators import maps
 
     folder = scratch_folder(v.spark, "maps")
-    sinks.write_class_maps(maps.unpivot_policies(maps.enforce_nesting(policy_maps(v), KEY), KEY), folder)
-    names = v.spark.createDataFrame([(i, f"class {i}") for i in range(1, 4)], "class_id int, class_name string")
-    return sinks.read_class_maps(v.spark, folder, names).groupBy("scene_id", "policy", "class_id", "class_name").agg(F.count(F.lit(1)).alias("pixels"))
+    outside = v.cells.where("line % 60 >= 40")
+    sinks.write_class_maps(maps.unpivot_policies(maps.enforce_nesting(policy_maps(v), KEY), KEY), folder, outside, 3)
+    classes = sinks.class_table(v.spark, [f"class {i}" for i in range(1, 4)])
+    return sinks.read_class_maps(v.spark, folder, classes).groupBy("scene_id", "policy", "class_id", "class_name", "red", "green", "blue").agg(F.count(F.lit(1)).alias("pixels"))
 
 
 @query("s7_crop_georeference", """
@@ -116,11 +119,32 @@ def s7(v):
     return v.table("supplier").select("s_suppkey", moved.alias("m")).select("s_suppkey", F.round("m.map_x", 6).alias("map_x"), F.round("m.map_y", 6).alias("map_y"))
 
 
-@query("s8_library_sink", "SELECT source_id, count(*) AS candidates FROM measurements GROUP BY source_id")
+@query("s8_library_sink", """
+    WITH p AS (SELECT *, list_filter(values, lambda x: x IS NOT NULL) AS have FROM measurements),
+    r AS (SELECT *, list_filter([CASE WHEN len(have) <> len(values) THEN 'non_finite_values' END,
+        CASE WHEN len(list_filter(have, lambda x: x > 0 AND x < 1e6)) < 2 THEN 'fewer_than_two_positive_values' END,
+        CASE WHEN list_max(have) - list_min(have) <= 1e-8 THEN 'constant_curve' END], lambda x: x IS NOT NULL) AS hard,
+      list_filter([CASE WHEN list_contains(have, 0) THEN 'contains_zero_values' END, CASE WHEN list_min(have) < 0 THEN 'contains_negative_values' END], lambda x: x IS NOT NULL) AS soft FROM p),
+    s AS (SELECT *, CASE WHEN len(hard) > 0 THEN 'invalid' WHEN len(soft) > 0 THEN 'review' ELSE 'pass' END AS status FROM r),
+    n AS (SELECT source_id, string_agg(reason || ':' || c, ',' ORDER BY reason) AS reasons FROM
+      (SELECT source_id, reason, count(*) AS c FROM (SELECT source_id, unnest(list_concat(hard, soft)) AS reason FROM s) GROUP BY ALL) GROUP BY source_id)
+    SELECT source_id, count(*) AS candidates, count(*) FILTER (status = 'pass') AS selected, any_value(reasons) AS reasons,
+      round(sum(list_sum(values)) FILTER (status = 'pass'), 6) AS total FROM s LEFT JOIN n USING (source_id) GROUP BY source_id""")
 def s8(v):
+    """All measurements with their reasons as an audit, and the spectra that pass."""
+    from ..operators import library as L
+
     folder = scratch_folder(v.spark, "library")
-    sinks.write_candidates(v.measurements.select("measurement_id", "source_id", "raw_name", "phase"), folder)
-    return v.spark.read.parquet(f"{folder}/candidates").groupBy("source_id").agg(F.count(F.lit(1)).alias("candidates"))
+    judged = v.measurements.withColumn("q", L.numeric_qc(F.col("values"))).select(
+        "measurement_id", "source_id", "raw_name", "phase", "values", F.col("q.status").alias("status"), F.col("q.reasons").alias("reasons"))
+    sinks.write_candidates(judged, folder, judged.where("status = 'pass'"))
+    audit = v.spark.read.schema("measurement_id long, source_id string, status string, reasons array<string>").json(f"{folder}/audit")
+    spectra = v.spark.read.parquet(f"{folder}/selected").groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("selected"), F.round(F.sum(A.total(F.col("values"))), 6).alias("total"))
+    counts = audit.select("source_id", F.explode("reasons").alias("reason")).groupBy("source_id", "reason").count().groupBy("source_id").agg(
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "reason", "count"))), ",").alias("reasons"))
+    counted = audit.groupBy("source_id").agg(F.count(F.lit(1)).alias("candidates"))
+    return counted.join(spectra, "source_id", "left").join(counts, "source_id", "left").withColumn("selected", F.coalesce("selected", F.lit(0)))
 
 
 @query("s9_count_table_report", """
@@ -135,7 +159,20 @@ def s9(v):
 
 @query("s10_input_fingerprints")
 def s10(v):
-    return sinks.fingerprints(v.spark, f"{v.folder}/*.parquet").drop("modified")
+    files = sinks.fingerprints(v.spark, v.spark.createDataFrame([(v.folder,)], "path string"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256", "error")
+
+
+@query("s10_written_file_digests", """
+    SELECT part_no || '.txt' AS file, CAST(strlen(body) AS BIGINT) AS bytes, sha256(body) AS sha256
+    FROM (SELECT p_partkey % 7 AS part_no, string_agg(p_name, chr(10) ORDER BY p_partkey) AS body FROM part GROUP BY 1)""")
+def s10_written(v):
+    """Digests of files written from a table, whose contents SQL knows."""
+    folder = scratch_folder(v.spark, "files")
+    rows = F.array_sort(F.collect_list(F.struct("p_partkey", "p_name")))
+    bodies = v.table("part").groupBy((F.col("p_partkey") % 7).alias("part_no")).agg(F.array_join(F.transform(rows, lambda r: r["p_name"]), "\n").alias("body"))
+    paths = sinks.write_texts(bodies.select(F.concat(F.lit(f"{folder}/"), "part_no", F.lit(".txt")).alias("path"), "body"))
+    return sinks.fingerprints(v.spark, paths).select(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
 
 
 @query("s11_mask_derivation", """

@@ -33,7 +33,8 @@ BLOCK_BYTES = 16 << 20
 ENDINGS = ("", ".dat", ".img", ".raw", ".bin", ".bil", ".bip", ".bsq", ".sli", ".lib")
 
 
-def _located(uri: str) -> tuple[fs.FileSystem, str]:
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The store of a URI or local path, and the path in it."""
     if "://" in uri:
         return fs.FileSystem.from_uri(uri)
     return fs.LocalFileSystem(), uri.removeprefix("file:")
@@ -149,7 +150,7 @@ def _runs(numbers: Sequence[int]) -> list[tuple[int, int]]:
 
 def layouts(folder: str) -> list[Layout]:
     """Every cube and library whose header lies under ``folder``; a file of the wrong length is refused."""
-    store, path = _located(folder)
+    store, path = located(folder)
     found = {f.path: f for f in store.get_file_info(fs.FileSelector(path, recursive=True)) if f.is_file}
 
     def one(header_path: str) -> Layout:
@@ -205,7 +206,7 @@ class CubeReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
-        store, path = _located(partition.uri)
+        store, path = located(partition.uri)
         with store.open_input_file(path) as handle:
             cube = partition.values(handle)
         yield (self._spectra if self.library else self._pixels)(partition, cube)
@@ -297,9 +298,9 @@ def read_libraries(spark: SparkSession, folder: str) -> DataFrame:
     return _reader(spark, SpectralLibrary, folder, {})
 
 
-def _put(uri: str, content: bytes) -> None:
+def put(uri: str, content: bytes) -> None:
     """A file that appears whole or not at all, so a repeated attempt is harmless."""
-    store, path = _located(uri)
+    store, path = located(uri)
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path.rsplit('/', 1)[0]}/_{uuid.uuid4().hex}"
     with store.open_output_stream(part) as out:
@@ -334,8 +335,8 @@ def write_cubes(pixels: DataFrame, folder: str, interleave: str = "bil", block_l
         out = io.BytesIO()
         out.write(np.ascontiguousarray(cube.transpose(axes)).astype(code).tobytes())
         name = f"{folder}/{order}-{scene}-{block}"
-        _put(f"{name}.dat", out.getvalue())
-        _put(f"{name}.hdr", _header({
+        put(f"{name}.dat", out.getvalue())
+        put(f"{name}.hdr", _header({
             "samples": cube.shape[1], "lines": cube.shape[0], "bands": bands, "data type": 5, "interleave": order, "byte order": int(big_endian),
             "header offset": 0, "y start": first, "scene": scene}))
         return pa.table({"file": [f"{name}.dat"], "pixels": [group.num_rows]})
@@ -357,8 +358,8 @@ def write_libraries(rows: DataFrame, folder: str) -> DataFrame:
                         "file type": "ENVI Spectral Library", "wavelength units": "Nanometers", "wavelength": "{" + ", ".join(map(repr, row["wavelengths"])) + "}"}
                 if row["names"]:
                     text["spectra names"] = "{" + ",\n ".join(row["names"]) + "}"
-                _put(f"{name}.sli", spectra.tobytes())
-                _put(f"{name}.hdr", _header(text))
+                put(f"{name}.sli", spectra.tobytes())
+                put(f"{name}.hdr", _header(text))
                 files.append(f"{name}.sli")
             yield pa.RecordBatch.from_arrays([pa.array(files, pa.string())], names=["file"])
 

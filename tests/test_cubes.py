@@ -146,3 +146,44 @@ def test_quantiles_of_all_sizes_of_numbers(spark):
     assert got["c"][:2] == (3, float("-inf")) and got["c"][3] == 1.0 and got["c"][5] == float("inf")
     weighted = spark.createDataFrame([("w", 1.0, 3), ("w", 2.0, 1), ("w", 9.0, 6)], "k string, x double, n int")
     assert tuple(exact_quantiles(weighted, ["k"], "x", [0.5], weight="n").first()) == ("w", 10, 9.0)
+
+
+def test_digests_of_long_and_missing_files(spark, tmp_path):
+    import hashlib
+    import os
+
+    from drillspectra.sources import sinks
+
+    with open(tmp_path / "long.bin", "wb") as out:  # a hole takes no space
+        out.seek((3 << 30) - 4)
+        out.write(b"tail")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "x.txt").write_text("abc")
+    paths = [(f"{tmp_path}/long.bin",), (f"{tmp_path}/empty.bin",), (f"{tmp_path}/deep",), (f"{tmp_path}/none.bin",), (None,), ("nostore://x/y",)]
+    got = {r["path"]: r for r in sinks.fingerprints(spark, spark.createDataFrame(paths, "path string")).collect()}
+    whole = hashlib.sha256()
+    for _ in range(3 * 1024 - 1):
+        whole.update(bytes(1 << 20))
+    whole.update(bytes((1 << 20) - 4) + b"tail")
+    assert got[f"{tmp_path}/long.bin"]["sha256"] == whole.hexdigest() and got[f"{tmp_path}/long.bin"]["bytes"] == 3 << 30
+    assert got[f"{tmp_path}/empty.bin"]["sha256"] == hashlib.sha256().hexdigest() and got[f"{tmp_path}/empty.bin"]["error"] is None
+    assert got[f"{tmp_path}/deep/x.txt"]["sha256"] == hashlib.sha256(b"abc").hexdigest() and len(got) == 6
+    for bad in (f"{tmp_path}/none.bin", None, "nostore://x/y"):
+        assert got[bad]["sha256"] is None and got[bad]["error"]
+    os.truncate(tmp_path / "long.bin", 0)
+
+
+def test_equal_scores_are_cut_by_runs_of_lines(spark):
+    from drillspectra.operators import sampling
+
+    rows = [("A", line, sample, 0.5, 700) for line in range(900) for sample in range(3)] + [("A", 9000 + i, 0, 0.9, 700) for i in range(20)] + [("B", 1, i, float(i % 3), 4) for i in range(9)]
+    df = spark.createDataFrame(rows, "scene_id string, line int, sample int, score double, cap int")
+    best = sampling.strongest(df, ["scene_id"], "score", ["line", "sample"], "cap")
+    got = sorted((r["scene_id"], r["line"], r["sample"]) for r in best.collect())
+    want = []
+    for scene, cap in (("A", 700), ("B", 4)):
+        own = sorted((r for r in rows if r[0] == scene), key=lambda r: (-r[3], r[1], r[2]))
+        want += [r[:3] for r in own[:cap]]
+    assert got == sorted(want)
+    assert best.select(df.columns).count() == 704
