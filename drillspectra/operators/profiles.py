@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..session import durable
+
 #: Bits of a double that tell its bin: sign, exponent and the first nine of the fraction.
 BIN_BITS = 21
 
@@ -98,7 +100,8 @@ def band_medians(pixels: DataFrame, keys: Sequence[str], spectrum: str = "spectr
         F.min("_bin").alias("_low"), F.max("_bin").alias("_last"), F.min("_before").alias("_before"), F.max("n").alias("n"))
     chosen = chosen.mapInArrow(_bounds, f"{kinds}, band int, _low long, _last long, _before long, n long, _from double, _to double")
     packed = chosen.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("_from", "_to", "_before", "n")))).alias("_at"))
-    # one entry per band of the sensor: the limits of a key stay small beside one of its spectra
+    # one entry per band of the sensor; a written table has a known size, and while it is small no spectrum is exchanged
+    packed = durable(packed)
     near = cube.join(packed, keys).select(*keys, F.inline(F.filter(
         F.transform("_v", lambda v, b: F.struct(b.alias("band"), v.alias("x"), F.try_element_at(F.col("_at"), b).alias("at"))),
         lambda s: (s["x"] >= s["at"]["_from"]) & (s["x"] <= s["at"]["_to"]))))

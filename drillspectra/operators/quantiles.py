@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.arrays import literal_doubles
+from ..session import durable
 
 #: Bins per doubling of a value's size, and a place above all exponents of a double.
-FINENESS = 2048
+FINENESS = 512
 _ABOVE = 1100
 
 
@@ -52,6 +53,8 @@ def exact_quantile_array(
         .withColumn("_ranks", F.filter(ranks, inside("_before", "_m")))
         .where(F.size("_ranks") > 0).select(*keys, "_bin", "_before", "_ranks", "n")
     )
+    # a written table has a known size: while it is small the values meet it in place, and only those in its bins are exchanged
+    chosen = durable(chosen)
     equal = rows.join(chosen, [*keys, "_bin"]).groupBy(*keys, "_bin", "_x").agg(
         F.sum("_c").alias("_c"), *[F.first(c).alias(c) for c in ("_before", "_ranks", "n")])
     upto = W.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(W.unboundedPreceding, -1)
