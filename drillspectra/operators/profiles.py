@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import durable
 
-#: Bits of a double that tell its bin: sign, exponent and the first nine of the fraction.
-BIN_BITS = 21
+#: Bits of a double that tell its bin: sign, exponent and the first five of the fraction.
+BIN_BITS = 17
+#: Values a task counts together; the more, the fewer counts leave it.
+COUNTED = 4 << 20
 
 
 def _places(values: np.ndarray) -> np.ndarray:
@@ -38,13 +40,24 @@ def _numbered(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     return group, np.unique(group, return_index=True)[1]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ``COUNTED`` values."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("_v").flatten())
+        if size >= COUNTED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if size:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _counted(keys: Sequence[str]):
     shift = np.int64(64 - BIN_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
+        for batch in _gathered(batches):
             columns = [batch.column(k) for k in keys]
             group, sample = _numbered(columns)
             spectra = batch.column("_v").fill_null([])

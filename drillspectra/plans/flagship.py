@@ -145,11 +145,17 @@ def accept(table: DataFrame, valid: DataFrame, frames: DataFrame) -> DataFrame:
     return strictest.select(*CELL, "group_no", "mineral", "confidence", F.explode(F.slice(names, c("r") + 1, 3)).alias("policy"))
 
 
+def run_scenes(views: Views, pixels: DataFrame) -> DataFrame:
+    """Map ``pixels`` with the reference library of the demonstration domain: pixels per scene, group, policy and mineral."""
+    frames = durable(pixels.groupBy("scene_id").agg((F.max("line") + 1).alias("lines"), (F.max("sample") + 1).alias("samples")))
+    library = sorted(collect_bounded(views.refs, LIBRARY_BOUND, "the reference library"), key=lambda r: (r["mineral"], r["ref_id"]))
+    final = map_scenes(pixels, library, frames, AXIS)
+    return final.groupBy("scene_id", "group_no", "policy", "mineral").agg(
+        F.count(F.lit(1)).alias("pixels"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+
+
 def run_flagship(spark: SparkSession, folder: str) -> DataFrame:
     """Pixels per scene, group, policy and mineral."""
     ship_package(spark)
     views = Views(spark, folder)
-    library = sorted(collect_bounded(views.refs, LIBRARY_BOUND, "the reference library"), key=lambda r: (r["mineral"], r["ref_id"]))
-    final = map_scenes(views.pixels, library, views.pixel_frames, AXIS)
-    return final.groupBy("scene_id", "group_no", "policy", "mineral").agg(
-        F.count(F.lit(1)).alias("pixels"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    return run_scenes(views, views.pixels)
