@@ -12,6 +12,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
@@ -21,16 +22,15 @@ DOUBLES = T.ArrayType(T.DoubleType())
 
 
 def _matrix(batch: pa.Array) -> np.ndarray:
-    """Batch of equally long arrays as rows; a NULL row becomes NaN."""
-    if batch.null_count == 0:
-        flat = batch.flatten()
-        values = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-        return values.reshape(len(batch), -1) if len(batch) else np.empty((0, 0))
-    width = max((len(v) for v in batch if v.is_valid), default=0)
+    """Batch of arrays as rows; a NULL row is NaN, and so is what a shorter row lacks."""
+    sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    width = int(sizes.max(initial=0))
+    values = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if (sizes == width).all():
+        return values.reshape(len(batch), width)
     out = np.full((len(batch), width), np.nan)
-    present = np.flatnonzero(batch.is_valid().to_numpy(zero_copy_only=False))
-    kept = batch.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out[present] = kept.reshape(len(present), width)
+    place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), place] = values
     return out
 
 

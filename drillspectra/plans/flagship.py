@@ -53,7 +53,7 @@ def candidate_limits(scores: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def map_scenes(pixels: DataFrame, library: list, frames: DataFrame, axis: list[float]) -> DataFrame:
-    """Final class maps: (scene, line, sample, group_no, policy, mineral, confidence).
+    """Final class maps: (scene, line, sample, group_no, policy, mineral, confidence, status).
 
     ``library`` holds rows with mineral, group_no and spectrum.
     """
@@ -105,10 +105,10 @@ def map_scenes(pixels: DataFrame, library: list, frames: DataFrame, axis: list[f
     kept = artifacts.terminal_filter(
         accepted.select("scene_id", "group_no", "policy", "line", "sample", F.col("mineral").alias("class_id")),
         valid, frames, groups=["group_no"]).where("removed_in is null")
-    confidence = accepted.where("policy = 'sensitive'").select(*CELL, "group_no", "confidence")
+    confidence = accepted.where("policy = 'sensitive'").select(*CELL, "group_no", "confidence", "status")
     final = maps.arbitrate(kept.select(*CELL, "policy", "group_no", "class_id"), confidence, CELL)
     return final.join(confidence, [*CELL, "group_no"]).select(
-        *CELL, "group_no", "policy", F.col("class_id").alias("mineral"), "confidence")
+        *CELL, "group_no", "policy", F.col("class_id").alias("mineral"), "confidence", "status")
 
 
 def accept(table: DataFrame, valid: DataFrame, frames: DataFrame) -> DataFrame:
@@ -117,18 +117,20 @@ def accept(table: DataFrame, valid: DataFrame, frames: DataFrame) -> DataFrame:
     raw = exact_quantiles(table, keys, "best", [0.10, 0.90]).select(*keys, F.col("q0").alias("p10"), F.col("q1").alias("p90"))
     finite = table.where("margin < double('infinity')")
     gaps = exact_quantiles(finite, keys, "margin", [0.75]).select(*keys, F.col("q0").alias("p75"))
-    plan = sampling.depth_blocks(valid, frames, desired=8, height=16, minimum=1).select("scene_id", "start", "stop")
+    plan = durable(sampling.depth_blocks(valid, frames, desired=8, height=16, minimum=1).select("scene_id", "start", "stop"))
+    # without a block there is no column risk: such scenes are mapped without it and say so
+    blind = plan.where("start IS NULL").select("scene_id", F.lit("no_block").alias("_blind"))
     hits = table.where(F.array_contains("policies", "balanced")).select(*CELL).distinct()
     risk = columns.fixed_column_risk(hits, valid, plan, frames)
     edges = grid.edge_risk(valid, ["scene_id"]).select(*CELL, "edge_risk")
-    joined = table.join(raw, keys).join(gaps, keys, "left").join(risk, ["scene_id", "sample"], "left").join(edges, CELL, "left")
+    joined = table.join(raw, keys).join(gaps, keys, "left").join(risk, ["scene_id", "sample"], "left").join(edges, CELL, "left").join(blind, "scene_id", "left")
     c = F.col
     both = scoring.confidence(
         angle=c("score"), angle_limit=F.lit(POLICIES["sensitive"]["absolute_sam_threshold_rad"]), best_raw=c("best"), p10=c("p10"), p90=c("p90"),
         margin=c("margin"), margin_p75=F.coalesce("p75", F.lit(0.0)), minerals=c("minerals"), consensus_share=c("consensus"), depth=c("depth"),
         depth_floor=F.lit(POLICIES["sensitive"]["minimum_absorption_depth"]), agrees=F.coalesce("agrees", F.lit(False)), classified=c("label") > 0,
         column_risk=F.coalesce("risk", F.lit(0.0)), edge_risk=F.coalesce("edge_risk", F.lit(0.0)), saturated=c("saturated"))
-    scored = joined.withColumn("e", both).select(*table.columns, "e.confidence")
+    scored = joined.withColumn("e", both).select(*table.columns, "e.confidence", F.coalesce("_blind", F.lit("mapped")).alias("status"))
     rules = F.filter(F.array(*[
         F.struct(F.lit(p).alias("policy"), *[F.lit(float(rule[k])).alias(k) for k in (
             "minimum_absorption_depth", "minimum_margin", "confidence_threshold", "minimum_reference_consensus")])
@@ -140,9 +142,9 @@ def accept(table: DataFrame, valid: DataFrame, frames: DataFrame) -> DataFrame:
         & (c("consensus") >= calibrate.consensus_floor(c("minimum_reference_consensus"), c("policy"), c("references"))))
     # a pixel a stricter policy takes also belongs to the weaker ones
     ranks = F.create_map(F.lit("conservative"), F.lit(0), F.lit("balanced"), F.lit(1), F.lit("sensitive"), F.lit(2))
-    strictest = ok.groupBy(*CELL, "group_no", "mineral", "confidence").agg(F.min(ranks[c("policy")]).alias("r"))
+    strictest = ok.groupBy(*CELL, "group_no", "mineral", "confidence", "status").agg(F.min(ranks[c("policy")]).alias("r"))
     names = F.array(*[F.lit(p) for p in POLICIES])
-    return strictest.select(*CELL, "group_no", "mineral", "confidence", F.explode(F.slice(names, c("r") + 1, 3)).alias("policy"))
+    return strictest.select(*CELL, "group_no", "mineral", "confidence", "status", F.explode(F.slice(names, c("r") + 1, 3)).alias("policy"))
 
 
 def run_scenes(views: Views, pixels: DataFrame) -> DataFrame:
@@ -150,7 +152,7 @@ def run_scenes(views: Views, pixels: DataFrame) -> DataFrame:
     frames = durable(pixels.groupBy("scene_id").agg((F.max("line") + 1).alias("lines"), (F.max("sample") + 1).alias("samples")))
     library = sorted(collect_bounded(views.refs, LIBRARY_BOUND, "the reference library"), key=lambda r: (r["mineral"], r["ref_id"]))
     final = map_scenes(pixels, library, frames, AXIS)
-    return final.groupBy("scene_id", "group_no", "policy", "mineral").agg(
+    return final.groupBy("scene_id", "status", "group_no", "policy", "mineral").agg(
         F.count(F.lit(1)).alias("pixels"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
 
 
