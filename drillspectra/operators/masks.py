@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import arrays as A, kernels as K, spectral as S
@@ -150,19 +152,36 @@ def _gaussian_taps(radius: int = 4) -> tuple[list[float], list[float]]:
     return smooth, [-k * s for k, s in zip(range(-radius, radius + 1), smooth)]
 
 
-def _along(df: DataFrame, keys: Sequence[str], axis: str, size: str, outputs: dict[str, tuple[str, list[float]]], radius: int = 4) -> DataFrame:
-    """Separable stencil with mirrored borders: every cell sends its weighted
-    values to the targets it reaches, summed with map-side combining."""
-    here, n = F.col(axis), F.col(size)
-    images = F.array(here, -here - 1, 2 * n - 1 - here)
-    targets = F.flatten(F.transform(images, lambda i: F.transform(
-        F.sequence(F.lit(-radius), F.lit(radius)), lambda d: F.struct((i + d).alias("t"), d.alias("d")))))
-    reached = F.filter(targets, lambda p: (p["t"] >= 0) & (p["t"] < n))
-    other = "sample" if axis == "line" else "line"
-    sent = df.select(*keys, other, "lines", "samples", *{v for v, _ in outputs.values()}, F.explode(reached).alias("p"))
-    weight = lambda taps: F.element_at(A.literal_doubles(taps), F.col("p.d") + radius + 1)
-    return sent.groupBy(*keys, other, F.col("p.t").alias(axis), "lines", "samples").agg(
-        *[F.sum(F.col(v) * weight(taps)).alias(name) for name, (v, taps) in outputs.items()])
+def _mirrored(index: np.ndarray, n: int, first: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For places along an axis of length ``n``: where in a plane that starts at ``first`` their values stand, and whether they do."""
+    source = np.where(index < 0, -index - 1, np.where(index >= n, 2 * n - 1 - index, index))
+    at = source - first
+    return np.clip(at, 0, size - 1), (source >= 0) & (source < n) & (at >= 0) & (at < size)
+
+
+def log_gradient(cells: DataFrame, frames: DataFrame, keys: Sequence[str], value: str, radius: int = 4) -> DataFrame:
+    """``keys, line, sample, dx, dy``: Gaussian slopes of a plane with mirrored borders; cells without a value count as zero."""
+    smooth, slope = _gaussian_taps(radius)
+
+    def run(tile: grid.Tile, table: pa.Table):
+        lines, samples = (int(table.column(c)[0].as_py()) for c in ("lines", "samples"))
+        plane = tile.plane(table.column(value).to_numpy(zero_copy_only=False))
+        tall, wide = plane.shape
+        down, down_ok = _mirrored(np.arange(tall) + tile.start - radius, lines, tile.start - radius, tall)
+        over, over_ok = _mirrored(np.arange(wide) + tile.low, samples, tile.low, wide)
+        plane = plane[down][:, over] * down_ok[:, None] * over_ok[None, :]
+
+        def across(taps):
+            padded = np.pad(plane, ((0, 0), (radius, radius)))
+            return sum(w * padded[:, 2 * radius - k : 2 * radius - k + wide] for k, w in enumerate(taps))
+
+        def along(part, taps):
+            return sum(w * part[2 * radius - k : tall - k] for k, w in enumerate(taps))
+
+        which = np.flatnonzero(tile.home)
+        return tile.line[which], tile.sample[which], tile.of(along(across(slope), smooth), which), tile.of(along(across(smooth), slope), which)
+
+    return grid.per_tile(cells.join(frames, "scene_id").select(*keys, "line", "sample", value, "lines", "samples"), keys, radius, radius, run, "dx double, dy double")
 
 
 def radiometric_stability(
@@ -174,13 +193,10 @@ def radiometric_stability(
     good = level.where((F.col(value) > 0) & ~F.isnan(value)).select(*keys, "line", "sample", F.col(value).alias("x"))
     squares = good.select(*keys, "line", "sample", F.col("x").alias("_s"), (F.col("x") * F.col("x")).alias("_q"))
     around = grid.box_sums(squares, keys, r, r, ["_s", "_q"]).withColumnRenamed("n", "_n")
-    smooth, slope = _gaussian_taps()
-    logs = good.withColumn("g", F.log(F.greatest("x", F.lit(1e-6)))).join(frames, "scene_id")
-    first = _along(logs, keys, "sample", "samples", {"gs": ("g", smooth), "gd": ("g", slope)})
-    second = _along(first, keys, "line", "lines", {"dy": ("gs", slope), "dx": ("gd", smooth)})
+    slopes = log_gradient(good.withColumn("g", F.log(F.greatest("x", F.lit(1e-6)))), frames, keys, "g")
     mean = F.col("_s") / F.col("_n")
     cv = F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))) / F.greatest(mean, F.lit(1e-6))
-    return good.join(around, [*keys, "line", "sample"]).join(second, [*keys, "line", "sample"]).select(
+    return good.join(around, [*keys, "line", "sample"]).join(slopes, [*keys, "line", "sample"]).select(
         *keys, "line", "sample", (F.col("_n") / float(window * window)).alias("support"), cv.alias("cv"),
         F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2).alias("gradient"),
     ).withColumn("stable", (F.col("support") >= minimum_share) & (F.col("cv") <= maximum_cv) & (F.col("gradient") <= maximum_gradient))

@@ -257,11 +257,17 @@ def m16(v):
 
 @query("w13_radiometric_stability", """
     WITH a AS (SELECT c.scene_id, c.line, c.sample, count(*) AS n, sum(b.score) AS s, sum(b.score * b.score) AS q FROM cells c JOIN cells b ON b.scene_id = c.scene_id
-      AND b.line BETWEEN c.line - 2 AND c.line + 2 AND b.sample BETWEEN c.sample - 2 AND c.sample + 2 GROUP BY ALL)
-    SELECT scene_id, line, sample, round(n / 25.0::DOUBLE, 6) AS support, round(sqrt(greatest(q / n - (s / n) ** 2, 0)) / greatest(s / n, 1e-6), 6) AS cv FROM a""")
+      AND b.line BETWEEN c.line - 2 AND c.line + 2 AND b.sample BETWEEN c.sample - 2 AND c.sample + 2 GROUP BY ALL),
+    e AS (SELECT d, exp(-0.5::DOUBLE * d * d) AS r FROM range(-4, 5) t(d)), w AS (SELECT d, r / sum(r) OVER () AS smooth, -d * r / sum(r) OVER () AS slope FROM e),
+    i AS (SELECT scene_id, line, ln(greatest(score, 1e-6)) AS g, lines, samples, unnest([sample, -sample - 1, 2 * samples - 1 - sample]) AS im FROM cells JOIN frames USING (scene_id)),
+    f AS (SELECT scene_id, line, im + d AS sample, any_value(lines) AS lines, sum(g * smooth) AS gs, sum(g * slope) AS gd FROM i, w WHERE im + d >= 0 AND im + d < samples GROUP BY scene_id, line, im + d),
+    k AS (SELECT scene_id, sample, gs, gd, lines, unnest([line, -line - 1, 2 * lines - 1 - line]) AS im FROM f),
+    g AS (SELECT scene_id, im + d AS line, sample, sqrt(sum(gs * slope) ** 2 + sum(gd * smooth) ** 2) AS gradient FROM k, w WHERE im + d >= 0 AND im + d < lines GROUP BY scene_id, im + d, sample),
+    m AS (SELECT a.*, n / 25.0::DOUBLE AS support, sqrt(greatest(q / n - (s / n) ** 2, 0)) / greatest(s / n, 1e-6) AS cv, gradient FROM a JOIN g USING (scene_id, line, sample))
+    SELECT scene_id, line, sample, round(support, 6) AS support, round(cv, 6) AS cv, round(gradient, 6) AS gradient, support >= 0.8 AND cv <= 0.3 AND gradient <= 0.25 AS stable FROM m""")
 def w13(v):
     out = masks.radiometric_stability(v.cells.select(*KEY, F.col("score").alias("level")), v.frames)
-    return out.select(*KEY, F.round("support", 6).alias("support"), F.round("cv", 6).alias("cv"))
+    return out.select(*KEY, F.round("support", 6).alias("support"), F.round("cv", 6).alias("cv"), F.round("gradient", 6).alias("gradient"), "stable")
 
 
 COVER_SQL = """cf AS (SELECT f.scene_id, l AS line, lines, count(d.sample) / any_value(samples)::DOUBLE AS share FROM frames f JOIN range(0, 1000) r(l) ON l < lines
