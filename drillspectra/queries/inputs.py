@@ -272,21 +272,37 @@ def w13(v):
 
 COVER_SQL = """cf AS (SELECT f.scene_id, l AS line, lines, count(d.sample) / any_value(samples)::DOUBLE AS share FROM frames f JOIN range(0, 1000) r(l) ON l < lines
       LEFT JOIN (SELECT * FROM cells WHERE line NOT BETWEEN 300 AND 430) d ON d.scene_id = f.scene_id AND d.line = l GROUP BY ALL),
-    cb AS (SELECT scene_id, s AS scale, line // s AS block, any_value(lines) AS lines, avg(share) AS observed FROM cf, (VALUES (64), (128)) k(s) GROUP BY ALL),
+    cb AS (SELECT scene_id, s AS scale, line // s AS block, any_value(lines) AS lines, avg(share) AS observed, avg(CASE WHEN share >= 0.05 THEN 1.0::DOUBLE ELSE 0 END) AS active,
+      coalesce(median(share) FILTER (share >= 0.05), 0) AS active_median FROM cf, (VALUES (64), (128)) k(s) GROUP BY ALL),
     cn AS (SELECT a.*, median(b.observed) AS expected, quantile_cont(b.observed, 0.75) - quantile_cont(b.observed, 0.25) AS iqr, max(CASE WHEN b.block < a.block THEN b.observed END) AS lm, max(CASE WHEN b.block > a.block THEN b.observed END) AS rm,
       list(b.observed) AS obs FROM cb a JOIN cb b ON a.scene_id = b.scene_id AND a.scale = b.scale AND b.block BETWEEN a.block - 3 AND a.block + 3 AND b.block <> a.block GROUP BY ALL),
-    cz AS (SELECT *, least(greatest(1.4826::DOUBLE * list_aggregate(list_transform(obs, lambda x: abs(x - expected)), 'median'), iqr / 1.349, 0.025), greatest(0.025, expected * 0.15)) AS sc FROM cn)"""
+    cz AS (SELECT *, least(greatest(1.4826::DOUBLE * list_aggregate(list_transform(obs, lambda x: abs(x - expected)), 'median'), iqr / 1.349, 0.025), greatest(0.025, expected * 0.15)) AS sc FROM cn),
+    cj AS (SELECT *, CAST(scale AS INTEGER) AS sz, CAST(block * scale AS INTEGER) AS start, CAST(least((block + 1) * scale, lines) AS INTEGER) AS stop, coalesce(lm >= 0.2, FALSE) AND coalesce(rm >= 0.2, FALSE) AS sided,
+      coalesce(lm >= 0.2 AND rm >= 0.2 AND expected >= 0.2 AND expected - observed >= 0.12 AND observed / expected <= 0.55 AND (expected - observed) / sc >= 2.5, FALSE) AS anomaly FROM cz)"""
 
 
 @query("w14_depth_coverage", f"""
-    WITH {COVER_SQL} SELECT scene_id, CAST(scale AS INTEGER) AS scale, CAST(block * scale AS INTEGER) AS start, round(observed, 7) AS observed, round(expected, 7) AS expected,
-      coalesce(lm >= 0.2 AND rm >= 0.2 AND expected >= 0.2 AND expected - observed >= 0.12 AND observed / expected <= 0.55 AND (expected - observed) / sc >= 2.5, FALSE) AS anomaly FROM cz""")
+    WITH {COVER_SQL} SELECT scene_id, sz AS scale, start, stop, round(observed, 7) AS observed, round(active, 7) AS active, round(expected, 7) AS expected, anomaly,
+      CASE WHEN anomaly THEN 'warning' WHEN NOT sided AND observed < 0.2 THEN 'info' ELSE 'normal' END AS severity FROM cj""")
 def w14(v):
     out = masks.depth_coverage(v.cells.where("line not between 300 and 430"), v.frames, (64, 128))
-    return out.select("scene_id", "scale", "start", F.round("observed", 7).alias("observed"), F.round("expected", 7).alias("expected"), "anomaly")
+    return out.select("scene_id", "scale", "start", "stop", *[F.round(c, 7).alias(c) for c in ("observed", "active", "expected")], "anomaly", "severity")
 
 
-@query("q10_depth_coverage_gate")
+REGION_SQL = """ci AS (SELECT *, CASE WHEN start <= max(stop) OVER (PARTITION BY scene_id ORDER BY start, scale ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM cj WHERE anomaly),
+    cg AS (SELECT *, sum(fresh) OVER (PARTITION BY scene_id ORDER BY start, scale) AS island FROM ci),
+    cr AS (SELECT scene_id, min(start) AS start, max(stop) AS stop, CASE WHEN count(DISTINCT scale) >= 2 THEN 'critical' WHEN max(active_median) >= 0.75 * max(expected) THEN 'info' ELSE 'review' END AS severity FROM cg GROUP BY scene_id, island)"""
+
+
+@query("w14_coverage_regions", f"WITH {COVER_SQL}, {REGION_SQL} SELECT * FROM cr")
+def w14_regions(v):
+    blocks = masks.depth_coverage(v.cells.where("line not between 300 and 430"), v.frames, (64, 128))
+    return masks.coverage_regions(blocks).select("scene_id", "start", "stop", "severity")
+
+
+@query("q10_depth_coverage_gate", f"""
+    WITH {COVER_SQL}, {REGION_SQL} SELECT scene_id, CASE WHEN coalesce(bool_or(severity = 'critical'), FALSE) THEN 'blocked' WHEN coalesce(bool_or(severity = 'review'), FALSE) THEN 'review' ELSE 'passed' END AS status
+    FROM frames LEFT JOIN cr USING (scene_id) GROUP BY scene_id""")
 def q10(v):
     blocks = masks.depth_coverage(v.cells.where("line not between 300 and 430"), v.frames, (64, 128))
     return masks.coverage_gate(masks.coverage_regions(blocks), v.frames)
