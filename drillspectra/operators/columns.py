@@ -95,10 +95,13 @@ def fill_linear(profile: Column) -> Column:
         def at(c: Column) -> Column:
             before = F.array_max(F.filter(F.sequence(F.lit(0), c), lambda i: F.get(p, i).isNotNull()))
             after = F.array_min(F.filter(F.sequence(c, n - 1), lambda i: F.get(p, i).isNotNull()))
-            left, right = F.get(p, before), F.get(p, after)
-            between = left + (right - left) * (c - before) / (after - before)
+
+            def between(ends: Column) -> Column:
+                left, right = F.get(p, ends["a"]), F.get(p, ends["b"])
+                return F.coalesce(left + (right - left) * (c - ends["a"]) / (ends["b"] - ends["a"]), left, right)
+
             return F.when(F.get(p, c).isNotNull(), F.get(p, c)).otherwise(
-                F.coalesce(between, left, right)
+                A.let(F.struct(before.alias("a"), after.alias("b")), between)
             )
 
         return F.transform(F.sequence(F.lit(0), n - 1), at)
@@ -161,9 +164,9 @@ def column_bias(pixels: DataFrame, frames: DataFrame, spectrum: str = "spectrum"
     medians = band_medians(pixels, ["scene_id", "sample"], spectrum)
     packed = dense(medians, ["scene_id", "band"], ["m"], frames)
     raw = packed.withColumn("d", F.zip_with("m", shrinking_median(F.col("m"), radius), lambda a, b: a - b))
-    centred = raw.withColumn("mid", A.median(F.col("d"))).withColumn(
-        "bias", F.transform("d", lambda x: F.coalesce(x - F.col("mid"), F.lit(0.0)))
-    )
+    # bound once: a column named inside a lambda would be worked out again for every element
+    centred = raw.withColumn("bias", A.let(F.col("d"), lambda d: A.let(A.median(d), lambda mid: F.transform(
+        d, lambda x: F.coalesce(x - mid, F.lit(0.0))))))
     flat = centred.select("scene_id", "band", F.posexplode("bias").alias("sample", "b"))
     return flat.groupBy("scene_id", "sample").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("band", "b"))), lambda s: s["b"]).alias("bias")
@@ -202,11 +205,12 @@ def fixed_column_risk(hits: DataFrame, valid: DataFrame, blocks: DataFrame, fram
     packed = dense(both.withColumn("d", share), ["scene_id", "_a"], ["d"], frames).withColumn(
         "d", F.transform("d", lambda x: F.coalesce(x, F.lit(0.0)))
     )
-    z = packed.withColumn("mid", A.median(F.col("d"))).withColumn(
-        "mad", 1.4826 * A.median(F.transform("d", lambda x: F.abs(x - F.col("mid"))))
-    ).withColumn(
-        "z", F.transform("d", lambda x: (x - F.col("mid")) / F.greatest(F.col("mad"), F.lit(0.005)))
-    )
+    def deviations(d: Column) -> Column:
+        return A.let(A.median(d), lambda mid: A.let(
+            1.4826 * A.median(F.transform(d, lambda x: F.abs(x - mid))),
+            lambda mad: F.transform(d, lambda x: (x - mid) / F.greatest(mad, F.lit(0.005)))))
+
+    z = packed.withColumn("z", A.let(F.col("d"), deviations))
     # all sampled blocks count, also those without any pixel of a column
     columns = z.select(
         "scene_id", F.posexplode(F.arrays_zip("d", "z")).alias("sample", "p")

@@ -112,11 +112,13 @@ def band_medians(pixels: DataFrame, keys: Sequence[str], spectrum: str = "spectr
     chosen = placed.where(holds(lower) | holds(upper)).groupBy(*keys, "band").agg(
         F.min("_bin").alias("_low"), F.max("_bin").alias("_last"), F.min("_before").alias("_before"), F.max("n").alias("n"))
     chosen = chosen.mapInArrow(_bounds, f"{kinds}, band int, _low long, _last long, _before long, n long, _from double, _to double")
-    packed = chosen.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("_from", "_to", "_before", "n")))).alias("_at"))
+    packed = chosen.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("band", F.struct("_from", "_to", "_before", "n")))).alias("_by"))
+    packed = packed.select(*keys, F.transform(  # by place, so that a band finds its limits without a search
+        F.sequence(F.lit(0), F.array_max(F.map_keys("_by"))), lambda b: F.try_element_at(F.col("_by"), b)).alias("_at"))
     # one entry per band of the sensor; a written table has a known size, and while it is small no spectrum is exchanged
     packed = durable(packed)
     near = cube.join(packed, keys).select(*keys, F.inline(F.filter(
-        F.transform("_v", lambda v, b: F.struct(b.alias("band"), v.alias("x"), F.try_element_at(F.col("_at"), b).alias("at"))),
+        F.transform("_v", lambda v, b: F.struct(b.alias("band"), v.alias("x"), F.get("_at", b).alias("at"))),
         lambda s: (s["x"] >= s["at"]["_from"]) & (s["x"] <= s["at"]["_to"]))))
     equal = near.groupBy(*keys, "band", "x").agg(F.count(F.lit(1)).alias("_c"), F.first("at").alias("at"))
     upto = W.partitionBy(*keys, "band").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
