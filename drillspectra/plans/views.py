@@ -41,19 +41,6 @@ class Views:
             F.transform("embedding", lambda x: x.cast("double") + 1.0).alias("spectrum"),
         )
 
-    @cached_property
-    def scans(self) -> DataFrame:
-        """Large scenes of 200 detector columns: a pixel per order, its spectrum a blend of two vectors."""
-        vectors = self.table("embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") + 1.0).alias("v"))
-        n = (vectors.agg(F.max("vec_id")).first()[0] or 0) + 1
-        place = F.col("o_orderkey") % 40_000
-        cells = self.table("orders").select(
-            F.concat(F.lit("L"), F.floor(F.col("o_orderkey") / 40_000).cast("string")).alias("scene_id"),
-            F.floor(place / 200).cast("int").alias("line"), (place % 200).cast("int").alias("sample"),
-            (F.col("o_custkey") % n).alias("_a"), (F.col("o_orderkey") % n).alias("_b"))
-        first, second = (vectors.select(F.col("vec_id").alias(k), F.col("v").alias(f"{k}v")) for k in ("_a", "_b"))
-        return cells.join(first, "_a").join(second, "_b").select(*KEY, F.zip_with("_av", "_bv", lambda x, y: 0.75 * x + 0.25 * y).alias("spectrum"))
-
     @cached_property
     def px(self) -> DataFrame:
         """Pixels with one row per band."""
