@@ -79,8 +79,18 @@ def resample(targets: Sequence[float], fwhm: Sequence[float] | None = None, gap:
     return kernel
 
 
+def curve_quality(coverage: Column, roughness: Column, depth: Column) -> Column:
+    """0-1 from coverage, smoothness and contrast; a roughness that is NaN counts as rough."""
+    return F.least(F.greatest(
+        0.55 * coverage + 0.25 * (1.0 - F.least(roughness / 0.25, F.lit(1.0)))
+        + 0.20 * F.least(depth / 0.10, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+
+
 def diagnostics(values: Column, axis: Sequence[float], windows, minimum_coverage: float = 0.97) -> Column:
-    """Coverage, depth, roughness, quality, unit shape and rejection code of a curve."""
+    """Coverage, depth, curvature, roughness, quality, unit shape and rejection code of a curve.
+
+    Roughness is curvature (the median second difference) by depth.
+    """
     parts = [S.window_positions(axis, [w], minimum=0) for w in windows]
     every = sorted({i for p in parts for i in p})
     present = lambda x: x.isNotNull() & ~F.isnan(x)
@@ -106,18 +116,17 @@ def diagnostics(values: Column, axis: Sequence[float], windows, minimum_coverage
 
     def judge(s):
         depth, length = F.array_max(s), A.norm(s)
-        rough = A.median(F.transform(A.weighted_taps(s, second), F.abs)) / F.greatest(depth, F.lit(1e-12))
-        return A.let(F.struct(depth.alias("d"), length.alias("n"), rough.alias("r"), coverage.alias("c")), lambda q: F.struct(
-            q["c"].alias("coverage"), q["d"].alias("depth"), q["r"].alias("roughness"),
-            F.when(q["n"] > 1e-10, F.least(F.greatest(
-                0.55 * q["c"] + 0.25 * (1.0 - F.least(q["r"] / 0.25, F.lit(1.0)))
-                + 0.20 * F.least(q["d"] / 0.10, F.lit(1.0)), F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("quality"),
+        bend = A.median(F.transform(A.weighted_taps(s, second), F.abs))
+        rough = bend / F.greatest(depth, F.lit(1e-12))
+        return A.let(F.struct(depth.alias("d"), length.alias("n"), bend.alias("b"), rough.alias("r"), coverage.alias("c")), lambda q: F.struct(
+            q["c"].alias("coverage"), q["d"].alias("depth"), q["b"].alias("curvature"), q["r"].alias("roughness"),
+            F.when(q["n"] > 1e-10, curve_quality(q["c"], q["r"], q["d"])).otherwise(0.0).alias("quality"),
             F.when(q["n"] > 1e-10, F.transform(s, lambda x: x / q["n"])).alias("embedding"),
             F.when(q["n"] <= 1e-10, "featureless_reference_shape").alias("rejection")))
 
     def refused(reason):
         return F.struct(
-            coverage.alias("coverage"), F.lit(None).cast("double").alias("depth"), F.lit(None).cast("double").alias("roughness"),
+            coverage.alias("coverage"), *[F.lit(None).cast("double").alias(c) for c in ("depth", "curvature", "roughness")],
             F.lit(0.0).alias("quality"), F.lit(None).cast("array<double>").alias("embedding"), F.lit(reason).alias("rejection"))
 
     good = A.all_positive(A.gather(values, every))
