@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def read_stream(spark: SparkSession, folder: str, file: str, schema) -> DataFrame:
-    """Files of one name pattern in a folder, as they arrive."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+    """Files of one name pattern in a folder, or those inside folders of that name, as they arrive."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{file}}}")
 
 
 def score_lines(stream: DataFrame, score: Callable[[DataFrame], DataFrame], target: str, state: str) -> None:

@@ -28,3 +28,8 @@ def test_a_featureless_curve_keeps_the_plain_ratios(spark, tmp_path):
     assert beside_sql(spark, tmp_path, "l4_reference_diagnostics", "embeddings") is None
     rows = {r["vec_id"]: r for r in entry.queries()["l4_reference_diagnostics"](spark, str(tmp_path)).collect()}
     assert rows[0]["depth"] == 0 and rows[0]["roughness"] != rows[0]["roughness"] and rows[0]["quality"] == 0.55
+
+
+def test_a_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
+    write_spectra(spark, tmp_path, [[0.01 * (b % (i + 2)) for b in range(BANDS)] for i in range(7)])
+    assert beside_sql(spark, tmp_path, "t1_line_block_stream", "embeddings") is None
