@@ -61,11 +61,11 @@ def connected_roots(edges: DataFrame, limit: int = 60) -> DataFrame:
     )
     previous = None
     for _ in range(limit):
-        both = current.union(current.select("v", "u"))
+        both = current.union(current.select("v", "u")).hint("merge")  # files are far smaller than their rows
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).hint("merge")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             least.select("u", F.col("m").alias("v"))
@@ -122,9 +122,10 @@ def components(cells: DataFrame, keys: Sequence[str] = ("scene_id",), tile_lines
         F.sum("sum_line").alias("sum_line"), F.sum("sum_sample").alias("sum_sample"),
     )
     # one row per tile piece on the small side keeps a huge component from
-    # becoming one hot join key
-    known = rooted.select(*keys, "tile", "local", "label").join(whole, [*keys, "label"])
-    return local.join(known, [*keys, "tile", "local"]).drop("tile", "local")
+    # becoming one hot join key; written planes compress to a few bits a cell,
+    # so the planner must not take their files' size for that of a broadcast
+    known = rooted.select(*keys, "tile", "local", "label").hint("merge").join(whole, [*keys, "label"])
+    return local.hint("merge").join(known, [*keys, "tile", "local"]).drop("tile", "local")
 
 
 def catalogue(labelled: DataFrame, keys: Sequence[str] = ("scene_id",)) -> DataFrame:
