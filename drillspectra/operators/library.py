@@ -213,80 +213,185 @@ def _angles(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(left @ right.T, -1.0, 1.0))
 
 
-def median_distances(curves: DataFrame, keys: Sequence[str], identity: str, vector: str, block: int = 1024, bins: int = 512) -> DataFrame:
+def _against_all(left: DataFrame, right: DataFrame, keys: Sequence[str], identity: str, vector: str, block: int, visit, schema: str) -> DataFrame:
+    """Let blocks of ``left`` rows meet all ``right`` rows of their group as a stream.
+
+    A task holds one block of ``left`` (``block`` rows on average) and 1,024
+    ``right`` rows at a time.  ``visit(rows)`` starts a block and returns two
+    functions: one takes (right ids, weights, vectors), one ends the block; both
+    return a frame or None.
+    """
+    keys = list(keys)
+    sizes = left.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
+    held = left.join(sizes, keys).withColumn("_i", F.pmod(F.xxhash64(identity), F.col("_blocks")).cast("int")).withColumn("_side", F.lit(0))
+    shown = right.select(*keys, identity, vector, "weight").join(sizes, keys).withColumn(
+        "_i", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_side", F.lit(1))
+    dealt = held.unionByName(shown, allowMissingColumns=True).drop("_blocks")
+    ordered = dealt.repartition(*keys, "_i").sortWithinPartitions(*keys, "_i", "_side", identity)
+    groups = [*keys, "_i"]
+
+    def run(batches):
+        rows, take, end, rest = [], None, None, None
+
+        def show(pdf, whole):
+            nonlocal rest
+            rest = pdf if rest is None else pd.concat([rest, pdf])
+            while len(rest) >= 1024 or (whole and len(rest)):
+                part, rest = rest.iloc[:1024], rest.iloc[1024:]
+                yield take(part[identity].to_numpy(), part["weight"].to_numpy(), np.stack(part[vector]))
+
+        def close():
+            if take is not None:
+                if rest is not None:
+                    yield from show(rest.iloc[:0], True)
+                yield end()
+
+        current = None
+        for batch in batches:
+            pdf = pa.Table.from_batches([batch]).to_pandas()
+            for place, part in pdf.groupby([*groups, "_side"], sort=False, dropna=False):
+                if place[:-1] != current:
+                    for out in close():
+                        if out is not None and len(out):
+                            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+                    current, rows, take, rest = place[:-1], [], None, None
+                if place[-1] == 0:
+                    rows.append(part)
+                elif rows:
+                    if take is None:
+                        take, end = visit(pd.concat(rows))
+                    for out in show(part, False):
+                        if out is not None and len(out):
+                            yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+        for out in close():
+            if out is not None and len(out):
+                yield pa.RecordBatch.from_pandas(out, preserve_index=False)
+
+    return ordered.mapInArrow(run, schema)
+
+
+def _angles_of(rows: pd.DataFrame, identity: str, vector: str):
+    ids, vectors = rows[identity].to_numpy(), np.stack(rows[vector])
+
+    def angles(other_ids, other):
+        angle = _angles(vectors, other)
+        angle[ids[:, None] == other_ids[None, :]] = 0.0
+        return angle
+
+    return vectors, angles
+
+
+def _median_windows(asked: DataFrame, folded: DataFrame, keys: Sequence[str], identity: str, vector: str, block: int, bins: int) -> DataFrame:
+    """``asked`` rows with narrower ``[_a0, _a1]`` and ``[_c0, _c1]`` around the two middle angles.
+
+    Every row counts its angles in ``bins`` equal steps between its present
+    ``_a0`` and ``_c1``; the counts never leave the task.
+    """
+    keys = list(keys)
+    edges = ["_a0", "_a1", "_c0", "_c1"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys, identity).schema)
+
+    def visit(rows):
+        _, angles = _angles_of(rows, identity, vector)
+        low = rows["_a0"].to_numpy() - 1e-9
+        step = (rows["_c1"].to_numpy() + 1e-9 - low) / bins
+        wide = bins + 2
+        counts = np.zeros((len(rows), wide))
+        start = np.arange(len(rows))[:, None] * wide
+
+        def take(ids, weight, vectors):
+            at = np.clip(np.floor((angles(ids, vectors) - low[:, None]) / step[:, None]), -1, bins).astype(np.int64) + 1 + start
+            counts.ravel()[:] += np.bincount(at.ravel(), np.broadcast_to(weight, at.shape).ravel(), counts.size)
+
+        def end():
+            upto = counts.cumsum(axis=1)
+            n = upto[:, -1]
+            out = rows[[*keys, identity]].copy()
+            for name, rank in (("_a", np.floor((n - 1) / 2)), ("_c", np.floor(n / 2))):
+                place = (upto <= rank[:, None]).sum(axis=1) - 1
+                out[name + "0"], out[name + "1"] = low + place * step, low + (place + 1) * step
+            return out[[*keys, identity, *edges]]
+
+        return take, end
+
+    found = _against_all(asked.drop(*edges[1:3]), folded, keys, identity, vector, block, visit, f"{kinds}, " + ", ".join(f"{e} double" for e in edges))
+    return durable(found).join(asked.drop(*edges), [*keys, identity])
+
+
+def _middle_angles(asked: DataFrame, folded: DataFrame, keys: Sequence[str], identity: str, vector: str, block: int) -> DataFrame:
+    """Exact medians of ``asked`` rows from the angles inside their windows; smaller ones leave a task as counts."""
+    keys = list(keys)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keys, identity).schema)
+
+    def visit(rows):
+        own, angles = _angles_of(rows, identity, vector)
+        low, high = rows["_a0"].to_numpy()[:, None] - 1e-9, rows["_c1"].to_numpy()[:, None] + 1e-9
+        names = rows[[*keys, identity]].reset_index(drop=True)
+        below = np.zeros(len(rows))
+        total = np.zeros(len(rows))
+
+        def take(ids, weight, vectors):
+            nonlocal below, total
+            angle = angles(ids, vectors)
+            below += (angle < low) @ weight
+            total += weight.sum()
+            r, c = np.nonzero((angle >= low) & (angle <= high))
+            # products summed in one order, so both ends of a pair see the same angle
+            x = np.arccos(np.clip(np.einsum("ij,ij->i", own[r], vectors[c]), -1.0, 1.0))
+            x[angle[r, c] == 0.0] = 0.0
+            return names.iloc[r].assign(x=x, m=weight[c].astype(np.int64), below=np.int64(0), n=np.int64(0))
+
+        def end():
+            return names.assign(x=np.nan, m=np.int64(0), below=below.astype(np.int64), n=total.astype(np.int64))
+
+        return take, end
+
+    found = durable(_against_all(asked, folded, keys, identity, vector, block, visit, f"{kinds}, x double, m long, below long, n long"))
+    own = [*keys, identity]
+    heads = found.where("n > 0").select(*own, "below", "n")
+    inside = found.where("n = 0").groupBy(*own, "x").agg(F.sum("m").alias("m"))
+    upto = W.partitionBy(*own).orderBy("x").rowsBetween(W.unboundedPreceding, -1)
+    placed = inside.join(heads, own).withColumn("before", F.col("below") + F.coalesce(F.sum("m").over(upto), F.lit(0)))
+    hit = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("m"))
+    middle = placed.groupBy(*own).agg(
+        F.max(F.when(hit(F.floor((F.col("n") - 1) / 2)), F.col("x"))).alias("a"), F.max(F.when(hit(F.floor(F.col("n") / 2)), F.col("x"))).alias("b"))
+    return middle.select(*own, ((F.col("a") + F.col("b")) / 2).alias("median_angle"))
+
+
+def _whole_range(folded: DataFrame) -> DataFrame:
+    return folded.withColumns({"_a0": F.lit(0.0), "_a1": F.lit(float(np.pi)), "_c0": F.lit(0.0), "_c1": F.lit(float(np.pi))})
+
+
+def median_distances(curves: DataFrame, keys: Sequence[str], identity: str, vector: str, block: int = 4096, bins: int = 512) -> DataFrame:
     """Median angle of every unit vector to all vectors of its group, exactly.
 
     The pair matrix is visited in bounded blocks and never emitted: the first
-    visit sends per-row histograms, the second only the values of the bin that
-    holds the median.  Equal vectors are folded into one weighted row first.
+    visit counts angles inside the task, the second sends only the values of
+    the bins that hold the middle.  Equal vectors are folded into one weighted
+    row first.
     """
-    keys = list(keys)
-    folded = durable(
-        curves.groupBy(*keys, vector).agg(F.min(identity).alias(identity), F.count(F.lit(1)).alias("weight"))
-    )
-    total = folded.groupBy(*keys).agg(F.sum("weight").alias("n"))
-    key_fields = [f for f in folded.schema.fields if f.name in keys or f.name == identity]
-    step = np.pi / bins
+    folded = durable(curves.groupBy(*keys, vector).agg(F.min(identity).alias(identity), F.count(F.lit(1)).alias("weight")))
+    near = _median_windows(_whole_range(folded), folded, keys, identity, vector, block, bins)
+    return _middle_angles(near, folded, keys, identity, vector, block)
 
-    def visit(pdf: pd.DataFrame, emit) -> pd.DataFrame:
-        i, j = pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        left, right = pdf[pdf["_own"] == i], pdf[pdf["_own"] == j]
-        if not len(left) or not len(right):
-            return None
-        angle = _angles(np.stack(left[vector]), np.stack(right[vector]))
-        angle[left[identity].to_numpy()[:, None] == right[identity].to_numpy()[None, :]] = 0.0
-        parts = [emit(left, angle, right["weight"].to_numpy())]
-        if i != j:
-            parts.append(emit(right, angle.T, left["weight"].to_numpy()))
-        return pd.concat(parts)
-
-    def histogram(pdf: pd.DataFrame) -> pd.DataFrame:
-        def emit(rows, angle, weight):
-            at = np.minimum((angle / step).astype(int), bins - 1)
-            flat = np.bincount((np.arange(len(rows))[:, None] * bins + at).ravel(), np.broadcast_to(weight, at.shape).ravel(), len(rows) * bins)
-            r, b = np.nonzero(flat.reshape(len(rows), bins))
-            out = rows.iloc[r][[*keys, identity]].reset_index(drop=True)
-            return out.assign(bin=b.astype(np.int32), m=flat.reshape(len(rows), bins)[r, b].astype(np.int64))
-
-        found = visit(pdf, emit)
-        return found if found is not None else pd.DataFrame(columns=[*keys, identity, "bin", "m"])
-
-    spec = T.StructType([*key_fields, T.StructField("bin", T.IntegerType()), T.StructField("m", T.LongType())])
-    tiles = _tiles(folded, keys, identity, block)
-    per_bin = tiles.groupBy(*keys, "_i", "_j").applyInPandas(histogram, spec).groupBy(*keys, identity, "bin").agg(F.sum("m").alias("m"))
-    before = W.partitionBy(*keys, identity).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
-    ranked = per_bin.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(total, keys).withColumns({
-        "lo": F.floor((F.col("n") - 1) / 2), "hi": F.floor(F.col("n") / 2)})
-    hit = lambda r: (F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("m"))
-    wanted = ranked.where(hit("lo") | hit("hi")).groupBy(*keys, identity).agg(
-        F.min("bin").alias("b0"), F.max("bin").alias("b1"), F.min("before").alias("before"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-
-    def values(pdf: pd.DataFrame) -> pd.DataFrame:
-        def emit(rows, angle, weight):
-            at = np.minimum((angle / step).astype(int), bins - 1)
-            inside = (at == rows["b0"].to_numpy()[:, None]) | (at == rows["b1"].to_numpy()[:, None])
-            r, c = np.nonzero(inside)
-            out = rows.iloc[r][[*keys, identity]].reset_index(drop=True)
-            return out.assign(x=angle[r, c], m=weight[c].astype(np.int64))
-
-        found = visit(pdf, emit)
-        return found if found is not None else pd.DataFrame(columns=[*keys, identity, "x", "m"])
-
-    spec = T.StructType([*key_fields, T.StructField("x", T.DoubleType()), T.StructField("m", T.LongType())])
-    tiles = _tiles(folded.join(wanted, [*keys, identity]), keys, identity, block)
-    inside = tiles.groupBy(*keys, "_i", "_j").applyInPandas(values, spec).groupBy(*keys, identity, "x").agg(F.sum("m").alias("m"))
-    upto = W.partitionBy(*keys, identity).orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    placed = inside.join(wanted, [*keys, identity]).withColumn("before", F.col("before") + F.coalesce(F.sum("m").over(upto), F.lit(0)))
-    middle = placed.groupBy(*keys, identity).agg(
-        F.max(F.when(hit("lo"), F.col("x"))).alias("a"), F.max(F.when(hit("hi"), F.col("x"))).alias("b"))
-    return middle.select(*keys, identity, ((F.col("a") + F.col("b")) / 2).alias("median_angle"))
-
-
-def medoids(curves: DataFrame, keys: Sequence[str], identity: str, vector: str, quality: str, block: int = 1024) -> DataFrame:
-    """Curve with the smallest median distance; ties by quality, then id."""
+
+def medoids(curves: DataFrame, keys: Sequence[str], identity: str, vector: str, quality: str, block: int = 4096, bins: int = 512) -> DataFrame:
+    """Curve with the smallest median distance; ties by quality, then id.
+
+    Two visits narrow each curve's median; only curves that may still be the
+    smallest of their group go on, and only these send angles in the last.
+    """
     keys = list(keys)
-    scored = median_distances(curves, keys, identity, vector, block).join(curves.select(*keys, identity, quality), [*keys, identity])
-    best = scored.groupBy(*keys).agg(F.min(F.struct("median_angle", (-F.col(quality)).alias("q"), identity)).alias("b"))
+    best_copy = F.min(F.struct((-F.col(quality)).alias("q"), F.col(identity).alias("id")))
+    folded = durable(curves.groupBy(*keys, vector).agg(best_copy.alias("_b"), F.count(F.lit(1)).alias("weight")).select(
+        *keys, vector, F.col("_b.id").alias(identity), F.col("_b.q").alias("_q"), "weight"))
+    asked = _whole_range(folded)
+    for _ in range(2):
+        near = _median_windows(asked, folded, keys, identity, vector, block, bins)
+        limit = near.groupBy(*keys).agg(F.min((F.col("_a1") + F.col("_c1")) / 2).alias("_limit"))
+        asked = durable(near.join(limit, keys).where((F.col("_a0") + F.col("_c0")) / 2 <= F.col("_limit") + 1e-8).drop("_limit"))
+    scored = _middle_angles(asked, folded, keys, identity, vector, block).join(asked.select(*keys, identity, "_q"), [*keys, identity])
+    best = scored.groupBy(*keys).agg(F.min(F.struct("median_angle", "_q", identity)).alias("b"))
     return best.select(*keys, F.col(f"b.{identity}").alias(identity), "b.median_angle")
 
 

@@ -33,6 +33,26 @@ def test_median_distance_in_blocks(spark):
     assert all(out[i] == pytest.approx(expected[i], abs=1e-7) for i in out)
 
 
+def test_medoid_is_the_best_of_its_copies(spark):
+    x = unit_rows(70, seed=3)
+    x[10:60] = x[10]
+    row = L.medoids(curves(spark, {"a": x}), ["g"], "id", "v", "quality", block=16).collect()[0]
+    best = max(range(10, 60), key=lambda i: ((i * 37 % 101) / 101, -i))
+    assert (row["id"], row["median_angle"]) == (best, 0.0)
+
+
+def test_median_windows_leave_one_row_a_curve(spark):
+    x = unit_rows(300, seed=4)
+    folded = curves(spark, {"a": x}).select("g", "id", "v", F.lit(1).cast("long").alias("weight"))
+    rows = L._median_windows(L._whole_range(folded), folded, ["g"], "id", "v", 32, 512).collect()
+    angle = np.arccos(np.clip(x @ x.T, -1, 1))
+    np.fill_diagonal(angle, 0)
+    expected = np.median(angle, axis=1)
+    assert sorted(r["id"] for r in rows) == list(range(300))
+    assert all((r["_a0"] + r["_c0"]) / 2 <= expected[r["id"]] <= (r["_a1"] + r["_c1"]) / 2 for r in rows)
+    assert all(r["_a1"] - r["_a0"] < 0.0062 for r in rows)
+
+
 def test_near_duplicates_in_blocks(spark):
     x = unit_rows(40, seed=5)
     x[20:32] = x[20]
