@@ -55,8 +55,9 @@ def exact_quantile_array(
     )
     # a written table has a known size: while it is small the values meet it in place, and only those in its bins are exchanged
     chosen = durable(chosen)
-    equal = rows.join(chosen, [*keys, "_bin"]).groupBy(*keys, "_bin", "_x").agg(
-        F.sum("_c").alias("_c"), *[F.first(c).alias(c) for c in ("_before", "_ranks", "n")])
+    # values are counted by hash before they meet the ranks, so no task sorts them beside arrays
+    equal = rows.join(chosen.select(*keys, "_bin"), [*keys, "_bin"], "left_semi").groupBy(*keys, "_bin", "_x").agg(
+        F.sum("_c").alias("_c")).join(chosen, [*keys, "_bin"])
     upto = W.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(W.unboundedPreceding, -1)
     ordered = equal.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(upto), F.lit(0)))
     hits = ordered.select(*keys, "n", "_x", F.explode(F.filter("_ranks", inside("_start", "_c"))).alias("_rank"))

@@ -1,9 +1,12 @@
 """Queries beside their SQL on tables of a few rows."""
 
 import duckdb
+import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import compare
+from drillspectra.operators.quantiles import exact_quantiles
 from drillspectra.plans.views import BANDS
 
 
@@ -33,3 +36,15 @@ def test_a_featureless_curve_keeps_the_plain_ratios(spark, tmp_path):
 def test_a_stream_reads_a_table_that_is_a_folder_of_files(spark, tmp_path):
     write_spectra(spark, tmp_path, [[0.01 * (b % (i + 2)) for b in range(BANDS)] for i in range(7)])
     assert beside_sql(spark, tmp_path, "t1_line_block_stream", "embeddings") is None
+
+
+def test_quantiles_count_values_without_sorting_rows(spark, capsys):
+    """Equal values meet in hash tables: a sort would hold every row of a bin beside its ranks."""
+    rows = spark.range(4000).select((F.col("id") % 3).alias("k"), (F.col("id") % 50 / 7.0).alias("x"))
+    out = exact_quantiles(rows, ["k"], "x", [0.25, 0.5])
+    out.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+    got = {r["k"]: (r["n"], r["q0"], r["q1"]) for r in out.collect()}
+    for k in range(3):
+        x = [i % 50 / 7.0 for i in range(4000) if i % 3 == k]
+        assert got[k] == (len(x), *np.quantile(x, [0.25, 0.5]))
