@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import compare
+from drillspectra.operators import maps
 from drillspectra.operators.quantiles import exact_quantiles
 from drillspectra.plans.views import BANDS
 
@@ -48,3 +49,30 @@ def test_quantiles_count_values_without_sorting_rows(spark, capsys):
     for k in range(3):
         x = [i % 50 / 7.0 for i in range(4000) if i % 3 == k]
         assert got[k] == (len(x), *np.quantile(x, [0.25, 0.5]))
+
+
+def test_tiles_are_blended_in_the_row(spark, tmp_path, capsys):
+    """Only cells and pools are grouped: tables of tiles beside those of cells would fill a task."""
+    rows = [(p, 1 + (p * 7 + s) % 40, p + s, 100.0 + (p * 31 + s * 17) % 997, (p + s) % 11 / 100, s % 9 / 100) for p in range(0, 1300, 3) for s in range(5)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity long, l_extendedprice double, l_discount double, l_tax double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    assert beside_sql(spark, tmp_path, "a21_tile_score_blending", "lineitem") is None
+    entry.queries()["a21_tile_score_blending"](spark, str(tmp_path)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("HashAggregate") == 4 and "Generate" not in plan
+
+
+def test_blended_tiles_of_any_stride(spark, cells):
+    scores = np.random.default_rng(5).random((40, 2))
+    given = cells(np.ones(scores.shape, bool), score=scores)
+    for size, stride in ((10, 4), (8, 8), (4, 6)):
+        got = {(r["line"], r["sample"]): r["score"] for r in maps.blend_tiles(
+            given, ["scene_id"], lambda i: F.col("score") * (1 + i), size, stride).collect()}
+        expected = {}
+        for line, sample in np.ndindex(scores.shape):
+            tiles = [i for i in range(40) if i * stride <= line < i * stride + size]
+            weights = [max(0.5 - 0.5 * np.cos(2 * np.pi * (line - i * stride + 0.5) / size), 1e-3) for i in tiles]
+            if tiles:
+                expected[line, sample] = np.average([scores[line, sample] * (1 + i) for i in tiles], weights=weights)
+        assert got.keys() == expected.keys()
+        assert all(np.isclose(got[k], expected[k], rtol=1e-12) for k in expected)
