@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.scoring import candidate
@@ -89,13 +91,19 @@ def search_grid(policies: Mapping[str, Mapping], policy: str, steps: int = 5) ->
     return values("column_percentile"), values("absolute_sam_threshold_rad")
 
 
-def fixed_column_penalty(hits: DataFrame, valid: DataFrame, blocks: DataFrame, frames: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+def fixed_column_penalty(hits: DataFrame, valid: DataFrame, blocks: DataFrame, frames: DataFrame) -> DataFrame:
     """Root of (peak severity x share of the hits in suspicious columns)."""
-    keys = ["scene_id", *extra]
+    keys = ["scene_id"]
     spans = blocks.select("scene_id", F.col("start").alias("_a"), F.col("stop").alias("_b"))
     exposed = columns.in_blocks(valid.select("scene_id", "line", "sample"), spans).groupBy("scene_id", "_a", "sample").agg(F.count(F.lit(1)).alias("valid"))
     counted = columns.in_blocks(hits.select(*keys, "line", "sample"), spans).groupBy(*keys, "_a", "sample").agg(F.count(F.lit(1)).alias("hits"))
-    cells = hits.select(*keys).distinct().join(exposed, "scene_id")
+    totals = hits.groupBy(*keys, "sample").agg(F.count(F.lit(1)).alias("n"))
+    return penalty_of_counts(exposed, counted, totals, frames, keys)
+
+
+def penalty_of_counts(exposed: DataFrame, counted: DataFrame, totals: DataFrame, frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The penalty from pixels and hits per block ``_a`` and column, and all hits per column."""
+    cells = totals.select(*keys).distinct().join(exposed, "scene_id")
     share = cells.join(counted, [*keys, "_a", "sample"], "left").select(
         *keys, "_a", "sample", (F.coalesce("hits", F.lit(0)) / F.col("valid")).alias("d"))
     # a block in which a column has no material counts as density 0
@@ -110,61 +118,138 @@ def fixed_column_penalty(hits: DataFrame, valid: DataFrame, blocks: DataFrame, f
     severity = F.zip_with("p", "local", lambda p, m: F.least(F.greatest(
         (F.greatest(p - F.coalesce(m, F.col("whole")), F.lit(0.0)) - 0.03) / 0.20, F.lit(0.0)), F.lit(1.0)))
     rows = columns.column_rows(local.withColumn("severity", severity), keys, ["severity"])
-    totals = hits.groupBy(*keys, "sample").agg(F.count(F.lit(1)).alias("n"))
     joined = rows.join(totals, [*keys, "sample"], "left").groupBy(*keys).agg(
         F.max("severity").alias("peak"), F.sum("n").alias("all"), F.sum(F.when(F.col("severity") > 0, F.col("n"))).alias("bad"))
     return joined.select(*keys, F.when(
         (F.col("all") > 0) & (F.col("peak") > 0), F.sqrt(F.col("peak") * F.coalesce("bad", F.lit(0)) / F.col("all"))).otherwise(0.0).alias("column_penalty"))
 
 
-def search_thresholds(
-    scores: DataFrame, valid: DataFrame, frames: DataFrame, blocks: DataFrame, policies: Mapping[str, Mapping], policy: str,
-    steps: int = 5, minimum_pixels: int = 16, hard_coverage: float = 0.65, edge_width: int = 2, isolated_pixels: int = 4,
+def _pair_counts(
+    rows: DataFrame, percentiles: Sequence[float], absolutes: Sequence[float], edge_width: int, isolated_pixels: int, tile_lines: int = 512
 ) -> DataFrame:
-    """Every (percentile, absolute) candidate with its terms and objective.
+    """Hits per pair, block and column, those at run ends and those in small patches.
 
-    A sampled pixel meets its column's thresholds once and unfolds only into
-    the candidates it passes; every term is then one aggregation over
-    (scene, candidate).
+    A pixel passes the percentiles whose bit ``_p`` has, and the absolute
+    limits from ``_first`` on.  A patch of fewer than ``isolated_pixels`` cells
+    lies within so many lines of each of its cells, and of a larger one at least
+    so many cells do: haloed tiles tell both, and no patch is followed further.
     """
-    percentiles, absolutes = search_grid(policies, policy, steps)
-    spans = blocks.select("scene_id", F.col("start").alias("_a"), F.col("stop").alias("_b"))
-    sampled = durable(columns.in_blocks(scores.join(valid, ["scene_id", "line", "sample"], "left_semi"), spans).select("scene_id", "line", "sample", "score"))
-    limits = columns.column_thresholds(sampled, frames, percentiles, minimum=1, radius=1).select(
-        "scene_id", "sample", *[f"t{i}" for i in range(len(percentiles))])
-    edges = grid.edge_risk(sampled.select("scene_id", "line", "sample"), ["scene_id"], edge_width).select(
-        "scene_id", "line", "sample", (F.col("edge_risk") > 0).alias("edge"))
-    options = F.array_compact(F.array(*[
-        F.when((F.col("score") <= F.col(f"t{i}")) & (F.col("score") <= a), F.struct(F.lit(p).alias("percentile"), F.lit(a).alias("absolute")))
-        for i, p in enumerate(percentiles) for a in absolutes]))
-    hits = durable(
-        sampled.join(limits, ["scene_id", "sample"]).join(edges, ["scene_id", "line", "sample"])
-        .select("scene_id", "line", "sample", "score", "edge", F.explode(options).alias("c"))
-        .select("scene_id", "line", "sample", "score", "edge", "c.percentile", "c.absolute"))
+    halo, width = max(isolated_pixels - 1, 0), max(edge_width, 1)
+    kind = rows.schema["scene_id"].dataType.simpleString()
+
+    def count(table: pa.Table) -> pa.Table:
+        tile = grid.Tile(table, halo, width, tile_lines)
+        bits, first, start = (table.column(c).to_numpy() for c in ("_p", "_first", "_a"))
+        present = tile.plane(1.0) > 0
+        edge = ~np.logical_and.reduce([present[tile.at[0], tile.at[1] + d] for d in range(-width, width + 1)])
+        places, place = np.unique(np.stack([start, tile.sample], 1), axis=0, return_inverse=True)
+        place = place.reshape(-1)
+        found = []
+        for i, p in enumerate(percentiles):
+            for j, a in enumerate(absolutes):
+                at = np.flatnonzero(((bits >> i) & 1 == 1) & (first <= j))
+                home = tile.home[at]
+                if not home.any():
+                    continue
+                _, label, size = np.unique(CC.tile_labels(tile.line[at], tile.sample[at]), return_inverse=True, return_counts=True)
+                small = size[label][home] < isolated_pixels
+                which = at[home]
+                hits, edges, smalls = (
+                    np.bincount(place[which], w, len(places)).astype(np.int64) for w in (None, edge[which], small))
+                full = np.flatnonzero(hits)
+                found.append([np.full(len(full), p), np.full(len(full), a), *places[full].T, hits[full], edges[full], smalls[full]])
+        values = [np.concatenate(c) for c in zip(*found)] if found else [np.zeros(0)] * 7
+        types = [pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["percentile", "absolute", "_a", "sample", "hits", "edges", "small"]
+        made = {n: pa.array(x).cast(k) for n, x, k in zip(names, values, types)}
+        return pa.table({"scene_id": pa.repeat(table.column("scene_id")[0], len(values[0]))} | made)
+
+    haloed = grid.with_halo(rows.select("scene_id", "line", "sample", "_a", "_p", "_first"), halo, tile_lines).drop("home")
+    return haloed.groupBy("scene_id", "tile").applyInArrow(
+        count, f"scene_id {kind}, percentile double, absolute double, _a long, sample int, hits long, edges long, small long")
+
+
+def candidate_terms(
+    scores: DataFrame, valid: DataFrame, frames: DataFrame, blocks: DataFrame, percentiles: Sequence[float], absolutes: Sequence[float],
+    edge_width: int = 2, isolated_pixels: int = 4,
+) -> DataFrame:
+    """Every (percentile, absolute) pair of a scene with its pixels and terms, which depend on no policy.
+
+    A sampled pixel meets its column's thresholds once and keeps which it
+    passes; tiles then count all pairs together.  Blocks do not overlap.
+    """
+    percentiles, absolutes = sorted(percentiles), sorted(absolutes)
+    if len(percentiles) > 62:
+        raise ValueError("more than 62 percentiles to search")
+    spans = blocks.select("scene_id", F.col("start").cast("long").alias("_a"), F.col("stop").cast("long").alias("_b"))
+    material = columns.in_blocks(valid.select("scene_id", "line", "sample"), spans)
+    sampled = durable(columns.in_blocks(scores.select("scene_id", "line", "sample", "score"), spans).join(
+        material, ["scene_id", "line", "sample"], "left_semi").select("scene_id", "line", "sample", "score", "_a"))
+    limits = durable(columns.column_thresholds(sampled, frames, percentiles, minimum=1, radius=1, whole_scene=False).select(
+        "scene_id", "sample", *[f"t{i}" for i in range(len(percentiles))]))
+    bits, over = F.lit(0).cast("long"), F.lit(0)
+    for i in range(len(percentiles)):
+        bits = bits + F.when(F.col("score") <= F.col(f"t{i}"), F.lit(1 << i)).otherwise(F.lit(0)).cast("long")
+    for a in absolutes:
+        over = over + F.when(F.col("score") <= a, 0).otherwise(1)
+    marked = durable(sampled.join(limits, ["scene_id", "sample"]).select(
+        "scene_id", "line", "sample", "score", "_a", bits.alias("_p"), over.alias("_first")))
+    counts = durable(_pair_counts(marked, percentiles, absolutes, edge_width, isolated_pixels))
     keys = ["scene_id", "percentile", "absolute"]
-    size = sampled.groupBy("scene_id").agg(F.count(F.lit(1)).alias("sample_pixels"))
-    counts = hits.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"), F.avg(F.col("edge").cast("double")).alias("edge_penalty"))
+    pairs = [(i, j, F.struct(F.lit(p).alias("percentile"), F.lit(a).alias("absolute"))) for i, p in enumerate(percentiles) for j, a in enumerate(absolutes)]
+    passed = F.array_compact(F.array(*[
+        F.when(F.col("_p").bitwiseAND(F.lit(1 << i)).cast("boolean") & (F.col("_first") <= j), pair) for i, j, pair in pairs]))
+    hits = marked.where(F.col("_first") < len(absolutes)).select("scene_id", "score", F.explode(passed).alias("c")).select(
+        "scene_id", "score", "c.percentile", "c.absolute")
     middle = exact_quantiles(hits, keys, "score", [0.5]).select(*keys, F.col("q0").alias("_median"))
-    isolated = CC.small_share(CC.components(hits.select(*keys, "line", "sample"), keys), isolated_pixels, keys)
-    penalty = fixed_column_penalty(hits, sampled, blocks, frames, ["percentile", "absolute"])
-    every = F.array(*[F.struct(F.lit(p).alias("percentile"), F.lit(a).alias("absolute")) for p in percentiles for a in absolutes])
-    table = size.select("scene_id", "sample_pixels", F.inline(every))
-    for part in (counts, middle, isolated, penalty):
+    size = sampled.groupBy("scene_id").agg(F.count(F.lit(1)).alias("sample_pixels"))
+    sums = counts.groupBy(*keys).agg(
+        F.sum("hits").alias("pixels"), (F.sum("edges") / F.sum("hits")).alias("edge_penalty"), (F.sum("small") / F.sum("hits")).alias("isolated"))
+    exposed = sampled.groupBy("scene_id", "_a", "sample").agg(F.count(F.lit(1)).alias("valid"))
+    counted = counts.groupBy(*keys, "_a", "sample").agg(F.sum("hits").alias("hits"))
+    totals = counts.groupBy(*keys, "sample").agg(F.sum("hits").alias("n"))
+    penalty = penalty_of_counts(exposed, counted, totals, frames, keys)
+    table = size.select("scene_id", "sample_pixels", F.inline(F.array(*[pair for _, _, pair in pairs])))
+    for part in (sums, middle, penalty):
         table = table.join(part, keys, "left")
-    reference, cap = max(absolutes), min(COVERAGE_CAP.get(policy, 0.18), hard_coverage)
+    return table
+
+
+def search_policies(
+    scores: DataFrame, valid: DataFrame, frames: DataFrame, blocks: DataFrame, policies: Mapping[str, Mapping], searched: Sequence[str],
+    steps: int = 5, minimum_pixels: int = 16, hard_coverage: float = 0.65, edge_width: int = 2, isolated_pixels: int = 4,
+) -> dict[str, DataFrame]:
+    """Of each searched policy every (percentile, absolute) candidate with its terms and objective.
+
+    The terms are measured once for the candidates of all of them.
+    """
+    grids = {policy: search_grid(policies, policy, steps) for policy in searched}
+    every = [sorted({x for g in grids.values() for x in g[k]}) for k in (0, 1)]
+    terms = durable(candidate_terms(scores, valid, frames, blocks, *every, edge_width, isolated_pixels))
     c = F.col
-    none = c("pixels").isNull()
-    table = table.withColumns({
-        "pixels": F.coalesce("pixels", F.lit(0)), "edge_penalty": F.coalesce("edge_penalty", F.lit(1.0)),
-        "isolated": F.coalesce("isolated", F.lit(1.0)), "column_penalty": F.when(none, 1.0).otherwise(F.coalesce("column_penalty", F.lit(0.0))),
-        "evidence": F.coalesce(F.least(F.greatest((reference - c("_median")) / reference, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)),
-    }).withColumn("coverage", c("pixels") / c("sample_pixels")).withColumn("accepted", (c("pixels") >= minimum_pixels) & (c("coverage") <= hard_coverage))
-    target = max(min(cap * 0.25, 0.05), 0.005)
-    over = F.pow(F.greatest((c("coverage") - cap) / cap, F.lit(0.0)), 2)
-    objective = (
-        1.25 * c("evidence") + 0.35 * F.least(c("coverage") / target, F.lit(1.0)) + 0.25 * (1.0 - c("isolated"))
-        - 0.90 * c("column_penalty") - 0.45 * c("edge_penalty") - 0.55 * c("isolated") - 1.35 * over)
-    return table.withColumn("overcoverage", over).withColumn("objective", F.when(c("accepted"), objective)).drop("_median")
+    found = {}
+    for policy, (percentiles, absolutes) in grids.items():
+        reference, cap = max(absolutes), min(COVERAGE_CAP.get(policy, 0.18), hard_coverage)
+        none = c("pixels").isNull()
+        table = terms.where(c("percentile").isin(percentiles) & c("absolute").isin(absolutes)).withColumns({
+            "pixels": F.coalesce("pixels", F.lit(0)), "edge_penalty": F.coalesce("edge_penalty", F.lit(1.0)),
+            "isolated": F.coalesce("isolated", F.lit(1.0)), "column_penalty": F.when(none, 1.0).otherwise(F.coalesce("column_penalty", F.lit(0.0))),
+            "evidence": F.coalesce(F.least(F.greatest((reference - c("_median")) / reference, F.lit(0.0)), F.lit(1.0)), F.lit(0.0)),
+        }).withColumn("coverage", c("pixels") / c("sample_pixels")).withColumn("accepted", (c("pixels") >= minimum_pixels) & (c("coverage") <= hard_coverage))
+        target = max(min(cap * 0.25, 0.05), 0.005)
+        over = F.pow(F.greatest((c("coverage") - cap) / cap, F.lit(0.0)), 2)
+        objective = (
+            1.25 * c("evidence") + 0.35 * F.least(c("coverage") / target, F.lit(1.0)) + 0.25 * (1.0 - c("isolated"))
+            - 0.90 * c("column_penalty") - 0.45 * c("edge_penalty") - 0.55 * c("isolated") - 1.35 * over)
+        found[policy] = table.withColumn("overcoverage", over).withColumn("objective", F.when(c("accepted"), objective)).drop("_median")
+    return found
+
+
+def search_thresholds(
+    scores: DataFrame, valid: DataFrame, frames: DataFrame, blocks: DataFrame, policies: Mapping[str, Mapping], policy: str, steps: int = 5, **limits
+) -> DataFrame:
+    """``search_policies`` for one policy."""
+    return search_policies(scores, valid, frames, blocks, policies, [policy], steps, **limits)[policy]
 
 
 def best_candidate(candidates: DataFrame) -> DataFrame:

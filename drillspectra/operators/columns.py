@@ -112,34 +112,42 @@ def fill_linear(profile: Column) -> Column:
 def column_thresholds(
     scores: DataFrame, frames: DataFrame, fractions: Sequence[float], keys: Sequence[str] = ("scene_id",),
     minimum: int = 20, radius: int = 2, fallback: str = "interpolate", value: str = "score",
-    scene_fractions: Sequence[float] | None = None,
+    scene_fractions: Sequence[float] | None = None, whole_scene: bool = True,
 ) -> DataFrame:
     """Smoothed percentile threshold of every detector column.
 
     Returns ``keys, sample, n, t0, t1, ...`` plus the scene-wide ``s0, s1, ...``.
     Columns with fewer than ``minimum`` scores take the neighbours'
     interpolation (or the scene value), and a column median follows.  With
-    ``scene_fractions`` the scene-wide values are taken there instead.
+    ``scene_fractions`` the scene-wide values are taken there instead.  With
+    ``minimum`` 1 and interpolation no column needs them: without
+    ``whole_scene`` they are neither worked out nor returned.
 
-    The scores are read once: key, column and score are stored, and both the
-    column and the scene quantiles come from those.
+    The scores are read once: key, column and score are stored, unless they come
+    from a stored table, and both the column and the scene quantiles come from those.
     """
+    if not whole_scene and (minimum > 1 or fallback != "interpolate" or scene_fractions):
+        raise ValueError("these thresholds need the values of whole scenes")
     keys = list(keys)
     qs = [f"q{i}" for i in range(len(fractions))]
-    narrow = durable(scores.select(*keys, "sample", value))
+    narrow = scores.select(*keys, "sample", value)
+    if not hasattr(scores, "durable_folder"):
+        narrow = durable(narrow)
     own = exact_quantiles(narrow, [*keys, "sample"], value, fractions)
-    wanted = [*fractions, *(scene_fractions or fractions)]
-    scene = exact_quantiles(narrow, keys, value, wanted).select(
+    wanted = [*fractions, *(scene_fractions or fractions)] if whole_scene else list(fractions)
+    scene = None if not whole_scene else exact_quantiles(narrow, keys, value, wanted).select(
         *keys, *[F.col(q).alias(q.replace("q", "f")) for q in qs],
         *[F.col(f"q{len(fractions) + i}").alias(f"s{i}") for i in range(len(wanted) - len(fractions))],
     )
     trusted = own.select(
         *keys, "sample", "n", *[F.when(F.col("n") >= minimum, F.col(q)).alias(q) for q in qs]
     )
-    packed = dense(trusted, keys, ["n", *qs], frames).join(scene, keys)
+    packed = dense(trusted, keys, ["n", *qs], frames)
+    if whole_scene:
+        packed = packed.join(scene, keys)
 
     def resolve(q: str) -> Column:
-        whole = F.transform(F.col(q), lambda x: F.col(q.replace("q", "f")))
+        whole = F.transform(F.col(q), lambda x: F.col(q.replace("q", "f"))) if whole_scene else F.col(q)
         none = ~F.exists(F.col(q), lambda x: x.isNotNull())
         if fallback == "interpolate":
             filled = fill_linear(F.col(q))

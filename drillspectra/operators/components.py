@@ -19,7 +19,7 @@ from . import grid
 STEP = 1 << 31  # line and sample are 32-bit, so no two cells share a code
 
 
-def _tile_labels(lines: np.ndarray, samples: np.ndarray) -> np.ndarray:
+def tile_labels(lines: np.ndarray, samples: np.ndarray) -> np.ndarray:
     """Smallest cell code of each cell's component."""
     code = lines.astype(np.int64) * STEP + samples
     order = np.argsort(code)
@@ -87,7 +87,7 @@ def components(cells: DataFrame, keys: Sequence[str] = ("scene_id",), tile_lines
     schema = T.StructType([*tiled.schema.fields, T.StructField("local", T.LongType())])
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(local=_tile_labels(pdf["line"].to_numpy(), pdf["sample"].to_numpy()))
+        return pdf.assign(local=tile_labels(pdf["line"].to_numpy(), pdf["sample"].to_numpy()))
 
     local = durable(tiled.groupBy(*keys, "tile").applyInPandas(label, schema))
     node = F.struct(*keys, "local")

@@ -11,6 +11,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import durable
+
 BANDS = 64
 AXIS = [1000.0 + 20.0 * band for band in range(BANDS)]
 SAMPLES = 32
@@ -97,6 +99,13 @@ class Views:
             )
         )
 
+    def written(self, *values: str) -> Views:
+        """These views over a score plane that is grouped once and written, for queries that read it often."""
+        out = Views(self.spark, self.folder)
+        out.cells = durable(self.cells.select(*KEY, *values))
+        out.frames = durable(out.frames)
+        return out
+
     @cached_property
     def frames(self) -> DataFrame:
         """Lines and detector columns of every score plane."""

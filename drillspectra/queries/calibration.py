@@ -36,6 +36,7 @@ def m1(v):
 
 @query("m2_threshold_grid_search")
 def m2(v):
+    v = v.written("score")
     return M.search_thresholds(masked(v), v.valid, v.frames, blocks(v), POLICIES, "balanced", steps=3)
 
 
@@ -55,11 +56,9 @@ def m3(v):
 
 @query("m4_threshold_trial")
 def m4(v):
-    per_policy, ready = {}, {}
-    for policy in M.POLICIES:
-        found = M.durable(M.search_thresholds(masked(v), v.valid, v.frames, blocks(v), POLICIES, policy, steps=2))
-        per_policy[policy] = found
-        ready[policy] = found.select("scene_id", "percentile", "absolute", F.floor(F.col("pixels") * 0.4).alias("ready"))
+    v = v.written("score")
+    per_policy = M.search_policies(masked(v), v.valid, v.frames, blocks(v), POLICIES, M.POLICIES, steps=2)
+    ready = {policy: found.select("scene_id", "percentile", "absolute", F.floor(F.col("pixels") * 0.4).alias("ready")) for policy, found in per_policy.items()}
     return M.threshold_trial(per_policy, ready).select("scene_id", "policy", "percentile", "absolute", "ready", "status")
 
 

@@ -175,6 +175,47 @@ def test_grid_search_prefers_patch_over_column(spark, cells, frame):
     assert best["status"] == "resolved" and best["absolute"] == pytest.approx(0.08)
 
 
+def test_search_terms_over_tile_seams(spark, cells, frame):
+    """Terms counted in haloed tiles are those of whole components, run ends and column penalties."""
+    rng = np.random.default_rng(8)
+    shape = (1100, 12)
+    present = rng.random(shape) < 0.85
+    scores = rng.random(shape)
+    scores[508:518, 4] = 0.01  # one patch over the seam at line 512, and a small one
+    scores[511:513, 9] = 0.01
+    scores[:, 7] /= 4
+    given = cells(present, score=scores)
+    blocks = spark.createDataFrame([("A", 0, 300), ("A", 480, 1100)], "scene_id string, start int, stop int")
+    keys = ["scene_id", "percentile", "absolute"]
+    got = {(r["percentile"], r["absolute"]): r for r in M.candidate_terms(
+        given, given, frame(shape), blocks, [0.1, 0.3], [0.05, 0.2], edge_width=2, isolated_pixels=4).collect()}
+    assert len(got) == 4
+    sampled = given.where("line < 300 or line >= 480").drop("_bin")
+    limits = M.columns.column_thresholds(sampled, frame(shape), [0.1, 0.3], minimum=1, radius=1)
+    edges = M.grid.edge_risk(sampled.select("scene_id", "line", "sample"), SC, 2).where("edge_risk > 0").select("line", "sample")
+    ends = {tuple(r) for r in edges.collect()}
+    for i, p in enumerate([0.1, 0.3]):
+        for a in (0.05, 0.2):
+            hits = sampled.join(limits, ["scene_id", "sample"]).where(f"score <= t{i} and score <= {a}").select("scene_id", "line", "sample", "score")
+            rows, r = hits.collect(), got[p, a]
+            assert r["sample_pixels"] == sampled.count() and r["pixels"] == len(rows)
+            assert r["edge_penalty"] == pytest.approx(np.mean([(h["line"], h["sample"]) in ends for h in rows]))
+            assert r["_median"] == pytest.approx(np.median([h["score"] for h in rows]))
+            assert r["isolated"] == M.CC.small_share(M.CC.components(hits.drop("score"), SC), 4, SC).first()["isolated"]
+            assert r["column_penalty"] == pytest.approx(M.fixed_column_penalty(hits, sampled, blocks, frame(shape)).first()["column_penalty"])
+
+
+def test_thresholds_of_columns_without_those_of_scenes(spark, cells, frame):
+    scores = np.random.default_rng(9).random((50, 6))
+    given = cells(np.random.default_rng(10).random((50, 6)) < 0.1, score=scores)
+    full = M.columns.column_thresholds(given, frame((50, 6)), [0.2, 0.5], minimum=1, radius=1)
+    short = M.columns.column_thresholds(given, frame((50, 6)), [0.2, 0.5], minimum=1, radius=1, whole_scene=False)
+    names = ["scene_id", "sample", "n", "t0", "t1"]
+    assert short.columns == names and sorted(map(tuple, short.collect())) == sorted(map(tuple, full.select(*names).collect()))
+    with pytest.raises(ValueError):
+        M.columns.column_thresholds(given, frame((50, 6)), [0.2], minimum=2, whole_scene=False)
+
+
 def test_consensus_floor(spark):
     df = spark.createDataFrame([(0.50, "balanced", 3), (0.66, "conservative", 3), (0.54, "balanced", 4)], "c double, p string, n int")
     out = [r[0] for r in df.select(M.consensus_floor(F.col("c"), F.col("p"), F.col("n"))).collect()]

@@ -76,3 +76,17 @@ def test_blended_tiles_of_any_stride(spark, cells):
                 expected[line, sample] = np.average([scores[line, sample] * (1 + i) for i in tiles], weights=weights)
         assert got.keys() == expected.keys()
         assert all(np.isclose(got[k], expected[k], rtol=1e-12) for k in expected)
+
+
+def test_a_trial_measures_its_candidates_once(spark, tmp_path):
+    """Three policies ask for nine pairs in all; a search of its own for each took 259 jobs."""
+    rows = [(p, 1 + (p * 7 + s) % 40, 1 + p % 5, 1000.0 + (p * 31 + s * 17) % 9973, 0.05, 0.02) for p in range(300) for s in range(12)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity long, l_extendedprice double, l_discount double, l_tax double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    context = spark.sparkContext
+    context.setJobGroup("trial", "")
+    got = entry.queries()["m4_threshold_trial"](spark, str(tmp_path)).collect()
+    jobs = len(context.statusTracker().getJobIdsForGroup("trial"))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert [r["policy"] for r in sorted(got, key=lambda r: r["percentile"] or 0)] and len(got) == 3
+    assert jobs < 110
